@@ -146,3 +146,22 @@ def profile_export(log: DataFrame, keys: LogKeys, by: Sequence[str], origins: Se
     daily = daily_sums(log, by, keys.date, values)
     dated = daily.withColumn("origin", F.explode(F.array(*[F.lit(o).cast("date") for o in origins]))).where(c(keys.date) < c("origin"))
     return dated.groupBy("origin", *by).agg(*[F.sum(n).alias(n) for n in values])
+
+
+def refresh_profiles(log: DataFrame, keys: LogKeys, terminal: Column, as_of: str, unknown: int, low: float, stale_days: int) -> DataFrame:
+    """Style profile of every entity as of a date, plus the profile an unknown entity would get.
+
+    One empty probe row per entity is added on the date and the ordinary history runs over it.
+    """
+    day = F.lit(as_of).cast("date")
+    cols = [keys.entity, keys.date, "description", "events", "launch_angle", "_t"]
+    past = log.where(c(keys.date) < day).withColumn("_t", terminal).select(*cols)
+    spark = log.sparkSession
+    ids = past.select(keys.entity).distinct().unionByName(spark.range(1).select(F.lit(unknown).cast("bigint").alias(keys.entity)))
+    probes = ids.select(keys.entity, day.alias(keys.date), F.lit("").alias("description"), F.lit(None).cast("string").alias("events"), F.lit(None).cast("double").alias("launch_angle"), F.lit(False).alias("_t"))
+    style = style_history(past.unionByName(probes), keys, c("_t")).where(c(keys.date) == day)
+    seen = past.groupBy(keys.entity).agg(F.max(keys.date).alias("last_seen"))
+    weight = sum((c(f"{s}_weight") for s in STYLES[1:]), c(f"{STYLES[0]}_weight")) / len(STYLES)
+    return style.join(seen, keys.entity, "left").select(
+        keys.entity, *[f"{s}_prior" for s in STYLES], weight.alias("reliability"), "last_seen", (weight < low).alias("low_reliability"),
+        F.coalesce(F.datediff(day, "last_seen") > stale_days, F.lit(False)).alias("stale"), c("last_seen").isNull().alias("unknown"))

@@ -41,3 +41,224 @@ def tiered_lookup(df: DataFrame, tables: Sequence[DataFrame], tiers: Sequence[Se
     origin = reduce(lambda acc, i: acc.when(c(f"_t{i}_{probe}").isNotNull(), top - i), range(1, top), F.when(c(f"_t0_{probe}").isNotNull(), top)).otherwise(0)
     out = out.withColumns({"origin": origin.cast("bigint"), **{f"ref_{v}": F.coalesce(*[c(f"_t{i}_{v}") for i in range(top + 1)]) for v in values}})
     return out.drop(*[f"_t{i}_{v}" for i in range(top + 1) for v in values])
+
+
+# --- class-count tables ---------------------------------------------------------
+
+def class_cells(df: DataFrame, by: Sequence[str], label: str, n_classes: int) -> DataFrame:
+    """One row per group with count columns n0..n{k-1}; the finest level, from which coarser ones are summed."""
+    return df.groupBy(*by).agg(*[F.count(F.when(c(label) == i, 1)).cast("double").alias(f"n{i}") for i in range(n_classes)])
+
+
+def roll_up(cells: DataFrame, by: Sequence[str], n_classes: int) -> DataFrame:
+    """Counts of a coarser level as an array `n`."""
+    g = cells.groupBy(*by) if by else cells.groupBy()
+    return g.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)]).select(*by, F.array(*[c(f"n{i}") for i in range(n_classes)]).alias("n"))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def shrink(n: Column, prior: Column, strength: float | Column) -> Column:
+    """(n + strength * prior) / (N + strength)."""
+    s = F.lit(float(strength)) if isinstance(strength, (int, float)) else strength
+    den = _total(n) + s
+    return F.zip_with(n, prior, lambda a, p: (a + s * p) / den)
+
+
+def frequency_chain(train: DataFrame, levels: Sequence[tuple[Sequence[str], float]], label: str, n_classes: int, pseudo: float = 1.0) -> list[DataFrame]:
+    """Smoothed class probabilities per level, coarsest (global) first.
+
+    Keys of consecutive levels are nested, so each cell finds its parent by an equi-join.
+    The raw rows are aggregated once, to the finest level.
+    """
+    finest = list(levels[-1][0])
+    cells = class_cells(train, finest, label, n_classes)
+    root = roll_up(cells, [], n_classes).select(F.transform("n", lambda x: x + pseudo).alias("n"))
+    tables = [root.select(F.transform("n", lambda x: x / _total(c("n"))).alias("p"))]
+    parent_keys: list[str] = []
+    for by, strength in levels:
+        counts = roll_up(cells, list(by), n_classes)
+        parent = tables[-1].withColumnRenamed("p", "_prior")
+        joined = counts.join(parent, parent_keys) if parent_keys else with_row(counts, parent)
+        tables.append(joined.select(*by, shrink(c("n"), c("_prior"), strength).alias("p")))
+        parent_keys = list(by)
+    return tables
+
+
+def chain_lookup(df: DataFrame, tables: Sequence[DataFrame], levels: Sequence[Sequence[str]], output: str = "p") -> DataFrame:
+    """Most specific probability vector available for every row, with the level it came from (0 = global)."""
+    out = with_row(df, tables[0].withColumnRenamed("p", "_p0"))
+    for i, by in enumerate(levels, 1):
+        out = out.join(tables[i].withColumnRenamed("p", f"_p{i}"), list(by), "left")
+    depth = len(levels)
+    origin = F.lit(0)
+    for i in range(1, depth + 1):
+        origin = F.when(c(f"_p{i}").isNotNull(), i).otherwise(origin)
+    out = out.withColumns({output: F.coalesce(*[c(f"_p{i}") for i in range(depth, -1, -1)]), "origin": origin.cast("bigint")})
+    return out.drop(*[f"_p{i}" for i in range(depth + 1)])
+
+
+def transition_counts(log: DataFrame, actor: str) -> DataFrame:
+    return log.where("action_id >= 0 and outcome_id >= 0").groupBy(actor, "state_id", "action_id", "outcome_id").agg(F.count("*").alias("n"))
+
+
+def repertoire(log: DataFrame, actor: str, minimum: int) -> DataFrame:
+    return log.where("action_id >= 0 and outcome_id >= 0").groupBy(actor, "pitch_id").agg(F.count("*").alias("n")).withColumn("supported", c("n") >= minimum)
+
+
+# --- hierarchical Dirichlet smoothing -------------------------------------------
+
+EPS = 1e-9
+
+
+def _rule_mask(count: Column) -> Column:
+    return F.array(*[states.outcome_allowed(count, F.lit(o)).cast("double") for o in range(states.N_OUTCOMES)])
+
+
+def _norm(a: Column) -> Column:
+    s = _total(a)
+    return F.transform(a, lambda x: F.when(s > 0, x / s).otherwise(0.0))
+
+
+def _masked(a: Column, mask: Column) -> Column:
+    return F.zip_with(a, mask, lambda x, m: x * m)
+
+
+def dirichlet_table(log: DataFrame, request: DataFrame, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
+    """Smoothed outcome distribution for the requested (actor, state, action) cells.
+
+    League levels: count -> (count, action) -> (state, action), and (count, type).  The
+    actor's own (count, type) level enters as a ratio to the league's, then the actor's
+    (state, action) counts are added.  Cells whose type the actor used fewer than
+    `minimum` times are not valid and left out.  A level without data equals its prior.
+    """
+    k = states.N_OUTCOMES
+    count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
+    kept = log.where("action_id >= 0 and outcome_id >= 0")
+    cells = class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    mask = _rule_mask(c("_c"))
+    base = roll_up(cells, ["_c"], k).select("_c", _masked(c("n"), mask).alias("n")).select(
+        "_c", F.when(_total(c("n")) > 0, _norm(c("n"))).otherwise(_norm(mask)).alias("base"))
+    need = request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    rep = cells.groupBy(actor, "_g").agg(sum((F.sum(f"n{i}") for i in range(1, k)), F.sum("n0")).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
+    need = need.join(rep, [actor, "_g"])
+
+    def level(keys, name):
+        return roll_up(cells, keys, k).withColumnRenamed("n", name)
+
+    def step(n, prior, strength):
+        zero = F.transform(prior, lambda x: x * 0.0)
+        return _norm(_masked(shrink(F.coalesce(n, zero), prior, strength), mask))
+
+    out = need.join(F.broadcast(base), "_c", "left").withColumn("base", F.coalesce("base", _norm(mask)))
+    out = out.join(level(["_c", "action_id"], "_nca"), ["_c", "action_id"], "left").join(level(["state_id", "action_id"], "_nsa"), ["state_id", "action_id"], "left")
+    out = out.join(level(["_c", "_g"], "_ncg"), ["_c", "_g"], "left").join(level([actor, "_c", "_g"], "_n1"), [actor, "_c", "_g"], "left")
+    out = out.join(level([actor, "state_id", "action_id"], "_n2"), [actor, "state_id", "action_id"], "left")
+    out = out.withColumn("_lca", step(c("_nca"), c("base"), alpha)).withColumn("_l0", step(c("_nsa"), c("_lca"), alpha))
+    out = out.withColumn("_lcg", step(c("_ncg"), c("base"), alpha)).withColumn("_l1", step(c("_n1"), c("_lcg"), alpha_actor))
+    ratio = F.zip_with("_l1", "_lcg", lambda a, b: a / F.greatest(b, F.lit(EPS)))
+    out = out.withColumn("_m", _norm(_masked(F.zip_with("_l0", ratio, lambda a, r: a * r), mask)))
+    zero = F.transform("_m", lambda x: x * 0.0)
+    return out.select(actor, "state_id", "action_id", step(c("_n2"), c("_m"), alpha_actor).alias("p"), _total(F.coalesce("_n2", zero)).cast("bigint").alias("n_obs"))
+
+
+# --- factored behaviour policy ----------------------------------------------------
+
+def _with_level(df: DataFrame, cells: DataFrame, keys: Sequence[str], name: str, fold: str | None) -> DataFrame:
+    """Attach a level's count; with a fold, the count over the other folds (total minus own)."""
+    if fold is None:
+        lev = cells.groupBy(*keys).agg(F.sum("n").alias(name))
+        return df.join(lev, list(keys), "left")
+    own = cells.groupBy(*keys, fold).agg(F.sum("n").alias("_own"))
+    both = own.groupBy(*keys).agg(F.sum("_own").alias("_all"))
+    if not keys:
+        lev = with_row(own, both)
+    else:
+        lev = own.join(both, list(keys))
+    return df.join(lev.select(*keys, fold, (c("_all") - c("_own")).alias(name)), [*keys, fold], "left")
+
+
+def behaviour_probability(log: DataFrame, actor: str, alpha: float, floor: float = 1e-6, fold: Column | None = None) -> DataFrame:
+    """pi(type | actor, state) * pi(cell | actor, count, type) of every logged cell.
+
+    With `fold`, each cell is scored with counts of all other folds: totals minus own
+    counts, one pass instead of one fit per fold.
+    """
+    f = None if fold is None else "fold"
+    keys = [actor, "state_id", "count_id", "pitch_id", "loc_id"] + ([f] if f else [])
+    rows = log.where("action_id >= 0")
+    if f:
+        rows = rows.withColumn(f, fold)
+    cells = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
+    out = cells
+    levels = {
+        "g": ["pitch_id"], "_all": [], "pg": [actor, "pitch_id"], "p": [actor],
+        "pcg": [actor, "count_id", "pitch_id"], "pc": [actor, "count_id"],
+        "psg": [actor, "state_id", "pitch_id"], "ps": [actor, "state_id"],
+        "gl": ["pitch_id", "loc_id"], "pgl": [actor, "pitch_id", "loc_id"], "pcgl": [actor, "count_id", "pitch_id", "loc_id"]}
+    for name, by in levels.items():
+        if not by and f is None:
+            out = with_row(out, cells.agg(F.sum("n").alias(f"k_{name}")))
+        else:
+            out = _with_level(out, cells, by, f"k_{name}", f)
+
+    def mix(n, total, prior):
+        return (c(f"k_{n}") + alpha * prior) / (c(f"k_{total}") + alpha)
+
+    kind = mix("psg", "ps", mix("pcg", "pc", mix("pg", "p", c("k_g") / c("k__all"))))
+    place = mix("pcgl", "pcg", mix("pgl", "pg", mix("gl", "g", F.lit(1.0 / 25))))
+    pb = (kind * place + floor) / (1 + states.N_ACTIONS * floor)
+    return out.select(*keys, (c("pitch_id") * 25 + c("loc_id")).alias("action_id"), c("n").cast("bigint").alias("n"), pb.alias("pb"))
+
+
+# --- other frequency models -------------------------------------------------------
+
+def behaviour_clone(train: DataFrame, queries: DataFrame, actor: str, context: Sequence[str], action: str, prior: float, minimum: int) -> DataFrame:
+    """Probability of each query's action: context counts over the actor's supported actions plus
+    `prior` pseudo-counts of the actor's own mix; unknown actors use the league's."""
+    n_actor = train.groupBy(actor, action).agg(F.count("*").alias("_na"))
+    n_league = train.groupBy(action).agg(F.count("*").alias("_nl"))
+    known = n_actor.groupBy(actor).agg(F.coalesce(F.sum(F.when(c("_na") >= minimum, c("_na"))), F.lit(0)).alias("_sa"))
+    league = n_league.agg(F.coalesce(F.sum(F.when(c("_nl") >= minimum, c("_nl"))), F.lit(0)).alias("_sl"))
+    cells = train.groupBy(actor, *context, action).agg(F.count("*").alias("_nc"))
+    legal = cells.join(n_actor.where(c("_na") >= minimum).drop("_na"), [actor, action], "left_semi")
+    totals = legal.groupBy(actor, *context).agg(F.sum("_nc").alias("_sc"))
+    out = queries.join(known, actor, "left").join(n_actor, [actor, action], "left").join(n_league, action, "left")
+    out = with_row(out, league).join(legal, [actor, *context, action], "left").join(totals, [actor, *context], "left")
+    zero = F.lit(0)
+    fallback = c("_sa").isNull()
+    n = F.when(fallback, F.coalesce("_nl", zero)).otherwise(F.coalesce("_na", zero))
+    size = F.when(fallback, c("_sl")).otherwise(c("_sa"))
+    ok = (n >= minimum) & (size > 0)
+    freq = F.when(ok, n / size).when(size > 0, 0.0)
+    own = F.when(fallback, zero).otherwise(F.coalesce("_nc", zero))
+    total = F.when(fallback, zero).otherwise(F.coalesce("_sc", zero))
+    bc = F.when(ok, (own + prior * freq) / (total + prior)).when(size > 0, 0.0)
+    return out.withColumns({"fallback": fallback, "observed_supported": ok, "p_frequency": freq, "p_clone": bc}).drop("_sa", "_na", "_nl", "_sl", "_nc", "_sc")
+
+
+def advancement(terminals: DataFrame, by: Sequence[str], outcome: Sequence[str]) -> DataFrame:
+    """Share of every observed successor inside its cell, with the cell size."""
+    n = terminals.groupBy(*by, *outcome).agg(F.count("*").alias("n"))
+    total = n.groupBy(*by).agg(F.sum("n").alias("cell"))
+    return n.join(total, list(by))
+
+
+def additive_share(df: DataFrame, by: Sequence[str], label: str, n_classes: int, alpha: float) -> DataFrame:
+    """(n + alpha) / (N + k * alpha) per group."""
+    counts = roll_up(class_cells(df, by, label, n_classes), by, n_classes)
+    return counts.select(*by, F.transform("n", lambda x: (x + alpha) / (_total(c("n")) + n_classes * alpha)).alias("p"))
+
+
+def partial_pool(df: DataFrame, base: str, layers: Sequence[tuple[str, str, float]]) -> Column:
+    """Move `base` towards each layer's vector by n / (n + tau); a missing layer leaves it alone.
+
+    Each layer is (vector column, size column, tau), coarser first.
+    """
+    out = c(base)
+    for p, n, tau in layers:
+        w = c(n) / (c(n) + F.lit(float(tau)))
+        out = F.when(c(p).isNull(), out).otherwise(F.zip_with(c(p), out, lambda a, b, w=w: w * a + (1 - w) * b))
+    return out

@@ -109,8 +109,8 @@ def snap_lookup(log: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFram
 def count_vectors(df: DataFrame, by: Sequence[str], label: str, n_classes: int, pseudo: float = 0.0) -> DataFrame:
     """Per group the class counts as an array (plus pseudo-counts), normalised; `n` is the raw total."""
     counts = df.groupBy(*by).agg(*[F.count(F.when(c(label) == i, 1)).cast("double").alias(f"_n{i}") for i in range(n_classes)])
-    arr = F.array(*[c(f"_n{i}") for i in range(n_classes)])
-    return counts.select(*by, probs.total(arr).cast("bigint").alias("n"), probs.normalise(F.transform(arr, lambda x: x + pseudo)).alias("p"))
+    n = sum((c(f"_n{i}") for i in range(1, n_classes)), c("_n0"))
+    return counts.select(*by, n.cast("bigint").alias("n"), F.array(*[(c(f"_n{i}") + pseudo) / (n + pseudo * n_classes) for i in range(n_classes)]).alias("p"))
 
 
 def outcome_vectors(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylane.functions import states
+from tallylane.functions import probs, states
 from tallylane.functions.quantiles import with_row
 
 c = F.col
@@ -51,20 +51,22 @@ def class_cells(df: DataFrame, by: Sequence[str], label: str, n_classes: int) ->
 
 
 def roll_up(cells: DataFrame, by: Sequence[str], n_classes: int) -> DataFrame:
-    """Counts of a coarser level as an array `n`."""
+    """Count columns of a coarser level."""
     g = cells.groupBy(*by) if by else cells.groupBy()
-    return g.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)]).select(*by, F.array(*[c(f"n{i}") for i in range(n_classes)]).alias("n"))
+    return g.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)])
 
 
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+def count_total(n_classes: int) -> Column:
+    return sum((c(f"n{i}") for i in range(1, n_classes)), c("n0"))
 
 
-def shrink(n: Column, prior: Column, strength: float | Column) -> Column:
-    """(n + strength * prior) / (N + strength)."""
-    s = F.lit(float(strength)) if isinstance(strength, (int, float)) else strength
-    den = _total(n) + s
-    return F.zip_with(n, prior, lambda a, p: (a + s * p) / den)
+def shrink(n_classes: int, prior: str | float, strength: float) -> Column:
+    """(n_i + strength * prior_i) / (N + strength) as an array, from the count columns.
+
+    Built element by element so the total is one shared subexpression of generated code.
+    """
+    den = count_total(n_classes) + float(strength)
+    return F.array(*[(c(f"n{i}") + strength * (c(prior)[i] if isinstance(prior, str) else F.lit(prior))) / den for i in range(n_classes)])
 
 
 def frequency_chain(train: DataFrame, levels: Sequence[tuple[Sequence[str], float]], label: str, n_classes: int, pseudo: float = 1.0) -> list[DataFrame]:
@@ -73,16 +75,15 @@ def frequency_chain(train: DataFrame, levels: Sequence[tuple[Sequence[str], floa
     Keys of consecutive levels are nested, so each cell finds its parent by an equi-join.
     The raw rows are aggregated once, to the finest level.
     """
-    finest = list(levels[-1][0])
+    finest = list(dict.fromkeys(k for by, _ in levels for k in by))
     cells = class_cells(train, finest, label, n_classes)
-    root = roll_up(cells, [], n_classes).select(F.transform("n", lambda x: x + pseudo).alias("n"))
-    tables = [root.select(F.transform("n", lambda x: x / _total(c("n"))).alias("p"))]
+    tables = [roll_up(cells, [], n_classes).select(shrink(n_classes, 1.0 / n_classes, pseudo * n_classes).alias("p"))]
     parent_keys: list[str] = []
     for by, strength in levels:
         counts = roll_up(cells, list(by), n_classes)
         parent = tables[-1].withColumnRenamed("p", "_prior")
         joined = counts.join(parent, parent_keys) if parent_keys else with_row(counts, parent)
-        tables.append(joined.select(*by, shrink(c("n"), c("_prior"), strength).alias("p")))
+        tables.append(joined.select(*by, shrink(n_classes, "_prior", strength).alias("p")))
         parent_keys = list(by)
     return tables
 
@@ -113,55 +114,54 @@ def repertoire(log: DataFrame, actor: str, minimum: int) -> DataFrame:
 EPS = 1e-9
 
 
-def _rule_mask(count: Column) -> Column:
-    return F.array(*[states.outcome_allowed(count, F.lit(o)).cast("double") for o in range(states.N_OUTCOMES)])
-
-
-def _norm(a: Column) -> Column:
-    s = _total(a)
-    return F.transform(a, lambda x: F.when(s > 0, x / s).otherwise(0.0))
-
-
-def _masked(a: Column, mask: Column) -> Column:
-    return F.zip_with(a, mask, lambda x, m: x * m)
-
-
 def dirichlet_table(log: DataFrame, request: DataFrame, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
-    """Smoothed outcome distribution for the requested (actor, state, action) cells.
+    """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells.
 
     League levels: count -> (count, action) -> (state, action), and (count, type).  The
     actor's own (count, type) level enters as a ratio to the league's, then the actor's
     (state, action) counts are added.  Cells whose type the actor used fewer than
     `minimum` times are not valid and left out.  A level without data equals its prior.
+
+    Outcomes are scalar columns, so every level is one generated projection; array
+    lambdas would be interpreted and would recompute the totals per element.
     """
-    k = states.N_OUTCOMES
+    k = range(states.N_OUTCOMES)
     count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
     kept = log.where("action_id >= 0 and outcome_id >= 0")
-    cells = class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    mask = _rule_mask(c("_c"))
-    base = roll_up(cells, ["_c"], k).select("_c", _masked(c("n"), mask).alias("n")).select(
-        "_c", F.when(_total(c("n")) > 0, _norm(c("n"))).otherwise(_norm(mask)).alias("base"))
+    cells = class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", len(k)).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
     need = request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    rep = cells.groupBy(actor, "_g").agg(sum((F.sum(f"n{i}") for i in range(1, k)), F.sum("n0")).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
-    need = need.join(rep, [actor, "_g"])
+    rep = cells.groupBy(actor, "_g").agg(sum((F.sum(f"n{i}") for i in k[1:]), F.sum("n0")).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
+    out = need.join(rep, [actor, "_g"])
 
     def level(keys, name):
-        return roll_up(cells, keys, k).withColumnRenamed("n", name)
-
-    def step(n, prior, strength):
-        zero = F.transform(prior, lambda x: x * 0.0)
-        return _norm(_masked(shrink(F.coalesce(n, zero), prior, strength), mask))
-
-    out = need.join(F.broadcast(base), "_c", "left").withColumn("base", F.coalesce("base", _norm(mask)))
-    out = out.join(level(["_c", "action_id"], "_nca"), ["_c", "action_id"], "left").join(level(["state_id", "action_id"], "_nsa"), ["state_id", "action_id"], "left")
-    out = out.join(level(["_c", "_g"], "_ncg"), ["_c", "_g"], "left").join(level([actor, "_c", "_g"], "_n1"), [actor, "_c", "_g"], "left")
-    out = out.join(level([actor, "state_id", "action_id"], "_n2"), [actor, "state_id", "action_id"], "left")
-    out = out.withColumn("_lca", step(c("_nca"), c("base"), alpha)).withColumn("_l0", step(c("_nsa"), c("_lca"), alpha))
-    out = out.withColumn("_lcg", step(c("_ncg"), c("base"), alpha)).withColumn("_l1", step(c("_n1"), c("_lcg"), alpha_actor))
-    ratio = F.zip_with("_l1", "_lcg", lambda a, b: a / F.greatest(b, F.lit(EPS)))
-    out = out.withColumn("_m", _norm(_masked(F.zip_with("_l0", ratio, lambda a, r: a * r), mask)))
-    zero = F.transform("_m", lambda x: x * 0.0)
-    return out.select(actor, "state_id", "action_id", step(c("_n2"), c("_m"), alpha_actor).alias("p"), _total(F.coalesce("_n2", zero)).cast("bigint").alias("n_obs"))
+        return cells.groupBy(*keys).agg(*[F.sum(f"n{i}").alias(f"{name}{i}") for i in k])
+
+    def normalised(df, raw, name, fallback=None):
+        """name_i = raw_i / sum(raw), or the fallback (0) when the sum is 0."""
+        df = df.withColumns(dict((f"_v{i}", raw(i)) for i in k))
+        df = df.withColumn("_s", sum((c(f"_v{i}") for i in k[1:]), c("_v0")))
+        df = df.withColumns(dict((f"{name}{i}", F.when(c("_s") > 0, c(f"_v{i}") / c("_s")).otherwise(F.lit(0.0) if fallback is None else fallback(i))) for i in k))
+        return df.drop("_s", *[f"_v{i}" for i in k])
+
+    def shrunk(df, n, prior, name, strength):
+        size = sum((F.coalesce(f"{n}{i}", F.lit(0.0)) for i in k[1:]), F.coalesce(f"{n}0", F.lit(0.0)))
+        df = df.withColumn("_n", size + strength)
+        df = normalised(df, lambda i: (F.coalesce(f"{n}{i}", F.lit(0.0)) + strength * c(f"{prior}{i}")) / c("_n") * c(f"m{i}"), name)
+        return df.drop("_n")
+
+    out = out.withColumns(dict((f"m{i}", states.outcome_allowed(c("_c"), F.lit(i)).cast("double")) for i in k))
+    for keys, name in ((["_c"], "nc"), (["_c", "action_id"], "nca"), (["state_id", "action_id"], "nsa"), (["_c", "_g"], "ncg"), ([actor, "_c", "_g"], "npg"), ([actor, "state_id", "action_id"], "npa")):
+        out = out.join(level(keys, name), keys, "left")
+    out = out.withColumn("_ms", sum((c(f"m{i}") for i in k[1:]), c("m0")))
+    out = normalised(out, lambda i: F.coalesce(f"nc{i}", F.lit(0.0)) * c(f"m{i}"), "base", lambda i: c(f"m{i}") / c("_ms"))
+    out = shrunk(out, "nca", "base", "lca", alpha)
+    out = shrunk(out, "nsa", "lca", "l0", alpha)
+    out = shrunk(out, "ncg", "base", "lcg", alpha)
+    out = shrunk(out, "npg", "lcg", "l1", alpha_actor)
+    out = normalised(out, lambda i: c(f"l0{i}") * (c(f"l1{i}") / F.greatest(c(f"lcg{i}"), F.lit(EPS))) * c(f"m{i}"), "mix")
+    out = shrunk(out, "npa", "mix", "p", alpha_actor)
+    n_obs = sum((F.coalesce(f"npa{i}", F.lit(0.0)) for i in k[1:]), F.coalesce("npa0", F.lit(0.0)))
+    return out.select(actor, "state_id", "action_id", *[f"p{i}" for i in k], n_obs.cast("bigint").alias("n_obs"))
 
 
 # --- factored behaviour policy ----------------------------------------------------
@@ -249,7 +249,7 @@ def advancement(terminals: DataFrame, by: Sequence[str], outcome: Sequence[str])
 def additive_share(df: DataFrame, by: Sequence[str], label: str, n_classes: int, alpha: float) -> DataFrame:
     """(n + alpha) / (N + k * alpha) per group."""
     counts = roll_up(class_cells(df, by, label, n_classes), by, n_classes)
-    return counts.select(*by, F.transform("n", lambda x: (x + alpha) / (_total(c("n")) + n_classes * alpha)).alias("p"))
+    return counts.select(*by, shrink(n_classes, 1.0 / n_classes, alpha * n_classes).alias("p"))
 
 
 def partial_pool(df: DataFrame, base: str, layers: Sequence[tuple[str, str, float]]) -> Column:
@@ -260,5 +260,5 @@ def partial_pool(df: DataFrame, base: str, layers: Sequence[tuple[str, str, floa
     out = c(base)
     for p, n, tau in layers:
         w = c(n) / (c(n) + F.lit(float(tau)))
-        out = F.when(c(p).isNull(), out).otherwise(F.zip_with(c(p), out, lambda a, b, w=w: w * a + (1 - w) * b))
+        out = F.when(c(p).isNull(), out).otherwise(probs.blend(c(p), out, w))
     return out

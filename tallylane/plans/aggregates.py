@@ -24,7 +24,7 @@ re AS (SELECT b AS base_out_id, coalesce(avg(he - s0), 0) AS re, count(he) AS n
 
 
 def _episodes(t):
-    return aggs.expectancy_episodes(encode.add_ids(t.log, K), K)
+    return aggs.expectancy_episodes(t.ids, K)
 
 
 @query("d03_run_expectancy", EP_CTE + " SELECT * FROM re", doubles=["re"])
@@ -45,7 +45,7 @@ pa AS (SELECT e.*, CASE WHEN lead(inning) OVER g = inning AND lead(side) OVER g
 na AS (SELECT game_pk, at_bat_number, count(DISTINCT pitcher) AS n_actors FROM log GROUP BY 1, 2)
 SELECT game_pk, at_bat_number, n_events, n_actors, sa - s0 AS runs, coalesce(r2.re, 0) + sa - s0 - r1.re AS delta_re FROM pa JOIN na USING (game_pk, at_bat_number) JOIN re r1 ON r1.base_out_id = b0 LEFT JOIN re r2 ON r2.base_out_id = nb2""", doubles=["delta_re"])
 def _d05(t):
-    log = encode.add_ids(t.log, K)
+    log = t.ids
     out = aggs.episode_rewards(log, K, aggs.run_expectancy(aggs.expectancy_episodes(log, K)))
     return out.select("game_pk", "at_bat_number", "n_events", "n_actors", "runs", "delta_re")
 
@@ -123,12 +123,12 @@ def _d08(t):
 
 @query("d09_transition_counts", IDS_CTE + " SELECT pitcher, state_id, action_id, outcome_id, count(*) AS n FROM ids WHERE action_id >= 0 AND outcome_id >= 0 GROUP BY ALL")
 def _d09(t):
-    return freq.transition_counts(encode.add_ids(t.log, K), "pitcher")
+    return freq.transition_counts(t.ids, "pitcher")
 
 
 @query("d09_repertoire", IDS_CTE + " SELECT pitcher, pitch_id, count(*) AS n, count(*) >= 12 AS supported FROM ids WHERE action_id >= 0 AND outcome_id >= 0 GROUP BY ALL")
 def _d09b(t):
-    return freq.repertoire(encode.add_ids(t.log, K), "pitcher", 12)
+    return freq.repertoire(t.ids, "pitcher", 12)
 
 
 def _lvl(name, counts, keys, prior, prior_keys, alpha):
@@ -156,13 +156,13 @@ mx AS (SELECT * EXCLUDE (mv), CASE WHEN sum(mv) OVER w > 0 THEN mv / sum(mv) OVE
 
 
 def dirichlet(t):
-    log = encode.add_ids(t.log, K)
+    log = t.ids
     return freq.dirichlet_table(log, log.where("action_id >= 0 and outcome_id >= 0"), "pitcher", 20.0, 40.0, 12)
 
 
 @query("d10_dirichlet_smoothing", DIRICHLET_CTE + " SELECT pitcher, state_id, action_id, o AS outcome_id, l2 AS p FROM l2", doubles=["p"])
 def _d10(t):
-    out = dirichlet(t).select("pitcher", "state_id", "action_id", F.posexplode("p").alias("outcome_id", "p"))
+    out = dirichlet(t).select("pitcher", "state_id", "action_id", F.posexplode(F.array(*[f"p{i}" for i in range(11)])).alias("outcome_id", "p"))
     return out.withColumn("outcome_id", c("outcome_id").cast("bigint"))
 
 
@@ -171,12 +171,18 @@ def _beh_sql(fold):
     names = {"g": ["g"], "al": [], "pg": ["pitcher", "g"], "p": ["pitcher"], "pcg": ["pitcher", "c", "g"], "pc": ["pitcher", "c"], "psg": ["pitcher", "s", "g"], "ps": ["pitcher", "s"],
              "gl": ["g", "l"], "pgl": ["pitcher", "g", "l"], "pcgl": ["pitcher", "c", "g", "l"]}
 
-    def count(keys):
-        cond = " AND ".join([f"o.{k} = k.{k}" for k in keys] + (["o.fold <> k.fold"] if fold else [])) or "true"
-        return f"coalesce((SELECT sum(n) FROM {{}} o WHERE {cond}), 0)"
+    fk = ["fold"] if fold else []
 
-    lv = ",\n".join(f"t_{n} AS (SELECT {', '.join([*k, *(['fold'] if fold else [])]) or '1 AS one'}, sum(n) AS n FROM k GROUP BY ALL)" for n, k in names.items())
-    cols = ", ".join(f"{count(k).format('t_' + n)} AS k_{n}" for n, k in names.items())
+    def level(name, keys):
+        if not fold:
+            return f"t_{name} AS (SELECT {', '.join(keys) or '1 AS one'}, sum(n) AS n FROM k GROUP BY ALL)"
+        cols = ", ".join([*keys, "fold"])
+        part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+        return f"t_{name} AS (SELECT {cols}, sum(sum(n)) OVER ({part}) - sum(n) AS n FROM k GROUP BY {cols})"
+
+    lv = ",\n".join(level(n, k) for n, k in names.items())
+    joins = " ".join(f"LEFT JOIN t_{n} ON " + (" AND ".join(f"t_{n}.{x} = k.{x}" for x in [*k, *fk]) or "true") for n, k in names.items())
+    cols = ", ".join(f"coalesce(t_{n}.n, 0) AS k_{n}" for n in names)
 
     def mix(n, tot, prior):
         return f"(k_{n} + 10.0 * {prior}) / (k_{tot} + 10.0)"
@@ -186,18 +192,18 @@ def _beh_sql(fold):
     return IDS_CTE + f""",
 k AS (SELECT pitcher, state_id AS s, count_id AS c, pitch_id AS g, loc_id AS l{f}, count(*) AS n FROM ids WHERE action_id >= 0 GROUP BY ALL),
 {lv},
-kk AS (SELECT k.*, {cols} FROM k)
+kk AS (SELECT k.*, {cols} FROM k {joins})
 SELECT pitcher, s AS state_id, c AS count_id, g AS pitch_id, l AS loc_id{', fold' if fold else ''}, g * 25 + l AS action_id, n, (CAST({kind} AS DOUBLE) * CAST({place} AS DOUBLE) + 1e-6) / (1 + 225 * 1e-6) AS pb FROM kk"""
 
 
 @query("d11_behaviour_policy", _beh_sql(False), doubles=["pb"])
 def _d11(t):
-    return freq.behaviour_probability(encode.add_ids(t.log, K), "pitcher", 10.0)
+    return freq.behaviour_probability(t.ids, "pitcher", 10.0)
 
 
 @query("d12_crossfit_logged", _beh_sql(True), doubles=["pb"])
 def _d12(t):
-    return freq.behaviour_probability(encode.add_ids(t.log, K), "pitcher", 10.0, fold=c("game_pk") % 5)
+    return freq.behaviour_probability(t.ids, "pitcher", 10.0, fold=c("game_pk") % 5)
 
 
 # --- frequency chains -----------------------------------------------------------
@@ -357,7 +363,7 @@ def _d20(t):
 
     def table(by, name):
         n = freq.roll_up(cells, by, 10)
-        return n.select(*by, F.transform("n", lambda x: x / probs.total(c("n"))).alias(f"p_{name}"), probs.total(c("n")).alias(f"n_{name}"))
+        return n.select(*by, freq.shrink(10, 0.0, 0.0).alias(f"p_{name}"), freq.count_total(10).alias(f"n_{name}"))
 
     rows = t.log.select("pitcher").distinct().withColumn("grp", c("pitcher") % 4)
     out = freq.with_row(rows, table([], "all")).join(table(["grp"], "grp"), "grp", "left").join(table(["pitcher"], "own").where("n_own >= 40"), "pitcher", "left")

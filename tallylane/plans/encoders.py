@@ -103,7 +103,7 @@ z AS (SELECT *, ((count_id * 24 + base_out_id) * 6 + cl) * 4 + cx AS sid FROM s)
 SELECT game_pk, at_bat_number, pitch_number, sid AS state_id, sid // 24 // 24 AS d_count, sid // 24 % 24 AS d_base_out,
   sid // 4 % 6 AS d_cluster, sid % 4 AS d_context, count_id BETWEEN 0 AND 11 AND base_out_id BETWEEN 0 AND 23 AND cl BETWEEN 0 AND 5 AND cx BETWEEN 0 AND 3 AS in_range FROM z""".replace("p AS", IDS_CTE + ", p AS", 1))
 def _b06(t):
-    log = encode.add_ids(t.log, K).withColumn("cluster_id", c("batter") % 6)
+    log = t.ids.withColumn("cluster_id", c("batter") % 6)
     log = encode.previous_context(log, K, "family")
     args = (c("count_id"), c("base_out_id"), c("cluster_id"), 6, c("context_id"), 4)
     out = log.withColumn("in_range", states.state_in_range(*args)).withColumn("state_id", states.state_id(*args))
@@ -117,7 +117,7 @@ SELECT game_pk, at_bat_number, pitch_number, loc_id, action_id,
   CASE WHEN loc_id >= 0 THEN [-1.105, -0.555, 0.0, 0.555, 1.105][loc_id % 5 + 1] END AS centre_x,
   CASE WHEN loc_id >= 0 THEN (loc_id // 5 * 2 - 1) / CAST(6 AS DOUBLE) END AS centre_z FROM ids""", doubles=["centre_x", "centre_z"])
 def _b07(t):
-    log = encode.add_ids(t.log, K)
+    log = t.ids
     x, z = states.cell_centre(F.greatest(c("loc_id"), F.lit(0)))
     known = c("loc_id") >= 0
     return log.select(*KEY, "loc_id", "action_id", F.when(known, x).alias("centre_x"), F.when(known, z).alias("centre_z"))
@@ -128,7 +128,7 @@ p AS (SELECT *, lag(pitch_id) OVER w AS pp, lag(loc_id) OVER w AS pl FROM ids WI
 SELECT game_pk, at_bat_number, pitch_number, CASE WHEN coalesce(pp, -1) < 0 THEN 0 ELSE pp // 3 + 1 END AS family,
   CASE WHEN coalesce(pp, -1) < 0 OR coalesce(pl, -1) < 0 THEN 0 ELSE 1 + pp // 3 * 2 + CASE WHEN pl // 5 BETWEEN 1 AND 3 AND pl % 5 BETWEEN 1 AND 3 THEN 1 ELSE 0 END END AS family_zone FROM p""")
 def _b08(t):
-    log = encode.add_ids(t.log, K)
+    log = t.ids
     log = encode.previous_context(log, K, "family", "family")
     log = encode.previous_context(log, K, "family_zone", "family_zone")
     return log.select(*KEY, "family", "family_zone")
@@ -142,7 +142,7 @@ SELECT r.count_id, r.outcome_id, CASE r.outcome_id WHEN 0 THEN b < 3 WHEN 4 THEN
   coalesce(n, 0) AS n FROM r LEFT JOIN n USING (count_id, outcome_id)""")
 def _b09(t):
     """How many log rows sit in each (count, outcome) cell of the rule table."""
-    seen = encode.add_ids(t.log, K).where("outcome_id >= 0").groupBy("count_id", "outcome_id").agg(F.count("*").alias("n"))
+    seen = t.ids.where("outcome_id >= 0").groupBy("count_id", "outcome_id").agg(F.count("*").alias("n"))
     rules = states.count_outcome_table(t.spark)
     return seen.join(rules, ["count_id", "outcome_id"], "right").fillna(0, ["n"])
 
@@ -153,7 +153,7 @@ SELECT a AS action_id, a // 25 AS group_id, a % 25 AS loc_id, a % 25 // 5 AS z_r
 FROM range(225) r(a) LEFT JOIN n ON n.action_id = a""")
 def _b10(t):
     """Every action of the generated dimension with its use in the log."""
-    n = encode.add_ids(t.log, K).where("action_id >= 0").groupBy("action_id").agg(F.count("*").alias("n"))
+    n = t.ids.where("action_id >= 0").groupBy("action_id").agg(F.count("*").alias("n"))
     return n.join(states.actions_table(t.spark), "action_id", "right").fillna(0, ["n"])
 
 
@@ -258,7 +258,7 @@ p AS (SELECT *, n / sum(n) OVER (PARTITION BY pitcher, count_id) AS pi,
    action_id // 25 * 9 + (CASE WHEN action_id % 25 // 5 <= 1 THEN 0 WHEN action_id % 25 // 5 = 2 THEN 1 ELSE 2 END) * 3 + (CASE WHEN action_id % 5 <= 1 THEN 0 WHEN action_id % 5 = 2 THEN 1 ELSE 2 END) AS coarse FROM n)
 SELECT pitcher, count_id, action_id, coarse, pi, sum(pi) OVER (PARTITION BY pitcher, count_id, coarse) AS coarse_mass FROM p""", doubles=["pi", "coarse_mass"])
 def _b18(t):
-    log = encode.add_ids(t.log, K).where("action_id >= 0")
+    log = t.ids.where("action_id >= 0")
     pi = encode.action_shares(log, ["pitcher", "count_id"], "action_id")
     return encode.coarse_mass(pi, ["pitcher", "count_id"])
 
@@ -267,7 +267,7 @@ def _b18(t):
 q AS (SELECT pitcher, count_id, action_id, avg(runs) AS q FROM ids WHERE action_id >= 0 GROUP BY ALL)
 SELECT game_pk, at_bat_number, pitch_number, q.q FROM ids LEFT JOIN q USING (pitcher, count_id, action_id)""", doubles=["q"])
 def _b19(t):
-    log = encode.add_ids(t.log, K)
+    log = t.ids
     table = log.where("action_id >= 0").groupBy("pitcher", "count_id", "action_id").agg(F.avg("runs").alias("q"))
     return encode.snap_lookup(log, table, ["pitcher", "count_id"]).select(*KEY, "q")
 
@@ -308,7 +308,7 @@ r AS (SELECT DISTINCT count_id, outs_when_up = 2 OR (on_1b IS NULL AND on_2b IS
 j AS (SELECT r.count_id, impossible, y10, CASE WHEN impossible AND y10 = 9 THEN 0 ELSE p END AS p FROM r JOIN p USING (count_id))
 SELECT count_id, impossible, y10 AS class, p / sum(p) OVER (PARTITION BY count_id, impossible) AS p FROM j""".replace("n AS", IDS_CTE + ", n AS", 1), doubles=["p"])
 def _b22(t):
-    log = encode.add_ids(t.log, K).withColumn("impossible", (c("outs_when_up") == 2) | (c("on_1b").isNull() & c("on_2b").isNull() & c("on_3b").isNull()))
+    log = t.ids.withColumn("impossible", (c("outs_when_up") == 2) | (c("on_1b").isNull() & c("on_2b").isNull() & c("on_3b").isNull()))
     p = encode.count_vectors(log.where("y10 >= 0"), ["count_id"], "y10", 10, pseudo=1.0)
     rows = log.select("count_id", "impossible").distinct().join(p, "count_id")
     legal = rows.withColumn("p", probs.zero_class(c("p"), 9, c("impossible")))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallylane.keys import DEFAULT_KEYS
+from tallylane.operators import encode
 from tallylane.plans.testlog import LOG_CTE, event_log
 
 # shifts values that sit on a rounding tie to the same side in both engines
@@ -16,6 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
 class Tables:
     """Parquet tables of one directory as attributes; `log` is the derived event log."""
 
@@ -27,7 +32,19 @@ class Tables:
 
     @property
     def log(self) -> DataFrame:
-        return event_log(self.events)
+        return self._plan("log", lambda: event_log(self.events))
+
+    @property
+    def ids(self) -> DataFrame:
+        """The log with encoded ids."""
+        return self._plan("ids", lambda: encode.add_ids(self.log, DEFAULT_KEYS))
+
+    def _plan(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Reuse the lazy plan (no data) of a session and directory; building it costs driver time."""
+        key = (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _PLANS:
+            _PLANS[key] = build()
+        return _PLANS[key]
 
 
 def log_sql(body: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -47,7 +48,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     dt = time.time() - t0
     if sql is None:
         return ("rows-only", len(got), dt, "")
-    rel = con.execute(sql)
+    timer = threading.Timer(float(os.environ.get("SQL_TIMEOUT", "40")), con.interrupt)
+    timer.start()
+    try:
+        rel = con.execute(sql)
+    finally:
+        timer.cancel()
     cols = [d[0] for d in rel.description]
     want = rel.fetchall()
     if sorted(cols) != sorted(df.columns):
@@ -73,14 +79,16 @@ def main(argv):
     for name, fn in qs.items():
         if argv and not any(name.startswith(p) for p in argv):
             continue
+        t0 = time.time()
         try:
             status, n, dt, note = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as ex:  # report and go on to the next query
             status, n, dt, note = "ERROR", 0, 0.0, f"{type(ex).__name__}: {str(ex)[:900]}"
         if status not in ("ok", "rows-only"):
             bad += 1
-        if status != "ok" or os.environ.get("VERBOSE"):
-            print(f"{status:10s} {name:36s} n={n:<7d} {dt:6.2f}s {note}", flush=True)
+        total = time.time() - t0
+        if status != "ok" or total > 8 or os.environ.get("VERBOSE"):
+            print(f"{status:10s} {name:36s} n={n:<7d} {dt:6.2f}s of {total:.1f}s {note}", flush=True)
     print("checked", "failed:", bad)
     spark.stop()
     return bad

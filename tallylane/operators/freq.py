@@ -114,6 +114,47 @@ def repertoire(log: DataFrame, actor: str, minimum: int) -> DataFrame:
 EPS = 1e-9
 
 
+def _smooth_batches(alpha: float, alpha_actor: float):
+    """Kernel over Arrow batches: one row per cell, the counts of its six levels as arrays."""
+    import numpy as np
+
+    def counts(col, k):
+        out = np.zeros((len(col), k))
+        for i, v in enumerate(col):
+            if v is not None:
+                out[i] = v
+        return out
+
+    def norm(x):
+        s = x.sum(1, keepdims=True)
+        return np.divide(x, s, out=np.zeros_like(x), where=s > 0)
+
+    def run(batches):
+        for pdf in batches:
+            k = states.N_OUTCOMES
+            mask = counts(pdf["mask"], k)
+            n = {name: counts(pdf[name], k) for name in ("nc", "nca", "nsa", "ncg", "npg", "npa")}
+
+            def level(name, prior, strength):
+                x = n[name]
+                return norm((x + strength * prior) / (x.sum(1, keepdims=True) + strength) * mask)
+
+            base = norm(n["nc"] * mask)
+            empty = base.sum(1) == 0
+            base[empty] = norm(mask[empty])
+            cell = level("nsa", level("nca", base, alpha), alpha)
+            league = level("ncg", base, alpha)
+            ratio = level("npg", league, alpha_actor) / np.maximum(league, EPS)
+            p = level("npa", norm(cell * ratio * mask), alpha_actor)
+            out = pdf[[pdf.columns[0], "state_id", "action_id"]].copy()
+            for o in range(k):
+                out[f"p{o}"] = p[:, o]
+            out["n_obs"] = n["npa"].sum(1).astype("int64")
+            yield out
+
+    return run
+
+
 def dirichlet_table(log: DataFrame, request: DataFrame, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
     """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells.
 
@@ -122,46 +163,23 @@ def dirichlet_table(log: DataFrame, request: DataFrame, actor: str, alpha: float
     (state, action) counts are added.  Cells whose type the actor used fewer than
     `minimum` times are not valid and left out.  A level without data equals its prior.
 
-    Outcomes are scalar columns, so every level is one generated projection; array
-    lambdas would be interpreted and would recompute the totals per element.
+    Spark aggregates and joins the level counts; the arithmetic on the joined row is a
+    vectorised kernel (as generated code the 66 columns took longer to compile than to run).
     """
-    k = range(states.N_OUTCOMES)
+    k = states.N_OUTCOMES
     count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
     kept = log.where("action_id >= 0 and outcome_id >= 0")
-    cells = class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", len(k)).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    cells = class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
     need = request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    rep = cells.groupBy(actor, "_g").agg(sum((F.sum(f"n{i}") for i in k[1:]), F.sum("n0")).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
+    rep = cells.groupBy(actor, "_g").agg(F.sum(count_total(k)).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
     out = need.join(rep, [actor, "_g"])
-
-    def level(keys, name):
-        return cells.groupBy(*keys).agg(*[F.sum(f"n{i}").alias(f"{name}{i}") for i in k])
-
-    def normalised(df, raw, name, fallback=None):
-        """name_i = raw_i / sum(raw), or the fallback (0) when the sum is 0."""
-        df = df.withColumns(dict((f"_v{i}", raw(i)) for i in k))
-        df = df.withColumn("_s", sum((c(f"_v{i}") for i in k[1:]), c("_v0")))
-        df = df.withColumns(dict((f"{name}{i}", F.when(c("_s") > 0, c(f"_v{i}") / c("_s")).otherwise(F.lit(0.0) if fallback is None else fallback(i))) for i in k))
-        return df.drop("_s", *[f"_v{i}" for i in k])
-
-    def shrunk(df, n, prior, name, strength):
-        size = sum((F.coalesce(f"{n}{i}", F.lit(0.0)) for i in k[1:]), F.coalesce(f"{n}0", F.lit(0.0)))
-        df = df.withColumn("_n", size + strength)
-        df = normalised(df, lambda i: (F.coalesce(f"{n}{i}", F.lit(0.0)) + strength * c(f"{prior}{i}")) / c("_n") * c(f"m{i}"), name)
-        return df.drop("_n")
-
-    out = out.withColumns(dict((f"m{i}", states.outcome_allowed(c("_c"), F.lit(i)).cast("double")) for i in k))
-    for keys, name in ((["_c"], "nc"), (["_c", "action_id"], "nca"), (["state_id", "action_id"], "nsa"), (["_c", "_g"], "ncg"), ([actor, "_c", "_g"], "npg"), ([actor, "state_id", "action_id"], "npa")):
-        out = out.join(level(keys, name), keys, "left")
-    out = out.withColumn("_ms", sum((c(f"m{i}") for i in k[1:]), c("m0")))
-    out = normalised(out, lambda i: F.coalesce(f"nc{i}", F.lit(0.0)) * c(f"m{i}"), "base", lambda i: c(f"m{i}") / c("_ms"))
-    out = shrunk(out, "nca", "base", "lca", alpha)
-    out = shrunk(out, "nsa", "lca", "l0", alpha)
-    out = shrunk(out, "ncg", "base", "lcg", alpha)
-    out = shrunk(out, "npg", "lcg", "l1", alpha_actor)
-    out = normalised(out, lambda i: c(f"l0{i}") * (c(f"l1{i}") / F.greatest(c(f"lcg{i}"), F.lit(EPS))) * c(f"m{i}"), "mix")
-    out = shrunk(out, "npa", "mix", "p", alpha_actor)
-    n_obs = sum((F.coalesce(f"npa{i}", F.lit(0.0)) for i in k[1:]), F.coalesce("npa0", F.lit(0.0)))
-    return out.select(actor, "state_id", "action_id", *[f"p{i}" for i in k], n_obs.cast("bigint").alias("n_obs"))
+    levels = {"nc": ["_c"], "nca": ["_c", "action_id"], "nsa": ["state_id", "action_id"], "ncg": ["_c", "_g"], "npg": [actor, "_c", "_g"], "npa": [actor, "state_id", "action_id"]}
+    for name, keys in levels.items():
+        table = roll_up(cells, keys, k).select(*keys, F.array(*[c(f"n{i}") for i in range(k)]).alias(name))
+        out = out.join(table, keys, "left")
+    mask = F.array(*[states.outcome_allowed(c("_c"), F.lit(i)).cast("double") for i in range(k)])
+    schema = f"{actor} bigint, state_id bigint, action_id bigint, " + ", ".join(f"p{i} double" for i in range(k)) + ", n_obs bigint"
+    return out.select(actor, "state_id", "action_id", mask.alias("mask"), *levels).mapInPandas(_smooth_batches(alpha, alpha_actor), schema)
 
 
 # --- factored behaviour policy ----------------------------------------------------

@@ -177,7 +177,7 @@ def subgroup_decomposition(df: DataFrame, group: str, cluster: str, delta: str,
     """Disjoint groups whose contributions add up to the total mean difference, with an interval each."""
     sums = boot.cluster_sums(df, cluster, {"s": c(delta), "n": F.lit(1.0)}, [group])
     per = sums.groupBy(group).agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.count("*").alias("clusters"))
-    total = per.agg(F.sum("_s").alias("_S"), F.sum("_n").alias("_N"))
-    out = with_row(per, total).select(group, c("_n").cast("bigint").alias("events"), "clusters", (c("_s") / c("_n")).alias("mean_delta"), (c("_s") / c("_N")).alias("contribution"), (c("_S") / c("_N")).alias("total"))
+    total = per.agg(F.sum("_s").alias("_all_s"), F.sum("_n").alias("_all_n"))
+    out = with_row(per, total).select(group, c("_n").cast("bigint").alias("events"), "clusters", (c("_s") / c("_n")).alias("mean_delta"), (c("_s") / c("_all_n")).alias("contribution"), (c("_all_s") / c("_all_n")).alias("total"))
     ci = boot.interval(boot.bootstrap(sums, cluster, ["s", "n"], draws, seed, [group]), boot.ratio("s", "n"), [group])
     return out.join(ci, group)

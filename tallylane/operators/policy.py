@@ -70,15 +70,14 @@ def optimise(rows: DataFrame, tol: float = 1e-9, max_iter: int = 200) -> DataFra
     return rows.groupBy("pitcher").applyInPandas(solve, "pitcher bigint, state_id bigint, action_id bigint, q double, v double")
 
 
-def evaluate(rows: DataFrame, policy: DataFrame, tol: float = 1e-9, max_iter: int = 200) -> DataFrame:
-    """Q and V of a fixed policy (actor, state, action, pi)."""
+def evaluate(rows: DataFrame, tol: float = 1e-9, max_iter: int = 200) -> DataFrame:
+    """Q and V of a fixed policy; `rows` carry its probability `pi` per action."""
     def solve(pdf):
         pi = pdf["pi"].to_numpy()
         q, v = _iterate(pdf, lambda q, at, n: np.bincount(at, weights=pi * q, minlength=n), tol, max_iter)
         return pdf[["pitcher", "state_id", "action_id", "pi"]].assign(q=q, v=v)
 
-    joined = rows.join(policy.select("pitcher", "state_id", "action_id", "pi"), ["pitcher", "state_id", "action_id"])
-    return joined.groupBy("pitcher").applyInPandas(solve, "pitcher bigint, state_id bigint, action_id bigint, pi double, q double, v double")
+    return rows.groupBy("pitcher").applyInPandas(solve, "pitcher bigint, state_id bigint, action_id bigint, pi double, q double, v double")
 
 
 def _share(df: DataFrame, by: Sequence[str], weight: Column, output: str) -> DataFrame:

@@ -75,8 +75,8 @@ def _i02(t):
 
 @query("i03_policy_evaluation", doubles=["pi", "q", "v"])
 def _i03(t):
-    rows = model_rows(t)
-    return policy.evaluate(rows, policy.relax(rows.select("pitcher", "state_id", "action_id", F.lit(0.0).alias("q")), ["pitcher", "state_id"], "uniform"))
+    uniform = 1.0 / F.count("*").over(Window.partitionBy("pitcher", "state_id"))
+    return policy.evaluate(model_rows(t).withColumn("pi", uniform))
 
 
 @query("i04_relaxed_policies", QT_CTE + """,

@@ -37,10 +37,9 @@ def physical_channels() -> dict[str, Column]:
 
 def fit_scaler(train: DataFrame, columns: Sequence[str], floor: float = 1e-6) -> DataFrame:
     """One row: per column the median fill, and mean / population std after filling."""
-    fills = None
-    for c in columns:
-        one = exact_quantiles(train, c, [0.5]).select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias(f"fill_{c}"))
-        fills = one if fills is None else with_row(fills, one)
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).cast("double").alias("value")) for x in columns])).alias("_x")).select("_x.*")
+    medians = exact_quantiles(long, "value", [0.5], ["name"])
+    fills = medians.agg(*[F.coalesce(F.max(F.when(F.col("name") == x, F.col("q")[0])), F.lit(0.0)).alias(f"fill_{x}") for x in columns])
     filled = with_row(train.select(*columns), fills)
     stats = []
     for c in columns:

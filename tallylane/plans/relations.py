@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallylane.keys import DEFAULT_KEYS as K
-from tallylane.operators import audit, freq, gates, joins, ordered
+from tallylane.operators import asof, audit, freq, gates, joins, ordered
 from tallylane.plans.aggregates import LEVELS, _chain_sql, chain
 from tallylane.plans.encoders import OUT10_SQL
 from tallylane.plans.ordered import COMPLETE_CTE, OUTS_CTE, TERMINAL, with_outs
@@ -369,3 +369,53 @@ SELECT count(*) AS rows, count_if(game_pk IS NULL) AS null_key, count_if(game_ty
 def _a10(t):
     bad = t.log.withColumns({"game_pk": F.when(c("k") != 5, c("game_pk")), "pitch_number": F.when(c("k") == 6, 1).otherwise(c("pitch_number"))})
     return gates.ingest_census(bad, KEY, {"wrong_type": c("game_type") != "R", "wrong_date": c("game_date") > F.lit("2024-01-28").cast("date")})
+
+
+# --- C12 ---------------------------------------------------------------------------
+
+@query("c12_donor_transfer", """
+lb AS (SELECT *, least(greatest(CASE WHEN description IN ('ball','intent_ball','pitchout','automatic_ball') THEN 0 WHEN events IS NULL THEN 1 ELSE 2 END, 0), 2) AS y3 FROM log WHERE pitch_type IS NOT NULL AND release_speed IS NOT NULL),
+q AS (SELECT DISTINCT pitch_type, p_throws, stand, game_date, pitcher FROM lb),
+ph AS (SELECT q.pitcher, q.pitch_type, q.p_throws, q.game_date, avg(release_speed) AS f0, avg(pfx_x) AS f1 FROM (SELECT DISTINCT pitcher, pitch_type, p_throws, game_date FROM q) q JOIN lb l ON l.pitcher = q.pitcher AND l.pitch_type = q.pitch_type AND l.p_throws = q.p_throws AND l.game_date < q.game_date GROUP BY 1, 2, 3, 4),
+sc AS (SELECT q.pitch_type, q.p_throws, q.game_date, stddev_pop(release_speed) AS s0, stddev_pop(pfx_x) AS s1 FROM (SELECT DISTINCT pitch_type, p_throws, game_date FROM q) q JOIN lb l ON l.pitch_type = q.pitch_type AND l.p_throws = q.p_throws AND l.game_date < q.game_date GROUP BY 1, 2, 3),
+dn AS (SELECT d.pitch_type, d.p_throws, d.stand, d.game_date, l.pitcher, count(*) AS n, count_if(y3 = 0) AS c0, count_if(y3 = 1) AS c1, count_if(y3 = 2) AS c2, date_diff('day', max(l.game_date), d.game_date) AS age, avg(release_speed) AS dummy FROM (SELECT DISTINCT pitch_type, p_throws, stand, game_date FROM q) d JOIN lb l ON l.pitch_type = d.pitch_type AND l.p_throws = d.p_throws AND l.stand = d.stand AND l.game_date < d.game_date GROUP BY 1, 2, 3, 4, 5),
+dp AS (SELECT dn.*, p.f0, p.f1 FROM dn JOIN (SELECT x.pitch_type, x.p_throws, x.game_date, l.pitcher, avg(release_speed) AS f0, avg(pfx_x) AS f1 FROM (SELECT DISTINCT pitch_type, p_throws, game_date FROM q) x JOIN lb l ON l.pitch_type = x.pitch_type AND l.p_throws = x.p_throws AND l.game_date < x.game_date GROUP BY 1, 2, 3, 4) p ON p.pitch_type = dn.pitch_type AND p.p_throws = dn.p_throws AND p.game_date = dn.game_date AND p.pitcher = dn.pitcher),
+j AS (SELECT q.*, dp.pitcher AS dpit, dp.n, dp.n / (dp.n + 20.0) * power(2.0, -dp.age / 365.0) AS w, exp(-(power((dp.f0 - ph.f0) / sc.s0, 2) + power((dp.f1 - ph.f1) / sc.s1, 2)) / 2) AS sim, (c0 + 1 / 3.0) / (n + 1) AS r0, (c1 + 1 / 3.0) / (n + 1) AS r1, (c2 + 1 / 3.0) / (n + 1) AS r2, ph.f0 IS NULL OR s0 IS NULL OR s0 <= 1e-8 OR s1 <= 1e-8 AS ab
+  FROM q LEFT JOIN ph USING (pitcher, pitch_type, p_throws, game_date) LEFT JOIN sc USING (pitch_type, p_throws, game_date) LEFT JOIN dp ON dp.pitch_type = q.pitch_type AND dp.p_throws = q.p_throws AND dp.stand = q.stand AND dp.game_date = q.game_date AND dp.pitcher <> q.pitcher),
+g AS (SELECT pitch_type, p_throws, stand, game_date, pitcher, bool_or(ab) AS ab, coalesce(sum(w), 0) AS w, coalesce(sum(n), 0) AS n, sum(w * r0) AS g0, sum(w * r1) AS g1, sum(w * r2) AS g2, sum(w * sim) AS ws, sum(w * sim * r0) AS s0, sum(w * sim * r1) AS s1, sum(w * sim * r2) AS s2 FROM j GROUP BY ALL)
+SELECT pitch_type, p_throws, stand, game_date, pitcher, """ + ", ".join(f"CASE WHEN w > 0 THEN g{i} / w ELSE 0 END AS generic{i}, CASE WHEN ab THEN CASE WHEN w > 0 THEN g{i} / w ELSE 0 END WHEN ws > 0 THEN s{i} / ws ELSE 0 END AS similar{i}" for i in range(3)) + ", ln(1 + n) AS donor_log_n, w <= 0 AS no_donor, ab AS similarity_abstain FROM g",
+  doubles=[f"{a}{i}" for a in ("generic", "similar") for i in range(3)] + ["donor_log_n"])
+def _c12(t):
+    """Outcome rates borrowed from all other actors of the stratum, generic and by physical similarity."""
+    feats = ["release_speed", "pfx_x"]
+    y = F.when(c("description").isin("ball", "intent_ball", "pitchout", "automatic_ball"), 0).when(c("events").isNull(), 1).otherwise(2)
+    log = t.log.where("pitch_type is not null and release_speed is not null").withColumn("y3", y)
+    kind, stratum = ["pitch_type", "p_throws"], ["pitch_type", "p_throws", "stand"]
+    q = log.select(*stratum, "game_date", "pitcher").distinct()
+    sums = {"_n": F.lit(1), **{f"_s{i}": c(f) for i, f in enumerate(feats)}, **{f"_q{i}": c(f) * c(f) for i, f in enumerate(feats)}}
+    by_actor = asof.daily_sums(log, [*kind, "pitcher"], "game_date", sums)
+    own_q = q.select(*kind, "pitcher", "game_date").distinct()
+    own = asof.asof_profile(own_q, by_actor, [*kind, "pitcher"], "game_date", list(sums)).select(*own_q.columns, *[(c(f"_s{i}") / c("_n")).alias(f"own_{f}") for i, f in enumerate(feats)])
+    kd = q.select(*kind, "game_date").distinct()
+    by_kind = by_actor.groupBy(*kind, "game_date").agg(*[F.sum(n).alias(n) for n in sums])
+    scale = asof.asof_profile(kd, by_kind, kind, "game_date", list(sums)).select(
+        *kd.columns, *[F.sqrt(F.greatest(c(f"_q{i}") / c("_n") - (c(f"_s{i}") / c("_n")) * (c(f"_s{i}") / c("_n")), F.lit(0.0))).alias(f"scale_{f}") for i, f in enumerate(feats)])
+    counts = {**{f"n{i}": F.when(c("y3") == i, 1).otherwise(0) for i in range(3)}}
+    hist = asof.daily_sums(log, [*stratum, "pitcher"], "game_date", counts)
+    # the donor profile valid on each date of its stratum: one as-of pick per (stratum, donor, date)
+    grid = log.select(*stratum, "pitcher").distinct().join(q.select(*stratum, "game_date").distinct(), stratum)
+    don = asof.asof_profile(grid, hist.withColumn("_day", F.lit(0.0)), [*stratum, "pitcher"], "game_date", [*counts]).where("n0 is not null")
+    w = Window.partitionBy(*stratum, "pitcher").orderBy(F.unix_date("game_date")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = hist.select(*stratum, "pitcher", "game_date", F.unix_date("game_date").cast("bigint").alias("_d"))
+    last = grid.join(seen, [*stratum, "pitcher", "game_date"], "left").withColumn("last_day", F.max("_d").over(w)).drop("_d")
+    don = don.join(last, [*stratum, "pitcher", "game_date"]).join(own_profile(t, by_actor, grid, kind, sums, feats), [*kind, "pitcher", "game_date"])
+    rows = q.join(own, [*kind, "pitcher", "game_date"], "left").join(scale, [*kind, "game_date"], "left").withColumn("day", F.unix_date("game_date").cast("bigint"))
+    rows = rows.withColumn("abstain", c("own_release_speed").isNull() | ~F.coalesce((c("scale_release_speed") > 1e-8) & (c("scale_pfx_x") > 1e-8), F.lit(False)))
+    out = joins.donor_transfer(rows, don, [*stratum, "game_date"], "pitcher", feats, 20.0, 365.0, 3)
+    return out.select(*stratum, "game_date", "pitcher", *[f"{a}{i}" for i in range(3) for a in ("generic", "similar")], "donor_log_n", "no_donor", "similarity_abstain")
+
+
+def own_profile(t, by_actor, grid, kind, sums, feats):
+    keys = grid.select(*kind, "pitcher", "game_date").distinct()
+    prof = asof.asof_profile(keys, by_actor, [*kind, "pitcher"], "game_date", list(sums)).where("_n is not null")
+    return prof.select(*keys.columns, *[(c(f"_s{i}") / c("_n")).alias(f) for i, f in enumerate(feats)])

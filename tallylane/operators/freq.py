@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallylane.functions import probs, states
 from tallylane.functions.quantiles import with_row
+from tallylane.operators.lineage import materialise
 
 c = F.col
 
@@ -76,7 +77,7 @@ def frequency_chain(train: DataFrame, levels: Sequence[tuple[Sequence[str], floa
     The raw rows are aggregated once, to the finest level.
     """
     finest = list(dict.fromkeys(k for by, _ in levels for k in by))
-    cells = class_cells(train, finest, label, n_classes)
+    cells = materialise(class_cells(train, finest, label, n_classes))
     tables = [roll_up(cells, [], n_classes).select(shrink(n_classes, 1.0 / n_classes, pseudo * n_classes).alias("p"))]
     parent_keys: list[str] = []
     for by, strength in levels:
@@ -155,8 +156,8 @@ def _smooth_batches(alpha: float, alpha_actor: float):
     return run
 
 
-def dirichlet_table(log: DataFrame, request: DataFrame, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
-    """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells.
+def dirichlet_table(log: DataFrame, request: DataFrame | None, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
+    """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells (None: the observed ones).
 
     League levels: count -> (count, action) -> (state, action), and (count, type).  The
     actor's own (count, type) level enters as a ratio to the league's, then the actor's
@@ -169,8 +170,9 @@ def dirichlet_table(log: DataFrame, request: DataFrame, actor: str, alpha: float
     k = states.N_OUTCOMES
     count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
     kept = log.where("action_id >= 0 and outcome_id >= 0")
-    cells = class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    need = request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    cells = materialise(class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k)).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    need = cells.select(actor, "state_id", "action_id", "_c", "_g") if request is None else \
+        request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
     rep = cells.groupBy(actor, "_g").agg(F.sum(count_total(k)).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
     out = need.join(rep, [actor, "_g"])
     levels = {"nc": ["_c"], "nca": ["_c", "action_id"], "nsa": ["state_id", "action_id"], "ncg": ["_c", "_g"], "npg": [actor, "_c", "_g"], "npa": [actor, "state_id", "action_id"]}
@@ -209,7 +211,7 @@ def behaviour_probability(log: DataFrame, actor: str, alpha: float, floor: float
     rows = log.where("action_id >= 0")
     if f:
         rows = rows.withColumn(f, fold)
-    cells = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
+    cells = materialise(rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n")))
     out = cells
     levels = {
         "g": ["pitch_id"], "_all": [], "pg": [actor, "pitch_id"], "p": [actor],

@@ -155,7 +155,7 @@ def donor_transfer(queries: DataFrame, donors: DataFrame, by: Sequence[str], act
     item = F.struct(c(actor).alias("a"), size.alias("n"), c("last_day").alias("day"), F.array(*[(c(f"n{i}") + 1.0 / n_classes) / (size + 1.0) for i in range(n_classes)]).alias("rate"), F.array(*features).alias("f"))
     packed = _blocks(donors, by, item, actor, block)
     q = queries.join(packed, list(by), "left")
-    others = F.filter(F.coalesce("_items", F.array().cast(f"array<struct<a:bigint,n:double,day:bigint,rate:array<double>,f:array<double>>>")), lambda x: x["a"] != c(actor))
+    others = F.filter(F.coalesce("_items", F.array().cast("array<struct<a:bigint,n:double,day:bigint,rate:array<double>,f:array<double>>>")), lambda x: x["a"] != c(actor))
     q = q.withColumn("_o", others)
 
     def weight(x):
@@ -169,10 +169,12 @@ def donor_transfer(queries: DataFrame, donors: DataFrame, by: Sequence[str], act
     def total(fn):
         return F.aggregate(F.transform("_o", fn), F.lit(0.0), lambda a, x: a + x)
 
+    def rate(i, similar):
+        return lambda x: weight(x) * (near(x) if similar else 1.0) * x["rate"][i]
+
     sums = {"_w": total(weight), "_n": total(lambda x: x["n"]), "_ws": total(lambda x: weight(x) * near(x))}
     for i in range(n_classes):
-        sums[f"_g{i}"] = total(lambda x, i=i: weight(x) * x["rate"][i])
-        sums[f"_s{i}"] = total(lambda x, i=i: weight(x) * near(x) * x["rate"][i])
+        sums[f"_g{i}"], sums[f"_s{i}"] = total(rate(i, False)), total(rate(i, True))
     part = q.withColumns(sums).groupBy(*queries.columns).agg(*[F.sum(x).alias(x) for x in sums])
     abstain = c("abstain") | F.coalesce((c("_w") > 0) & ~(c("_ws") > 0), F.lit(False))
     generic = [F.when(c("_w") > 0, c(f"_g{i}") / c("_w")).otherwise(0.0) for i in range(n_classes)]

@@ -157,7 +157,7 @@ mx AS (SELECT * EXCLUDE (mv), CASE WHEN sum(mv) OVER w > 0 THEN mv / sum(mv) OVE
 
 def dirichlet(t):
     log = t.ids
-    return freq.dirichlet_table(log, log.where("action_id >= 0 and outcome_id >= 0"), "pitcher", 20.0, 40.0, 12)
+    return freq.dirichlet_table(log, None, "pitcher", 20.0, 40.0, 12)
 
 
 @query("d10_dirichlet_smoothing", DIRICHLET_CTE + " SELECT pitcher, state_id, action_id, o AS outcome_id, l2 AS p FROM l2", doubles=["p"])

@@ -24,9 +24,13 @@ def cluster_sums(df: DataFrame, cluster: str, sums: dict[str, Column], by: Seque
     return df.groupBy(*by, cluster).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
 
 
-def index_clusters(sums: DataFrame, cluster: str, seed: str, by: Sequence[str]) -> DataFrame:
-    """Position of every cluster in digest order inside its group, and the group size G."""
-    d = sums.withColumn("_d", hashing.digest(seed, c(cluster))).withColumn("_r", F.substring("_d", 1, 3))
+def digest_rank(df: DataFrame, digest: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Zero-based position `_i` of every row in digest order inside its group, and the group size `_g`.
+
+    Rows are ranked inside 4096 digest ranges and shifted by the counts of earlier ranges, so
+    even one huge group is spread over many tasks.
+    """
+    d = df.withColumn("_d", digest).withColumn("_r", F.substring("_d", 1, 3))
     ranges = d.groupBy(*by, "_r").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumns({"_off": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_g": F.sum("_c").over(Window.partitionBy(*by))}).drop("_c")
@@ -37,7 +41,7 @@ def index_clusters(sums: DataFrame, cluster: str, seed: str, by: Sequence[str])
 def bootstrap(sums: DataFrame, cluster: str, columns: Sequence[str], draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
     """Resampled column sums per group and draw, plus `n_clusters`.  `sums` has one row per (group, cluster)."""
     by = list(by)
-    indexed = index_clusters(sums, cluster, seed, by)
+    indexed = digest_rank(sums, hashing.digest(seed, c(cluster)), by)
     slots = indexed.select(*by, "_g", "_i").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = hashing.uniform(hashing.digest(seed, c("draw"), c("_i")))
     picked = slots.select(*by, "draw", F.floor(u * c("_g")).alias("_i"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallylane.functions import hashing
 from tallylane.functions.quantiles import exact_quantiles, with_row
 from tallylane.keys import LogKeys
+from tallylane.operators.boot import digest_rank
 
 c = F.col
 
@@ -22,11 +23,9 @@ def hash_holdout(ids: DataFrame, id_col: str, namespace: str) -> DataFrame:
 
 def nested_samples(clusters: DataFrame, cluster: str, stratum: Sequence[str], seed: str, fractions: Sequence[float]) -> DataFrame:
     """Nested whole-cluster samples per stratum: the first ceil(n * fraction) in digest order, at least one."""
-    w = Window.partitionBy(*stratum)
-    out = clusters.withColumn("_d", hashing.digest(seed, c(cluster)))
-    out = out.withColumns({"_r": F.row_number().over(w.orderBy("_d")), "_n": F.count("*").over(w)})
-    flags = {f"in_{round(f * 100)}": c("_r") <= F.greatest(F.lit(1), F.ceil(c("_n") * f)) for f in fractions}
-    return out.withColumns(flags).drop("_d", "_r", "_n")
+    out = digest_rank(clusters, hashing.digest(seed, c(cluster)), stratum)
+    flags = {f"in_{round(f * 100)}": c("_i") < F.greatest(F.lit(1), F.ceil(c("_g") * f)) for f in fractions}
+    return out.withColumns(flags).drop("_i", "_g")
 
 
 def stratified_panel(train: DataFrame, keys: LogKeys, starter: str, per_cell: int, seed: str) -> DataFrame:
@@ -37,14 +36,14 @@ def stratified_panel(train: DataFrame, keys: LogKeys, starter: str, per_cell: in
     a = with_row(a, cuts).select(
         keys.actor, "events", F.when(c("_s") * 2 >= c("events"), "starter").otherwise("relief").alias("role"), F.when(c("_h0") == c("_h1"), c("_h0")).otherwise("unknown").alias("hand"),
         F.when(c("events") <= c("_lo"), "low").when(c("events") <= c("_hi"), "middle").otherwise("high").alias("volume"))
-    w = Window.partitionBy("role", "hand", "volume").orderBy(hashing.digest(seed, c(keys.actor), sep="|"), keys.actor)
-    return a.withColumn("cell_rank", F.row_number().over(w)).withColumn("selected", (c("cell_rank") <= per_cell) & (c("hand") != "unknown"))
+    out = digest_rank(a, hashing.digest(seed, c(keys.actor), sep="|"), ["role", "hand", "volume"])
+    return out.withColumn("cell_rank", c("_i") + 1).drop("_i", "_g").withColumn("selected", (c("cell_rank") <= per_cell) & (c("hand") != "unknown"))
 
 
 def interleaved_requests(requests: DataFrame, role: str, id_cols: Sequence[str], seed: str, per_role: int) -> DataFrame:
     """Digest order inside each role; the first `per_role` of every role are selected and alternate by rank."""
-    w = Window.partitionBy(role).orderBy(hashing.digest(seed, *[c(x) for x in id_cols], sep="|"), *id_cols)
-    return requests.withColumn("role_rank", F.row_number().over(w)).withColumn("selected", c("role_rank") <= per_role)
+    out = digest_rank(requests, hashing.digest(seed, *[c(x) for x in id_cols], sep="|"), [role])
+    return out.withColumn("role_rank", c("_i") + 1).withColumn("selected", c("role_rank") <= per_role).drop("_i", "_g")
 
 
 def exclusion_regimes(log: DataFrame, keys: LogKeys, held: DataFrame, entity: str, prefix: int) -> DataFrame:

@@ -108,8 +108,7 @@ def grid_fit(df: DataFrame, loss, low: float, high: float, by: Sequence[str] = (
     the rounds form one plan.
     """
     by = list(by)
-    groups = df.select(*by).distinct() if by else df.agg(F.count("*").alias("_one")).select()
-    span = (groups if by else df.agg(F.count("*").alias("_one"))).withColumns({"_lo": F.lit(float(low)), "_hi": F.lit(float(high))})
+    span = (df.select(*by).distinct() if by else df.agg(F.count("*").alias("_rows"))).withColumns({"_lo": F.lit(float(low)), "_hi": F.lit(float(high))})
     best = None
     for _ in range(rounds):
         grid = span.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: c("_lo") + (c("_hi") - c("_lo")) * i / (points - 1))))

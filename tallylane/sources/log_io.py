@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallylane.functions.quantiles import with_row
 from tallylane.keys import LogKeys
 
 c = F.col
@@ -114,8 +113,6 @@ def flatten_feed(docs: DataFrame, keys: LogKeys, body: str = "body") -> DataFram
 
     A document is one cluster, so the running state is a window inside the cluster.
     """
-    from pyspark.sql import Window
-
     doc = docs.select(F.from_json(body, FEED_SCHEMA).alias("d"))
     plays = doc.select(c("d.game").alias(keys.cluster), F.explode("d.plays").alias("p"))
     ev = plays.select(keys.cluster, c("p.atBat").alias(keys.episode), c("p.half").alias(keys.side), c("p.batter").alias(keys.entity), c("p.pitcher").alias("_play_actor"), F.posexplode("p.playEvents").alias("position", "e"))
@@ -137,7 +134,3 @@ def snapshot_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet"
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.format(fmt).load(path)
-
-
-def attach_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    return with_row(df, totals)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import secrets
+from tallylane.llm import secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None):
 @query("op9_secret_scan")
 def op9(table):
     return secrets.digest(table("documents"))
+
+
+@query("op2_simhash_components")
+def op2(table):
+    return simhash.digest(table("documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import secrets, simhash
+from tallylane.llm import packing, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,13 @@ def op9(table):
 @query("op2_simhash_components")
 def op2(table):
     return simhash.digest(table("documents"))
+
+
+@query("op10_best_two_fit")
+def op10(table):
+    return packing.digest(table("documents"))
+
+
+@query("op4_warc_round_trip", warc.SQL)
+def op4(table):
+    return warc.digest(table("pages"))

@@ -24,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = folder.removeprefix("file:") if not folder.startswith("file://") else folder
+    return folder if "://" in folder else f"file://{folder}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

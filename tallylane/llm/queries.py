@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import packing, secrets, simhash, warc
+from tallylane.llm import decontaminate, packing, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op10(table):
 @query("op4_warc_round_trip", warc.SQL)
 def op4(table):
     return warc.digest(table("pages"))
+
+
+@query("op6_benchmark_leaks")
+def op6(table):
+    return decontaminate.contaminated(table("documents"), table("benchmark"))

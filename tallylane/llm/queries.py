@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, packing, secrets, simhash, warc
+from tallylane.llm import decontaminate, packing, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op4(table):
 @query("op6_benchmark_leaks")
 def op6(table):
     return decontaminate.contaminated(table("documents"), table("benchmark"))
+
+
+@query("op3_toxicity")
+def op3(table):
+    return toxicity.digest(table("documents"), table("labels"))

@@ -23,8 +23,10 @@ COMMON = 1 << 16
 #: A window stands out at so many bytes of difference; each level has a feature of its own.
 LEVELS = (2, 3, 4, 6)
 #: A marking word's least share of the toxic texts, and least log-odds.
-MARK_SHARE, MARK_ODDS = 0.005, 2.5
+MARK_SHARE, MARK_ODDS = 0.01, 3.5
 FOLDS = 3
+#: Wide hash tables: few words of the dictionary push each other out.
+SETTINGS = {"hash_log": 18, "chain_log": 18}
 #: Bytes of a text that are split into words at once.
 PART = 1 << 20
 
@@ -58,7 +60,7 @@ class Model:
 
         made = []
         for content in (self.toxic, self.ordinary):
-            settings = zstd.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0)
+            settings = zstd.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, **SETTINGS)
             words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=settings)
             made.append(zstd.ZstdCompressor(compression_params=settings, dict_data=words).compress)
@@ -114,7 +116,7 @@ def _dictionaries(dark: Counter, plain: Counter, n_dark: int, n_plain: int) -> t
 def fit(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: int) -> Model:
     """A model from sample texts of both classes, whose sizes among all labelled rows are given.
 
-    Marking words are those in at least 0.5 % (and three) of the unlike toxic texts and over twelve times
+    Marking words are those in at least 1 % (and three) of the unlike toxic texts and over 30 times
     as frequent there as in ordinary ones.  They end the toxic dictionary, behind the most frequent
     ordinary words; the ordinary dictionary has filling there, so that offsets cost the same in both.
     The weights are fitted on statistics under dictionaries made without the text's own fold.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, packing, secrets, simhash, toxicity, warc
+from tallylane.llm import decontaminate, packing, repeats, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op6(table):
 @query("op3_toxicity")
 def op3(table):
     return toxicity.digest(table("documents"), table("labels"))
+
+
+@query("op7_repeated_passages")
+def op7(table):
+    return repeats.digest(table("documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, packing, repeats, secrets, simhash, toxicity, warc
+from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op3(table):
 @query("op7_repeated_passages")
 def op7(table):
     return repeats.digest(table("documents"))
+
+
+@query("op1_hamming_top_k", hamming.SQL)
+def op1(table):
+    return hamming.digest(table("embeddings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, simhash, toxicity, warc
+from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, separators, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op7(table):
 @query("op1_hamming_top_k", hamming.SQL)
 def op1(table):
     return hamming.digest(table("embeddings"))
+
+
+@query("op5_token_counts")
+def op5(table):
+    return separators.digest(table("documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, separators, simhash, toxicity, warc
+from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, separators, simhash, surrogates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op1(table):
 @query("op5_token_counts")
 def op5(table):
     return separators.digest(table("documents"))
+
+
+@query("op8_surrogates")
+def op8(table):
+    return surrogates.digest(table("documents"))

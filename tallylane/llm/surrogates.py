@@ -27,7 +27,8 @@ NEUTRAL = ("Dr", "Prof", "Doktor", "Professor", "Docteur", "Доктор")
 # Syllable parts and name endings (male, female, surname) by script.
 SCRIPTS = {
     "LATIN": ("bdfgklmnprstvz", "aeiou", ("n", "s", "r"), ("a", "ia", "e"), ("er", "os", "in")),
-    "CYRILLIC": ("бвгдзклмнпрст", "аеиоу", ("н", "р", "й"), ("а", "я", "ия"), ("ко", "ич", "ук")),
+    # a Slavic surname in -а or -я is a woman's and gets the last two endings
+    "CYRILLIC": ("бвгдзклмнпрст", "аеиоу", ("н", "р", "й"), ("а", "я", "ия"), ("ко", "ов", "ук", "ова", "ина")),
     "GREEK": ("βγδζκλμνπρστ", "αεηιο", ("ος", "ης", "ας"), ("α", "η", "ια"), ("ου", "ακη", "ιδη")),
 }
 
@@ -83,8 +84,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for m in _PERSON.finditer(text):
         gender = "m" if m[1] in MALE else "f" if m[1] in FEMALE else "n"
         names = [(n.start() + m.start(2), n.end() + m.start(2), n[0]) for n in re.finditer(r"[^\W\d_]+", m[2])]
-        for i, (start, end, name) in enumerate(names):
-            found.append((start, end, f"name_{gender if i < len(names) - 1 else 's'}", name.casefold()))
+        surname = m.start(2) + m[2].rfind(" ") + 1
+        for start, end, name in names:
+            found.append((start, end, f"name_{gender if start < surname else 's'}", name.casefold()))
     # an earlier kind wins where spans overlap
     order = {"email": 0, "ip": 1, "iban": 2, "ssn": 3, "card": 4, "phone": 5}
     starts: list[int] = []
@@ -157,6 +159,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return value[:keep] + "".join(str(draw.below(10)) for _ in value[keep:])
     consonants, vowels, male, female, family = SCRIPTS[_script(value)]
     endings = {"name_m": male, "name_f": female, "name_s": family}.get(kind, (*male, *female))
+    if kind == "name_s" and len(endings) > 3:
+        endings = endings[3:] if value[-1] in "ая" else endings[:3]
     stem = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(max(2, len(value) // 2) + max(0, attempt - GROW_AFTER)))
     return stem[:-1] + endings[draw.below(len(endings))]
 

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -244,20 +243,18 @@ def pack(cut: DataFrame, key: str = "doc_id", limit: int = LIMIT, group: int = G
     n_groups = max(1, round(cut.count() / group))
     names = cut.columns
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy()
-        bins = best_two_fit(np.bincount(lengths, minlength=limit + 1), limit)
-        # the bins' places in order of length, matched with the pieces in order of length
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "ascending"), (key, "ascending"), ("piece", "ascending")])
+        bins = best_two_fit(np.bincount(table["length"].to_numpy(), minlength=limit + 1), limit)
+        # the bins' places in order of length meet the pieces in order of length
         placed = np.array([(length, b, offset) for b, own in enumerate(bins) for length, offset in zip(own, np.cumsum([0, *own[:-1]]), strict=True)], np.int64)
         placed = placed[np.argsort(placed[:, 0], kind="stable")]
-        order = np.lexsort((pdf["piece"].to_numpy(), pdf[key].to_numpy(), lengths))
-        bin_of, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-        bin_of[order], offset[order] = placed[:, 1], placed[:, 2]
-        return pdf[names].assign(sequence_id=pdf["__group"].to_numpy() * (1 << 32) + bin_of, offset=offset)
+        number = table["__group"][0].as_py()
+        return table.select(names).append_column("sequence_id", pa.array(number * (1 << 32) + placed[:, 1])).append_column("offset", pa.array(placed[:, 2]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
     dealt = cut.withColumn("__group", F.pmod(F.xxhash64(key, "piece", "length"), F.lit(n_groups)))
-    return dealt.groupBy("__group").applyInPandas(one, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy("__group").applyInArrow(one, f"{fields}, sequence_id long, offset long")
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = 1, group: int = GROUP) -> DataFrame:

@@ -17,7 +17,7 @@ from tallylane.llm.shared import text_of
 #: Labelled rows, and bytes of their texts, that a model is fitted on at most.
 TOXIC_ROWS, ORDINARY_ROWS, TRAIN_BYTES = 3000, 6000, 1 << 26
 #: Words in a window.
-WINDOW = 6
+WINDOW = 16
 #: Bytes of ordinary words in either dictionary.
 COMMON = 1 << 16
 #: A window stands out at so many bytes of difference; each level has a feature of its own.
@@ -27,12 +27,15 @@ MARK_SHARE, MARK_ODDS = 0.01, 3.5
 FOLDS = 3
 #: Wide hash tables: few words of the dictionary push each other out.
 SETTINGS = {"hash_log": 18, "chain_log": 18}
+#: Bytes of dictionary text before each window.
+LEAD = 64
+END = b"\n" * 16
 #: Bytes of a text that are split into words at once.
 PART = 1 << 20
 
 
 def windows(text: bytes) -> Iterator[bytes]:
-    """Windows of six words in ASCII lower case; the last one may be shorter."""
+    """Windows of sixteen words in ASCII lower case; the last one may be shorter."""
     low = 0
     while low < len(text):
         high = low + PART
@@ -55,7 +58,7 @@ class Model:
     weights: tuple[float, ...] = ()
     prior: float = 0.0
 
-    def lengths(self) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    def lengths(self) -> tuple[Callable[[bytes], int], Callable[[bytes], int]]:
         import zstandard as zstd
 
         made = []
@@ -63,9 +66,14 @@ class Model:
             settings = zstd.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, **SETTINGS)
             words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             words.precompute_compress(compression_params=settings)
-            made.append(zstd.ZstdCompressor(compression_params=settings, dict_data=words).compress)
+            made.append(self._length(zstd.ZstdCompressor(compression_params=settings, dict_data=words)))
         return tuple(made)
 
+    def _length(self, compressor) -> Callable[[bytes], int]:
+        """Compressed bytes of a window behind a lead of dictionary text: what compresses badly is else stored as it is."""
+        compress, lead = compressor.compress, self.toxic[:LEAD]
+        return lambda window: len(compress(lead + window))
+
     def score(self, statistics: np.ndarray) -> np.ndarray:
         if not self.weights:
             return np.full(len(statistics), self.prior)
@@ -73,10 +81,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ np.array(self.weights[1:]) + self.weights[0], -40, 40)))
 
 
-def statistics(text: bytes, toxic: Callable[[bytes], bytes], ordinary: Callable[[bytes], bytes]) -> list[float]:
+def statistics(text: bytes, toxic: Callable[[bytes], int], ordinary: Callable[[bytes], int]) -> list[float]:
     """Of the windows' differences ordinary - toxic in compressed bytes: largest, mean of the three largest, mean, and for
     each level the share and the log count of windows that reach it.  A text without words has zeros."""
-    gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)] or [0])
+    gain = np.array([ordinary(w) - toxic(w) for w in windows(text)] or [0])
     reach = [int((gain >= level).sum()) for level in LEVELS]
     return [float(gain.max()), float(np.sort(gain)[-3:].mean()), float(gain.mean()), *(n / len(gain) for n in reach), *(math.log1p(n) for n in reach)]
 
@@ -110,7 +118,8 @@ def _dictionaries(dark: Counter, plain: Counter, n_dark: int, n_plain: int) -> t
     marks = sorted((w for w, n in dark.items() if n >= max(3, MARK_SHARE * n_dark) and odds(w) > MARK_ODDS), key=lambda w: (dark[w], w))
     common = b" ".join(sorted((w for w, n in plain.items() if n > 1), key=lambda w: (plain[w], w)))[-COMMON:]
     tail = b" ".join(marks)[-COMMON:]
-    return common + b" " + tail + b" ", common + b" " + b"#" * len(tail) + b" "
+    # the last bytes of a dictionary are not indexed
+    return common + b" " + tail + b" " + END, common + b" " + b"#" * len(tail) + b" " + END
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], n_toxic: int, n_ordinary: int) -> Model:

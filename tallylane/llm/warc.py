@@ -138,11 +138,11 @@ def _filesystem(uri: str):
 
 
 def revisits(pages: DataFrame, key: str, body: str, least: int) -> DataFrame:
-    """Key and holder (largest key) of rows whose payload another row with a larger key has too; hashes are shuffled, not payloads."""
+    """Key, SHA-1 and holder (largest key) of rows whose payload another row with a larger key has too; hashes are shuffled, not payloads."""
     payload = text_of(body).cast("binary")
     keyed = pages.select(F.col(key).alias("key"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
     holder = keyed.groupBy("sha").agg(F.max("key").alias("holder"), F.count("*").alias("copies")).where("copies > 1")
-    return materialise(keyed.join(holder, "sha").where("key <> holder").select("key", "holder").distinct())
+    return materialise(keyed.join(holder, "sha").where("key <> holder").select("key", "sha", "holder").distinct())
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST) -> DataFrame:
@@ -155,7 +155,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """
     known = revisits(pages, key, body, least)
     side = F.broadcast(known) if known.count() <= BROADCAST else known
-    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), text_of(body).cast("binary").alias("body")).join(side, "key", "left").select("key", "holder", "url", "body")
+    rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), text_of(body).cast("binary").alias("body"))
+    rows = rows.withColumn("sha", F.sha1("body")).join(side, ["key", "sha"], "left").select("key", "holder", "url", "body")
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

@@ -25,8 +25,8 @@ LEVELS = (2, 3, 4, 6)
 #: A marking word's least share of the toxic texts, and least log-odds.
 MARK_SHARE, MARK_ODDS = 0.01, 3.5
 FOLDS = 3
-#: Wide hash tables: few words of the dictionary push each other out.
-SETTINGS = {"hash_log": 18, "chain_log": 18}
+#: Optimal parsing (strategy 7) with short matches and wide tables: lengths then depend on what the dictionaries hold, not on luck.
+SETTINGS = {"strategy": 7, "min_match": 4, "search_log": 5, "hash_log": 18, "chain_log": 18}
 #: Bytes of dictionary text before each window.
 LEAD = 64
 END = b"\n" * 16

@@ -111,7 +111,7 @@ def close_links(points: DataFrame, reach: int = 3, slack: int = BITS, shard: int
     radii = np.zeros((blocks, levels), np.int16)
     if levels:
         part = [F.shiftrightunsigned("fp", bits * b).bitwiseAND(F.lit((1 << bits) - 1)) if blocks > 1 else F.col("fp") for b in range(blocks)]
-        far = [F.bit_count(part[b].bitwiseXOR(F.lit(int(vantage[b][k])).cast("long"))) for b in range(blocks) for k in range(levels)]
+        far = [F.bit_count(part[b].bitwiseXOR(F.lit(int(vantage[b][k].astype(np.int64))))) for b in range(blocks) for k in range(levels)]
         radii = np.array(points.agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"r{i}") for i, d in enumerate(far)]).first(), np.int16).reshape(blocks, levels)
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Only a session on a local master may go without: one machine is the whole cluster there.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in spark.checkpoint.dir.
+    """Checkpoint to the shared folder: eager, and safe against lost executors.
 
     Used for aggregated cell tables that several levels read: without it each level would
-    scan and aggregate the whole log again.  Checkpoint files survive lost executors.  A
-    temporary folder is set only where no folder is configured (single-machine tests).
+    scan and aggregate the whole log again.  With spark.cleaner.referenceTracking.cleanCheckpoints
+    Spark deletes the files when the frame is no longer referred to.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

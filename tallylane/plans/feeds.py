@@ -139,11 +139,11 @@ def _a09(t):
 
 @query("j01_slot_state")
 def _j01(t):
-    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA), t.spark)
+    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA, late="outcome"), t.spark)
 
 
 def ledger(t):
-    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.revision_step, state.REVISION_SCHEMA), t.spark)
+    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.revision_step, state.REVISION_SCHEMA, late="outcome"), t.spark)
 
 
 @query("j02_revision_ledger")
@@ -165,7 +165,7 @@ def _j03(t):
 
 @query("j04_event_intake")
 def _j04(t):
-    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.intake_step, state.INTAKE_SCHEMA), t.spark)
+    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.intake_step, state.INTAKE_SCHEMA, late="status"), t.spark)
 
 
 @query("j05_frozen_context", """
@@ -205,7 +205,7 @@ f AS (SELECT *, first_value(sha) OVER (PARTITION BY decision_id ORDER BY seq) AS
 SELECT decision_id, seq, CASE WHEN rn = 1 THEN 'first' WHEN sha = fs THEN 'duplicate' ELSE 'conflict' END AS outcome, sha FROM f WHERE rn = 1 OR sha = fs OR sn = 1""", log=False)
 def _j08(t):
     d = delivery_stream(t).select(F.concat_ws(":", c("game_pk").cast("string"), F.expr("at_bat_number div 2").cast("string")).alias("decision_id"), "seq", F.sha2((c("k") % 3).cast("string"), 256).alias("sha"))
-    return state.run_to_table(state.fold(d, ["decision_id"], "seq", state.ledger_step, state.LEDGER_SCHEMA), t.spark)
+    return state.run_to_table(state.fold(d, ["decision_id"], "seq", state.ledger_step, state.LEDGER_SCHEMA, late="outcome"), t.spark)
 
 
 @query("j09_timeline_audit", DELIVERY_CTE + """,
@@ -218,7 +218,7 @@ def _j09(t):
 @query("j10_stale_policy")
 def _j10(t):
     """Refused deliveries by reason: stale snapshots, and quarantined revisions."""
-    slots = state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA), t.spark)
+    slots = state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA, late="outcome"), t.spark)
     a = slots.groupBy(F.lit("snapshot").alias("kind"), c("outcome").alias("reason")).agg(F.count("*").alias("n"))
     return a.unionByName(ledger(t).groupBy(F.lit("revision").alias("kind"), F.coalesce("reason", "outcome").alias("reason")).agg(F.count("*").alias("n")))
 

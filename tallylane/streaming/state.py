@@ -9,26 +9,26 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-QUIET_MS = 6 * 3600 * 1000
-
+from tallylane.operators.lineage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    return conf or tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+QUIET_MS = 6 * 3600 * 1000
 
 
-def fold(df: DataFrame, key: list[str], order: str, step: Callable[[dict, dict], list[dict]], out_schema: str, quiet_ms: int | None = None) -> DataFrame:
+def fold(df: DataFrame, key: list[str], order: str, step: Callable[[dict, dict], list[dict]], out_schema: str, quiet_ms: int | None = None, late: str | None = None) -> DataFrame:
     """Run `step(state, row) -> output rows` over each key's rows in receipt order; `state` is a dict kept as JSON.
 
+    Rows are put in order within a micro-batch.  A row that comes in a later batch than a row it should
+    precede is not applied, as the rows after it have been answered: it is returned once, with the value
+    `late` in the column of that name given as `late`, so that late rows are counted and never change
+    an answer silently.  Without `late` such a row is an error.
+
     A live query sets `quiet_ms` (for example QUIET_MS) to drop the state of a finished key.  A
     catch-up run (`availableNow`) must leave it unset: a processing-time timeout asks for
     another batch forever, so such a run would never end.
@@ -39,10 +39,18 @@ def fold(df: DataFrame, key: list[str], order: str, step: Callable[[dict, dict],
         if state.hasTimedOut:
             state.remove()
             return
-        doc = json.loads(state.get[0]) if state.exists else {}
+        doc = json.loads(state.get[0]) if state.exists else {"applied": None, "own": {}}
         batch = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable").astype(object)
         batch = batch.where(batch.notna(), None)
-        out = [o for row in batch.to_dict("records") for o in step(doc, row)]
+        out, applied = [], doc["applied"]
+        for row in batch.to_dict("records"):
+            if applied is not None and row[order] < applied:
+                if late is None:
+                    raise ValueError(f"row {row[order]} of {k} came after row {applied}")
+                out.append({name: row.get(name) for name in names} | {late: "late"})
+            else:
+                out += step(doc["own"], row)
+        doc["applied"] = max([row for row in [applied, *batch[order]] if row is not None])
         state.update((json.dumps(doc),))
         if quiet_ms is not None:
             state.setTimeoutDuration(quiet_ms)
@@ -61,116 +69,138 @@ def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append") -
     return spark.read.schema(stream.schema).parquet(base + "/data")
 
 
-# --- steps --------------------------------------------------------------------------
+# --- rules: the first one that holds names the outcome --------------------------------
+
+Rules = Sequence[tuple[str, Callable[[dict], bool]]]
+
 
-def stale_stamp(new, old) -> bool:
-    """A missing stamp never replaces a valid one; two valid stamps compare as times."""
-    if new is not None and old is not None:
-        return new < old
-    return new is None and old is not None
+def decide(rules: Rules, facts: dict) -> str:
+    return next(outcome for outcome, holds in rules if holds(facts))
+
+
+def always(facts: dict) -> bool:
+    return True
+
+
+def answer(schema: str, row: dict, **values) -> dict:
+    """An output row: what the input row has under the same names, then the given values."""
+    return {name: values.get(name, row.get(name)) for name in (part.split()[0] for part in schema.split(","))}
 
 
 SLOT_SCHEMA = "game_pk bigint, seq bigint, outcome string, slot bigint, version bigint, first_received bigint"
 
+# a snapshot opens a slot beyond the newest one, or it is about that slot
+SLOT_RULES: Rules = (
+    ("new", lambda f: f["slot"] is None or f["at"] > f["slot"]),
+    ("stale", lambda f: f["older"] and not f["outranks"]),
+    ("duplicate", lambda f: f["same"]),
+    ("correction", always),
+)
+
+
+def older(stamp, held) -> bool:
+    """Of two stamps the smaller is older; a missing one is older than any that is there."""
+    return held is not None and (stamp is None or stamp < held)
+
 
 def slot_step(state: dict, row: dict) -> list[dict]:
     """new / correction / duplicate / stale of one snapshot against the newest slot of its cluster."""
-    received = row["received"]
-    event = received if row["event"] is None else min(row["event"], received)
-    top = state.get("top")
-    if top is None or event > top["event"]:
-        outcome, slot, version, first = "new", event, 1, received
-    elif stale_stamp(row["stamp"], top["stamp"]) and not (row["rank"] or 0) > (top["rank"] or 0):
-        return [dict(game_pk=row["game_pk"], seq=row["seq"], outcome="stale", slot=None, version=None, first_received=None)]
-    elif row["sha"] == top["sha"]:
-        return [dict(game_pk=row["game_pk"], seq=row["seq"], outcome="duplicate", slot=top["event"], version=top["version"], first_received=top["first"])]
-    else:
-        outcome, slot, version, first = "correction", top["event"], top["version"] + 1, top["first"]
-    state["top"] = dict(event=slot, version=version, stamp=row["stamp"], sha=row["sha"], first=first, rank=row["rank"])
-    return [dict(game_pk=row["game_pk"], seq=row["seq"], outcome=outcome, slot=slot, version=version, first_received=first)]
+    newest = state.get("newest", {})
+    at = min(t for t in (row["event"], row["received"]) if t is not None)
+    outcome = decide(SLOT_RULES, {
+        "slot": newest.get("slot"), "at": at, "same": newest.get("sha") == row["sha"],
+        "older": older(row["stamp"], newest.get("stamp")), "outranks": (row["rank"] or 0) > (newest.get("rank") or 0)})
+    if outcome == "stale":
+        return [answer(SLOT_SCHEMA, row, outcome=outcome)]
+    if outcome == "new":
+        newest = {"slot": at, "version": 0, "first_received": row["received"]}
+    if outcome != "duplicate":
+        newest = newest | {name: row[name] for name in ("sha", "stamp", "rank")} | {"version": newest["version"] + 1}
+        state["newest"] = newest
+    return [answer(SLOT_SCHEMA, row, outcome=outcome, slot=newest["slot"], version=newest["version"], first_received=newest["first_received"])]
 
 
 REVISION_SCHEMA = "game_pk bigint, seq bigint, provider_id string, at_bat_number bigint, pitch_number bigint, outcome string, reason string, revision bigint, sha string, first_received bigint, received bigint"
 
+# why a revision is refused; accepted ones fall through to `new`, `repeat` and `correction`
+REVISION_RULES: Rules = (
+    ("malformed", lambda f: f["malformed"]),
+    ("ambiguous_remap", lambda f: f["place_taken"]),
+    ("new", lambda f: not f["known"]),
+    ("conflicting_key", lambda f: f["moved"]),
+    ("repeat", lambda f: f["same"]),
+    ("unordered_revision", lambda f: f["stamp"] is None or f["held_stamp"] is None),
+    ("same_revision_hash_mismatch", lambda f: f["stamp"] == f["held_stamp"]),
+    ("stale_revision", lambda f: f["stamp"] < f["held_stamp"]),
+    ("correction", always),
+)
+
 
 def revision_step(state: dict, row: dict) -> list[dict]:
-    """Accept an event revision, or quarantine it with one of the refusal reasons; repeats are dropped."""
-    ids, holders, seen = state.setdefault("ids", {}), state.setdefault("keys", {}), state.setdefault("quarantine", [])
-    pid, key, reason = row["provider_id"], f"{row['at_bat_number']}:{row['pitch_number']}", row["malformed"]
-    revision = first = None
-    if reason is None:
-        current, holder = ids.get(pid), holders.get(key)
-        if holder is not None and holder != pid:
-            reason = "ambiguous_remap"
-        elif current is None:
-            revision, first = 1, row["received"]
-        elif current["key"] != key:
-            reason = "conflicting_key"
-        elif current["sha"] == row["sha"]:
-            return []
-        elif row["stamp"] is None or current["stamp"] is None:
-            reason = "unordered_revision"
-        elif row["stamp"] == current["stamp"]:
-            reason = "same_revision_hash_mismatch"
-        elif row["stamp"] < current["stamp"]:
-            reason = "stale_revision"
-        else:
-            revision, first = current["revision"] + 1, current["first"]
-    if reason is not None:
-        mark = [pid, row["sha"], reason]
-        if mark in seen:
-            return []
-        seen.append(mark)
-    else:
-        ids[pid] = dict(key=key, sha=row["sha"], stamp=row["stamp"], revision=revision, first=first)
-        holders[key] = pid
-    outcome = "quarantine" if reason else "new" if revision == 1 else "correction"
-    return [dict(game_pk=row["game_pk"], seq=row["seq"], provider_id=pid, at_bat_number=row["at_bat_number"], pitch_number=row["pitch_number"], outcome=outcome, reason=reason, revision=revision, sha=row["sha"], first_received=first, received=row["received"])]
+    """Accept an event revision, or quarantine it with the reason of its refusal; repeats are dropped."""
+    accepted, places, refused = (state.setdefault(name, {}) for name in ("accepted", "places", "refused"))
+    provider, place = row["provider_id"], f"{row['at_bat_number']}:{row['pitch_number']}"
+    held = accepted.get(provider, {})
+    verdict = decide(REVISION_RULES, {
+        "malformed": row["malformed"] is not None, "place_taken": places.get(place, provider) != provider, "known": bool(held),
+        "moved": held.get("place") != place, "same": held.get("sha") == row["sha"], "stamp": row["stamp"], "held_stamp": held.get("stamp")})
+    if verdict == "repeat":
+        return []
+    if verdict in ("new", "correction"):
+        first = held.get("first", row["received"])
+        accepted[provider] = {"place": place, "sha": row["sha"], "stamp": row["stamp"], "revision": held.get("revision", 0) + 1, "first": first}
+        places[place] = provider
+        return [answer(REVISION_SCHEMA, row, outcome=verdict, revision=accepted[provider]["revision"], first_received=first)]
+    reason = row["malformed"] if verdict == "malformed" else verdict
+    mark = f"{provider}|{row['sha']}|{reason}"
+    if refused.get(mark):
+        return []
+    refused[mark] = True
+    return [answer(REVISION_SCHEMA, row, outcome="quarantine", reason=reason)]
 
 
 INTAKE_SCHEMA = "game_pk bigint, seq bigint, status string, first_received bigint"
 
+INTAKE_RULES: Rules = (
+    ("error_clock_regressed", lambda f: f["received"] < f["clock"]),
+    ("error_identity_reassignment", lambda f: f["other_id"] or f["other_place"]),
+    ("new", lambda f: f["held"] is None),
+    ("duplicate", lambda f: (f["revision"], f["sha"]) == (f["held"]["revision"], f["held"]["sha"])),
+    ("error_stale_revision", lambda f: f["revision"] <= f["held"]["revision"]),
+    ("correction", always),
+)
+
 
 def intake_step(state: dict, row: dict) -> list[dict]:
     """Idempotent intake: duplicate, correction, or an error status; the receipt clock must not step back."""
-    keys, ids = state.setdefault("keys", {}), state.setdefault("ids", {})
-    key, status, first = f"{row['at_bat_number']}:{row['pitch_number']}", None, None
-    old, alias = keys.get(key), ids.get(row["provider_id"])
-    if row["received"] < state.get("clock", row["received"]):
-        status = "error_clock_regressed"
-    elif (old is not None and old["id"] != row["provider_id"]) or (alias is not None and alias != key):
-        status = "error_identity_reassignment"
-    else:
-        if old is None:
-            status, first = "new", row["received"]
-        elif row["revision"] == old["revision"] and row["sha"] == old["sha"]:
-            status, first = "duplicate", old["first"]
-        elif row["revision"] <= old["revision"]:
-            status = "error_stale_revision"
-        else:
-            status, first = "correction", old["first"]
-        if status in ("new", "correction"):
-            keys[key] = dict(id=row["provider_id"], revision=row["revision"], sha=row["sha"], first=first)
-            ids[row["provider_id"]] = key
-        if not status.startswith("error"):
-            state["clock"] = row["received"]
-    return [dict(game_pk=row["game_pk"], seq=row["seq"], status=status, first_received=first)]
+    events, places = state.setdefault("events", {}), state.setdefault("places", {})
+    provider, place = row["provider_id"], f"{row['at_bat_number']}:{row['pitch_number']}"
+    held = events.get(place)
+    status = decide(INTAKE_RULES, {
+        "received": row["received"], "clock": state.get("clock", row["received"]), "revision": row["revision"], "sha": row["sha"], "held": held,
+        "other_id": held is not None and held["provider"] != provider, "other_place": places.get(provider, place) != place})
+    if status.startswith("error"):
+        return [answer(INTAKE_SCHEMA, row, status=status)]
+    state["clock"] = row["received"]
+    if status != "duplicate":
+        held = {"provider": provider, "revision": row["revision"], "sha": row["sha"], "first": row["received"] if held is None else held["first"]}
+        events[place], places[provider] = held, place
+    return [answer(INTAKE_SCHEMA, row, status=status, first_received=held["first"])]
 
 
 LEDGER_SCHEMA = "decision_id string, seq bigint, outcome string, sha string"
 
+LEDGER_RULES: Rules = (
+    ("first", lambda f: f["place"] is None and not f["any"]),
+    ("duplicate", lambda f: f["place"] == 0),
+    ("conflict", lambda f: f["place"] is None),
+    ("repeat", always),
+)
+
 
 def ledger_step(state: dict, row: dict) -> list[dict]:
     """First content of a decision wins; other contents are kept once as conflicts, repeats are duplicates."""
-    shas = state.setdefault("shas", [])
-    if not shas:
-        outcome = "first"
-    elif row["sha"] == shas[0]:
-        outcome = "duplicate"
-    elif row["sha"] in shas:
-        return []
-    else:
-        outcome = "conflict"
-    if outcome != "duplicate":
-        shas.append(row["sha"])
-    return [dict(decision_id=row["decision_id"], seq=row["seq"], outcome=outcome, sha=row["sha"])]
+    places = state.setdefault("places", {})
+    outcome = decide(LEDGER_RULES, {"place": places.get(row["sha"]), "any": bool(places)})
+    places.setdefault(row["sha"], len(places))
+    return [] if outcome == "repeat" else [answer(LEDGER_SCHEMA, row, outcome=outcome)]

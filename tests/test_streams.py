@@ -13,22 +13,35 @@ STEPS = {"slots": (state.slot_step, state.SLOT_SCHEMA), "revisions": (state.revi
 
 
 @pytest.mark.parametrize("name", list(STEPS))
-def test_micro_batches_and_plain_fold_agree(spark, name):
+def test_micro_batches_inside_clusters_and_plain_fold_agree(spark, name):
     step, schema = STEPS[name]
+    late = "status" if name == "intake" else "outcome"
     events = spark.read.parquet(f"{SF}/events.parquet")
-    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    for i in range(3):  # split by whole clusters in id order, so receipt order inside a key is kept
-        events.where(f"event_id div 432 = {i}").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    got = {}
-    for label, files in (("many", 1), ("one", 100)):
-        s = deliveries(log_io.snapshot_stream(spark, f"{base}/in", EVENT_SCHEMA, files_per_trigger=files))
-        got[label] = sorted(map(str, state.run_to_table(state.fold(s, ["game_pk"], "seq", step, schema), spark).collect()))
-    plain, docs = [], {}
     names = [p.split()[0] for p in schema.split(",")]
-    for r in sorted((r.asDict() for r in deliveries(events).collect()), key=lambda r: (r["game_pk"], r["seq"])):
+    ordered = sorted((r.asDict() for r in deliveries(events).collect()), key=lambda r: (r["game_pk"], r["seq"]))
+    plain, docs = [], {}
+    for r in ordered:
         plain += [tuple(o[n] for n in names) for o in step(docs.setdefault(r["game_pk"], {}), r)]
-    assert got["many"] == got["one"]
-    assert len(got["one"]) == len(plain)
+    rows = spark.createDataFrame(ordered, deliveries(events).schema)
+    got = {}
+    for parts in (1, 3):  # each file takes a part of every cluster, in receipt order, so that state crosses batches
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        for i in range(parts):
+            rows.where(f"least((seq - game_pk * 864) * {parts} div 864, {parts - 1}) = {i}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        s = log_io.snapshot_stream(spark, f"{base}/in", rows.schema, files_per_trigger=1)
+        got[parts] = sorted(map(str, (tuple(r) for r in state.run_to_table(state.fold(s, ["game_pk"], "seq", step, schema, late=late), spark).collect())))
+    expected = sorted(map(str, plain))
+    assert got[1] == got[3] == expected and len(expected) > 100
+
+
+def test_late_rows_are_reported_and_not_applied(spark):
+    schema = "game_pk long, seq long, event long, stamp long, sha string, rank long, received long"
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for part in ([(1, 5, 10, 5, "a", 1, 100), (1, 1, 8, 3, "z", 1, 90)], [(1, 3, 9, 9, "b", 1, 110), (1, 6, 10, 6, "c", 1, 120)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    s = log_io.snapshot_stream(spark, f"{base}/in", spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    got = {r.seq: (r.outcome, r.version) for r in state.run_to_table(state.fold(s, ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA, late="outcome"), spark).collect()}
+    assert got == {1: ("new", 1), 5: ("new", 1), 3: ("late", None), 6: ("correction", 2)}
 
 
 def test_slot_rules():

@@ -17,7 +17,7 @@ LIMIT = 4096
 #: Pieces that one packing task takes; each task wastes less than one sequence.
 GROUP = 20_000
 #: Words whose ids a Python worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 
 
 class WordIds:

@@ -98,23 +98,31 @@ def transitions(log: DataFrame, audit: DataFrame, keys: LogKeys, action: str) ->
     return kept.select(*keys.event, c(action).alias("action"), F.row_number().over(w).alias("position"), F.coalesce(nxt, F.lit(-1)).alias("next_seq"), nxt.isNull().alias("done"))
 
 
-def row_fates(raw: DataFrame, keys: LogKeys, rules: Sequence[tuple[str, Column]]) -> DataFrame:
-    """First matching reason of an ordered list, else `accepted`."""
-    fate = None
-    for name, cond in rules:
-        cond = F.coalesce(cond, F.lit(True))
-        fate = F.when(cond, name) if fate is None else fate.when(cond, name)
-    return raw.withColumn("fate", fate.otherwise("accepted"))
+def _first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
+    """Name of the first condition that holds (or is unknown), else null."""
+    return F.coalesce(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in rules])
 
 
-def fate_census(fates: DataFrame, caps: Mapping[str, float]) -> DataFrame:
-    """Rows per fate with share and a stop flag where a share exceeds its cap."""
+def row_fates(raw: DataFrame, early: Sequence[tuple[str, Column]], repeated: tuple[str, Sequence[str], Sequence[str]], late: Sequence[tuple[str, Column]]) -> DataFrame:
+    """First matching reason of an ordered list, else `accepted`.
+
+    Between the early and the late reasons, rows that repeat a key get the name given in `repeated`
+    (name, key, order); only rows without an early reason count, so that an excluded row cannot
+    displace a good one.
+    """
+    name, key, order = repeated
+    live = raw.withColumn("_early", _first_reason(early))
+    place = F.row_number().over(Window.partitionBy(*key, F.isnull("_early")).orderBy(*order))
+    return live.withColumn("fate", F.coalesce(c("_early"), F.when(place > 1, F.lit(name)), _first_reason(late), F.lit("accepted"))).drop("_early")
+
+
+def fate_census(fates: DataFrame, caps: Mapping[str, float], outside: Sequence[str]) -> DataFrame:
+    """Rows per fate, their share of all rows that have none of the fates `outside`, and a stop flag where a share exceeds its cap."""
     per = fates.groupBy("fate").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    cap = F.lit(None).cast("double")
-    for name, share in caps.items():
-        cap = F.when(c("fate") == name, share).otherwise(cap)
-    return per.join(F.broadcast(total)).withColumn("share", c("n") / c("total")).withColumn("stop", F.coalesce(c("share") > cap, F.lit(False)))
+    total = per.agg(F.coalesce(F.sum(F.when(~c("fate").isin(*outside), c("n"))), F.lit(0)).alias("denominator"))
+    cap = F.coalesce(*[F.when(c("fate") == name, F.lit(share)) for name, share in caps.items()])
+    stop = F.coalesce(c("n") > cap * F.greatest(c("denominator"), F.lit(1)), F.lit(False))
+    return per.join(F.broadcast(total)).withColumn("share", c("n") / c("denominator")).withColumn("stop", stop)
 
 
 def select_episodes(log: DataFrame, audit: DataFrame, keys: LogKeys, cohort: DataFrame, max_clusters: int) -> DataFrame:

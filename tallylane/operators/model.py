@@ -123,20 +123,31 @@ def grid_fit(df: DataFrame, loss, low: float, high: float, by: Sequence[str] = (
     return best.select(*by, c("t").alias("best"), "nll")
 
 
+def upper_edges(boundaries: Sequence[float], predictions: Sequence[float]) -> list[tuple[float, float]]:
+    """Right edge and value of each block of a fitted step function."""
+    edges: dict[float, float] = {}
+    for x, y in zip(boundaries, predictions, strict=True):
+        edges[float(y)] = max(float(x), edges.get(float(y), float(x)))
+    return sorted((x, y) for y, x in edges.items())
+
+
+def step_value(x: Column, edges: Sequence[tuple[float, float]]) -> Column:
+    """Value of the first block whose right edge is at or above x: in a gap, the block above; beyond all, the last."""
+    blocks = F.array(*[F.struct(F.lit(a).alias("edge"), F.lit(b).alias("value")) for a, b in edges])
+    above = F.filter(blocks, lambda block: block["edge"] >= x)
+    return F.when(F.size(above) > 0, above[0]["value"]).otherwise(F.lit(edges[-1][1]))
+
+
 def isotonic_classes(fit: DataFrame, apply: DataFrame, p: str, y: str, n_classes: int) -> DataFrame:
-    """Isotonic regression per class with a step lookup on the fitted boundaries, clipped and renormalised.
+    """Isotonic regression per class with a step lookup on the fitted blocks, clipped and renormalised.
 
-    Fitted boundaries are a bounded step function; the lookup takes the last boundary at or
-    below the probability.
+    spark.ml keeps a fitted model on the driver; only its blocks' right edges go into the plan.
     """
     out = apply
     for k in range(n_classes):
         rows = fit.select(probs.at(c(p), k).alias("x"), (c(y) == k).cast("double").alias("label"))
         m = IsotonicRegression(featuresCol="x", labelCol="label").fit(rows)
-        xs, ys = [float(v) for v in m.boundaries], [float(v) for v in m.predictions]
-        x = probs.at(c(p), k)
-        steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in zip(xs, ys)])
-        found = F.aggregate(steps, F.lit(ys[0]), lambda acc, s: F.when(s["a"] <= x, s["b"]).otherwise(acc))
+        found = step_value(probs.at(c(p), k), upper_edges(m.boundaries, m.predictions))
         out = out.withColumn(f"_k{k}", F.greatest(F.least(found, F.lit(1 - 1e-6)), F.lit(1e-6)))
     s = sum((c(f"_k{k}") for k in range(1, n_classes)), c("_k0"))
     return out.withColumn(f"{p}_iso", F.array(*[c(f"_k{k}") / s for k in range(n_classes)])).drop(*[f"_k{k}" for k in range(n_classes)])

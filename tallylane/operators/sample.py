@@ -22,10 +22,18 @@ def hash_holdout(ids: DataFrame, id_col: str, namespace: str) -> DataFrame:
 
 
 def nested_samples(clusters: DataFrame, cluster: str, stratum: Sequence[str], seed: str, fractions: Sequence[float]) -> DataFrame:
-    """Nested whole-cluster samples per stratum: the first ceil(n * fraction) in digest order, at least one."""
-    out = digest_rank(clusters, hashing.digest(seed, c(cluster)), stratum)
-    flags = {f"in_{round(f * 100)}": c("_i") < F.greatest(F.lit(1), F.ceil(c("_g") * f)) for f in fractions}
-    return out.withColumns(flags).drop("_i", "_g")
+    """Nested whole-cluster samples: the first ceil(N * fraction) clusters in order of (rank + 1/2) / n of their stratum.
+
+    Ranks inside a stratum follow the digest; one cut over all clusters keeps the strata's shares and the total
+    exact.  Ties between strata go by stratum, then cluster.  The order over all is taken in ranges of the
+    fraction (at most 4096), whose totals are summed before, so that no window holds all clusters.
+    """
+    out = digest_rank(clusters, hashing.digest(seed, c(cluster)), stratum).withColumn("_at", (c("_i") + 0.5) / c("_g")).withColumn("_b", F.floor(c("_at") * 4096))
+    w = Window.orderBy("_b")
+    starts = out.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", (F.sum("_n").over(w) - c("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    placed = out.join(F.broadcast(starts), "_b").withColumn("_p", c("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_at", *stratum, cluster)))
+    flags = {f"in_{round(f * 100)}": c("_p") <= F.ceil(c("_all") * f) for f in fractions}
+    return placed.withColumns(flags).drop("_i", "_g", "_at", "_b", "_before", "_all", "_p")
 
 
 def stratified_panel(train: DataFrame, keys: LogKeys, starter: str, per_cell: int, seed: str) -> DataFrame:

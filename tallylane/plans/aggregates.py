@@ -298,7 +298,7 @@ def advancement_rows(t):
     from tallylane.operators import ordered
     log = t.log.withColumn("bases", c("on_1b").isNotNull().cast("int") + 2 * c("on_2b").isNotNull().cast("int") + 4 * c("on_3b").isNotNull().cast("int"))
     nxt = ["outs_when_up", "bases", "home_score", "away_score", "inning", "inning_topbot"]
-    x = ordered.next_state(log, K, nxt, terminal()).where("next_inning is not null and season <= 2023")
+    x = ordered.next_state(log, K, nxt, terminal()).where("next_inning is not null")
     e = c("events")
     x = x.withColumns({
         "event": F.when(e.isin("field_out", "force_out", "fielders_choice_out", "sac_fly"), "out").when(e.isin("grounded_into_double_play", "double_play", "sac_fly_double_play"), "double_play").when(e.isin("single", "double", "triple"), e),
@@ -318,7 +318,7 @@ ax AS (SELECT *, (on_1b IS NOT NULL)::INT + 2 * (on_2b IS NOT NULL)::INT + 4 * (
 ay AS (SELECT *, lead(outs_when_up) OVER g AS no, lead(bases) OVER g AS nb, lead(home_score) OVER g AS nh, lead(away_score) OVER g AS na, lead(inning) OVER g AS ni, lead(inning_topbot) OVER g AS nt FROM ax WINDOW g AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number)),
 az AS (SELECT *, CASE WHEN events IN ('field_out','force_out','fielders_choice_out','sac_fly') THEN 'out' WHEN events IN ('grounded_into_double_play','double_play','sac_fly_double_play') THEN 'double_play' WHEN events IN ('single','double','triple') THEN events END AS event,
   ni = inning AND nt = inning_topbot AS same, CASE WHEN inning_topbot = 'Bot' THEN nh - home_score ELSE na - away_score END AS adv_runs,
-  CASE WHEN ni = inning AND nt = inning_topbot THEN no - outs_when_up ELSE 3 - outs_when_up END AS out_delta FROM ay WHERE {TERMINAL} AND ni IS NOT NULL AND season <= 2023),
+  CASE WHEN ni = inning AND nt = inning_topbot THEN no - outs_when_up ELSE 3 - outs_when_up END AS out_delta FROM ay WHERE {TERMINAL} AND ni IS NOT NULL),
 aok AS (SELECT *, CASE WHEN same THEN nb ELSE 0 END AS to_bases FROM az WHERE event IS NOT NULL AND adv_runs BETWEEN 0 AND 4 AND NOT (inning_topbot = 'Bot' AND inning >= 9 AND nh > na)
   AND (same OR (inning_topbot = 'Top' AND ni = inning AND nt = 'Bot') OR (inning_topbot = 'Bot' AND ni = inning + 1 AND nt = 'Top')) AND out_delta BETWEEN 0 AND 3 - outs_when_up
   AND (event <> 'double_play' OR out_delta = 2) AND (event <> 'out' OR out_delta = 1))
@@ -455,14 +455,14 @@ def _d28(t):
 
 
 @query("d29_sample_weights", """
-r AS (SELECT *, 1 + CASE WHEN pitcher % 7 = 0 THEN 1.5 ELSE 0.5 * (vi % 100) / 100.0 END AS raw FROM log WHERE season <= 2022),
+r AS (SELECT *, 1 + CASE WHEN pitcher % 7 = 0 THEN 1.5 ELSE 0.5 * (vi % 100) / 100.0 END AS raw FROM log),
 w AS (SELECT *, raw / (SELECT avg(raw) FROM r) AS w FROM r),
 e AS (SELECT sum(w) * sum(w) / sum(w * w) / count(*) AS ef, sum(w) AS t FROM w),
 s AS (SELECT 'actor' AS id, pitcher::VARCHAR AS v, sum(w) AS s FROM w GROUP BY 2 UNION ALL SELECT 'entity', batter::VARCHAR, sum(w) FROM w GROUP BY 2 UNION ALL SELECT 'code', pitch_type, sum(w) FROM w GROUP BY 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, v) AS rn FROM s)
 SELECT id, ef AS ess_fraction, max(s) / t AS max_mass, sum(s) FILTER (rn <= 10) / t AS top10_mass FROM k, e GROUP BY id, ef, t""", doubles=["ess_fraction", "max_mass", "top10_mass"])
 def _d29(t):
-    w = aggs.sample_weights(t.log.where("season <= 2022"), c("pitcher") % 7 == 0, (c("vi") % 100) / 100.0, 1.5, 0.5)
+    w = aggs.sample_weights(t.log, c("pitcher") % 7 == 0, (c("vi") % 100) / 100.0, 1.5, 0.5)
     return aggs.mass_audit(w, {"actor": "pitcher", "entity": "batter", "code": "pitch_type"})
 
 

@@ -52,10 +52,10 @@ def _a04(t):
     return log_io.normalise(t.log.select(*KEY, "game_type", "ts"), K, "game_type", "R", "ts").drop("game_type")
 
 
-@query("a05_permissive_union", """SELECT event_id, CASE WHEN season = 2021 THEN pitch_type END AS pitch_type, CASE WHEN season = 2022 THEN release_speed END AS release_speed FROM log WHERE season IN (2021, 2022)""", doubles=["release_speed"])
+@query("a05_permissive_union", """SELECT event_id, CASE WHEN season <= 2022 THEN pitch_type END AS pitch_type, CASE WHEN season > 2022 THEN release_speed END AS release_speed FROM log""", doubles=["release_speed"])
 def _a05(t):
-    a = t.log.where("season = 2021").select("event_id", "pitch_type", F.lit(None).alias("release_speed"))
-    b = t.log.where("season = 2022").select("event_id", "release_speed")
+    a = t.log.where("season <= 2022").select("event_id", "pitch_type", F.lit(None).alias("release_speed"))
+    b = t.log.where("season > 2022").select("event_id", "release_speed")
     return log_io.permissive_union([a, b])
 
 
@@ -169,13 +169,18 @@ def _j04(t):
 
 
 @query("j05_frozen_context", """
-v AS (SELECT game_pk, at_bat_number, pitch_number, pitcher, event_id AS token, CASE WHEN k % 45 = 44 THEN 'incomplete' ELSE 'accepted' END AS st FROM log),
-b AS (SELECT *, max((st <> 'accepted')::INT) OVER g AS bad, list(CASE WHEN st = 'accepted' THEN token END) OVER o AS h FROM v WINDOW g AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o AS (PARTITION BY game_pk, pitcher ORDER BY at_bat_number, pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT token AS decision_id, CASE WHEN coalesce(bad, 0) = 1 THEN 'incomplete_prefix' END AS abstain, CASE WHEN coalesce(bad, 0) = 0 THEN coalesce(array_to_string(h[greatest(len(h) - 31, 1):], ','), '') END AS context FROM b""")
+v AS (SELECT game_pk, at_bat_number, pitch_number, pitcher, event_id AS token, CASE WHEN k % 45 = 44 THEN 'unknown' WHEN k % 45 = 43 THEN 'incomplete' ELSE 'accepted' END AS st FROM log),
+b AS (SELECT *, row_number() OVER (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number) AS i FROM v),
+u AS (SELECT *, max(CASE WHEN st = 'unknown' THEN i END) OVER (PARTITION BY game_pk ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS un, list(CASE WHEN st = 'accepted' THEN {'i': i, 't': token} END) OVER (PARTITION BY game_pk, pitcher ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h0 FROM b),
+h AS (SELECT *, list_filter(h0, lambda x: x IS NOT NULL) AS h FROM u),
+l AS (SELECT *, h[greatest(len(h) - 31, 1):] AS w FROM h),
+z AS (SELECT *, un IS NOT NULL AND NOT coalesce(len(w) = 32 AND un < w[1].i AND un < i - 1, false) AS blocked FROM l)
+SELECT token AS decision_id, CASE WHEN blocked THEN 'prior_quality_unknown' END AS abstain, CASE WHEN NOT blocked THEN coalesce(array_to_string(list_transform(w, lambda x: x.t), ','), '') END AS context FROM z""")
 def _j05(t):
     log = t.log
+    last = F.when(c("k") % 45 == 44, "unknown").when(c("k") % 45 == 43, "incomplete").otherwise("accepted")
     versions = log.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).select(
-        *KEY, "pitcher", "version", F.when((c("k") % 45 == 44) | ((c("version") == 1) & (c("k") % 10 == 3)), "incomplete").otherwise("accepted").alias("status"), c("event_id").alias("token"))
+        *KEY, "pitcher", "version", F.when((c("version") == 1) & (c("k") % 10 == 3), "unknown").otherwise(last).alias("status"), c("event_id").alias("token"))
     queries = log.select(*KEY, "pitcher", c("event_id").alias("decision_id"))
     out = views.frozen_context(versions, queries, "game_pk", "pitcher", ["at_bat_number", "pitch_number"], 32)
     return out.select("decision_id", "abstain", F.array_join(F.transform("context", lambda x: x.cast("string")), ",").alias("context"))

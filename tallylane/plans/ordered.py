@@ -308,13 +308,13 @@ def _e23(t):
 
 
 @query("c05_asof_profile", """
-d AS (SELECT pitcher, pitch_type, game_date, count(*) AS n, coalesce(sum(release_speed), 0) AS s, count(release_speed) AS m FROM log WHERE season <= 2023 AND pitch_type IS NOT NULL GROUP BY 1, 2, 3),
+d AS (SELECT pitcher, pitch_type, game_date, count(*) AS n, coalesce(sum(release_speed), 0) AS s, count(release_speed) AS m FROM log WHERE pitch_type IS NOT NULL GROUP BY 1, 2, 3),
 q AS (SELECT game_pk, at_bat_number, pitch_number, pitcher, pitch_type, game_date FROM log WHERE pitch_type IS NOT NULL)
 SELECT q.game_pk, q.at_bat_number, q.pitch_number, CAST(sum(n) AS DOUBLE) AS prof_n, CAST(sum(s) AS DOUBLE) AS prof_sum, CAST(sum(m) AS DOUBLE) AS prof_m FROM q LEFT JOIN d ON d.pitcher = q.pitcher AND d.pitch_type = q.pitch_type AND d.game_date < q.game_date GROUP BY 1, 2, 3""",
   doubles=["prof_n", "prof_sum", "prof_m"])
 def _c05(t):
     log = t.log.where("pitch_type is not null")
-    hist = asof.daily_sums(log.where("season <= 2023"), ["pitcher", "pitch_type"], "game_date", {
+    hist = asof.daily_sums(log, ["pitcher", "pitch_type"], "game_date", {
         "prof_n": F.lit(1), "prof_sum": F.coalesce("release_speed", F.lit(0.0)), "prof_m": c("release_speed").isNotNull().cast("int")})
     out = asof.asof_profile(log.select(*KEY, "pitcher", "pitch_type", "game_date"), hist, ["pitcher", "pitch_type"], "game_date", ["prof_n", "prof_sum", "prof_m"])
     return out.select(*KEY, "prof_n", "prof_sum", "prof_m")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylane.keys import DEFAULT_KEYS as K
@@ -241,21 +243,11 @@ def _f01b(t):
     return audit.reason_counts(audited(t)[1], audit.REASONS)
 
 
-def lenient(t):
-    """The audit without the reasons the derived log always triggers, so that some episodes stay."""
-    log, a = audited(t)
-    used = ("unsupported_terminal_event", "missing_or_unsupported_event", "identity_changes", "outside_regular_periods", "irregular_terminal_outs")
-    return log, a.withColumn("supported", ~F.exists(F.array(*used), lambda v: v))
-
-
-LENIENT = ", lau AS (SELECT game_pk, at_bat_number, NOT (unsupported_terminal_event OR missing_or_unsupported_event OR identity_changes OR outside_regular_periods OR irregular_terminal_outs) AS supported FROM au)"
-
-
-@query("f02_transitions", AUDIT_CTE + LENIENT + """
-SELECT game_pk, at_bat_number, pitch_number, pitch_type AS action, row_number() OVER w AS position, coalesce(lead(pitch_number) OVER w, -1) AS next_seq, lead(pitch_number) OVER w IS NULL AS done FROM log SEMI JOIN (SELECT * FROM lau WHERE supported) USING (game_pk, at_bat_number)
+@query("f02_transitions", AUDIT_CTE + """
+SELECT game_pk, at_bat_number, pitch_number, pitch_type AS action, row_number() OVER w AS position, coalesce(lead(pitch_number) OVER w, -1) AS next_seq, lead(pitch_number) OVER w IS NULL AS done FROM log SEMI JOIN (SELECT * FROM au WHERE supported) USING (game_pk, at_bat_number)
 WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number)""")
 def _f02(t):
-    log, a = lenient(t)
+    log, a = audited(t)
     return audit.transitions(log, a, K, "pitch_type")
 
 
@@ -284,48 +276,66 @@ def _f04(t):
     return x.where("mismatch or decreased").select(*KEY, "decreased", "mismatch")
 
 
+# Fates in the order in which they are decided; the first six leave the denominator of the shares.
+FATES = ("excluded_null_game_key", "excluded_null_or_invalid_key", "excluded_non_registered_game_type", "excluded_date_outside_source_range", "excluded_nonpositive_order_key", "excluded_duplicate_key",
+         "quarantined_multi_date_game", "excluded_invalid_state", "excluded_missing_handedness", "excluded_unmapped_label", "excluded_bip_missing_bb_type", "excluded_nonbip_with_bb_type", "excluded_bip_unknown_bb_type")
+BB_TYPES = ("ground_ball", "line_drive", "fly_ball", "popup")
+
 FATE_CTE = f"""
-dr AS (SELECT *, CASE WHEN k % 90 = 1 THEN NULL ELSE pitcher END AS pit, CASE WHEN k = 98 THEN 0 ELSE at_bat_number END AS ab, CASE WHEN k = 41 THEN 9 ELSE balls END AS bl, CASE WHEN k = 42 THEN NULL ELSE stand END AS sd FROM log),
+dr AS (SELECT *, CASE WHEN k % 93 <> 5 THEN game_pk END AS gp, CASE WHEN k % 90 = 1 THEN NULL ELSE pitcher END AS pit, CASE WHEN k = 98 THEN 0 ELSE at_bat_number END AS ab, CASE WHEN k = 41 THEN 9 ELSE balls END AS bl, CASE WHEN k = 42 THEN NULL ELSE stand END AS sd,
+  CASE WHEN k = 43 THEN 'bunt' WHEN k = 46 THEN 'popup' ELSE bb_type END AS bb FROM log),
 du AS (SELECT *, 0 AS copy FROM dr UNION ALL SELECT *, 1 FROM dr WHERE k = 77),
-dm AS (SELECT *, min(CAST(ts AS DATE)) OVER (PARTITION BY game_pk) <> max(CAST(ts AS DATE)) OVER (PARTITION BY game_pk) AS multi, row_number() OVER (PARTITION BY game_pk, ab, pitch_number ORDER BY event_id, copy) > 1 AND ab > 0 AS dup FROM du),
-fate AS (SELECT *, CASE WHEN pit IS NULL THEN 'excluded_null_or_invalid_key' WHEN game_type <> 'R' THEN 'excluded_non_registered_game_type' WHEN game_date < DATE '2024-01-02' THEN 'excluded_date_outside_source_range' WHEN ab <= 0 THEN 'excluded_nonpositive_order_key' WHEN dup THEN 'excluded_duplicate_key'
-  WHEN multi THEN 'quarantined_multi_date_game' WHEN bl NOT BETWEEN 0 AND 3 THEN 'excluded_invalid_state' WHEN sd IS NULL THEN 'excluded_missing_handedness' WHEN {OUT10_SQL} < 0 THEN 'excluded_unmapped_label'
-  WHEN description = 'hit_into_play' AND bb_type IS NULL THEN 'excluded_bip_missing_bb_type' ELSE 'accepted' END AS fate FROM dm)
+dm AS (SELECT *, min(CAST(ts AS DATE)) OVER (PARTITION BY gp) <> max(CAST(ts AS DATE)) OVER (PARTITION BY gp) AS multi, CASE WHEN gp IS NULL THEN 'excluded_null_game_key' WHEN pit IS NULL THEN 'excluded_null_or_invalid_key' WHEN game_type <> 'R' THEN 'excluded_non_registered_game_type'
+  WHEN game_date < DATE '2024-01-02' THEN 'excluded_date_outside_source_range' WHEN ab <= 0 OR pitch_number <= 0 THEN 'excluded_nonpositive_order_key' END AS early FROM du),
+dd AS (SELECT *, early IS NULL AND row_number() OVER (PARTITION BY gp, ab, pitch_number, early IS NULL ORDER BY event_id, copy) > 1 AS dup, {OUT10_SQL} AS y10_ FROM dm),
+fate AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN dup THEN 'excluded_duplicate_key'
+  WHEN multi THEN 'quarantined_multi_date_game' WHEN bl NOT BETWEEN 0 AND 3 OR strikes NOT BETWEEN 0 AND 2 OR outs_when_up NOT BETWEEN 0 AND 2 OR inning IS NULL OR home_score IS NULL OR away_score IS NULL THEN 'excluded_invalid_state'
+  WHEN sd IS NULL THEN 'excluded_missing_handedness' WHEN y10_ < 0 THEN 'excluded_unmapped_label'
+  WHEN description = 'hit_into_play' AND bb IS NULL THEN 'excluded_bip_missing_bb_type' WHEN description <> 'hit_into_play' AND bb IS NOT NULL THEN 'excluded_nonbip_with_bb_type'
+  WHEN description = 'hit_into_play' AND bb NOT IN {BB_TYPES} THEN 'excluded_bip_unknown_bb_type' ELSE 'accepted' END AS fate FROM dd),
+den AS (SELECT count(*) FILTER (fate NOT IN {FATES[:6]}) AS d FROM fate)
 """
 
 
 @query("f05_row_fates", FATE_CTE + """
-SELECT fate, count(*) AS n, (SELECT count(*) FROM fate) AS total, count(*) / (SELECT count(*) FROM fate) AS share, CASE WHEN fate IN ('excluded_unmapped_label', 'excluded_invalid_state') THEN count(*) / (SELECT count(*) FROM fate) > 0.005 ELSE false END AS stop FROM fate GROUP BY 1""", doubles=["share"])
+SELECT fate, count(*) AS n, max(d) AS denominator, count(*) / max(d) AS share, CASE WHEN fate IN ('excluded_unmapped_label', 'excluded_invalid_state') THEN count(*) > 0.005 * greatest(max(d), 1) ELSE false END AS stop FROM fate, den GROUP BY 1""", doubles=["share"])
 def _f05(t):
     from tallylane.functions import codes
-    raw = t.log.withColumns({"pit": F.when(c("k") % 90 != 1, c("pitcher")), "ab": F.when(c("k") == 98, 0).otherwise(c("at_bat_number")), "bl": F.when(c("k") == 41, 9).otherwise(c("balls")), "sd": F.when(c("k") != 42, c("stand"))})
+    raw = t.log.withColumns({"gp": F.when(c("k") % 93 != 5, c("game_pk")), "pit": F.when(c("k") % 90 != 1, c("pitcher")), "ab": F.when(c("k") == 98, 0).otherwise(c("at_bat_number")), "bl": F.when(c("k") == 41, 9).otherwise(c("balls")), "sd": F.when(c("k") != 42, c("stand")),
+                             "bb": F.when(c("k") == 43, "bunt").when(c("k") == 46, "popup").otherwise(c("bb_type"))})
     raw = raw.withColumn("copy", F.explode(F.when(c("k") == 77, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    game, key = Window.partitionBy("game_pk"), Window.partitionBy("game_pk", "ab", "pitch_number").orderBy("event_id", "copy")
-    day = F.to_date("ts")
-    raw = raw.withColumns({"multi": F.min(day).over(game) != F.max(day).over(game), "dup": (F.row_number().over(key) > 1) & (c("ab") > 0)})
-    fates = audit.row_fates(raw, K, [
-        ("excluded_null_or_invalid_key", c("pit").isNull()), ("excluded_non_registered_game_type", c("game_type") != "R"), ("excluded_date_outside_source_range", c("game_date") < F.lit("2024-01-02").cast("date")),
-        ("excluded_nonpositive_order_key", c("ab") <= 0), ("excluded_duplicate_key", c("dup")), ("quarantined_multi_date_game", c("multi")), ("excluded_invalid_state", ~c("bl").between(0, 3)), ("excluded_missing_handedness", c("sd").isNull()),
-        ("excluded_unmapped_label", codes.outcome10(c("description"), c("events"), c("strikes")) < 0), ("excluded_bip_missing_bb_type", (c("description") == "hit_into_play") & c("bb_type").isNull())])
-    return audit.fate_census(fates, {"excluded_unmapped_label": 0.005, "excluded_invalid_state": 0.005})
-
-
-@query("f06_episode_selection", AUDIT_CTE + LENIENT + """,
+    early = [("excluded_null_game_key", c("gp").isNull()), ("excluded_null_or_invalid_key", c("pit").isNull()), ("excluded_non_registered_game_type", c("game_type") != "R"),
+             ("excluded_date_outside_source_range", c("game_date") < F.lit("2024-01-02").cast("date")), ("excluded_nonpositive_order_key", (c("ab") <= 0) | (c("pitch_number") <= 0))]
+    played = c("description") == "hit_into_play"
+    late = [("quarantined_multi_date_game", c("multi")),
+            ("excluded_invalid_state", ~(c("bl").between(0, 3) & c("strikes").between(0, 2) & c("outs_when_up").between(0, 2)) | c("inning").isNull() | c("home_score").isNull() | c("away_score").isNull()),
+            ("excluded_missing_handedness", c("sd").isNull()), ("excluded_unmapped_label", codes.outcome10(c("description"), c("events"), c("strikes")) < 0),
+            ("excluded_bip_missing_bb_type", played & c("bb").isNull()), ("excluded_nonbip_with_bb_type", ~played & c("bb").isNotNull()), ("excluded_bip_unknown_bb_type", played & ~F.coalesce(c("bb").isin(*BB_TYPES), F.lit(True)))]
+    day, game = F.to_date("ts"), Window.partitionBy("gp")
+    raw = raw.withColumn("multi", F.min(day).over(game) != F.max(day).over(game))
+    fates = audit.row_fates(raw, early, ("excluded_duplicate_key", ["gp", "ab", "pitch_number"], ["event_id", "copy"]), late)
+    return audit.fate_census(fates, {"excluded_unmapped_label": 0.005, "excluded_invalid_state": 0.005}, FATES[:6])
+
+
+@query("f06_episode_selection", AUDIT_CTE + """,
 ep AS (SELECT game_pk, at_bat_number, min_by(pitcher, pitch_number) AS pitcher, min(game_date) AS game_date, count(*) AS n_events FROM log GROUP BY 1, 2),
-x AS (SELECT ep.*, supported, pitcher % 2 = 0 AS inc FROM ep JOIN lau USING (game_pk, at_bat_number)),
+x AS (SELECT ep.*, supported, pitcher % 2 = 0 AS inc FROM ep JOIN au USING (game_pk, at_bat_number)),
 rk AS (SELECT pitcher, game_pk, dense_rank() OVER (PARTITION BY pitcher ORDER BY game_date, game_pk) AS kk FROM (SELECT DISTINCT pitcher, game_pk, game_date FROM x WHERE supported AND inc))
 SELECT x.game_pk, at_bat_number, x.pitcher, n_events, CASE WHEN NOT inc THEN 'not_in_cohort' WHEN NOT supported THEN 'unsupported_episode' WHEN kk > 2 THEN 'beyond_cluster_limit' ELSE 'selected' END AS reason FROM x LEFT JOIN rk ON rk.pitcher = x.pitcher AND rk.game_pk = x.game_pk""")
 def _f06(t):
-    log, a = lenient(t)
+    log, a = audited(t)
     return audit.select_episodes(log, a, K, log.where("pitcher % 2 = 0"), 2)
 
 
+SEASONS = (2021, 2022, 2023, 2024)
+
+
 # --- H, A10 ----------------------------------------------------------------------
 
-@query("h01_union_seasons", "SELECT season, count(*) AS n FROM log WHERE season IN (2021, 2022, 2024) GROUP BY 1")
+@query("h01_union_seasons", "SELECT season, count(*) AS n FROM log GROUP BY 1")
 def _h01(t):
-    parts = [t.log.where(c("season") == s) for s in (2021, 2022, 2024)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("season").agg(F.count("*").alias("n"))
+    parts = [t.log.where(c("season") == s) for s in SEASONS]
+    return reduce(DataFrame.unionByName, parts).groupBy("season").agg(F.count("*").alias("n"))
 
 
 @query("h02_set_operations", """

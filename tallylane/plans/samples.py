@@ -26,11 +26,17 @@ def _g01(t):
     return sample.hash_holdout(t.log, "pitcher", "hold")
 
 
-@query("g02_nested_samples", """
-g AS (SELECT game_pk, min(season) AS season FROM log GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY sha256('nest:' || game_pk)) AS r, count(*) OVER (PARTITION BY season) AS n FROM g)
-SELECT game_pk, season, r <= greatest(1, ceil(n * 0.25)) AS in_25, r <= greatest(1, ceil(n * 0.5)) AS in_50, r <= n AS in_100 FROM r""")
+@query("g02_nested_samples", OUTS_CTE + """,
+g AS (SELECT game_pk, min(date_trunc('month', game_date))::DATE AS month, least(3, CAST(ceil(avg((pitcher = starter)::INT::DOUBLE) * 4) - 1 AS INT)) AS band0 FROM outs GROUP BY 1),
+h AS (SELECT game_pk, month, greatest(band0, 0) AS role_band FROM g),
+r AS (SELECT *, (row_number() OVER (PARTITION BY month, role_band ORDER BY sha256('nest:' || game_pk)) - 0.5) / count(*) OVER (PARTITION BY month, role_band) AS at_ FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY at_, month, role_band, game_pk) AS p_, count(*) OVER () AS n_ FROM r)
+SELECT game_pk, month, role_band, p_ <= ceil(n_ * 0.25) AS in_25, p_ <= ceil(n_ * 0.5) AS in_50, p_ <= n_ AS in_100 FROM p""")
 def _g02(t):
-    return sample.nested_samples(t.log.groupBy("game_pk").agg(F.min("season").alias("season")), "game_pk", ["season"], "nest", [0.25, 0.5, 1.0])
+    """Strata are months and quarters of the starters' share of a cluster's events."""
+    band = F.greatest(F.lit(0), F.ceil(F.avg((c("pitcher") == c("starter")).cast("double")) * 4) - 1).cast("int")
+    clusters = with_outs(t.log).groupBy("game_pk").agg(F.min(F.trunc("game_date", "month")).alias("month"), band.alias("role_band"))
+    return sample.nested_samples(clusters, "game_pk", ["month", "role_band"], "nest", [0.25, 0.5, 1.0])
 
 
 @query("g03_stratified_panel", OUTS_CTE + f""",
@@ -161,9 +167,10 @@ def _g14b(t):
 
 @query("g15_isotonic")
 def _g15(t):
-    rows = predictions(t).where("y < 3").select(*KEY, "season", "y", F.slice("p", 1, 3).alias("p"))
-    out = model.isotonic_classes(rows.where("season <= 2022"), rows.where("season > 2022"), "p", "y", 3)
-    return out.select(*KEY, *[c("p_iso")[i].alias(f"p{i}") for i in range(3)])
+    rows = predictions(t).select(*KEY, "season", "y", "p")
+    n = len(rows.select("p").first()["p"])
+    out = model.isotonic_classes(rows.where("season <= 2022"), rows.where("season > 2022"), "p", "y", n)
+    return out.select(*KEY, *[c("p_iso")[i].alias(f"p{i}") for i in range(n)])
 
 
 @query("g16_reference_means", REFERENCE_CTE + ", q AS (SELECT DISTINCT pitcher, pitch_type FROM log WHERE pitch_type IS NOT NULL) SELECT q.pitcher, q.pitch_type, coalesce(ra.m, rb.m, rg.m) AS ref_release_speed, CASE WHEN ra.m IS NOT NULL THEN 2 WHEN rb.m IS NOT NULL THEN 1 ELSE 0 END AS origin FROM q LEFT JOIN ra ON ra.pitcher = q.pitcher AND ra.pitch_type = q.pitch_type LEFT JOIN rb ON rb.pitch_type = q.pitch_type, rg", doubles=["ref_release_speed"])

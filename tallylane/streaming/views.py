@@ -26,19 +26,29 @@ def admission(shown: DataFrame, ledger: DataFrame, key: Sequence[str]) -> DataFr
 
 
 def frozen_context(ledger: DataFrame, queries: DataFrame, cluster: str, actor: str, order: Sequence[str], n: int) -> DataFrame:
-    """Latest versions strictly before each query key, the last n by the same actor; abstain on incomplete rows.
+    """The last n accepted events by the query's actor strictly before its key, in their latest versions.
 
-    Events and queries share one ordered window of the cluster, so no range join is needed.
+    A query abstains if an earlier event of its cluster is `unknown`, of whatever actor, unless n accepted
+    events of the query's actor are all newer than it: nothing unknown could then displace them.  The
+    event right before the query must be known as well.  Events are numbered once per cluster and
+    actor; a query takes a bounded frame of n accepted events, never the whole prefix.
     """
     latest = ledger.groupBy(cluster, *order).agg(F.max_by(F.struct(actor, "status", "token"), "version").alias("_x")).select(cluster, *order, "_x.*", F.lit(1).alias("_e"))
     both = latest.unionByName(queries.select(cluster, *order, actor, F.lit(0).alias("_e"), "decision_id"), allowMissingColumns=True)
-    w = Window.partitionBy(cluster).orderBy(*order, "_e").rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy(cluster, actor).orderBy(*order, "_e").rowsBetween(Window.unboundedPreceding, -1)
-    bad = F.max(F.when((c("_e") == 1) & (c("status") != "accepted"), 1).otherwise(0)).over(w)
-    hist = F.collect_list(F.when((c("_e") == 1) & (c("status") == "accepted"), c("token"))).over(own)
-    out = both.withColumns({"_bad": bad, "_h": hist}).where("_e = 0")
-    kept = F.slice("_h", F.greatest(F.size("_h") - n + 1, F.lit(1)), n)
-    return out.select("decision_id", cluster, *order, F.when(F.coalesce(c("_bad"), F.lit(0)) == 1, F.lit("incomplete_prefix")).alias("abstain"), F.when(F.coalesce(c("_bad"), F.lit(0)) == 0, kept).alias("context"))
+    place = F.row_number().over(Window.partitionBy(cluster).orderBy(*order, "_e"))
+    both = both.withColumn("_at", place)
+    good = (c("_e") == 1) & (c("status") == "accepted")
+    before = Window.partitionBy(cluster).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_unknown", F.max(F.when((c("_e") == 1) & (c("status") == "unknown"), c("_at"))).over(before))
+    # accepted events and queries alternate; the frame of a query is the run of its actor's last n accepted events
+    own = Window.partitionBy(cluster, actor).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_done", F.coalesce(F.sum(good.cast("int")).over(own), F.lit(0)))
+    recent = Window.partitionBy(cluster, actor).orderBy("_done").rangeBetween(-n, -1)
+    run = F.collect_list(F.when(good, F.struct("_at", "token"))).over(recent)
+    out = both.withColumn("_h", F.sort_array(run)).where("_e = 0")
+    newer = (F.size("_h") == n) & (c("_unknown") < c("_h")[0]["_at"]) & (c("_unknown") < c("_at") - 1)
+    blocked = c("_unknown").isNotNull() & ~newer
+    return out.select("decision_id", cluster, *order, F.when(blocked, F.lit("prior_quality_unknown")).alias("abstain"), F.when(~blocked, F.transform("_h", lambda h: h["token"])).alias("context"))
 
 
 def delayed_release(snapshots: DataFrame, viewers: DataFrame, cluster: str, delay: str, now: str) -> DataFrame:

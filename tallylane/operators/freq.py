@@ -115,73 +115,110 @@ def repertoire(log: DataFrame, actor: str, minimum: int) -> DataFrame:
 EPS = 1e-9
 
 
-def _smooth_batches(alpha: float, alpha_actor: float):
-    """Kernel over Arrow batches: one row per cell, the counts of its six levels as arrays."""
-    import numpy as np
-
-    def counts(col, k):
-        out = np.zeros((len(col), k))
-        for i, v in enumerate(col):
-            if v is not None:
-                out[i] = v
-        return out
-
-    def norm(x):
-        s = x.sum(1, keepdims=True)
-        return np.divide(x, s, out=np.zeros_like(x), where=s > 0)
-
-    def run(batches):
-        for pdf in batches:
-            k = states.N_OUTCOMES
-            mask = counts(pdf["mask"], k)
-            n = {name: counts(pdf[name], k) for name in ("nc", "nca", "nsa", "ncg", "npg", "npa")}
-
-            def level(name, prior, strength):
-                x = n[name]
-                return norm((x + strength * prior) / (x.sum(1, keepdims=True) + strength) * mask)
-
-            base = norm(n["nc"] * mask)
-            empty = base.sum(1) == 0
-            base[empty] = norm(mask[empty])
-            cell = level("nsa", level("nca", base, alpha), alpha)
-            league = level("ncg", base, alpha)
-            ratio = level("npg", league, alpha_actor) / np.maximum(league, EPS)
-            p = level("npa", norm(cell * ratio * mask), alpha_actor)
-            out = pdf[[pdf.columns[0], "state_id", "action_id"]].copy()
-            for o in range(k):
-                out[f"p{o}"] = p[:, o]
-            out["n_obs"] = n["npa"].sum(1).astype("int64")
-            yield out
-
-    return run
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dirichlet_table(log: DataFrame, request: DataFrame | None, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
-    """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells (None: the observed ones).
+def _times(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a * b)
+
+
+def _shares(x: Column) -> Column:
+    """Elements as shares of their sum; all zero where the sum is."""
+    total = _sum(x)
+    return F.transform(x, lambda v: F.when(total > 0, v / total).otherwise(0.0))
+
+
+def _towards(counts: Column, prior: Column, strength: float, mask: Column) -> Column:
+    """Shares of counts plus `strength` pseudo-counts of the prior, over the allowed elements."""
+    return _shares(_times(F.zip_with(counts, prior, lambda n, q: n + strength * q), mask))
 
-    League levels: count -> (count, action) -> (state, action), and (count, type).  The
-    actor's own (count, type) level enters as a ratio to the league's, then the actor's
-    (state, action) counts are added.  Cells whose type the actor used fewer than
-    `minimum` times are not valid and left out.  A level without data equals its prior.
 
-    Spark aggregates and joins the level counts; the arithmetic on the joined row is a
-    vectorised kernel (as generated code the 66 columns took longer to compile than to run).
+def smoothed_cells(cells: DataFrame, alpha: float, alpha_actor: float, result: str = "p") -> DataFrame:
+    """Smoothed shares from the level counts nc, nca, nsa, ncg, npg, npa and the mask, all arrays of one length.
+
+    League: count -> (count, action) -> (state, action).  Actor: the actor's (count, type) shares over the league's are a
+    tilt of the league's cell, and the actor's own (state, action) counts come last.  `result` names the column that is
+    wanted: p, or only the league's cell or the tilt.  Each line is one projection, as a column used twice is not
+    computed twice.
+    """
+    mask, levels = c("mask"), ("nc", "nca", "nsa", "ncg", "npg", "npa")
+    out = cells.withColumns({n: F.coalesce(n, F.array_repeat(F.lit(0.0), states.N_OUTCOMES)) if n in cells.columns else F.array_repeat(F.lit(0.0), states.N_OUTCOMES) for n in levels})
+    out = out.withColumn("_base", _times(c("nc"), mask)).withColumn("_base", _shares(F.when(_sum(c("_base")) > 0, c("_base")).otherwise(mask)))
+    out = out.withColumns({"_first": _towards(c("nca"), c("_base"), alpha, mask), "_kind": _towards(c("ncg"), c("_base"), alpha, mask)})
+    out = out.withColumns({"cell": _towards(c("nsa"), c("_first"), alpha, mask), "_own": _towards(c("npg"), c("_kind"), alpha_actor, mask)})
+    out = out.withColumn("tilt", F.zip_with(c("_own"), c("_kind"), lambda a, b: a / F.greatest(b, F.lit(EPS))))
+    if result == "p":
+        out = out.withColumn("_prior", _shares(_times(_times(c("cell"), c("tilt")), mask)))
+        out = out.withColumn("p", _towards(c("npa"), c("_prior"), alpha_actor, mask))
+    return out.select(*cells.columns, result)
+
+
+def dirichlet_levels(log: DataFrame, actor: str, count_of_state: Column | None = None) -> tuple[DataFrame, dict[str, tuple[list[str], DataFrame]]]:
+    """Observed (actor, state, action) cells with their count columns, and the counts of each level by its keys.
+
+    Codes outside the codecs are left out, so that the four league levels have at most
+    12, 2,700, 64,800 and 108 rows: they are broadcast.  The two actor levels are joined by actor.
     """
     k = states.N_OUTCOMES
     count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
-    kept = log.where("action_id >= 0 and outcome_id >= 0")
+    kept = log.where((c("outcome_id") >= 0) & c("action_id").between(0, states.N_ACTIONS - 1) & c("state_id").between(0, states.N_COUNTS * states.N_BASE_OUT - 1))
     cells = materialise(class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k)).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    keys = {"nc": ["_c"], "nca": ["_c", "action_id"], "nsa": ["state_id", "action_id"], "ncg": ["_c", "_g"], "npg": [actor, "_c", "_g"], "npa": [actor, "state_id", "action_id"]}
+    tables = {name: roll_up(cells, by, k).select(*by, F.array(*[c(f"n{i}") for i in range(k)]).alias(name)) for name, by in keys.items()}
+    return cells, {name: (by, tables[name] if actor in by else F.broadcast(tables[name])) for name, by in keys.items()}
+
+
+def outcome_mask(count: Column) -> Column:
+    return F.array(*[states.outcome_allowed(count, F.lit(i)).cast("double") for i in range(states.N_OUTCOMES)])
+
+
+def valid_types(cells: DataFrame, actor: str, minimum: int) -> DataFrame:
+    return cells.groupBy(actor, "_g").agg(F.sum(count_total(states.N_OUTCOMES)).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
+
+
+def dirichlet_table(log: DataFrame, request: DataFrame | None, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
+    """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells (None: the observed ones).
+
+    Cells whose type the actor used fewer than `minimum` times are not valid and left out.  A level without data equals
+    its prior.
+    """
+    k = states.N_OUTCOMES
+    cells, levels = dirichlet_levels(log, actor, count_of_state)
+    count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
     need = cells.select(actor, "state_id", "action_id", "_c", "_g") if request is None else \
         request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    rep = cells.groupBy(actor, "_g").agg(F.sum(count_total(k)).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
-    out = need.join(rep, [actor, "_g"])
-    levels = {"nc": ["_c"], "nca": ["_c", "action_id"], "nsa": ["state_id", "action_id"], "ncg": ["_c", "_g"], "npg": [actor, "_c", "_g"], "npa": [actor, "state_id", "action_id"]}
-    for name, keys in levels.items():
-        table = roll_up(cells, keys, k).select(*keys, F.array(*[c(f"n{i}") for i in range(k)]).alias(name))
-        out = out.join(table, keys, "left")
-    mask = F.array(*[states.outcome_allowed(c("_c"), F.lit(i)).cast("double") for i in range(k)])
-    schema = f"{actor} bigint, state_id bigint, action_id bigint, " + ", ".join(f"p{i} double" for i in range(k)) + ", n_obs bigint"
-    return out.select(actor, "state_id", "action_id", mask.alias("mask"), *levels).mapInPandas(_smooth_batches(alpha, alpha_actor), schema)
+    out = need.join(valid_types(cells, actor, minimum), [actor, "_g"])
+    for by, table in levels.values():
+        out = out.join(table, by, "left")
+    out = smoothed_cells(out.withColumn("mask", outcome_mask(c("_c"))), alpha, alpha_actor)
+    seen = F.coalesce(_sum(c("npa")), F.lit(0.0)).cast("long")
+    return out.select(actor, "state_id", "action_id", *[c("p")[i].alias(f"p{i}") for i in range(k)], seen.alias("n_obs"))
+
+
+def dirichlet_factors(log: DataFrame, actor: str, alpha: float, alpha_actor: float, minimum: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same distribution over all states and valid actions, as its factors: no (actor, state, action) grid is written out.
+
+    Returns the league's cells (state, action, p: the whole grid of 64,800 rows), the actors' tilts
+    (actor, count, type, tilt: valid types in all 12 counts), and the actors' own counts (actor, state, action, n).
+    p of a cell = shares of (n + alpha_actor * shares of (league p * tilt)) over the allowed outcomes.
+    """
+    cells, levels = dirichlet_levels(log, actor)
+    spark = log.sparkSession
+    n_states = states.N_COUNTS * states.N_BASE_OUT
+    grid = spark.range(n_states * states.N_ACTIONS).select(states.idiv(c("id"), states.N_ACTIONS).alias("state_id"), (c("id") % states.N_ACTIONS).alias("action_id"))
+    grid = grid.withColumns({"_c": states.idiv(c("state_id"), states.N_BASE_OUT), "_g": states.idiv(c("action_id"), 25)})
+    for name in ("nc", "nca", "nsa", "ncg"):
+        by, table = levels[name]
+        grid = grid.join(table, by, "left")
+    league = smoothed_cells(grid.withColumn("mask", outcome_mask(c("_c"))), alpha, alpha_actor, "cell").select("state_id", "action_id", c("cell").alias("p"))
+    kinds = valid_types(cells, actor, minimum).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(states.N_COUNTS - 1).cast("long"))))
+    for name in ("nc", "ncg", "npg"):
+        by, table = levels[name]
+        kinds = kinds.join(table, by, "left")
+    tilts = smoothed_cells(kinds.withColumn("mask", outcome_mask(c("_c"))), alpha, alpha_actor, "tilt").select(actor, c("_c").alias("count_id"), c("_g").alias("pitch_id"), "tilt")
+    own = levels["npa"][1].toDF(actor, "state_id", "action_id", "n")  # columns of its own: both sides come from one table
+    return league, tilts, own
 
 
 # --- factored behaviour policy ----------------------------------------------------

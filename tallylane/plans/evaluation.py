@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallylane.keys import DEFAULT_KEYS as K
-from tallylane.operators import aggs, ope, policy
+from tallylane.operators import aggs, freq, ope, policy
+from tallylane.operators.lineage import materialise
 from tallylane.plans.aggregates import EP_CTE, _episodes, dirichlet
 from tallylane.plans.encoders import IDS_CTE
 from tallylane.plans.registry import query
@@ -64,19 +65,37 @@ def _i01(t):
     return policy.reward_next(aggs.delta_expectancy(aggs.expectancy_change(ep, aggs.run_expectancy(ep))))
 
 
-def model_rows(t):
-    return policy.expected_rows(dirichlet(t).drop("n_obs"), _i01(t))
+def solved(t, value):
+    return policy.solve(freq.dirichlet_factors(t.ids, "pitcher", 20.0, 40.0, 12), _i01(t), "pitcher", 40.0, value)
 
 
 @query("i02_policy_optimisation", doubles=["q", "v"])
 def _i02(t):
-    return policy.optimise(model_rows(t))
+    """Optimal values over the full support; rows for used actions and the best one of every state."""
+    return solved(t, "optimal").withColumn("converged", c("change") < 1e-9).drop("change")
 
 
 @query("i03_policy_evaluation", doubles=["pi", "q", "v"])
 def _i03(t):
-    uniform = 1.0 / F.count("*").over(Window.partitionBy("pitcher", "state_id"))
-    return policy.evaluate(model_rows(t).withColumn("pi", uniform))
+    """Values of the uniform policy over the valid actions."""
+    return solved(t, "uniform").withColumns({"pi": 1.0 / c("n_actions"), "converged": c("change") < 1e-9}).drop("change")
+
+
+@query("i02_bellman_residual", IDS_CTE + """,
+ty AS (SELECT pitcher, action_id // 25 AS g, count(*) AS n FROM ids WHERE action_id >= 0 AND outcome_id >= 0 GROUP BY 1, 2 HAVING count(*) >= 12)
+SELECT pitcher, count(*) * 25 AS n_actions, 288::BIGINT AS states, true AS optimal, true AS consistent FROM ty GROUP BY 1""")
+def _i02b(t):
+    """Checked by joins, not by the solver: V is the best Q of its state, and Q of a used cell is its expected reward plus next value."""
+    q = materialise(solved(t, "optimal").select("pitcher", "state_id", "action_id", "q", "v", "n_actions"))
+    cells = dirichlet(t).drop("n_obs")
+    v = q.select("pitcher", c("state_id").alias("next_state"), c("v").alias("next_v")).distinct()
+    after = _i01(t).crossJoin(F.broadcast(q.select("pitcher").distinct())).join(v, ["pitcher", "next_state"], "left")
+    target = after.groupBy("pitcher", "state_id").agg(*[F.max(F.when(c("outcome_id") == o, c("reward") + F.coalesce("next_v", F.lit(0.0)))).alias(f"t{o}") for o in range(11)])
+    expected = sum((c(f"p{o}") * c(f"t{o}") for o in range(1, 11)), c("p0") * c("t0"))
+    used = q.join(cells, ["pitcher", "state_id", "action_id"]).join(target, ["pitcher", "state_id"]).groupBy("pitcher").agg(F.max(F.abs(expected - c("q"))).alias("gap"))
+    best = q.groupBy("pitcher", "state_id").agg(F.max("q").alias("best"), F.max("v").alias("v"), F.max("n_actions").alias("n_actions"))
+    best = best.groupBy("pitcher").agg(F.max("n_actions").alias("n_actions"), F.count("*").alias("states"), (F.max(F.abs(c("best") - c("v"))) < 1e-7).alias("optimal"))
+    return best.join(used, "pitcher").withColumn("consistent", c("gap") < 1e-6).drop("gap")
 
 
 @query("i04_relaxed_policies", QT_CTE + """,

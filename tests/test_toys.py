@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallylane.functions import codes, hashing, states
 from tallylane.functions.quantiles import exact_quantiles
 from tallylane.keys import DEFAULT_KEYS as K
-from tallylane.operators import aggs, boot, ordered, policy, score
+from tallylane.operators import aggs, boot, freq, model, ordered, policy, score
 
 
 def expectancy_toy(spark):
@@ -100,24 +100,51 @@ def test_whole_percents_share_ties(spark):
     assert [r["percent"] for r in aggs.whole_percents(df, ["g"], "item").collect()] == [33, 33, 33]
 
 
-def test_value_iteration_brute_force(spark):
-    """Two actions per state of a short chain, compared with enumerating all policies."""
+def test_value_iteration_brute_force():
+    """Two actions per state of a short chain, compared with enumerating all policies; next states by outcome, and by action too."""
     rng = np.random.default_rng(5)
-    rows, table = [], {}
-    for s, nxt in ((0, 1), (1, 2), (2, 2)):
-        for a in (0, 1):
-            p, r = float(rng.uniform(0.2, 0.8)), float(rng.normal())
-            table[s, a] = (p, r, nxt)
-            rows.append((7, s, a, r, p, 0.0, 0.0, nxt, -1, -1))
-    df = spark.createDataFrame(rows, "pitcher bigint, state_id bigint, action_id bigint, r double, p0 double, p1 double, p2 double, s0 bigint, s1 bigint, s2 bigint")
-    got = {(x["state_id"], x["action_id"]): x for x in policy.optimise(df).collect()}
-
-    def value(choice):
-        v = np.zeros(3)
-        for _ in range(500):
-            v = np.array([table[s, choice[s]][1] + table[s, choice[s]][0] * v[table[s, choice[s]][2]] for s in range(3)])
-        return v
-
-    best = np.max([value(ch) for ch in itertools.product((0, 1), repeat=3)], axis=0)
-    for s in range(3):
-        assert got[s, 0]["v"] == pytest.approx(best[s], abs=1e-6)
+    for by_action in (False, True):
+        p = rng.dirichlet((1, 1), (3, 2))
+        reward = rng.normal(size=(3, 2))
+        after = np.array([[1, -1], [2, -1], [2, -1]]) if not by_action else np.array([[[1, -1], [2, -1]], [[2, -1], [-1, 2]], [[2, -1], [-1, -1]]])
+        p = p * 0.9  # shorter than one, so that every policy ends
+        q, v, sweeps, change = policy.iterate(p, reward, after, policy.VALUES["optimal"], max_iter=1000)
+
+        def value(choice):
+            own = np.zeros(3)
+            for _ in range(800):
+                own = policy.backup(p, reward, after, own)[np.arange(3), list(choice)]
+            return own
+
+        best = np.max([value(ch) for ch in itertools.product((0, 1), repeat=3)], axis=0)
+        assert v == pytest.approx(best, abs=1e-6) and change < 1e-9 and sweeps < 1000
+        assert policy.iterate(p, reward, after, policy.VALUES["optimal"], max_iter=2)[3] > 1e-9
+
+
+def test_factors_give_the_smoothed_table(spark):
+    """League cells, tilts and own counts put together equal the table of cells; states nobody has seen are solved too."""
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(s), int(g * 25 + rng.integers(3)), int(o)) for a, s, g, o in zip(rng.integers(0, 3, 600), rng.integers(0, 40, 600), rng.integers(0, 2, 600), rng.integers(0, 11, 600), strict=True)]
+    log = spark.createDataFrame(rows, "pitcher long, state_id long, action_id long, outcome_id long")
+    table = {(r.pitcher, r.state_id, r.action_id): r for r in freq.dirichlet_table(log, None, "pitcher", 20.0, 40.0, 12).collect()}
+    league, tilts, own = freq.dirichlet_factors(log, "pitcher", 20.0, 40.0, 12)
+    cell = {(r.state_id, r.action_id): np.array(r.p) for r in league.collect()}
+    tilt = {(r.pitcher, r.count_id, r.pitch_id): np.array(r.tilt) for r in tilts.collect()}
+    assert len(cell) == 288 * 225
+    for r in own.collect():
+        prior = cell[r.state_id, r.action_id] * tilt[r.pitcher, r.state_id // 24, r.action_id // 25]
+        p = np.array(r.n) * (cell[r.state_id, r.action_id] > 0) + 40.0 * prior / prior.sum()
+        assert p / p.sum() == pytest.approx([table[r.pitcher, r.state_id, r.action_id][f"p{o}"] for o in range(11)])
+    rewards = spark.range(288 * 11).selectExpr("id div 11 as state_id", "id % 11 as outcome_id", "(id % 7) / 10.0 - 0.3D as reward", "case when id % 11 < 2 and id div 11 < 264 then id div 11 + 24 else -1L end as next_state")
+    solved = policy.solve((league, tilts, own), rewards, "pitcher", 40.0).toPandas()
+    assert solved.groupby("pitcher").state_id.nunique().tolist() == [288] * 3 and (solved.change < 1e-9).all()
+    assert (solved.groupby(["pitcher", "state_id"]).q.max() - solved.groupby(["pitcher", "state_id"]).v.first()).abs().max() < 1e-9
+
+
+def test_isotonic_lookup_takes_the_block_above_a_gap(spark):
+    edges = model.upper_edges([0.1, 0.3, 0.5, 0.7], [0.2, 0.2, 0.6, 0.6])
+    assert edges == [(0.3, 0.2), (0.7, 0.6)]
+    got = [r.v for r in spark.createDataFrame([(x,) for x in (0.0, 0.3, 0.4, 0.7, 0.9)], "x double").select(model.step_value(F.col("x"), edges).alias("v")).collect()]
+    assert got == [0.2, 0.2, 0.6, 0.6, 0.6]
+
+

@@ -4,24 +4,34 @@ Rows are first summed per cluster, so the resampling never touches raw events.
 i of a draw picks cluster floor(u * G) with u from SHA-256 of (seed, draw, slot): an
 exact with-replacement draw that does not depend on partitioning.  Clusters get their
 index from a digest order built in hash ranges, so no global sort runs in one task.
-The drawn (draw, cluster) pairs are joined on the cluster index, whose use is uniform,
-and summed map-side per draw.
+
+Cluster sums are computed once and kept.  Up to PACKED clusters in a group they are
+packed into one row for each group and block of draws, and a task draws and sums
+inside that row: no row for each drawn cluster exists.  Beyond it the drawn (draw, cluster) pairs are
+joined on the cluster index, whose use is uniform, and summed map-side per draw.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylane.functions import hashing
+from tallylane.operators.lineage import materialise
 
 c = F.col
+#: Clusters of a group that are packed into a row, and draws made from such a row at once.
+PACKED, BLOCK = 100_000, 50
 
 
 def cluster_sums(df: DataFrame, cluster: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, cluster).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    """One row per (group, cluster), computed once: point estimates and resampling both read it."""
+    return materialise(df.groupBy(*by, cluster).agg(*[F.sum(e).alias(n) for n, e in sums.items()]))
 
 
 def digest_rank(df: DataFrame, digest: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -38,10 +48,13 @@ def digest_rank(df: DataFrame, digest: Column, by: Sequence[str] = ()) -> DataFr
     return d.join(ranges, [*by, "_r"]).withColumn("_i", F.row_number().over(inside) - 1 + c("_off")).drop("_d", "_r", "_off")
 
 
-def bootstrap(sums: DataFrame, cluster: str, columns: Sequence[str], draws: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+def bootstrap(sums: DataFrame, cluster: str, columns: Sequence[str], draws: int, seed: str, by: Sequence[str] = (), packed: int = PACKED) -> DataFrame:
     """Resampled column sums per group and draw, plus `n_clusters`.  `sums` has one row per (group, cluster)."""
     by = list(by)
+    sizes = sums.groupBy(*by).count() if by else sums.agg(F.count("*").alias("count"))
     indexed = digest_rank(sums, hashing.digest(seed, c(cluster)), by)
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= packed:
+        return _packed_draws(indexed, columns, draws, seed, by)
     slots = indexed.select(*by, "_g", "_i").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = hashing.uniform(hashing.digest(seed, c("draw"), c("_i")))
     picked = slots.select(*by, "draw", F.floor(u * c("_g")).alias("_i"))
@@ -49,6 +62,26 @@ def bootstrap(sums: DataFrame, cluster: str, columns: Sequence[str], draws: int,
     return drawn.groupBy(*by, "draw").agg(*[F.sum(x).alias(x) for x in columns], F.max("_g").alias("n_clusters"))
 
 
+def _packed_draws(indexed: DataFrame, columns: Sequence[str], draws: int, seed: str, by: list[str]) -> DataFrame:
+    """The same draws from groups packed into arrays; a missing sum adds nothing."""
+    rows = indexed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", *[c(x).cast("double").alias(x) for x in columns]))).alias("_rows"))
+    packed = rows.select(*by, *[c("_rows").getField(x).alias(x) for x in columns])
+    blocks = packed.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK)))).repartition(*by, "_first")
+
+    def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for row in range(batch.num_rows):
+                arrays = [batch.column(i)[row].values.fill_null(0.0).to_numpy(zero_copy_only=False) for i in range(len(by), len(by) + len(columns))]
+                g, first = len(arrays[0]), batch.column(batch.num_columns - 1)[row].as_py()
+                numbers = range(first, min(first + BLOCK, draws))
+                picked = [(np.array([int(hashlib.sha256(f"{seed}:{n}:{i}".encode()).hexdigest()[:13], 16) for i in range(g)]) / float(1 << 52) * g).astype(np.int64) for n in numbers]
+                keys = [batch.column(i).slice(row, 1).take(pa.array([0] * len(numbers))) for i in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers, pa.int32()), *[pa.array([float(x[p].sum()) for p in picked]) for x in arrays], pa.array([g] * len(numbers), pa.int64())], names=[*by, "draw", *columns, "n_clusters"])
+
+    fields = "".join(f"`{x}` {indexed.schema[x].dataType.simpleString()}, " for x in by) + "draw int, " + "".join(f"`{x}` double, " for x in columns)
+    return blocks.mapInArrow(draw, f"{fields}n_clusters long")
+
+
 def interval(replicates: DataFrame, estimate: Column, by: Sequence[str] = (), probs: Sequence[float] = (0.025, 0.975)) -> DataFrame:
     """Percentile interval and spread of an estimate over the draws (null estimates are left out)."""
     g = replicates.withColumn("_e", estimate).groupBy(*by)

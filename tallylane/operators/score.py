@@ -112,7 +112,10 @@ def compare(df: DataFrame, cluster: str, metrics: Mapping[str, str], draws: int,
     extreme = F.abs(centred) >= F.abs(c("delta")) if two_sided else centred <= c("delta")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975), F.lit(float(upper))))
     stats = both.groupBy(*by, "metric").agg(q.alias("_q"), ((1 + F.count_if(extreme)) / (draws + 1)).alias("p"))
-    return obs.join(stats, [*by, "metric"]).select(*by, "metric", "n", "clusters", "delta", c("_q")[0].alias("ci_low"), c("_q")[1].alias("ci_high"), c("_q")[2].alias("upper"), "p")
+    # one cluster has no spread to resample: no interval and no p-value
+    enough = c("clusters") >= 2
+    found = {"ci_low": c("_q")[0], "ci_high": c("_q")[1], "upper": c("_q")[2], "p": c("p")}
+    return obs.join(stats, [*by, "metric"]).select(*by, "metric", "n", "clusters", "delta", *[F.when(enough, x).alias(name) for name, x in found.items()])
 
 
 def holm(df: DataFrame, p: str, family: Sequence[str] = ()) -> DataFrame:

@@ -89,6 +89,16 @@ def test_bootstrap_draws_every_slot(spark):
     assert abs(means.mean() - 18) < 0.5 and 0.8 * sd < means.std() < 1.2 * sd
 
 
+def test_packed_and_joined_draws_are_the_same(spark):
+    rows = [(g, i, float(i), None if i == 3 else 1.0) for g in ("a", "b") for i in range(20 if g == "a" else 1)]
+    sums = spark.createDataFrame(rows, "h string, g long, s double, n double")
+    both = [sorted(map(str, boot.bootstrap(sums, "g", ["s", "n"], 70, "t", ["h"], packed=limit).select("h", "draw", "s", "n", "n_clusters").fillna(0.0).collect())) for limit in (100, 0)]
+    assert both[0] == both[1] and len(both[0]) == 140
+    log = spark.createDataFrame([("a", i % 4, 0.1 * i) for i in range(40)] + [("b", 1, 0.5)], "h string, g long, d double")
+    got = {r.h: r for r in score.compare(log, "g", {"m": "d"}, 50, "t", ["h"]).collect()}
+    assert got["b"].clusters == 1 and got["b"].p is None and got["b"].ci_low is None and got["a"].p is not None
+
+
 def test_holm_by_hand(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", None), ("d", 0.03)], "k string, p double")
     got = {r["k"]: r["p_holm"] for r in score.holm(df, "p").collect()}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylane.llm.shared import buffers
+from tallylane.llm.shared import buffers, release
 
 Q = 8
 #: Length and spacing of the windows of an item that are searched for; a shorter item is one window.
@@ -218,6 +218,7 @@ def _one_pass(docs: DataFrame, items: list, key: str, text: str, item: str, item
     columns = [key, item, "windows", "edits", "ends_at"]
 
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             data, offsets = buffers(batch.column(1))
             low = 0

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylane.llm.shared import materialise, text_of
+from tallylane.llm.shared import hold, materialise, text_of
 
 LIMIT = 4096
 #: Pieces that one packing task takes; each task wastes less than one sequence.
 GROUP = 20_000
 #: Words whose ids a Python worker remembers.
-REMEMBER = 300_000
+REMEMBER = 700_000
 
 
 class WordIds:
@@ -130,7 +130,7 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-_WORDS: dict[str, WordIds] = {}
+_WORDS: dict[str, WordIds] = hold({})
 
 
 def word_ids(path: str) -> WordIds:

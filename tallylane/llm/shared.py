@@ -44,10 +44,26 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+_HELD: list[dict] = []
+
+
+def hold(cache: dict) -> dict:
+    """Register what a Python worker keeps from task to task, so that other operators' tasks can let it go."""
+    _HELD.append(cache)
+    return cache
+
+
+def release() -> None:
+    """Let go of what earlier operators' tasks kept in this worker: memory is for one operator at a time."""
+    for cache in _HELD:
+        cache.clear()
+
+
 def in_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply a function of one record batch to every batch."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             if batch.num_rows:
                 yield step(batch)

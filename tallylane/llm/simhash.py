@@ -46,8 +46,8 @@ def with_fingerprints(docs: DataFrame, key: str, text: str, widths: dict[str, in
     """The key and a signed 64-bit fingerprint for each named shingle width; a null text has no words."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
-        prints = [np.fromiter((fingerprint(x, w) for x in texts), np.uint64, len(texts)).view(np.int64) for w in widths.values()]
+        values = [[fingerprint(text, w) for w in widths.values()] for text in (x.as_buffer().to_pybytes() for x in batch.column(1))]
+        prints = list(np.array(values, np.uint64).view(np.int64).T.copy())
         return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints)], names=[key, *widths])
 
     fields = "".join(f", `{name}` long" for name in widths)

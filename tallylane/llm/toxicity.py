@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylane.llm.shared import text_of
+from tallylane.llm.shared import release, text_of
 
 #: Labelled rows, and bytes of their texts, that a model is fitted on at most.
 TOXIC_ROWS, ORDINARY_ROWS, TRAIN_BYTES = 3000, 6000, 1 << 26
@@ -187,6 +187,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     at = docs.columns.index(text)
 
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lengths = model.lengths() if model.weights else None
         for batch in it:
             if batch.num_rows:

@@ -20,24 +20,36 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), ranges: int = 1024) -> DataFrame:
+def cumulative_counts(counts: DataFrame, value: str, count: str, by: Sequence[str] = (), ranges: int = 64) -> DataFrame:
+    """`counts` (one row per value and group) with `below` (count of smaller values) and `total` of the group.
+
+    Values are split into ranges at the edges of a quantile sketch over them, so that ranges hold about as many values
+    each, however they are spread; only range totals are ordered per group.  The edges decide the split
+    alone: results are exact.
+    """
+    by = list(by)
+    shares = [i / ranges for i in range(1, ranges)]
+    edges = (counts.groupBy(*by) if by else counts).agg(F.percentile_approx(value, shares, 10_000).alias("_edges"))
+    joined = counts.join(edges, by) if by else with_row(counts, edges)
+    placed = joined.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    totals = placed.groupBy(*by, "_b").agg(F.sum(count).alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(*by)).alias("total"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_own", F.sum(count).over(inside) - F.col(count))
+    return summed.join(offsets, [*by, "_b"]).withColumn("below", F.col("_before") + F.col("_own")).drop("_b", "_own", "_before")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: `n` and `q` = linearly interpolated quantiles, in the order of `probs`."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    span = counts.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    joined = counts.join(span, by) if by else with_row(counts, span)
-    bucketed = joined.withColumn("b", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges), F.lit(ranges - 1))).otherwise(0).cast("int"))
-    totals = bucketed.groupBy(*by, "b").agg(F.sum("c").alias("t"))
-    before = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
-    inside = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bucketed.join(offsets, [*by, "b"]).withColumn("last", F.col("before") + F.sum("c").over(inside) - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    ranked = cumulative_counts(counts, "v", "c", by).withColumnRenamed("total", "n")
     exprs = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.floor(h), F.ceil(h)
-        for name, rank in (("l", low), ("h", high)):
-            exprs.append(F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("v"))).alias(f"{name}{i}"))
+        for name, rank in (("l", F.floor(h)), ("h", F.ceil(h))):
+            exprs.append(F.max(F.when((F.col("below") <= rank) & (F.col("below") + F.col("c") > rank), F.col("v"))).alias(f"{name}{i}"))
     picked = ranked.groupBy(*by).agg(F.max("n").alias("n"), *exprs)
     q = []
     for i, p in enumerate(probs):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylane.functions import codes, states
-from tallylane.functions.quantiles import exact_quantiles, with_row
+from tallylane.functions.quantiles import cumulative_counts, exact_quantiles, with_row
 from tallylane.keys import LogKeys
 from tallylane.operators import ordered
 
@@ -266,10 +266,8 @@ def mass_audit(weighted: DataFrame, ids: Mapping[str, str], weight: str = "weigh
 
 def average_percent_rank(df: DataFrame, value: str, output: str, by: Sequence[str] = ()) -> DataFrame:
     """Average-tie percent rank from counts per distinct value, so ties cost one row."""
-    per = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    per = per.withColumns({"_below": F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy(*by))})
-    per = per.select(*by, value, ((c("_below") + (c("_c") + 1) / 2.0) / c("_n")).alias(output))
+    per = cumulative_counts(df.groupBy(*by, value).agg(F.count("*").alias("_c")), value, "_c", by)
+    per = per.select(*by, value, ((c("below") + (c("_c") + 1) / 2.0) / c("total")).alias(output))
     return df.join(per, [*by, value])
 
 

@@ -94,7 +94,7 @@ def style_history(log: DataFrame, keys: LogKeys, terminal: Column) -> DataFrame:
     league = daily.groupBy(keys.date).agg(*[F.sum(n).alias(n) for n in names]).select(
         keys.date, *[((F.coalesce(F.sum(f"n{i}").over(league_w), F.lit(0.0)) + LEAGUE_WEIGHT * INITIAL_RATES[i])
                       / (F.coalesce(F.sum(f"d{i}").over(league_w), F.lit(0.0)) + LEAGUE_WEIGHT)).alias(f"l{i}") for i in range(len(STYLES))])
-    own = prior_dates(daily, [keys.entity], keys.date, names).join(league, keys.date)
+    own = prior_dates(daily, [keys.entity], keys.date, names).join(F.broadcast(league), keys.date)  # one row per date
     rates = [((c(f"n{i}") + PRIOR_WEIGHTS[i] * c(f"l{i}")) / (c(f"d{i}") + PRIOR_WEIGHTS[i])).alias(f"{s}_prior") for i, s in enumerate(STYLES)]
     weights = [(c(f"d{i}") / (c(f"d{i}") + PRIOR_WEIGHTS[i])).alias(f"{s}_weight") for i, s in enumerate(STYLES)]
     return own.select(keys.entity, keys.date, *rates, *weights)
@@ -111,19 +111,20 @@ def long_history(log: DataFrame, keys: LogKeys, token: str, length: int) -> Data
     ep = log.groupBy(*keys.episode_key, keys.date).agg(
         F.min(keys.entity).alias(keys.entity), F.max(keys.entity).alias("_hi"), F.sort_array(F.collect_list(order)).alias("_ev")).where(c(keys.entity) == c("_hi")).drop("_hi")
     earlier = Window.partitionBy(keys.cluster, keys.entity).orderBy(keys.episode).rowsBetween(-length, -1)
-    ep = ep.withColumn("_game", F.flatten(F.collect_list("_ev").over(earlier)))
+    last = lambda x: F.slice(x, F.greatest(F.size(x) - length + 1, F.lit(1)), length)
+    ep = ep.withColumn("_game", F.flatten(F.collect_list("_ev").over(earlier))).withColumns({"_n_game": F.size("_game"), "_game": last(c("_game"))})
     newest = Window.partitionBy(keys.entity, keys.date).orderBy(c(keys.cluster).desc(), c(keys.episode).desc())
     tail = ep.select(keys.entity, keys.date, keys.cluster, keys.episode, "_ev").withColumn("_r", F.row_number().over(newest)).where(c("_r") <= length)
     tail = tail.groupBy(keys.entity, keys.date).agg(F.sort_array(F.flatten(F.collect_list("_ev"))).alias("_ev"))
-    tail = tail.withColumn("_ev", F.slice("_ev", F.greatest(F.size("_ev") - length + 1, F.lit(1)), length))
+    tail = tail.withColumn("_ev", last(c("_ev")))
     before = Window.partitionBy(keys.entity).orderBy(keys.date).rowsBetween(-length, -1)
-    dated = tail.withColumn("_past", F.flatten(F.collect_list("_ev").over(before))).drop("_ev")
+    # cut before the join: an episode takes `length` tokens of the past, not `length` dates of them
+    dated = tail.withColumn("_past", F.flatten(F.collect_list("_ev").over(before))).withColumn("_past", last(c("_past"))).drop("_ev")
     both = ep.join(dated, [keys.entity, keys.date], "left")
     merged = F.concat(F.coalesce("_past", F.slice("_game", 1, 0)), c("_game"))
-    kept = F.slice(merged, F.greatest(F.size(merged) - length + 1, F.lit(1)), length)
     return both.select(
-        *keys.episode_key, keys.entity, F.transform(kept, lambda x: x["token"]).alias("tokens"),
-        F.least(F.size("_game"), F.lit(length)).cast("bigint").alias("n_cluster"))
+        *keys.episode_key, keys.entity, F.transform(last(merged), lambda x: x["token"]).alias("tokens"),
+        F.least("_n_game", F.lit(length)).cast("bigint").alias("n_cluster"))
 
 
 def prior_support(log: DataFrame, keys: LogKeys, fit: Column) -> DataFrame:

@@ -90,16 +90,22 @@ def frequency_chain(train: DataFrame, levels: Sequence[tuple[Sequence[str], floa
 
 
 def chain_lookup(df: DataFrame, tables: Sequence[DataFrame], levels: Sequence[Sequence[str]], output: str = "p") -> DataFrame:
-    """Most specific probability vector available for every row, with the level it came from (0 = global)."""
-    out = with_row(df, tables[0].withColumnRenamed("p", "_p0"))
+    """Most specific probability vector available for every row, with the level it came from (0 = global).
+
+    The levels are looked up once for each distinct key of the rows, and the rows are joined with the
+    result once, on all keys: coarse keys, of which few exist, never place the rows.
+    """
+    keys = list(dict.fromkeys(k for by in levels for k in by))
+    out = with_row(df.select(*keys).distinct(), tables[0].withColumnRenamed("p", "_p0"))
     for i, by in enumerate(levels, 1):
         out = out.join(tables[i].withColumnRenamed("p", f"_p{i}"), list(by), "left")
     depth = len(levels)
     origin = F.lit(0)
     for i in range(1, depth + 1):
         origin = F.when(c(f"_p{i}").isNotNull(), i).otherwise(origin)
-    out = out.withColumns({output: F.coalesce(*[c(f"_p{i}") for i in range(depth, -1, -1)]), "origin": origin.cast("bigint")})
-    return out.drop(*[f"_p{i}" for i in range(depth + 1)])
+    found = out.select(*[c(k).alias(f"_k_{k}") for k in keys], F.coalesce(*[c(f"_p{i}") for i in range(depth, -1, -1)]).alias(output), origin.cast("bigint").alias("origin"))
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_k_{k}")) for k in keys])
+    return df.join(found, same).drop(*[f"_k_{k}" for k in keys])
 
 
 def transition_counts(log: DataFrame, actor: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,39 +19,63 @@ BITS = 64
 SHARD = 512
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Majority vote over the XXH64 (seed 42) of the word shingles; zero where there is no word."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle; of the whole word sequence where it is shorter; none without words."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - width + 1)
     begin = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     end = ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[i:j], 42) for i, j in zip(begin, end, strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[i:j], 42) for i, j in zip(begin, end, strict=True)), np.uint64, n)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes; zero for none."""
+    n = len(hashes)
+    if not n:
+        return 0
     # ones per bit, from the counts of each byte value at each byte place
     places = hashes.view(np.uint8).reshape(n, 8) + _PLACE
     ones = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF
     return int.from_bytes(np.packbits((2 * ones > n).ravel(), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Majority vote over the XXH64 (seed 42) of the word shingles; zero where there is no word."""
+    return vote(shingle_hashes(text, width))
+
+
+def _remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same shingles: another fingerprint, independent of the first (number 0)."""
+    if not number:
+        return hashes
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * number)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 _PLACE = (np.arange(8, dtype=np.int16) * 256)[None, :]
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, key: str, text: str, widths: dict[str, int]) -> DataFrame:
-    """The key and a signed 64-bit fingerprint for each named shingle width; a null text has no words."""
+def with_fingerprints(docs: DataFrame, key: str, text: str, prints: dict[str, tuple[int, int]]) -> DataFrame:
+    """The key and, for each name, the signed 64-bit fingerprint of (shingle width, number); a null text has no words."""
+    widths = sorted({w for w, _ in prints.values()})
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = [[fingerprint(text, w) for w in widths.values()] for text in (x.as_buffer().to_pybytes() for x in batch.column(1))]
-        prints = list(np.array(values, np.uint64).view(np.int64).T.copy())
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints)], names=[key, *widths])
+        values = np.zeros((batch.num_rows, len(prints)), np.uint64)
+        for row, text in enumerate(batch.column(1)):
+            hashes = {w: shingle_hashes(text.as_buffer().to_pybytes(), w) for w in widths}
+            values[row] = [vote(_remixed(hashes[w], number)) for w, number in prints.values()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values.view(np.int64).T.copy())], names=[key, *prints])
 
-    fields = "".join(f", `{name}` long" for name in widths)
+    fields = "".join(f", `{name}` long" for name in prints)
     return in_arrow(docs.select(key, text_of(text).cast("binary").alias("__text")), step, f"`{key}` {docs.schema[key].dataType.simpleString()}{fields}")
 
 
@@ -131,23 +156,26 @@ def close_links(points: DataFrame, reach: int = 3, slack: int = BITS, shard: int
     return routed.groupBy("leaf").applyInPandas(link, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, reach: int = 3, check_width: int | None = None, slack: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, reach: int = 3, check_width: int | None = None, slack: int = BITS, tries: int = 1) -> DataFrame:
     """Columns key, fp (signed long) and component_id (smallest key reachable) for every document.
 
-    Documents are linked when their fingerprints over `width` words differ in at most `reach` bits and,
-    where `check_width` is given, those over so many words in at most `slack` bits.  Copies are folded by
-    fingerprint before any search, so a group of copies of any size is one point.  Null and empty texts
-    have fingerprint zero and are linked like any others; an empty table gives no row.  Keys are whole
-    numbers and unique; a row without a key goes with its group but never stands for it.  Other columns
-    do not matter.
+    Documents are linked when their fingerprints over `width` words differ in at most `reach` bits (any of
+    `tries` fingerprints of the same shingles under different hashes) and, where `check_width` is given, those over so many
+    words in at most `slack` bits.  Copies are folded by fingerprint before any search, so a group of
+    copies of any size is one point.  Null and empty texts have fingerprint zero and are linked like any
+    others; an empty table gives no row.  Keys are whole numbers and unique; a row without a key goes
+    with its group but never stands for it.  Other columns do not matter.
     """
-    widths = {"fp": width} | ({"check": check_width} if check_width else {})
-    prints = with_fingerprints(docs, key, text, widths)
+    names = ["fp", *(f"fp{i}" for i in range(1, tries))]
+    wanted = {name: (width, i) for i, name in enumerate(names)} | ({"check": (check_width, 0)} if check_width else {})
+    prints = with_fingerprints(docs, key, text, wanted)
     prints = materialise(prints if check_width else prints.withColumn("check", F.lit(0).cast("long")))
-    points = materialise(prints.groupBy("fp", "check").agg(F.min(key).alias("node")))
-    parts = connected_components(close_links(points.where("node is not null"), reach, slack))
-    named = points.join(parts, "node", "left").select("fp", "check", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, ["fp", "check"]).select(key, "fp", "component_id")
+    points = materialise(prints.groupBy(*names, "check").agg(F.min(key).alias("node")))
+    searched = points.where("node is not null")
+    links = [close_links(searched.select("node", F.col(name).alias("fp"), "check"), reach, slack) for name in names]
+    parts = connected_components(reduce(DataFrame.union, links))
+    named = points.join(parts, "node", "left").select(*names, "check", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, [*names, "check"]).select(key, "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

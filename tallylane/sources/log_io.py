@@ -78,14 +78,17 @@ def permissive_union(parts: Sequence[DataFrame]) -> DataFrame:
 def row_digest(columns: Sequence[str]):
     """48-bit number of a row's content."""
     text = F.concat_ws("|", *[F.coalesce(c(x).cast("string"), F.lit("~")) for x in columns])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("bigint")
 
 
 def manifest(df: DataFrame, season: str, keys: LogKeys, columns: Sequence[str]) -> DataFrame:
-    """Per season: rows, duplicate keys, date range and an order-insensitive content digest."""
-    per_key = df.withColumn("_h", row_digest(columns)).groupBy(season, *keys.event).agg(F.count("*").alias("_c"), F.sum("_h").alias("_h"), F.min(keys.date).alias("_a"), F.max(keys.date).alias("_b"))
+    """Per season: rows, duplicate keys, date range and an order-insensitive content digest.
+
+    The digest is the sum of the rows' 48-bit digests as text; a decimal sum cannot overflow.
+    """
+    per_key = df.withColumn("_h", row_digest(columns)).groupBy(season, *keys.event).agg(F.count("*").alias("_c"), F.sum(c("_h").cast("decimal(20,0)")).alias("_h"), F.min(keys.date).alias("_a"), F.max(keys.date).alias("_b"))
     return per_key.groupBy(season).agg(
-        F.sum("_c").alias("rows"), F.count_if(c("_c") > 1).alias("duplicate_keys"), F.min("_a").alias("first_date"), F.max("_b").alias("last_date"), F.sum("_h").alias("digest"))
+        F.sum("_c").alias("rows"), F.count_if(c("_c") > 1).alias("duplicate_keys"), F.min("_a").alias("first_date"), F.max("_b").alias("last_date"), F.sum("_h").cast("string").alias("digest"))
 
 
 def write_version(df: DataFrame, path: str, season: str) -> None:

@@ -229,18 +229,16 @@ def dirichlet_factors(log: DataFrame, actor: str, alpha: float, alpha_actor: flo
 
 # --- factored behaviour policy ----------------------------------------------------
 
-def _with_level(df: DataFrame, cells: DataFrame, keys: Sequence[str], name: str, fold: str | None) -> DataFrame:
-    """Attach a level's count; with a fold, the count over the other folds (total minus own)."""
-    if fold is None:
-        lev = cells.groupBy(*keys).agg(F.sum("n").alias(name))
-        return df.join(lev, list(keys), "left")
-    own = cells.groupBy(*keys, fold).agg(F.sum("n").alias("_own"))
-    both = own.groupBy(*keys).agg(F.sum("_own").alias("_all"))
-    if not keys:
-        lev = with_row(own, both)
-    else:
-        lev = own.join(both, list(keys))
-    return df.join(lev.select(*keys, fold, (c("_all") - c("_own")).alias(name)), [*keys, fold], "left")
+def _with_bounded_level(df: DataFrame, cells: DataFrame, keys: Sequence[str], name: str, fold: str | None) -> DataFrame:
+    """Attach the count of a level without an actor, over the other folds if there are folds.
+
+    Such a level has at most 225 rows (and as many for each fold): it is broadcast.
+    """
+    by = [*keys, *([fold] if fold else [])]
+    own = cells.groupBy(*by).agg(F.sum("n").alias("_own"))
+    total = F.sum("_own").over(Window.partitionBy(*keys))
+    level = own.select(*by, (total - c("_own") if fold else c("_own")).alias(name))
+    return df.join(F.broadcast(level), by, "left") if by else with_row(df, level)
 
 
 def behaviour_probability(log: DataFrame, actor: str, alpha: float, floor: float = 1e-6, fold: Column | None = None) -> DataFrame:
@@ -255,17 +253,19 @@ def behaviour_probability(log: DataFrame, actor: str, alpha: float, floor: float
     if f:
         rows = rows.withColumn(f, fold)
     cells = materialise(rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n")))
-    out = cells
+    # one partitioning by actor serves all its levels; an actor has at most states x actions x folds cells
+    out = cells.repartition(actor)
     levels = {
         "g": ["pitch_id"], "_all": [], "pg": [actor, "pitch_id"], "p": [actor],
         "pcg": [actor, "count_id", "pitch_id"], "pc": [actor, "count_id"],
         "psg": [actor, "state_id", "pitch_id"], "ps": [actor, "state_id"],
         "gl": ["pitch_id", "loc_id"], "pgl": [actor, "pitch_id", "loc_id"], "pcgl": [actor, "count_id", "pitch_id", "loc_id"]}
     for name, by in levels.items():
-        if not by and f is None:
-            out = with_row(out, cells.agg(F.sum("n").alias(f"k_{name}")))
+        if actor in by:
+            own = F.sum("n").over(Window.partitionBy(*by, f)) if f else F.lit(0.0)
+            out = out.withColumn(f"k_{name}", F.sum("n").over(Window.partitionBy(*by)) - own)
         else:
-            out = _with_level(out, cells, by, f"k_{name}", f)
+            out = _with_bounded_level(out, cells, by, f"k_{name}", f)
 
     def mix(n, total, prior):
         return (c(f"k_{n}") + alpha * prior) / (c(f"k_{total}") + alpha)

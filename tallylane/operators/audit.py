@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,68 @@ def reason_counts(audit: DataFrame, reasons: Sequence[str]) -> DataFrame:
     return audit.agg(F.count("*").alias("episodes"), F.count_if("supported").alias("supported"), *[F.count_if(r).alias(r) for r in reasons])
 
 
+# Terminal classes of recorded events, and the reasons of the trajectory audit.
+EVENT_CLASS = {
+    "field_out": "out", "force_out": "out", "fielders_choice_out": "out", "sac_fly": "out", "sac_bunt": "out", "other_out": "out", "out": "out",
+    "grounded_into_double_play": "double_play", "double_play": "double_play", "sac_fly_double_play": "double_play", "single": "single", "double": "double", "triple": "triple",
+    "home_run": "home_run", "walk": "walk", "intent_walk": "walk", "hit_by_pitch": "hbp", "hbp": "hbp", "strikeout": "strikeout"}
+TRAJECTORY_REASONS = (
+    "illegal_terminal_half_transition", "illegal_terminal_outs", "illegal_terminal_score", "invalid_count_or_action", "mid_pa_context_change", "missing_terminal_next_state",
+    "nonconsecutive_pitch_sequence", "nonterminal_count_or_event_mismatch", "not_zero_count_start", "observed_action_outside_common_support", "post_score_next_state_mismatch",
+    "source_unsupported_pa", "terminal_boundary_invalid", "terminal_label_mismatch", "unmapped_outcome")
+CONTEXT = ("pitcher", "batter", "stand", "p_throws", "inning", "inning_topbot", "outs_when_up", "_bases", "home_score", "away_score")
+
+
+def trajectory_audit(log: DataFrame, support: DataFrame, source: DataFrame, keys: LogKeys, action: str) -> DataFrame:
+    """One row per episode: its terminal class, its length, whether it is kept as transitions, and all reasons against it.
+
+    `support` lists the (actor, action) pairs that a policy may be compared on, `source` the episodes' own support flag.
+    Each reason is a condition on one event beside its neighbours in the episode and the cluster; one aggregation
+    collects them.  A condition is asked only where those before it hold (label, then count and action, then
+    the terminal, then what follows it).
+    """
+    w, cluster = keys.in_episode(), keys.in_cluster()
+    label = codes.outcome10(c("description"), c("events"), c("strikes"))
+    names = F.array(*[F.lit(x) for x in codes.OUTCOME10])
+    rows = log.withColumns({
+        "_y": label, "_i": F.row_number().over(w), "_last": F.lead(keys.seq).over(w).isNull(), "_nb": F.lead("balls").over(w), "_ns": F.lead("strikes").over(w),
+        "_bases": sum((F.when(c(f"on_{i}b") > 0, 1 << i - 1).otherwise(0) for i in (2, 3)), F.when(c("on_1b") > 0, 1).otherwise(0)),
+        **{f"_to_{x}": F.lead(x).over(cluster) for x in (keys.period, keys.side, "outs_when_up", "home_score", "away_score")}})
+    rows = rows.join(support.select(keys.actor, action, F.lit(True).alias("_ok")), [keys.actor, action], "left")
+    rows = rows.withColumn("_end", F.when((c("_y") == 0) & (c("balls") == 3), "walk").when((c("_y") == 1) & (c("strikes") == 2), "strikeout").when(c("_y") >= 3, F.get(names, c("_y").cast("int"))))
+    rows = rows.withColumn("_named", codes.lookup(c("events"), EVENT_CLASS))
+
+    known = c("_y") >= 0
+    sound = known & c("balls").between(0, 3) & c("strikes").between(0, 2) & c(action).isNotNull()
+    agreed = sound & c("_last") & c("_end").isNotNull() & c("_end").eqNullSafe(c("_named"))
+    seen = agreed & c(f"_to_{keys.period}").isNotNull()
+    top = c(keys.side) == "Top"
+    same = (c(f"_to_{keys.period}") == c(keys.period)) & (c(f"_to_{keys.side}") == c(keys.side))
+    flip = (top & (c(f"_to_{keys.period}") == c(keys.period)) & (c(f"_to_{keys.side}") == "Bot")) | (~top & (c(f"_to_{keys.period}") == c(keys.period) + 1) & (c(f"_to_{keys.side}") == "Top"))
+    moved = seen & (same | (flip & (c("_to_outs_when_up") == 0)))
+    outs = F.when(same, c("_to_outs_when_up") - c("outs_when_up")).otherwise(3 - c("outs_when_up"))
+    fixed_outs = F.when(c("_end").isin("out", "strikeout"), 1).when(c("_end") == "double_play", 2)
+    counted = moved & outs.between(0, 3 - c("outs_when_up")) & F.coalesce(outs == fixed_outs, F.lit(True))
+    home, away = c("_to_home_score") - c("home_score"), c("_to_away_score") - c("away_score")
+    scored = counted & (F.least(home, away) >= 0) & (F.greatest(home, away) <= 4) & (F.when(top, home).otherwise(away) == 0)
+    terminal = F.coalesce(c("events") != "truncated_pa", F.lit(False))
+    against = {
+        "nonconsecutive_pitch_sequence": c(keys.seq) != c("_i"), "not_zero_count_start": (c("_i") == 1) & ((c("balls") != 0) | (c("strikes") != 0)),
+        "terminal_boundary_invalid": terminal != c("_last"), "unmapped_outcome": ~known, "invalid_count_or_action": known & ~sound,
+        "observed_action_outside_common_support": sound & c("_ok").isNull(),
+        "nonterminal_count_or_event_mismatch": sound & ~c("_last") & (c("_end").isNotNull() | (c("_nb") != c("balls") + (c("_y") == 0).cast("int")) | (c("_ns") != F.least(F.lit(2), c("strikes") + c("_y").isin(1, 2).cast("int")))),
+        "terminal_label_mismatch": sound & c("_last") & ~agreed, "missing_terminal_next_state": agreed & ~seen, "illegal_terminal_half_transition": seen & ~moved,
+        "illegal_terminal_outs": moved & ~counted, "illegal_terminal_score": counted & ~scored,
+        "post_score_next_state_mismatch": scored & ((c("post_home_score") != c("_to_home_score")) | (c("post_away_score") != c("_to_away_score")))}
+    change = [F.count(x) < F.count("*") for x in CONTEXT] + [F.min(x) != F.max(x) for x in CONTEXT]
+    ep = rows.groupBy(*keys.episode_key).agg(
+        F.min_by(keys.actor, "_i").alias(keys.actor), F.coalesce(F.max_by("_named", "_i"), F.lit("unknown")).alias("terminal_class"), F.count("*").alias("n_events"),
+        F.coalesce(reduce(lambda a, b: a | b, change), F.lit(False)).alias("mid_pa_context_change"), *[F.coalesce(F.bool_or(x), F.lit(False)).alias(name) for name, x in against.items()])
+    ep = ep.join(source.select(*keys.episode_key, "supported"), keys.episode_key, "left").withColumn("source_unsupported_pa", ~F.coalesce("supported", F.lit(False)))
+    reasons = F.array_compact(F.array(*[F.when(c(name), F.lit(name)) for name in TRAJECTORY_REASONS]))
+    return ep.select(*keys.episode_key, keys.actor, "terminal_class", "n_events", (F.size(reasons) == 0).alias("retained"), F.array_join(reasons, "|").alias("reasons"))
+
+
 def transitions(log: DataFrame, audit: DataFrame, keys: LogKeys, action: str) -> DataFrame:
     """Rows of supported episodes with position, next sequence number, done flag and action."""
     kept = log.join(audit.where("supported").select(*keys.episode_key), keys.episode_key, "left_semi")

@@ -243,6 +243,43 @@ def _f01b(t):
     return audit.reason_counts(audited(t)[1], audit.REASONS)
 
 
+_NAMED_SQL = "CASE events " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in audit.EVENT_CLASS.items()) + " END"
+_CHANGE_SQL = " OR ".join([f"count({x}) < count(*) OR min({x}) <> max({x})" for x in audit.CONTEXT])
+_AGAINST_SQL = {
+    "illegal_terminal_half_transition": "seen AND NOT moved", "illegal_terminal_outs": "moved AND NOT counted", "illegal_terminal_score": "counted AND NOT scored", "invalid_count_or_action": "known AND NOT sound",
+    "missing_terminal_next_state": "agreed AND NOT seen", "nonconsecutive_pitch_sequence": "pitch_number <> i_",
+    "nonterminal_count_or_event_mismatch": "sound AND NOT last_ AND (end_ IS NOT NULL OR nb <> balls + (y_ = 0)::INT OR ns <> least(2, strikes + (y_ IN (1, 2))::INT))",
+    "not_zero_count_start": "i_ = 1 AND (balls <> 0 OR strikes <> 0)", "observed_action_outside_common_support": "sound AND ok_ IS NULL",
+    "post_score_next_state_mismatch": "scored AND (post_home_score <> nh OR post_away_score <> na)", "terminal_boundary_invalid": "coalesce(events <> 'truncated_pa', false) <> last_",
+    "terminal_label_mismatch": "sound AND last_ AND NOT agreed", "unmapped_outcome": "NOT known"}
+
+
+@query("f02_trajectory_audit", AUDIT_CTE + f""",
+su AS (SELECT pitcher, pitch_type, true AS ok_ FROM log WHERE pitch_type IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 12),
+t0 AS (SELECT log.*, {OUT10_SQL} AS y_, row_number() OVER w AS i_, lead(pitch_number) OVER w IS NULL AS last_, lead(balls) OVER w AS nb, lead(strikes) OVER w AS ns,
+  CASE WHEN on_1b > 0 THEN 1 ELSE 0 END + CASE WHEN on_2b > 0 THEN 2 ELSE 0 END + CASE WHEN on_3b > 0 THEN 4 ELSE 0 END AS _bases,
+  lead(inning) OVER g AS ni, lead(inning_topbot) OVER g AS nt, lead(outs_when_up) OVER g AS no, lead(home_score) OVER g AS nh, lead(away_score) OVER g AS na
+  FROM log WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number), g AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number)),
+t1 AS (SELECT t0.*, ok_, CASE WHEN y_ = 0 AND balls = 3 THEN 'walk' WHEN y_ = 1 AND strikes = 2 THEN 'strikeout' WHEN y_ >= 3 THEN ['out', 'single', 'double', 'triple', 'home_run', 'hbp', 'double_play'][y_ - 2] END AS end_, {_NAMED_SQL} AS named
+  FROM t0 LEFT JOIN su ON su.pitcher = t0.pitcher AND su.pitch_type = t0.pitch_type),
+t2 AS (SELECT *, y_ >= 0 AS known, y_ >= 0 AND balls BETWEEN 0 AND 3 AND strikes BETWEEN 0 AND 2 AND pitch_type IS NOT NULL AS sound, ni = inning AND nt = inning_topbot AS same_,
+  (inning_topbot = 'Top' AND ni = inning AND nt = 'Bot') OR (inning_topbot <> 'Top' AND ni = inning + 1 AND nt = 'Top') AS flip FROM t1),
+t3 AS (SELECT *, sound AND last_ AND end_ IS NOT NULL AND end_ IS NOT DISTINCT FROM named AS agreed FROM t2),
+t4 AS (SELECT *, agreed AND ni IS NOT NULL AS seen, CASE WHEN same_ THEN no - outs_when_up ELSE 3 - outs_when_up END AS dout FROM t3),
+t5 AS (SELECT *, seen AND (same_ OR (flip AND no = 0)) AS moved FROM t4),
+t6 AS (SELECT *, moved AND dout BETWEEN 0 AND 3 - outs_when_up AND coalesce(dout = CASE WHEN end_ IN ('out', 'strikeout') THEN 1 WHEN end_ = 'double_play' THEN 2 END, true) AS counted FROM t5),
+t7 AS (SELECT *, counted AND least(nh - home_score, na - away_score) >= 0 AND greatest(nh - home_score, na - away_score) <= 4 AND CASE WHEN inning_topbot = 'Top' THEN nh - home_score ELSE na - away_score END = 0 AS scored FROM t6),
+t8 AS (SELECT game_pk, at_bat_number, min_by(pitcher, i_) AS pitcher, coalesce(arg_max_null(named, i_), 'unknown') AS terminal_class, count(*) AS n_events, coalesce({_CHANGE_SQL}, false) AS mid_pa_context_change,
+  {', '.join(f'coalesce(bool_or({x}), false) AS {name}' for name, x in _AGAINST_SQL.items())} FROM t7 GROUP BY 1, 2),
+t9 AS (SELECT t8.*, NOT coalesce(supported, false) AS source_unsupported_pa FROM t8 LEFT JOIN au USING (game_pk, at_bat_number))
+SELECT game_pk, at_bat_number, pitcher, terminal_class, n_events, NOT ({' OR '.join(audit.TRAJECTORY_REASONS)}) AS retained,
+  concat_ws('|', {', '.join(f"CASE WHEN {r} THEN '{r}' END" for r in audit.TRAJECTORY_REASONS)}) AS reasons FROM t9""")
+def _f02a(t):
+    log, a = audited(t)
+    support = t.log.where("pitch_type is not null").groupBy("pitcher", "pitch_type").count().where("count >= 12")
+    return audit.trajectory_audit(t.log, support, a, K, "pitch_type")
+
+
 @query("f02_transitions", AUDIT_CTE + """
 SELECT game_pk, at_bat_number, pitch_number, pitch_type AS action, row_number() OVER w AS position, coalesce(lead(pitch_number) OVER w, -1) AS next_seq, lead(pitch_number) OVER w IS NULL AS done FROM log SEMI JOIN (SELECT * FROM au WHERE supported) USING (game_pk, at_bat_number)
 WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number)""")

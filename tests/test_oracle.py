@@ -9,7 +9,7 @@ from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SUBSET = ["a06_manifest", "b04_leaf_and_fate", "b12_impute_standardise", "c05_asof_profile", "c09_decision_pairing", "d03_run_expectancy", "d10_dirichlet_smoothing", "d12_crossfit_logged", "d26_reference_card",
-          "e07_style_history", "e09_long_history", "e15_line_score", "f01_support_audit", "f02_transitions", "f05_row_fates", "g02_nested_samples", "g03_stratified_panel", "i02_bellman_residual", "i11_trajectory_dr", "i13_cluster_bootstrap", "j05_frozen_context", "j06_delayed_release", "j08_recommendation_ledger", "k03_class_report", "k05_paired_comparison"]
+          "e07_style_history", "e09_long_history", "e15_line_score", "f01_support_audit", "f02_trajectory_audit", "f02_transitions", "f05_row_fates", "g02_nested_samples", "g03_stratified_panel", "i02_bellman_residual", "i11_trajectory_dr", "i13_cluster_bootstrap", "j05_frozen_context", "j06_delayed_release", "j08_recommendation_ledger", "k03_class_report", "k05_paired_comparison"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SUBSET
 
 

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-@query("op9_secret_scan")
+@query("op9_secret_scan", secrets.oracle_sql())
 def op9(table):
     return secrets.digest(table("documents"))
 

@@ -125,3 +125,29 @@ def digest(docs: DataFrame) -> DataFrame:
     base = F.filter("secret_spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
+def _kind_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    found = f"(SELECT *, regexp_extract_all(t, {quoted}) AS m FROM d)"
+    return f"SELECT doc_id, {number} AS k, '{kind}' AS kind, m, regexp_extract_all(t, {quoted}, {group}) AS v, string_split_regex(t, {quoted}) AS gaps, {least} AS least FROM {found} WHERE len(m) > 0"
+
+
+def oracle_sql() -> str:
+    """The digest in SQL: a match begins behind the gaps and the matches before it.
+
+    Where a kind is one run of a class behind a fixed head, its least length stands in the pattern, so that
+    short runs need not be listed.
+    """
+    by_kind = {r.kind: (r.pattern.decode(), r.group, r.least) for r in RULES}
+    folded = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}", "github": r"gh[pousr]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}", "stripe": r"sk_live_[0-9A-Za-z]{16,}"}
+    kinds = [_kind_sql(i, kind, *((folded[kind], 0, 1) if kind in folded else by_kind[kind])) for i, kind in enumerate(by_kind)]
+    return (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nf AS (" + "\nUNION ALL ".join(kinds) + """),
+u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT doc_id, k, kind, list_sum([len(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0) AS a, len(m[i]) AS n FROM u WHERE strlen(v[i]) >= least),
+j AS (SELECT doc_id, k, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM s),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+""")

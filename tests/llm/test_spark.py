@@ -253,3 +253,13 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             # copies of 4 and of the empty text go, the leak goes, rows without an id stay
             assert {4, 5} & set(ids) == {4} and {0, 1, 2} & set(ids) == {0} and 7 not in ids and {3, 8, 11} <= set(ids) and None in ids
             assert "<assign>" in next(r.text for r in kept.collect() if r.doc_id == 6)
+
+
+@pytest.mark.parametrize("name", ["op1_hamming_top_k", "op4_warc_round_trip", "op9_secret_scan"])
+def test_queries_match_their_sql(spark, name):
+    import __spark_entry__ as entry
+    from tests.oracle_check import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    status, _, _, note = compare(spark, connect(folder), name, entry.queries()[name], entry.oracle_sql()[name], folder)
+    assert status == "ok", note

@@ -263,3 +263,44 @@ def test_queries_match_their_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     status, _, _, note = compare(spark, connect(folder), name, entry.queries()[name], entry.oracle_sql()[name], folder)
     assert status == "ok", note
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Every stage again without Spark: scores one by one, all pairs of fingerprints, plain patterns, whole tokenizer."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    texts = [line(70, 500 + i) for i in range(60)]
+    texts += [line(30, 700 + i) + " zqwxk vvpkz " + line(15, 800 + i) + " xxjqk qqzzw kvvpz " + line(9, i) for i in range(40)]
+    texts += [texts[3], texts[4].replace(texts[4].split()[30], "bar", 1), line(20, 900) + " " + ITEM + " " + line(20, 901), line(40, 902) + ' password: "hunter2hunter2" ' + line(5, 903), ""]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    labels = [(i, 1, int(60 <= i < 100)) for i in range(100)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    known = {r.doc_id: r.h for r in spark.range(100).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h")).collect()}
+    train.sort(key=known.get)
+    sides = [[texts[i].encode() for i in train if (i >= 60) == dark] for dark in (True, False)]
+    model = toxicity.fit(*sides, *map(len, sides))
+    kept = [i for i, t in enumerate(texts) if model.score(np.array([toxicity.statistics(t.encode(), *model.lengths())]))[0] < 0.5]
+    assert set(range(60)) - set(kept) == set() and sum(i in kept for i in range(60, 100)) <= 4
+    prints = {i: [simhash.vote(simhash._remixed(simhash.shingle_hashes(texts[i].encode(), 3), n)) for n in (0, 1)] + [simhash.fingerprint(texts[i].encode(), 5)] for i in kept}
+    near = lambda a, b: min(bin(x ^ y).count("1") for x, y in zip(prints[a][:2], prints[b][:2], strict=True)) <= 7 and bin(prints[a][2] ^ prints[b][2]).count("1") <= 13
+    group = {i: i for i in kept}
+    for _ in range(4):
+        for a in kept:
+            for b in kept:
+                if near(a, b):
+                    group[a] = group[b] = min(group[a], group[b])
+    kept = [i for i in kept if group[i] == i and ITEM not in texts[i]]
+    assert 100 not in kept and 101 not in kept and 102 not in kept and 103 in kept
+    plain, expected = Tokenizer.from_file(TOKENIZER), set()
+    for i in kept:
+        text = re.sub(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{8,})", "<assign>", texts[i])
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
+        expected |= {(i, p, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for p, s in enumerate(range(0, len(ids), 4096))}
+    assert found == expected

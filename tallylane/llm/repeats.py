@@ -23,7 +23,7 @@ from tallylane.llm.parsing import LENGTH, PHRASE, parse, strings
 from tallylane.llm.shared import buffers, materialise, text_of
 
 #: Bytes of text that are parsed together, and that one bucket of the shuffles stands for.
-CHUNK, BUCKET = 1 << 21, 1 << 23
+CHUNK, BUCKET = 1 << 18, 1 << 23
 #: Distinct phrases of a trigger beyond which their strings are dealt out one by one.
 HOT = 256
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "<u4")])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallylane.functions import features, probs
+from tallylane.functions.quantiles import with_row
 from tallylane.keys import DEFAULT_KEYS as K
 from tallylane.operators import aggs, asof, freq, model, ordered, sample
 from tallylane.plans.encoders import IDS_CTE
@@ -98,6 +102,19 @@ def _g09(t):
     return model.side_clusters(style, "stand", ["L", "R"], "batter", ["k_rate", "bb_rate", "swing_rate", "contact_rate"], 3, c("n_pa") >= 3, "k_rate")
 
 
+@query("g09_cluster_check", "SELECT stand, count(DISTINCT batter) AS actors, true AS numbered_by_centre, true AS own_side FROM log GROUP BY 1")
+def _g09b(t):
+    """Fitted rows of a side are numbered upwards by their mean of the ordering rate, and a side has numbers of its own."""
+    style = aggs.style_table(t.log, ["batter", "stand"]).select("batter", "stand", "k_rate")
+    rows = _g09(t).join(style, ["batter", "stand"])
+    means = rows.where("not is_default").groupBy("stand", "cluster_id").agg(F.avg("k_rate").alias("m"))
+    before = F.lag("m").over(Window.partitionBy("stand").orderBy("cluster_id"))
+    order = means.withColumn("up", F.coalesce(c("m") >= before, F.lit(True))).groupBy("stand").agg(F.bool_and("up").alias("numbered_by_centre"))
+    side = F.when(c("stand") == "L", 0).otherwise(1)
+    sides = rows.groupBy("stand").agg(F.countDistinct("batter").alias("actors"), F.bool_and(F.floor(c("cluster_id") / 3) == side).alias("own_side"))
+    return sides.join(order, "stand").select("stand", "actors", "numbered_by_centre", "own_side")
+
+
 @query("g10_soft_clusters")
 def _g10(t):
     style = asof.style_history(t.log, K, terminal())
@@ -106,6 +123,13 @@ def _g10(t):
     return out.select("batter", "game_date", *[c("membership")[i].alias(f"m{i}") for i in range(5)])
 
 
+@query("g10_membership_check", "SELECT batter, count(DISTINCT game_date) AS snapshots, true AS sums_to_one, true AS positive FROM log GROUP BY 1")
+def _g10b(t):
+    m = [c(f"m{i}") for i in range(5)]
+    return _g10(t).groupBy("batter").agg(
+        F.count("*").alias("snapshots"), F.bool_and(F.abs(sum(m[1:], m[0]) - 1) < 1e-9).alias("sums_to_one"), F.bool_and(F.least(*m) >= 0).alias("positive"))
+
+
 @query("g11_actor_clusters")
 def _g11(t):
     shares = {"left": c("p_throws") == "L", **{f"t_{x}": F.coalesce(c("pitch_type") == x, F.lit(False)) for x in ("FF", "SI", "SL", "CU", "CH")}}
@@ -133,6 +157,17 @@ def _g13(t):
     return p.select(*KEY, "label", *[c("p")[i].alias(f"p{i}") for i in range(4)])
 
 
+@query("g13_probability_check", IDS_CTE + """,
+e AS (SELECT game_pk, least(outcome_id, 3) AS y FROM ids WHERE outcome_id >= 0 AND season > 2022)
+SELECT y AS label, count(*) AS n, true AS sums_to_one, true AS better_than_uniform FROM e GROUP BY 1""")
+def _g13b(t):
+    """Shares sum to one, and the mean loss over all rows beats equal shares."""
+    p = [c(f"p{i}") for i in range(4)]
+    rows = _g13(t).withColumns({"_one": F.abs(sum(p[1:], p[0]) - 1) < 1e-9, "_loss": -F.log(F.greatest(F.array(*p)[c("label").cast("int")], F.lit(1e-12)))})
+    mean = rows.agg((F.avg("_loss") < math.log(4)).alias("better_than_uniform"))
+    return with_row(rows.groupBy(c("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.bool_and("_one").alias("sums_to_one")), mean)
+
+
 def _grid_sql(rows, loss, low, high, by=(), points=9, rounds=3):
     """Successive grids in SQL."""
     b = "".join(f"{x}, " for x in by)

@@ -12,9 +12,9 @@ from tallylane.llm.shared import materialise, new_folder
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Lists of documents to drop are broadcast up to this number of ids, and joined by shuffling beyond it.
 BROADCAST = 1_000_000
-#: Near duplicates: three-word fingerprints within 7 bits (either of two) find pairs, and five-word fingerprints within 13 bits keep
-#: those of a similarity of about 0.8 or more (9.7 bits are expected at 0.8, with a deviation of 2.9).
-REACH, SLACK, TRIES = 7, 13, 2
+#: Near duplicates: three-word fingerprints within 7 bits (either of two) find candidate pairs; those whose sets of five-word
+#: shingles have a Jaccard similarity of 0.8 or more are near duplicates.
+REACH, TRIES, WIDTH, LEAST = 7, 2, 5, 0.8
 
 
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document of smallest doc_id."""
-    groups = simhash.near_duplicates(docs, reach=REACH, check_width=5, slack=SLACK, tries=TRIES)
+    groups = simhash.near_duplicates(docs, reach=REACH, set_width=WIDTH, least=LEAST, tries=TRIES)
     return without(docs, groups.where("component_id <> doc_id"))
 
 

@@ -78,6 +78,41 @@ def test_trees_find_all_links_at_any_depth(spark):
         assert found == ({(i, i + 300) for i in range(100)} if reach >= 3 else set())
 
 
+def test_near_duplicates_are_those_of_the_similarity(spark):
+    """Fingerprints close and similarity under 0.8: both stay.  All candidate pairs, by brute force, for any shard size."""
+    rng, texts = random.Random(4), []
+    for i in range(40):
+        words = line(120, 3000 + i).split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 6, 8, 12):
+            copy = list(words)
+            for at in rng.sample(range(120), edits):
+                copy[at] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    block = line(12, 1)
+    texts += [" ".join([block] * 40) + " " + line(30, 5000 + i) for i in range(6)] + ["", " ", block, block + " " + block, "one two"]
+    shingles = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    prints = [[simhash.vote(simhash._remixed(simhash.shingle_hashes(t.encode(), 3), n)) for n in (0, 1)] for t in texts]
+    group, lost = list(range(len(texts))), 0
+    for _ in range(4):
+        for a in range(len(texts)):
+            for b in range(a):
+                close = min((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= corpus_pipeline.REACH
+                similar = shingles[a] == shingles[b] or len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+                lost += close and not similar
+                if shingles[a] == shingles[b] or close and similar:
+                    group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert lost > 20 and len(set(group)) < len(texts) - 40
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == sorted(set(group))
+    names = ["fp", "fp1"]
+    points = [(i, simhash.set_digest(np.array(sorted(shingles[i]), np.uint64)), *prints[i]) for i in range(len(texts))]
+    points = spark.createDataFrame([(i, *(x - (x >> 63 << 64) for x in p)) for i, *p in points], "node long, same long, fp long, fp1 long")
+    links = simhash.similar_links(points, docs, "doc_id", "text", names, 7, 5, 0.8, shard=16)
+    parts = {r.node: r.component for r in connected_components(links).collect()}
+    assert [parts.get(i, i) for i in range(320)] == group[:320]
+
+
 def test_top_k(spark, none):
     rng = np.random.default_rng(9)
     codes = [int(c) for c in rng.integers(-(1 << 63), 1 << 63, 150)] + [77] * 40

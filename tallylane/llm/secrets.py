@@ -21,7 +21,7 @@ class Rule:
     """`pattern` finds matches, leftmost first; those with fewer than `least` bytes in `group` are dropped.
 
     `trigger` is what the automaton looks for: it must match inside every match that is kept, and it
-    decides only which pieces of text the exact check reads.
+    decides only which pieces of text the exact check reads, or with `whole`, which rows it reads from end to end.
     """
 
     kind: str
@@ -29,15 +29,21 @@ class Rule:
     trigger: bytes
     group: int = 0
     least: int = 1
+    whole: bool = False
 
 
+#: A private key from its BEGIN line to its END line, with anything but five dashes between; where END is missing, to the
+#: end of its header and base64 lines (runs of 16 and more, and a shorter last line), line breaks escaped or not.
+_BREAK = rb"(?:[\x20\t\r\n]|\\[nr])"
+_PEM = (rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+        rb"|(?:" + _BREAK + rb"*(?:Proc-Type|DEK-Info):[^\n]*)*(?:(?:" + _BREAK + rb"*[A-Za-z0-9+/]{16,}={0,2})+(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}\r?(?m:$))?)?)")
 #: Base rules first, in the order that decides ties.
 RULES = (
     Rule("assign", rb"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
          rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}", 2, 8),
     Rule("access", rb"AKIA[A-Z0-9]+", rb"AKIA[A-Z0-9]{12}", 0, 16),
     Rule("hex", rb"[0-9a-f]+", rb"[0-9a-f]{32}", 0, 32),
-    Rule("pem", rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("pem", _PEM, rb"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", whole=True),
     Rule("github", rb"gh[pousr]_[A-Za-z0-9]+", rb"gh[pousr]_[A-Za-z0-9]{6}", 0, 40),
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]+", rb"xox[abprs]-[A-Za-z0-9-]{6}", 0, 15),
     Rule("stripe", rb"sk_live_[0-9A-Za-z]+", rb"sk_live_[0-9A-Za-z]{6}", 0, 24),
@@ -57,14 +63,24 @@ def find(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...], auto: a
     starts, ends = automaton.lanes(data, offsets, auto)
     masks = automaton.scan(data, starts, ends, auto)
     spans: dict[int, list[tuple[int, int, int]]] = {}
+    rows_whole: set[tuple[int, int]] = set()
+
+    def check(row: int, i: int, piece: bytes, shift: int) -> None:
+        for m in re.finditer(rules[i].pattern, piece):
+            if len(m[rules[i].group]) >= rules[i].least:
+                spans.setdefault(row, []).append((m.start() + shift, m.end() + shift, i))
+
     for lane in np.flatnonzero(masks):
         row = int(np.searchsorted(offsets, starts[lane], side="right")) - 1
         piece, shift = data[starts[lane] : ends[lane]].tobytes(), int(starts[lane] - offsets[row])
         for i, rule in enumerate(rules):
             if masks[lane] >> i & 1:
-                for m in re.finditer(rule.pattern, piece):
-                    if len(m[rule.group]) >= rule.least:
-                        spans.setdefault(row, []).append((m.start() + shift, m.end() + shift, i))
+                if rule.whole:
+                    rows_whole.add((row, i))
+                else:
+                    check(row, i, piece, shift)
+    for row, i in rows_whole:
+        check(row, i, data[offsets[row] : offsets[row + 1]].tobytes(), 0)
     for row, own in spans.items():
         text = data[offsets[row] : offsets[row + 1]]
         points = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
@@ -76,8 +92,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
     """`docs` with a column of secret spans: kind, start and end in code points, end exclusive.
 
     All rules are compiled into one minimal automaton on the driver; a task runs it over the bytes of a
-    whole batch of texts, thousands of pieces in lockstep, and pieces in which a rule fires are checked by
-    that rule's pattern.  Narrow: no shuffle, memory bounded by a batch.  Null and empty texts have no
+    whole batch of texts, thousands of pieces in lockstep, and pieces in which a rule fires (for private keys, whole
+    rows) are checked by that rule's pattern.  Narrow: no shuffle, memory bounded by a batch.  Null and empty texts have no
     spans; repeated rows are scanned each; other columns pass through.  A column named as `spans` is refused.
     """
     if spans in docs.columns:

@@ -244,6 +244,34 @@ def test_secrets_and_redaction(spark, odd, none):
     assert hidden == {1: "é <assign> é", 2: None, 3: "plain"}
 
 
+def test_whole_private_keys_are_hidden(spark, tmp_path):
+    from tests.oracle_check import connect
+
+    rng = random.Random(6)
+    body = lambda n, end="\n": end.join("".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(64)) for _ in range(n)) + end + "abC="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00-11\n\n"
+    plain = begin.replace("RSA ", ""), end.replace("RSA ", "")
+    cases = [
+        (f"é one\n{begin}\n{body(25)}\n{end}\nafter - it", "é one\n<pem>\nafter - it"),
+        (f"{plain[0]}\r\n{body(3, chr(13) + chr(10))}\r\n{plain[1]}\r\nafter", "<pem>\r\nafter"),
+        (f"{begin}\n{head}{body(4)}\n{end} x", "<pem> x"),
+        (f"{begin}\n{body(5)}\nAfter all of it.", "<pem>\nAfter all of it."),
+        (f"{begin}\n{head}{body(5)}", "<pem>"),
+        (f"k = '{begin}\\n{body(2, chr(92) + 'n')}\\n{end}' ok", "k = '<pem>' ok"),
+        (f"{begin}\n{body(2)}\n\nText between.\n{begin}\n{body(2)}\n{end}\nrest", "<pem>\n\nText between.\n<pem>\nrest"),
+        (f"the line {begin} is the header - of a key", "the line <pem> is the header - of a key"),
+        (f"secret={begin}\n{body(2)}\n{end}!", "<assign>!"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    hidden = {r.doc_id: r.text for r in secrets.redact(secrets.scan_secrets(docs)).collect()}
+    assert hidden == {i: t for i, (_, t) in enumerate(cases)}
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(secrets.oracle_sql()).fetchall()) == sorted(map(tuple, secrets.digest(docs).collect()))
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, separators, simhash, surrogates, toxicity, warc
+from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, separators, simhash, surrogates, toxicity, transducer, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,8 @@ def op5(table):
 @query("op8_surrogates")
 def op8(table):
     return surrogates.digest(table("documents"))
+
+
+@query("op12_bpe_transducer")
+def op12(table):
+    return transducer.digest(table("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, hamming, packing, repeats, secrets, separators, simhash, surrogates, toxicity, transducer, warc
+from tallylane.llm import decontaminate, hamming, packing, pipelined, repeats, secrets, separators, simhash, surrogates, toxicity, transducer, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op8(table):
 @query("op12_bpe_transducer")
 def op12(table):
     return transducer.digest(table("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op13_ranked_search", pipelined.SQL)
+def op13(table):
+    return pipelined.digest(table("documents"), table("benchmark"))

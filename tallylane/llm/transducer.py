@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import sys
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tallylane.llm.shared import hold, release, text_of
 
-#: States and pieces that a worker keeps; beyond it they are made anew, with equal results.
-STATES, PIECES = 400_000, 400_000
+#: States and pieces that a worker keeps, beyond which they are made anew with equal results; characters of text that it takes together.
+STATES, PIECES, TOGETHER = 200_000, 400_000, 1 << 22
 #: Ids that the decoder takes at once.
 BLOCK = 1 << 16
 _NEVER = sys.maxsize
@@ -125,6 +127,7 @@ class Transducer:
         self.token = token
         self._link()
         self.ways: dict[int, tuple] = {}
+        self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _link(self) -> None:
@@ -149,8 +152,7 @@ class Transducer:
     def _forget(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.guesses: list[tuple] = []
-        self.pairs: dict[int, bool] = {}
-        #: (state << 8 | byte) to (next state << 8, tokens put out)
+        #: (state << 8 | byte) to (next state, tokens put out)
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.start = self._number((0, (_START,)))
 
@@ -203,6 +205,8 @@ class Transducer:
             pair = last << 20 | token
             apart = self.pairs.get(pair)
             if apart is None:
+                if len(self.pairs) >= 2 * self.limit:
+                    self.pairs.clear()
                 apart = self.pairs[pair] = self.merges.stay_apart(last, token)
             if apart:
                 break
@@ -226,40 +230,41 @@ class Transducer:
             return (first, *found), ()
         return (first, *[past[sure - 1 :] for past in found]), one[1:sure]
 
+    def encode_all(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each piece.  What a piece shares with the one before is not read again, so sorted pieces cost least.
+
+        A piece that is a token itself is that token, whether merges reach it or not.
+        """
+        states, outs, before, ranks = [self.start], [()], b"", self.merges.ranks
+        for piece in pieces:
+            n = 0
+            for x, y in zip(before, piece, strict=False):
+                if x != y:
+                    break
+                n += 1
+            del states[n + 1 :], outs[n + 1 :]
+            state = states[n]
+            for byte in piece[n:] if n else piece:
+                move = self.moves.get(state << 8 | byte)
+                if move is None:
+                    guesses, sure = self._move(self.guesses[state], byte)
+                    if len(self.guesses) >= self.limit:
+                        open_ = [self.guesses[x] for x in states]
+                        self._forget()
+                        states[:] = map(self._number, open_)
+                        state = states[-1]
+                    move = self.moves[state << 8 | byte] = self._number(guesses), sure
+                state = move[0]
+                states.append(state)
+                outs.append(move[1])
+            before = piece
+            ids = [*chain.from_iterable(outs), *self.guesses[state][-1][1:]]
+            if len(ids) > 1 and (whole := ranks.get(piece)) is not None:
+                ids = [whole]
+            yield ids
+
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a piece that is a token itself is that token, whether merges reach it or not."""
-        state, out, moves = self.start << 8, [], self.moves
-        for byte in piece:
-            move = moves.get(state | byte)
-            if move is None:
-                guesses, sure = self._move(self.guesses[state >> 8], byte)
-                if len(self.guesses) >= self.limit:
-                    self._forget()
-                    moves = self.moves
-                    move = self._number(guesses) << 8, sure
-                else:
-                    move = moves[state | byte] = self._number(guesses) << 8, sure
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        out += self.guesses[state >> 8][-1][1:]
-        if len(out) > 1 and (whole := self.merges.ranks.get(piece)) is not None:
-            return [whole]
-        return out
-
-
-class _Pieces(dict):
-    """Packed ids of pieces, made when first asked for."""
-
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        self[piece] = ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-        return ids
+        return next(self.encode_all([piece]))
 
 
 class Encoder:
@@ -268,10 +273,46 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.find, self.pieces = regex.compile(pattern).findall, _Pieces(Transducer(ranks))
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        self.pattern, self.transducer = regex.compile(pattern), Transducer(ranks)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, found: set[str]) -> None:
+        new = found.difference(self.known)
+        if len(self.known) + len(new) > PIECES:
+            self.known.clear()
+            new = found
+        order = sorted(x.encode() for x in new)
+        for piece, ids in zip(order, self.transducer.encode_all(order), strict=True):
+            self.known[piece.decode()] = np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts are taken together up to a size, so that pieces that are new share what they begin with."""
+        part, size = [], 0
+        for text in texts:
+            if len(text) > TOGETHER:
+                yield from self._together(part)
+                part, size = [], 0
+                yield self._long(text)
+                continue
+            part.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from self._together(part)
+                part, size = [], 0
+        yield from self._together(part)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        pieces = list(map(self.pattern.findall, texts))
+        self._learn(set(chain.from_iterable(pieces)))
+        for own in pieces:
+            yield b"".join(map(self.known.__getitem__, own))
+
+    def _long(self, text: str) -> bytes:
+        pieces, parts = (m.group() for m in self.pattern.finditer(text)), []
+        while own := list(islice(pieces, TOGETHER // 4)):
+            self._learn(set(own))
+            parts.append(b"".join(map(self.known.__getitem__, own)))
+        return b"".join(parts)
 
 
 # --- decoding ---------------------------------------------------------------
@@ -358,6 +399,10 @@ def _other_operators_let_go() -> None:
     _KEPT.update(kept)
 
 
+def _kind(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in names)
+
+
 def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All rows and columns, the text replaced by its ids: little-endian unsigned 32-bit, packed in a binary column.
 
@@ -372,11 +417,11 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids:
         _other_operators_let_go()
         encode = _kept(Encoder, ranks, pattern).encode
         for batch in it:
-            packed = pa.array((encode(x.as_py()) for x in batch.column(len(rest))), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], packed], names=[*rest, ids])
+            for part in _parts(batch):
+                packed = pa.array(list(encode(part.column(len(rest)).to_pylist())), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], packed], names=[*rest, ids])
 
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return docs.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(f"`{text}`")).alias(text)).mapInArrow(step, f"{fields}`{ids}` binary")
+    return docs.select(*[F.col(f"`{c}`") for c in rest], text_of(F.col(f"`{text}`")).alias(text)).mapInArrow(step, f"{_kind(docs, rest)}`{ids}` binary")
 
 
 def decoded(tokens: DataFrame, ranks: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -392,16 +437,35 @@ def decoded(tokens: DataFrame, ranks: str, ids: str = "ids", text: str = "text")
         _other_operators_let_go()
         decode = _kept(Decoder, ranks).decode
         for batch in it:
-            found = pa.array((decode(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found.cast(pa.string())], names=[*names, text])
+            for part in _parts(batch):
+                found = pa.array([decode(x.as_buffer().to_pybytes()) if x.is_valid else None for x in part.column(at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, found.cast(pa.string())], names=[*names, text])
+
+    return tokens.mapInArrow(step, f"{_kind(tokens, names)}`{text}` string")
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that its texts, ids and results are not all held at once."""
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_tokens, ids_sha256 and, of the text decoded from the ids, decoded_sha256; encoder and decoder in one worker.
+
+    Rows are those of `encoded` and `decoded`, with the same rules for nulls; keys may be null or repeat.
+    """
+
+    def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _other_operators_let_go()
+        encode, decode = _kept(Encoder, ranks, pattern).encode, _kept(Decoder, ranks).decode
+        for batch in it:
+            for part in _parts(batch):
+                rows = [(len(ids) // 4, sha256(ids).hexdigest(), sha256(decode(ids)).hexdigest()) for ids in encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*rows, strict=True))], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in tokens.schema.fields)
-    return tokens.mapInArrow(step, f"{fields}`{text}` string")
+    return docs.select(key, text_of(text).alias("__text")).mapInArrow(step, f"{_kind(docs, [key])}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 and, of the text decoded from the ids, decoded_sha256."""
-    both = decoded(encoded(docs.select("doc_id", "text"), ranks, pattern), ranks)
-    return both.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(docs, ranks, pattern)

@@ -39,16 +39,25 @@ def texts():
 
 def test_ids_are_the_library_s(library, both):
     encoder, decoder = both
-    for text in texts():
-        packed = encoder.encode(text)
+    for text, packed in zip(texts(), encoder.encode(list(texts())), strict=True):
         assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(text)
         assert decoder.decode(packed, 7).decode() == text
 
 
 def test_few_states_give_equal_ids(ranks, library):
     small = transducer.Transducer(ranks, states=40)
-    for text in ("internationalisation", "Donaudampfschifffahrt", "aaaaaaaabaaaa", "ñandúes", "0123456789"):
-        assert small.encode(text.encode()) == library.encode_ordinary(text)
+    words = ["internationalisation", "Donaudampfschifffahrt", "aaaaaaaabaaaa", "ñandúes", "0123456789", "intern", "internal"]
+    for word in words:
+        assert small.encode(word.encode()) == library.encode_ordinary(word)
+    assert list(small.encode_all([w.encode() for w in sorted(words)])) == [library.encode_ordinary(w) for w in sorted(words)]
+
+
+def test_parts_and_forgetting_change_nothing(ranks, library, monkeypatch):
+    monkeypatch.setattr(transducer, "TOGETHER", 50)
+    monkeypatch.setattr(transducer, "PIECES", 5)
+    encoder = transducer.Encoder(ranks, public_tokenizers.PATTERN)
+    own = list(texts())[:300] + ["a b " * 100, "", "one"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(own)] == list(map(library.encode_ordinary, own))
 
 
 def test_random_merges_against_the_plain_procedure():

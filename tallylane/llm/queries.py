@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylane.llm import decontaminate, hamming, packing, pipelined, repeats, secrets, separators, simhash, surrogates, toxicity, transducer, warc
+from tallylane.llm import decontaminate, hamming, packing, pipelined, repeats, secrets, separators, simhash, spelling, surrogates, toxicity, transducer, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,11 @@ def op8(table):
     return surrogates.digest(table("documents"))
 
 
+@query("op11_spelling_variants", spelling.SQL)
+def op11(table):
+    return spelling.digest(table("documents"))
+
+
 @query("op12_bpe_transducer")
 def op12(table):
     return transducer.digest(table("documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ LENGTH = 100
 KMER = 32
 _BASE = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
-PHRASE = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
+PHRASE = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("phrase2", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
 
 
 @lru_cache(4)
@@ -49,8 +50,16 @@ class Rolling:
         """Hashes of all parts of one length."""
         return _mix((self.sums[length:] - self.sums[:-length]) * self.inverse[: len(self.sums) - length])
 
-    def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+
+def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """Keyed 128-bit digests of parts of a byte string, as two columns: with a key drawn for each run, equal ones mean equal bytes."""
+    body, start = memoryview(np.ascontiguousarray(data)), hashlib.blake2b(digest_size=16, key=key)
+    out = []
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        h = start.copy()
+        h.update(body[a:b])
+        out.append(h.digest())
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,12 +74,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], before[width - 1 : width - 1 + n])
 
 
-def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray, key: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Phrases of the documents at [start, end) of `data`, and their places in it.
 
     A phrase spans all strings of LENGTH bytes that share one trigger occurrence: `count` of them begin at
     consecutive places from `start` on, and the phrase reaches to the end of the last.  Phrases so overlap
-    by LENGTH - 1 bytes, each string lies in exactly one, and equal strings lie in phrases of equal triggers.
+    by LENGTH - 1 bytes, each string lies in exactly one, and equal strings lie in phrases of equal triggers.  The rolling hash
+    only chooses triggers, so that its collisions do no harm; phrases are told apart by their digests.
     """
     if len(data) < LENGTH or not len(starts):
         return np.zeros(0, PHRASE), np.zeros(0, np.int64)
@@ -88,16 +98,25 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarr
     begin = place[new]
     out = np.empty(len(new), PHRASE)
     out["trigger"] = grams[at[new]]
-    out["phrase"] = rolling.parts(begin, begin + count + LENGTH - 1)
+    out["phrase"], out["phrase2"] = digests(data, begin, begin + count + LENGTH - 1, key).T
     out["doc"] = docs[own[new]]
     out["start"] = begin - starts[own[new]]
     out["count"] = count
     return out, begin
 
 
-def strings(data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Hashes of the strings of LENGTH bytes that begin at `count` consecutive places from each `begin`."""
-    rolling = Rolling(data)
+def places(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Where the strings of LENGTH bytes begin that start at `count` consecutive places from each `begin`."""
     ends = np.cumsum(count)
-    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count - begin, count)
-    return rolling.parts(place, place + LENGTH)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count - begin, count)
+
+
+def suffix_order(data: np.ndarray, place: np.ndarray, ties: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of `data` at the places, ordered by their first LENGTH bytes and then by `ties` (the last one first), and whether
+    each shares all LENGTH bytes with the one before it.
+    """
+    heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[place]).view(f"S{LENGTH}").ravel()
+    order = np.lexsort(ties)
+    order = order[np.argsort(heads[order], kind="stable")]
+    heads = heads[order]
+    return order, np.concatenate([[False], heads[1:] == heads[:-1]])[: len(order)]

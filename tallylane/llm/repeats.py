@@ -4,14 +4,16 @@ Phrases come from prefix-free parsing (parsing.py).  The parse is the list of ph
 by phrase it gives each phrase's first occurrence in corpus order, and all others are repeats as a whole.
 The dictionary is the set of distinct phrases; its suffixes are compared only among phrases of one
 trigger, as equal strings have equal triggers, and combined with the phrases' first occurrences they give
-each string's first occurrence.  Only classes of strings that agree in 100 bytes and their first places
-matter here, so that suffixes are ordered by a hash of those 100 bytes instead of by their letters.
+each string's first occurrence.  Suffixes are ordered by their first 100 bytes: what neighbours share beyond them does not matter here.
+Phrases are equal where their keyed 128-bit digests are; strings are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallylane.llm.parsing import LENGTH, PHRASE, parse, strings
+from tallylane.llm.parsing import LENGTH, PHRASE, digests, parse, places, suffix_order
 from tallylane.llm.shared import buffers, materialise, text_of
 
 #: Bytes of text that are parsed together, and that one bucket of the shuffles stands for.
 CHUNK, BUCKET = 1 << 18, 1 << 23
 #: Distinct phrases of a trigger beyond which their strings are dealt out one by one.
 HOT = 256
+#: Strings whose order is found at once.
+SORTED = 200_000
 SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "<u4")])
 UNSURE = np.dtype([("trigger", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("count", "u1"), ("hot", "?")])
-STRING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
+STRING = np.dtype([("hash", "<u8"), ("hash2", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -70,18 +74,18 @@ def _spans(rows: np.ndarray) -> np.ndarray:
     return _runs(out)
 
 
-def _phrases(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> Iterator[np.ndarray]:
+def _phrases(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, key: bytes) -> Iterator[np.ndarray]:
     """Phrases of all rows, a chunk at a time; a longer text is cut into chunks that overlap by LENGTH - 1 bytes."""
     low = 0
     while low < len(docs):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, side="right")) - 1)
         begin, end = int(offsets[low]), int(offsets[high])
         if end - begin <= CHUNK or high > low + 1:
-            yield parse(data[begin:end], offsets[low:high] - begin, offsets[low + 1 : high + 1] - begin, docs[low:high])[0]
+            yield parse(data[begin:end], offsets[low:high] - begin, offsets[low + 1 : high + 1] - begin, docs[low:high], key)[0]
         else:
             for at in range(begin, end, CHUNK):
                 part = data[at : min(end, at + CHUNK + LENGTH - 1)]
-                found = parse(part, np.array([0]), np.array([len(part)]), docs[low:high])[0]
+                found = parse(part, np.array([0]), np.array([len(part)]), docs[low:high], key)[0]
                 found["start"] += at - begin
                 yield found
         low = high
@@ -89,9 +93,20 @@ def _phrases(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> Iterato
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows by trigger, phrase and corpus order; where a trigger begins, where a phrase begins."""
-    rows = rows[np.lexsort((rows["start"], rows["doc"], rows["phrase"], rows["trigger"]))]
-    trigger = np.concatenate([[True], rows["trigger"][1:] != rows["trigger"][:-1]])[: len(rows)]
-    return rows, trigger, trigger | np.concatenate([[True], rows["phrase"][1:] != rows["phrase"][:-1]])[: len(rows)]
+    rows = rows[np.lexsort((rows["start"], rows["doc"], rows["phrase2"], rows["phrase"], rows["trigger"]))]
+    trigger = _new(rows["trigger"])
+    return rows, trigger, trigger | _new(rows["phrase"]) | _new(rows["phrase2"])
+
+
+def _new(column: np.ndarray) -> np.ndarray:
+    """Where a sorted column has another value than before."""
+    return np.concatenate([[True], column[1:] != column[:-1]])[: len(column)]
+
+
+def _parts_of(rows: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Begin and end of each document's rows, which are sorted by document."""
+    first = np.flatnonzero(_new(rows["doc"])) if len(rows) else np.zeros(0, np.int64)
+    return dict(zip(rows["doc"][first].tolist(), pairwise(np.append(first, len(rows)).tolist()), strict=True))
 
 
 _PARSED = pa.schema([("bucket", pa.int64()), ("phrases", pa.binary()), ("sure", pa.binary())])
@@ -106,11 +121,11 @@ def _rows(found: dict[str, dict[int, bytes]], schema: pa.Schema) -> pa.Table:
     return _table({"bucket": keys} | {name: [own.get(k) for k in keys] for name, own in found.items()}, schema)
 
 
-def _parse_step(buckets: int):
+def _parse_step(buckets: int, key: bytes):
     def step(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, _, first = _firsts(np.concatenate([np.zeros(0, PHRASE), *_phrases(*buffers(batch.column(1)), docs)]))
+            rows, _, first = _firsts(np.concatenate([np.zeros(0, PHRASE), *_phrases(*buffers(batch.column(1)), docs, key)]))
             # copies within the batch are settled here: a hot phrase leaves one row for each batch
             again, rows = _spans(rows[~first]), rows[first]
             yield from _rows({"phrases": _deal(rows, _bucket(rows["trigger"], buckets), buckets), "sure": _deal(again, _bucket(again["doc"], buckets), buckets)}, _PARSED).to_batches()
@@ -142,14 +157,13 @@ def _unpack(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         yield i, unpack(packed)
 
 
-def _deal_step(buckets: int):
+def _deal_step(buckets: int, key: bytes):
     """Texts of unsure phrases to their trigger's bucket; strings of hot triggers to their own."""
 
     def step(texts: pa.Table, lists: pa.Table) -> pa.Table:
         unsure = _join(lists["unsure"], UNSURE)
         unsure = unsure[np.argsort(unsure["doc"], kind="stable")]
-        ids, first = np.unique(unsure["doc"], return_index=True)
-        edges = dict(zip(ids.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(unsure)], strict=True), strict=True))
+        edges = _parts_of(unsure)
         heads, bodies, single = [], [], []
         for doc, text in _unpack(texts):
             if doc in edges:
@@ -158,7 +172,7 @@ def _deal_step(buckets: int):
                 heads.append(cold)
                 bodies += [text[s : s + c + LENGTH - 1] for s, c in zip(cold["start"].tolist(), cold["count"].tolist(), strict=True)]
                 if own["hot"].any():
-                    single.append(_strings_of(np.frombuffer(text, np.uint8), own[own["hot"]], own["start"][own["hot"]].astype(np.int64)))
+                    single.append(_strings_of(np.frombuffer(text, np.uint8), own[own["hot"]], own["start"][own["hot"]].astype(np.int64), key))
         found: dict[str, dict[int, bytes]] = {"phrases": {}, "texts": {}, "strings": {}}
         if heads:
             head = np.concatenate(heads)
@@ -176,30 +190,55 @@ def _deal_step(buckets: int):
     return step
 
 
-def _strings_of(data: np.ndarray, phrases: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """One row for each string of the phrases, whose texts begin at `begin` in `data`."""
+def _owners(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of each string of the phrases."""
     count = phrases["count"].astype(np.int64)
-    out = np.empty(int(count.sum()), STRING)
-    out["hash"] = strings(data, begin, count)
-    out["doc"] = np.repeat(phrases["doc"], count)
-    out["start"] = np.repeat(phrases["start"].astype(np.int64) - np.cumsum(count) + count, count) + np.arange(len(out))
+    return np.repeat(phrases["doc"], count), places(phrases["start"].astype(np.int64), count)
+
+
+def _strings_of(data: np.ndarray, phrases: np.ndarray, begin: np.ndarray, key: bytes) -> np.ndarray:
+    """One row for each string of the phrases, whose texts begin at `begin` in `data`."""
+    place = places(begin, phrases["count"].astype(np.int64))
+    out = np.empty(len(place), STRING)
+    out["hash"], out["hash2"] = digests(data, place, place + LENGTH, key).T
+    out["doc"], out["start"] = _owners(phrases)
     return out
 
 
+def _again(phrases: np.ndarray, data: np.ndarray) -> Iterator[np.ndarray]:
+    """Strings of the phrases that are no first ones, as spans: the suffixes of a few triggers' phrases at a time are put in order.
+
+    Equal strings have equal triggers, so that a trigger's phrases are in one part.
+    """
+    sizes = phrases["count"].astype(np.int64) + LENGTH - 1
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(phrases["trigger"], kind="stable")
+    ends = np.append(np.flatnonzero(_new(phrases["trigger"][order]))[1:], len(order))
+    strings, low = np.cumsum(phrases["count"][order].astype(np.int64)), 0
+    while low < len(order):
+        room = (strings[low - 1] if low else 0) + SORTED
+        at = max(np.searchsorted(ends, low, side="right"), np.searchsorted(strings[ends - 1], room, side="right") - 1)
+        own, low = order[low : ends[at]], int(ends[at])
+        doc, start = _owners(phrases[own])
+        suffixes, same = suffix_order(data, places(begin[own], phrases["count"][own].astype(np.int64)), (start, doc))
+        yield _single(doc[suffixes[same]], start[suffixes[same]])
+
+
+def _single(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    spans = np.empty(len(doc), SPAN)
+    spans["doc"], spans["start"], spans["count"] = doc, start, 1
+    return _runs(spans)
+
+
 def _settle_step(buckets: int):
     def step(table: pa.Table) -> pa.Table:
-        rows = [_join(table["strings"], STRING)]
-        for packed, text in zip(table["phrases"].to_pylist(), table["texts"].to_pylist(), strict=True):
-            if packed:
-                phrases = np.frombuffer(packed, UNSURE)
-                sizes = phrases["count"].astype(np.int64) + LENGTH - 1
-                rows.append(_strings_of(np.frombuffer(text, np.uint8), phrases, np.cumsum(sizes) - sizes))
-        rows = np.concatenate(rows)
-        rows = rows[np.lexsort((rows["start"], rows["doc"], rows["hash"]))]
-        again = rows[1:][rows["hash"][1:] == rows["hash"][:-1]]
-        spans = np.empty(len(again), SPAN)
-        spans["doc"], spans["start"], spans["count"] = again["doc"], again["start"], 1
-        spans = _runs(spans)
+        hot = _join(table["strings"], STRING)
+        hot = hot[np.lexsort((hot["start"], hot["doc"], hot["hash2"], hot["hash"]))]
+        again = hot[~(_new(hot["hash"]) | _new(hot["hash2"]))]
+        spans = [_single(again["doc"], again["start"])]
+        phrases = _join(table["phrases"], UNSURE)
+        spans += _again(phrases, np.frombuffer(b"".join(x for x in table["texts"].to_pylist() if x), np.uint8))
+        spans = _runs(np.concatenate(spans))
         return _rows({"sure": _deal(spans, _bucket(spans["doc"], buckets), buckets)}, _FOUND)
 
     return step
@@ -212,9 +251,7 @@ def _apply_step(texts: pa.Table, lists: pa.Table) -> pa.Table:
     spans = _runs(_join(lists["sure"], SPAN)).copy()
     spans["count"] += LENGTH - 1
     spans = _runs(spans)
-    ids, first = np.unique(spans["doc"], return_index=True)
-    edges = dict(zip(ids.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(spans)], strict=True), strict=True))
-    rows = []
+    edges, rows = _parts_of(spans), []
     for doc, text in _unpack(texts):
         own = spans[slice(*edges.get(doc, (0, 0)))]
         cut = [{"start": int(s), "end": int(s) + int(c)} for s, c in zip(own["start"], own["count"], strict=True)]
@@ -246,7 +283,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
         numbered = rows.orderBy(F.asc_nulls_first("key"), "text").rdd.zipWithIndex().map(lambda x: (x[0][0], bytes(x[0][1]), x[1]))
         rows = materialise(docs.sparkSession.createDataFrame(numbered, T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("text", T.BinaryType()), T.StructField("id", T.LongType())])))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(size // BUCKET + 1)
+    buckets, secret = int(size // BUCKET + 1), secrets.token_bytes(16)
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -258,9 +295,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     both = rows.select("id", "text")
     texts = both.mapInArrow(pack, _PACKED).groupBy("bucket")
-    parsed = both.mapInArrow(_parse_step(buckets), "bucket long, phrases binary, sure binary")
+    parsed = both.mapInArrow(_parse_step(buckets, secret), "bucket long, phrases binary, sure binary")
     listed = materialise(parsed.groupBy("bucket").applyInArrow(_list_step(buckets), "bucket long, sure binary, unsure binary"))
-    dealt = texts.cogroup(listed.where("unsure is not null").select("bucket", "unsure").groupBy("bucket")).applyInArrow(_deal_step(buckets), "bucket long, phrases binary, texts binary, strings binary")
+    dealt = texts.cogroup(listed.where("unsure is not null").select("bucket", "unsure").groupBy("bucket")).applyInArrow(_deal_step(buckets, secret), "bucket long, phrases binary, texts binary, strings binary")
     found = dealt.groupBy("bucket").applyInArrow(_settle_step(buckets), "bucket long, sure binary")
     sure = listed.where("sure is not null").select("bucket", "sure").union(found).groupBy("bucket")
     out = texts.cogroup(sure).applyInArrow(_apply_step, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")

@@ -221,6 +221,26 @@ def test_repeated_passages(spark, odd, none, monkeypatch):
     assert repeats.digest(none).count() == 0
 
 
+#: Two texts of 100 letters with equal polynomial hashes modulo 2 ** 64, of trigger and of phrase.
+ALIKE = (
+    "NMPQNPTNNUOMNORLNVLMNQRPNLQLNMRTNXRLNQUVNYWWNXRZNPNRNXSTNVXYNVUWZKVOrkkzatargpgijsrqihfgmbhrwobkknda",
+    "MMPQSPTNEUOMSORLKVLMVQRPQLQLIMRTPXRLGQUVKYWWMXRZHPNRGXSTGVXYHVUWZKVOrkkzatargpgijsrqihfgmbhrwobkknda")
+
+
+@pytest.mark.parametrize("bucket", [repeats.BUCKET, 3000])
+def test_what_does_not_repeat_stays(spark, monkeypatch, bucket):
+    """Quiet tables and buckets, texts of any length, equal hashes of unequal texts, zero bytes at the ends of strings."""
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
+    passage = line(40, 77)
+    tables = [
+        ["short", "texts"], [""], [None], [line(60, 1), line(60, 2)], [line(60, 100 + i) for i in range(20)], ["x" * 99], ["x" * 100], ["x" * 101],
+        [*ALIKE, f"a {passage}", f"b {passage}"], [*[line(60, 300 + i) for i in range(60)], passage, f"{passage} end"],
+        ["a" * 99 + "\0", "a" * 99 + "\0\0", "\0" * 250, "a" * 98 + "\0a"]]
+    for texts in tables:
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert sorted(map(tuple, repeats.digest(table).collect()), key=str) == _repeats(enumerate(texts))
+
+
 def test_surrogates_are_distinct_and_never_real(spark, odd, none, monkeypatch):
     found = {r.doc_id: r for r in surrogates.digest(odd).collect() if r.doc_id is not None}
     assert found[0].text is None and found[11].n_entities == 3 and "10.1.2.3" not in found[11].text and "host" not in found[11].text

@@ -173,8 +173,12 @@ def test_each_string_has_the_trigger_of_its_equals():
         text = (one if p["doc"] == 1 else two).tobytes()
         for s in range(int(p["start"]), int(p["start"]) + int(p["count"])):
             assert trigger.setdefault(text[s : s + 100], p["trigger"]) == p["trigger"]
-    hashes = parsing.strings(data, place, phrases["count"].astype(np.int64))
-    assert len(set(hashes.tolist())) == len(trigger)
+    every = parsing.places(place, phrases["count"].astype(np.int64))
+    order, same = parsing.suffix_order(data, every, (every,))
+    heads = [data[i : i + 100].tobytes() for i in every[order]]
+    assert heads == sorted(heads) and same.tolist() == [False, *(a == b for a, b in zip(heads, heads[1:], strict=False))]
+    assert (~same).sum() == len(trigger) and all(a < b for a, b, x in zip(every[order], every[order][1:], same[1:], strict=False) if x)
+    assert len(np.unique(parsing.digests(data, every, every + 100, b"key"), axis=0)) == len(trigger)
 
 
 def test_word_memory_equals_the_tokenizer():

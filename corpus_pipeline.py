@@ -17,10 +17,18 @@ BROADCAST = 1_000_000
 REACH, TRIES, WIDTH, LEAST = 7, 2, 5, 0.8
 
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own: stages decide on rows, as a doc_id may repeat or be null."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in `drop`; a row without a doc_id stays."""
-    drop = materialise(drop.select("doc_id").distinct())
-    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST else drop, "doc_id", "left_anti")
+    """Rows of numbered documents whose number is not in `drop`, without it."""
+    drop = materialise(drop.select(ROW).distinct())
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST else drop, ROW, "left_anti").drop(ROW)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +38,18 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of smallest doc_id."""
-    groups = simhash.near_duplicates(docs, reach=REACH, set_width=WIDTH, least=LEAST, tries=TRIES)
-    return without(docs, groups.where("component_id <> doc_id"))
+    """Of each group of near duplicates, a row of smallest doc_id (null last)."""
+    docs = numbered(docs)
+    groups = simhash.near_duplicates(docs, ROW, reach=REACH, set_width=WIDTH, least=LEAST, tries=TRIES)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    kept = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    return without(docs, docs.select(ROW).join(kept, ROW, "left_anti"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
-    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    docs = numbered(docs)
+    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -333,11 +333,25 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
         if name == "none":
             assert not ids
         else:
-            # copies of 4 and of the empty text go, the leak goes, rows without an id stay
-            assert {4, 5} & set(ids) == {4} and {0, 1, 2} & set(ids) == {0} and 7 not in ids and {3, 8, 11} <= set(ids) and None in ids
+            # copies of 4 and of the empty text go, those without an id too, and the leak
+            assert {4, 5} & set(ids) == {4} and ids.count(4) == 1 and {0, 1, 2} & set(ids) == {0} and 7 not in ids and {3, 8, 11} <= set(ids) and None not in ids
             assert "<assign>" in next(r.text for r in kept.collect() if r.doc_id == 6)
 
 
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    """Ids that repeat or are null: a unique text under a copy's id stays, a repeated row is kept once, a copy or a leak without an id goes."""
+    texts = [(1, line(70, 1)), (2, line(70, 1)), (2, line(70, 2)), (3, line(70, 3)), (3, line(70, 3)), (None, line(70, 2)), (None, line(70, 4)), (None, line(20, 5) + " " + ITEM), (2, line(20, 6) + " " + ITEM), (2, line(70, 7))]
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("near_duplicates", "decontamination"):
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", line(70, 1)), ("2", line(70, 2)), ("3", line(70, 3)), ("None", line(70, 4)), ("2", line(70, 7))])
+
+
 @pytest.mark.parametrize("name", ["op1_hamming_top_k", "op4_warc_round_trip", "op9_secret_scan"])
 def test_queries_match_their_sql(spark, name):
     import __spark_entry__ as entry

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,16 @@ ROW = "__row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own: stages decide on rows, as a doc_id may repeat or be null."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """Rows with a number of their own: stages decide on rows, as a doc_id may repeat or be null.
+
+    Files are read in the same order each time, so that a number means the same row in every pass; what does not come from files is kept first.
+    """
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return materialise(rows)
+    return rows
 
 
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:

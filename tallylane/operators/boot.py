@@ -1,14 +1,11 @@
 """Cluster bootstrap of ratio estimators.
 
-Rows are first summed per cluster, so the resampling never touches raw events.  Slot
-i of a draw picks cluster floor(u * G) with u from SHA-256 of (seed, draw, slot): an
-exact with-replacement draw that does not depend on partitioning.  Clusters get their
-index from a digest order built in hash ranges, so no global sort runs in one task.
-
-Cluster sums are computed once and kept.  Up to PACKED clusters in a group they are
-packed into one row for each group and block of draws, and a task draws and sums
-inside that row: no row for each drawn cluster exists.  Beyond it the drawn (draw, cluster) pairs are
-joined on the cluster index, whose use is uniform, and summed map-side per draw.
+Rows are first summed per cluster, so the resampling never touches raw events.  Clusters get an index from a
+digest order built in hash ranges, so no global sort runs in one task, and stand in packs of RANGE.  A draw of as many
+clusters as there are is multinomial: its number is split over the packs by binomials, halving the packs level by
+level, and inside a pack slot i takes cluster floor(u * size) with u a hash of (seed, pack, draw, slot).  All of it
+follows from the seed, so any task makes the same draw again.  A pack gives one row of sums for each draw: there is no row
+for a drawn cluster, and no group is too large.
 """
 
 from __future__ import annotations
@@ -25,8 +22,12 @@ from tallylane.functions import hashing
 from tallylane.operators.lineage import materialise
 
 c = F.col
-#: Clusters of a group that are packed into a row, and draws made from such a row at once.
-PACKED, BLOCK = 100_000, 50
+#: Clusters of a pack, draws that a row of packed sums is asked for, and slots that are drawn together.
+RANGE, BLOCK, TOGETHER = 4096, 2500, 1 << 21
+
+# --- Fixed values: multipliers of a public 32-bit mixing function, and the odd fraction that spreads draws ---
+MIX, SPREAD = (0x85EBCA6B, 0xC2B2AE35), 0x9E3779B9
+# ----------------------------------------------------------------------------
 
 
 def cluster_sums(df: DataFrame, cluster: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -48,38 +49,71 @@ def digest_rank(df: DataFrame, digest: Column, by: Sequence[str] = ()) -> DataFr
     return d.join(ranges, [*by, "_r"]).withColumn("_i", F.row_number().over(inside) - 1 + c("_off")).drop("_d", "_r", "_off")
 
 
-def bootstrap(sums: DataFrame, cluster: str, columns: Sequence[str], draws: int, seed: str, by: Sequence[str] = (), packed: int = PACKED) -> DataFrame:
-    """Resampled column sums per group and draw, plus `n_clusters`.  `sums` has one row per (group, cluster)."""
+def seed_word(seed: str) -> int:
+    return int(hashlib.sha256(seed.encode()).hexdigest()[:8], 16)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
+def pack_sizes(seed: str, draws: int, clusters: int, pack: int, size: int = RANGE) -> np.ndarray:
+    """How many of each draw's clusters fall into a pack; over all packs the sizes of a draw are one multinomial.
+
+    From all packs down to the asked one, the packs are halved; a binomial gives the left half its share of what
+    the draw has there.  Its generator is seeded with the half, so each pack finds the same splits.
+    """
+    low, high = 0, -(-clusters // size)
+    n = np.full(draws, clusters, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * size / (min(high * size, clusters) - low * size)
+        left = np.random.Generator(np.random.PCG64([seed_word(seed), low, high])).binomial(n, share)
+        n, low, high = (left, low, middle) if pack < middle else (n - left, middle, high)
+    return n
+
+
+def drawn_sums(values: np.ndarray, sizes: np.ndarray, draws: np.ndarray, seed: str, pack: int) -> np.ndarray:
+    """Sums over `sizes[i]` clusters of a pack (rows of `values`), drawn with replacement for each of `draws`."""
+    m, out = len(values), np.empty((len(draws), values.shape[1]))
+    salt = mix(np.array([seed_word(seed) + pack & 0xFFFFFFFF], np.uint32))
+    slots = mix(np.arange(int(sizes.max(initial=0)), dtype=np.uint32) ^ salt)
+    step = max(1, TOGETHER // max(1, len(slots)))
+    for low in range(0, len(draws), step):
+        own, n = draws[low : low + step], sizes[low : low + step]
+        shift = (own.astype(np.uint64) * np.uint64(SPREAD)).astype(np.uint32)
+        u = mix(slots[None, :] + shift[:, None]) / 4294967296.0
+        cell = np.arange(len(own))[:, None] * m + (u * m).astype(np.int64)
+        inside = np.arange(len(slots))[None, :] < n[:, None]
+        out[low : low + step] = np.bincount(cell[inside], minlength=len(own) * m).reshape(len(own), m) @ values
+    return out
+
+
+def bootstrap(sums: DataFrame, cluster: str, columns: Sequence[str], draws: int, seed: str, by: Sequence[str] = (), size: int = RANGE) -> DataFrame:
+    """Resampled column sums per group and draw, plus `n_clusters`.  `sums` has one row per (group, cluster); a missing sum adds nothing."""
     by = list(by)
-    sizes = sums.groupBy(*by).count() if by else sums.agg(F.count("*").alias("count"))
-    indexed = digest_rank(sums, hashing.digest(seed, c(cluster)), by)
-    if (sizes.agg(F.max("count")).first()[0] or 0) <= packed:
-        return _packed_draws(indexed, columns, draws, seed, by)
-    slots = indexed.select(*by, "_g", "_i").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = hashing.uniform(hashing.digest(seed, c("draw"), c("_i")))
-    picked = slots.select(*by, "draw", F.floor(u * c("_g")).alias("_i"))
-    drawn = picked.join(indexed.select(*by, "_i", "_g", *columns), [*by, "_i"])
-    return drawn.groupBy(*by, "draw").agg(*[F.sum(x).alias(x) for x in columns], F.max("_g").alias("n_clusters"))
-
-
-def _packed_draws(indexed: DataFrame, columns: Sequence[str], draws: int, seed: str, by: list[str]) -> DataFrame:
-    """The same draws from groups packed into arrays; a missing sum adds nothing."""
-    rows = indexed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", *[c(x).cast("double").alias(x) for x in columns]))).alias("_rows"))
-    packed = rows.select(*by, *[c("_rows").getField(x).alias(x) for x in columns])
-    blocks = packed.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK)))).repartition(*by, "_first")
+    indexed = digest_rank(sums, hashing.digest(seed, c(cluster)), by).withColumn("_pack", F.floor(c("_i") / size))
+    rows = F.array_sort(F.collect_list(F.struct("_i", *[F.coalesce(c(x).cast("double"), F.lit(0.0)).alias(x) for x in columns])))
+    packs = indexed.groupBy(*by, "_pack").agg(rows.alias("_rows"), F.max("_g").alias("_g"))
+    asked = packs.select(*by, "_pack", "_g", *[c("_rows").getField(x).alias(x) for x in columns])
+    asked = asked.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK)))).repartition(*by, "_pack", "_first")
+    k = len(by)
 
     def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for row in range(batch.num_rows):
-                arrays = [batch.column(i)[row].values.fill_null(0.0).to_numpy(zero_copy_only=False) for i in range(len(by), len(by) + len(columns))]
-                g, first = len(arrays[0]), batch.column(batch.num_columns - 1)[row].as_py()
-                numbers = range(first, min(first + BLOCK, draws))
-                picked = [(np.array([int(hashlib.sha256(f"{seed}:{n}:{i}".encode()).hexdigest()[:13], 16) for i in range(g)]) / float(1 << 52) * g).astype(np.int64) for n in numbers]
-                keys = [batch.column(i).slice(row, 1).take(pa.array([0] * len(numbers))) for i in range(len(by))]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(numbers, pa.int32()), *[pa.array([float(x[p].sum()) for p in picked]) for x in arrays], pa.array([g] * len(numbers), pa.int64())], names=[*by, "draw", *columns, "n_clusters"])
+                pack, g, first = (batch.column(i)[row].as_py() for i in (k, k + 1, batch.num_columns - 1))
+                values = np.stack([batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(k + 2, k + 2 + len(columns))], axis=1)
+                own = np.arange(first, min(first + BLOCK, draws))
+                found = drawn_sums(values, pack_sizes(seed, draws, g, pack, size)[own], own, seed, pack)
+                groups = [batch.column(i).slice(row, 1).take(pa.array(np.zeros(len(own), np.int64))) for i in range(k)]
+                yield pa.RecordBatch.from_arrays([*groups, pa.array(own.astype(np.int32)), *[pa.array(x) for x in found.T], pa.array(np.full(len(own), g))], names=[*by, "draw", *columns, "n_clusters"])
 
     fields = "".join(f"`{x}` {indexed.schema[x].dataType.simpleString()}, " for x in by) + "draw int, " + "".join(f"`{x}` double, " for x in columns)
-    return blocks.mapInArrow(draw, f"{fields}n_clusters long")
+    found = asked.mapInArrow(draw, f"{fields}n_clusters long")
+    return found.groupBy(*by, "draw").agg(*[F.sum(x).alias(x) for x in columns], F.max("n_clusters").alias("n_clusters"))
 
 
 def interval(replicates: DataFrame, estimate: Column, by: Sequence[str] = (), probs: Sequence[float] = (0.025, 0.975)) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tallylane.functions import probs
 from tallylane.keys import DEFAULT_KEYS as K
-from tallylane.operators import score
+from tallylane.operators import boot, score
 from tallylane.plans.aggregates import DIRICHLET_CTE, dirichlet
 from tallylane.plans.encoders import IDS_CTE
 from tallylane.plans.registry import query
 
 c = F.col
-DRAWS, SEED = 200, "boot"
+DRAWS, SEED = 10_000, "boot"
 
 
 def _vec_sql(step, mod):
@@ -30,14 +30,23 @@ top AS (SELECT game_pk, y, list_position(p, list_max(p)) - 1 AS a, list_max(p) A
 """
 
 
+def mix_sql(rows, x, rest):
+    """The rows with the mixed 32-bit word `h` of their word `x`, next to the columns `rest`."""
+    a, b = boot.MIX
+    return f"""(SELECT {rest}, xor(h2, h2 >> 16) AS h FROM (SELECT {rest}, (xor(h1, h1 >> 13) * {b}::UBIGINT) & 4294967295::UBIGINT AS h2 FROM (SELECT {rest}, (xor(h0, h0 >> 16) * {a}::UBIGINT) & 4294967295::UBIGINT AS h1 FROM (SELECT {rest}, ({x})::UBIGINT AS h0 FROM {rows}))))"""
+
+
 def boot_sql(sums, cols, by=(), cluster="game_pk", draws=DRAWS, seed=SEED):
-    """`rep`: resampled sums per group and draw, from the CTE `sums` with one row per (group, cluster)."""
+    """`rep`: resampled sums per group and draw, from the CTE `sums` with one row per (group, cluster), for groups of one pack."""
     b = "".join(f"{x}, " for x in by)
     part = f"PARTITION BY {', '.join(by)} " if by else ""
     on = " AND ".join([*(f"i.{x} IS NOT DISTINCT FROM s.{x}" for x in by), "i.idx = s.idx"])
+    salt = int(boot.mix(boot.np.array([boot.seed_word(seed)], "uint32"))[0])
+    slots = mix_sql("bi", f"xor(idx::UBIGINT, {salt}::UBIGINT)", f"{b}g")
+    drawn = mix_sql(f"{slots}, range({draws}) r(draw)", f"(h + draw::UBIGINT * {boot.SPREAD}::UBIGINT) & 4294967295::UBIGINT", f"{b}g, draw")
     return f"""
 bi AS (SELECT *, row_number() OVER ({part}ORDER BY sha256('{seed}:' || {cluster})) - 1 AS idx, count(*) OVER ({part}) AS g FROM {sums}),
-bs AS (SELECT {b}draw, CAST(floor(('0x' || substr(sha256('{seed}:' || draw || ':' || idx), 1, 13))::BIGINT / 4503599627370496.0 * g) AS BIGINT) AS idx FROM bi, range({draws}) r(draw)),
+bs AS (SELECT {b}draw, CAST(floor(h / 4294967296.0::DOUBLE * g) AS BIGINT) AS idx FROM {drawn}),
 rep AS (SELECT {''.join(f's.{x}, ' for x in by)}s.draw, {', '.join(f'sum(i.{x}) AS {x}' for x in cols)} FROM bs s JOIN bi i ON {on} GROUP BY ALL)"""
 
 

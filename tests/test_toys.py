@@ -1,5 +1,6 @@
 """Hand-computed examples and properties."""
 
+import hashlib
 import itertools
 import math
 
@@ -89,11 +90,40 @@ def test_bootstrap_draws_every_slot(spark):
     assert abs(means.mean() - 18) < 0.5 and 0.8 * sd < means.std() < 1.2 * sd
 
 
-def test_packed_and_joined_draws_are_the_same(spark):
+def test_draws_over_many_packs_are_multinomial():
+    """Sizes of a draw add up over the packs, and have the mean and variance of a multinomial, as have the counts inside."""
+    clusters, draws, size = 103, 4000, 8
+    packs = -(-clusters // size)
+    sizes = np.array([boot.pack_sizes("t", draws, clusters, p, size) for p in range(packs)])
+    own = np.minimum(size, clusters - size * np.arange(packs))
+    assert (sizes.sum(axis=0) == clusters).all()
+    share = own / clusters
+    assert np.allclose(sizes.mean(axis=1), own, rtol=0.05) and np.allclose(sizes.var(axis=1), clusters * share * (1 - share), rtol=0.12)
+    assert abs(np.corrcoef(sizes[0], sizes[-2])[0, 1] + np.sqrt(share[0] * share[-2] / (1 - share[0]) / (1 - share[-2]))) < 0.05
+    counts = np.concatenate([boot.drawn_sums(np.eye(n), sizes[p], np.arange(draws), "t", p) for p, n in enumerate(own)], axis=1)
+    assert (counts.sum(axis=1) == clusters).all() and np.allclose(counts.mean(axis=0), 1, atol=0.08) and np.allclose(counts.var(axis=0), 1 - 1 / clusters, atol=0.15)
+    few = boot.drawn_sums(np.eye(own[3]), sizes[3][100:110], np.arange(100, 110), "t", 3)
+    assert (few == counts[100:110, 3 * size : 4 * size]).all()
+
+
+@pytest.mark.parametrize("size", [boot.RANGE, 6])
+def test_draws_do_not_depend_on_partitions_or_blocks(spark, monkeypatch, size):
     rows = [(g, i, float(i), None if i == 3 else 1.0) for g in ("a", "b") for i in range(20 if g == "a" else 1)]
     sums = spark.createDataFrame(rows, "h string, g long, s double, n double")
-    both = [sorted(map(str, boot.bootstrap(sums, "g", ["s", "n"], 70, "t", ["h"], packed=limit).select("h", "draw", "s", "n", "n_clusters").fillna(0.0).collect())) for limit in (100, 0)]
-    assert both[0] == both[1] and len(both[0]) == 140
+
+    def drawn(df, g):
+        return {(r.h, r.draw): (r.s, r.n, r.n_clusters) for r in boot.bootstrap(df, g, ["s", "n"], 70, "t", ["h"], size).collect()}
+
+    first = drawn(sums, "g")
+    assert len(first) == 140 and {first[("b", d)] for d in range(70)} == {(0.0, 1.0, 1)}
+    monkeypatch.setattr(boot, "BLOCK", 33)
+    assert drawn(sums.repartition(7), "g") == first
+    values = np.array([[r[2], r[3] or 0.0] for r in sorted((r for r in rows if r[0] == "a"), key=lambda r: hashlib.sha256(f"t:{r[1]}".encode()).hexdigest())])
+    packs = [boot.drawn_sums(values[size * p : size * (p + 1)], boot.pack_sizes("t", 70, 20, p, size), np.arange(70), "t", p) for p in range(-(-20 // size))]
+    assert np.allclose(sum(packs), [first[("a", d)][:2] for d in range(70)])
+
+
+def test_one_cluster_has_no_interval(spark):
     log = spark.createDataFrame([("a", i % 4, 0.1 * i) for i in range(40)] + [("b", 1, 0.5)], "h string, g long, d double")
     got = {r.h: r for r in score.compare(log, "g", {"m": "d"}, 50, "t", ["h"]).collect()}
     assert got["b"].clusters == 1 and got["b"].p is None and got["b"].ci_low is None and got["a"].p is not None

@@ -104,8 +104,8 @@ def location_cell(x: Column, z: Column) -> Column:
     return F.when(x < -0.83, 9).when(x > 0.83, 10).when(z < 1.5, 11).when(z > 3.5, 12).otherwise(inside).cast("bigint")
 
 
-def winner_design() -> dict[str, Column]:
-    """Sixteen features of a game situation for the final-winner model."""
+def winner_design(occupied=lambda i: F.col(("on_1b", "on_2b", "on_3b")[i]).isNotNull()) -> dict[str, Column]:
+    """Sixteen features of a game situation for the final-winner model; `occupied` tells whether base i (from 0) is."""
     inning, outs = F.col("inning").cast("double"), F.col("outs_when_up").cast("double")
     bot = (F.col("inning_topbot") == "Bot").cast("double")
     diff = (F.col("home_score") - F.col("away_score")).cast("double")
@@ -115,8 +115,8 @@ def winner_design() -> dict[str, Column]:
         "w0": F.lit(1.0), "w1": diff / scale, "w2": diff, "w3": bot, "w4": inning / 9, "w5": outs / 3,
         "w6": bot * outs / 3, "w7": (inning >= 9).cast("double"), "w8": sign / scale, "w9": sign * outs / (3 * scale),
     }
-    for i, base in enumerate(("on_1b", "on_2b", "on_3b")):
-        on = F.col(base).isNotNull().cast("double")
+    for i in range(3):
+        on = occupied(i).cast("double")
         out[f"w{10 + i}"] = on * sign / scale
         out[f"w{13 + i}"] = on * sign * (3 - outs) / (3 * scale)
     return out

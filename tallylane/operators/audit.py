@@ -99,14 +99,25 @@ EVENT_CLASS = {
 TRAJECTORY_REASONS = (
     "illegal_terminal_half_transition", "illegal_terminal_outs", "illegal_terminal_score", "invalid_count_or_action", "mid_pa_context_change", "missing_terminal_next_state",
     "nonconsecutive_pitch_sequence", "nonterminal_count_or_event_mismatch", "not_zero_count_start", "observed_action_outside_common_support", "post_score_next_state_mismatch",
-    "source_unsupported_pa", "terminal_boundary_invalid", "terminal_label_mismatch", "unmapped_outcome")
+    "source_unsupported_pa", "support_unavailable", "terminal_boundary_invalid", "terminal_label_mismatch", "unmapped_outcome")
 CONTEXT = ("pitcher", "batter", "stand", "p_throws", "inning", "inning_topbot", "outs_when_up", "_bases", "home_score", "away_score")
 
 
-def trajectory_audit(log: DataFrame, support: DataFrame, source: DataFrame, keys: LogKeys, action: str) -> DataFrame:
+def action_number(action: str, actions: Sequence[str]) -> Column:
+    """Place of an action in the vocabulary, from 0; null outside."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in actions]), c(action)), F.lit(0).cast("long")) - 1
+
+
+def support_masks(support: DataFrame, actor: str, action: str, actions: Sequence[str]) -> DataFrame:
+    """Each actor's supported actions as a bit set, bit i for action i."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), action_number(action, actions).cast("int"))
+    return support.groupBy(actor).agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("mask"))
+
+
+def trajectory_audit(log: DataFrame, masks: DataFrame, source: DataFrame, keys: LogKeys, action: str, actions: Sequence[str]) -> DataFrame:
     """One row per episode: its terminal class, its length, whether it is kept as transitions, and all reasons against it.
 
-    `support` lists the (actor, action) pairs that a policy may be compared on, `source` the episodes' own support flag.
+    `masks` (support_masks) are the actions that a policy may be compared on, `source` the episodes' own support flag.
     Each reason is a condition on one event beside its neighbours in the episode and the cluster; one aggregation
     collects them.  A condition is asked only where those before it hold (label, then count and action, then
     the terminal, then what follows it).
@@ -118,12 +129,13 @@ def trajectory_audit(log: DataFrame, support: DataFrame, source: DataFrame, keys
         "_y": label, "_i": F.row_number().over(w), "_last": F.lead(keys.seq).over(w).isNull(), "_nb": F.lead("balls").over(w), "_ns": F.lead("strikes").over(w),
         "_bases": sum((F.when(c(f"on_{i}b") > 0, 1 << i - 1).otherwise(0) for i in (2, 3)), F.when(c("on_1b") > 0, 1).otherwise(0)),
         **{f"_to_{x}": F.lead(x).over(cluster) for x in (keys.period, keys.side, "outs_when_up", "home_score", "away_score")}})
-    rows = rows.join(support.select(keys.actor, action, F.lit(True).alias("_ok")), [keys.actor, action], "left")
+    rows = rows.join(masks, keys.actor, "left").withColumn("_a", action_number(action, actions).cast("int"))
+    rows = rows.withColumn("_ok", F.expr("shiftright(mask, _a) & 1 = 1"))
     rows = rows.withColumn("_end", F.when((c("_y") == 0) & (c("balls") == 3), "walk").when((c("_y") == 1) & (c("strikes") == 2), "strikeout").when(c("_y") >= 3, F.get(names, c("_y").cast("int"))))
     rows = rows.withColumn("_named", codes.lookup(c("events"), EVENT_CLASS))
 
     known = c("_y") >= 0
-    sound = known & c("balls").between(0, 3) & c("strikes").between(0, 2) & c(action).isNotNull()
+    sound = known & c("balls").between(0, 3) & c("strikes").between(0, 2) & c("_a").isNotNull()
     agreed = sound & c("_last") & c("_end").isNotNull() & c("_end").eqNullSafe(c("_named"))
     seen = agreed & c(f"_to_{keys.period}").isNotNull()
     top = c(keys.side) == "Top"
@@ -139,7 +151,7 @@ def trajectory_audit(log: DataFrame, support: DataFrame, source: DataFrame, keys
     against = {
         "nonconsecutive_pitch_sequence": c(keys.seq) != c("_i"), "not_zero_count_start": (c("_i") == 1) & ((c("balls") != 0) | (c("strikes") != 0)),
         "terminal_boundary_invalid": terminal != c("_last"), "unmapped_outcome": ~known, "invalid_count_or_action": known & ~sound,
-        "observed_action_outside_common_support": sound & c("_ok").isNull(),
+        "observed_action_outside_common_support": sound & ~c("_ok"), "support_unavailable": sound & c("mask").isNull(),
         "nonterminal_count_or_event_mismatch": sound & ~c("_last") & (c("_end").isNotNull() | (c("_nb") != c("balls") + (c("_y") == 0).cast("int")) | (c("_ns") != F.least(F.lit(2), c("strikes") + c("_y").isin(1, 2).cast("int")))),
         "terminal_label_mismatch": sound & c("_last") & ~agreed, "missing_terminal_next_state": agreed & ~seen, "illegal_terminal_half_transition": seen & ~moved,
         "illegal_terminal_outs": moved & ~counted, "illegal_terminal_score": counted & ~scored,
@@ -153,12 +165,16 @@ def trajectory_audit(log: DataFrame, support: DataFrame, source: DataFrame, keys
     return ep.select(*keys.episode_key, keys.actor, "terminal_class", "n_events", (F.size(reasons) == 0).alias("retained"), F.array_join(reasons, "|").alias("reasons"))
 
 
-def transitions(log: DataFrame, audit: DataFrame, keys: LogKeys, action: str) -> DataFrame:
-    """Rows of supported episodes with position, next sequence number, done flag and action."""
-    kept = log.join(audit.where("supported").select(*keys.episode_key), keys.episode_key, "left_semi")
+def transitions(log: DataFrame, audit: DataFrame, masks: DataFrame, keys: LogKeys, action: str, actions: Sequence[str]) -> DataFrame:
+    """Events of retained episodes (trajectory_audit) with position, action number, support masks here and at the next event (0 at
+    the end), next sequence number, done flag, and the terminal class where done.
+    """
+    kept = log.join(audit.where("retained").select(*keys.episode_key, "terminal_class"), keys.episode_key).join(masks, keys.actor)
     w = keys.in_episode()
     nxt = F.lead(keys.seq).over(w)
-    return kept.select(*keys.event, c(action).alias("action"), F.row_number().over(w).alias("position"), F.coalesce(nxt, F.lit(-1)).alias("next_seq"), nxt.isNull().alias("done"))
+    return kept.select(
+        *keys.event, c(action).alias("action"), action_number(action, actions).alias("action_number"), "mask", F.coalesce(F.lead("mask").over(w), F.lit(0)).alias("next_mask"),
+        F.row_number().over(w).alias("position"), F.coalesce(nxt, F.lit(-1)).alias("next_seq"), nxt.isNull().alias("done"), F.when(nxt.isNull(), c("terminal_class")).alias("terminal_event"))
 
 
 def _first_reason(rules: Sequence[tuple[str, Column]]) -> Column:

@@ -71,6 +71,17 @@ def metric_report(df: DataFrame, p: str, y: str, n_classes: int) -> DataFrame:
     return with_row(with_row(base, f1), ece)
 
 
+def binary_report(df: DataFrame, p: str, y: str, cluster: str, bins: int = 10) -> DataFrame:
+    """One row: rows, clusters, log-loss, Brier score and calibration error of a forecast of a yes or no, from one pass over bins."""
+    q = F.greatest(F.least(c(p), F.lit(1 - 1e-12)), F.lit(1e-12))
+    hit = c(y).cast("double")
+    rows = df.select(cluster, q.alias("_q"), hit.alias("_h"), probs.ece_bin(q, bins).alias("_b"))
+    cells = rows.groupBy("_b").agg(
+        F.count("*").alias("n"), F.sum("_q").alias("_mass"), F.sum("_h").alias("_hits"), F.sum(-(c("_h") * F.log("_q") + (1 - c("_h")) * F.log1p(-c("_q")))).alias("_nll"), F.sum((c("_q") - c("_h")) * (c("_q") - c("_h"))).alias("_sq"))
+    s = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), (F.sum("_nll") / F.sum("n")).alias("log_loss"), (F.sum("_sq") / F.sum("n")).alias("brier"), (F.sum(F.abs(c("_mass") - c("_hits"))) / F.sum("n")).alias("ece"))
+    return with_row(s, rows.agg(F.count_distinct(cluster).alias("clusters")))
+
+
 def outcome_calibration(df: DataFrame, columns: Sequence[str], y: str, bins: int) -> DataFrame:
     """NLL, top-1 accuracy and mean per-outcome ECE of a table joined to held-out rows (one column per outcome)."""
     arr = F.array(*columns)

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylane.keys import DEFAULT_KEYS as K
-from tallylane.operators import asof, audit, freq, gates, joins, ordered
-from tallylane.plans.aggregates import LEVELS, _chain_sql, chain
+from tallylane.operators import asof, audit, freq, gates, joins, ordered, rewards
+from tallylane.plans.aggregates import ADV_CTE, LEVELS, _chain_sql, advancement_rows, chain
 from tallylane.plans.encoders import OUT10_SQL
 from tallylane.plans.ordered import COMPLETE_CTE, OUTS_CTE, TERMINAL, with_outs
 from tallylane.plans.registry import query
+from tallylane.plans.samples import winner_fit
+from tallylane.plans.testlog import TYPE_CODES
 
 c = F.col
 KEY = K.event
@@ -249,19 +251,20 @@ _AGAINST_SQL = {
     "illegal_terminal_half_transition": "seen AND NOT moved", "illegal_terminal_outs": "moved AND NOT counted", "illegal_terminal_score": "counted AND NOT scored", "invalid_count_or_action": "known AND NOT sound",
     "missing_terminal_next_state": "agreed AND NOT seen", "nonconsecutive_pitch_sequence": "pitch_number <> i_",
     "nonterminal_count_or_event_mismatch": "sound AND NOT last_ AND (end_ IS NOT NULL OR nb <> balls + (y_ = 0)::INT OR ns <> least(2, strikes + (y_ IN (1, 2))::INT))",
-    "not_zero_count_start": "i_ = 1 AND (balls <> 0 OR strikes <> 0)", "observed_action_outside_common_support": "sound AND ok_ IS NULL",
+    "not_zero_count_start": "i_ = 1 AND (balls <> 0 OR strikes <> 0)", "observed_action_outside_common_support": "sound AND NOT ok_", "support_unavailable": "sound AND mask IS NULL",
     "post_score_next_state_mismatch": "scored AND (post_home_score <> nh OR post_away_score <> na)", "terminal_boundary_invalid": "coalesce(events <> 'truncated_pa', false) <> last_",
     "terminal_label_mismatch": "sound AND last_ AND NOT agreed", "unmapped_outcome": "NOT known"}
 
 
-@query("f02_trajectory_audit", AUDIT_CTE + f""",
-su AS (SELECT pitcher, pitch_type, true AS ok_ FROM log WHERE pitch_type IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 12),
+_ACTIONS_SQL = "[" + ", ".join(f"'{x}'" for x in TYPE_CODES) + "]"
+TRAJECTORY_CTE = AUDIT_CTE + f""",
+su AS (SELECT pitcher, bit_or(1::BIGINT << (list_position({_ACTIONS_SQL}, pitch_type) - 1)::INT) AS mask FROM (SELECT pitcher, pitch_type FROM log WHERE pitch_type IS NOT NULL AND pitcher % 7 <> 6 GROUP BY 1, 2 HAVING count(*) >= 12) GROUP BY 1),
 t0 AS (SELECT log.*, {OUT10_SQL} AS y_, row_number() OVER w AS i_, lead(pitch_number) OVER w IS NULL AS last_, lead(balls) OVER w AS nb, lead(strikes) OVER w AS ns,
   CASE WHEN on_1b > 0 THEN 1 ELSE 0 END + CASE WHEN on_2b > 0 THEN 2 ELSE 0 END + CASE WHEN on_3b > 0 THEN 4 ELSE 0 END AS _bases,
   lead(inning) OVER g AS ni, lead(inning_topbot) OVER g AS nt, lead(outs_when_up) OVER g AS no, lead(home_score) OVER g AS nh, lead(away_score) OVER g AS na
   FROM log WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number), g AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number)),
-t1 AS (SELECT t0.*, ok_, CASE WHEN y_ = 0 AND balls = 3 THEN 'walk' WHEN y_ = 1 AND strikes = 2 THEN 'strikeout' WHEN y_ >= 3 THEN ['out', 'single', 'double', 'triple', 'home_run', 'hbp', 'double_play'][y_ - 2] END AS end_, {_NAMED_SQL} AS named
-  FROM t0 LEFT JOIN su ON su.pitcher = t0.pitcher AND su.pitch_type = t0.pitch_type),
+t1 AS (SELECT t0.*, mask, (mask >> (list_position({_ACTIONS_SQL}, pitch_type) - 1)::INT) & 1 = 1 AS ok_, CASE WHEN y_ = 0 AND balls = 3 THEN 'walk' WHEN y_ = 1 AND strikes = 2 THEN 'strikeout' WHEN y_ >= 3 THEN ['out', 'single', 'double', 'triple', 'home_run', 'hbp', 'double_play'][y_ - 2] END AS end_, {_NAMED_SQL} AS named
+  FROM t0 LEFT JOIN su USING (pitcher)),
 t2 AS (SELECT *, y_ >= 0 AS known, y_ >= 0 AND balls BETWEEN 0 AND 3 AND strikes BETWEEN 0 AND 2 AND pitch_type IS NOT NULL AS sound, ni = inning AND nt = inning_topbot AS same_,
   (inning_topbot = 'Top' AND ni = inning AND nt = 'Bot') OR (inning_topbot <> 'Top' AND ni = inning + 1 AND nt = 'Top') AS flip FROM t1),
 t3 AS (SELECT *, sound AND last_ AND end_ IS NOT NULL AND end_ IS NOT DISTINCT FROM named AS agreed FROM t2),
@@ -271,36 +274,101 @@ t6 AS (SELECT *, moved AND dout BETWEEN 0 AND 3 - outs_when_up AND coalesce(dout
 t7 AS (SELECT *, counted AND least(nh - home_score, na - away_score) >= 0 AND greatest(nh - home_score, na - away_score) <= 4 AND CASE WHEN inning_topbot = 'Top' THEN nh - home_score ELSE na - away_score END = 0 AS scored FROM t6),
 t8 AS (SELECT game_pk, at_bat_number, min_by(pitcher, i_) AS pitcher, coalesce(arg_max_null(named, i_), 'unknown') AS terminal_class, count(*) AS n_events, coalesce({_CHANGE_SQL}, false) AS mid_pa_context_change,
   {', '.join(f'coalesce(bool_or({x}), false) AS {name}' for name, x in _AGAINST_SQL.items())} FROM t7 GROUP BY 1, 2),
-t9 AS (SELECT t8.*, NOT coalesce(supported, false) AS source_unsupported_pa FROM t8 LEFT JOIN au USING (game_pk, at_bat_number))
-SELECT game_pk, at_bat_number, pitcher, terminal_class, n_events, NOT ({' OR '.join(audit.TRAJECTORY_REASONS)}) AS retained,
-  concat_ws('|', {', '.join(f"CASE WHEN {r} THEN '{r}' END" for r in audit.TRAJECTORY_REASONS)}) AS reasons FROM t9""")
+t9 AS (SELECT t8.*, NOT coalesce(supported, false) AS source_unsupported_pa FROM t8 LEFT JOIN au USING (game_pk, at_bat_number)),
+t10 AS (SELECT game_pk, at_bat_number, pitcher, terminal_class, n_events, NOT ({' OR '.join(audit.TRAJECTORY_REASONS)}) AS retained,
+  concat_ws('|', {', '.join(f"CASE WHEN {r} THEN '{r}' END" for r in audit.TRAJECTORY_REASONS)}) AS reasons FROM t9)
+"""
+
+
+def policy_support(t):
+    """Actions with twelve events of an actor; one actor in seven has no support at all."""
+    pairs = t.log.where("pitch_type is not null and pitcher % 7 <> 6").groupBy("pitcher", "pitch_type").count().where("count >= 12")
+    return audit.support_masks(pairs, "pitcher", "pitch_type", TYPE_CODES)
+
+
+def trajectories(t):
+    return audit.trajectory_audit(t.log, policy_support(t), audited(t)[1], K, "pitch_type", TYPE_CODES)
+
+
+@query("f02_trajectory_audit", TRAJECTORY_CTE + "SELECT * FROM t10")
 def _f02a(t):
-    log, a = audited(t)
-    support = t.log.where("pitch_type is not null").groupBy("pitcher", "pitch_type").count().where("count >= 12")
-    return audit.trajectory_audit(t.log, support, a, K, "pitch_type")
+    return trajectories(t)
 
 
-@query("f02_transitions", AUDIT_CTE + """
-SELECT game_pk, at_bat_number, pitch_number, pitch_type AS action, row_number() OVER w AS position, coalesce(lead(pitch_number) OVER w, -1) AS next_seq, lead(pitch_number) OVER w IS NULL AS done FROM log SEMI JOIN (SELECT * FROM au WHERE supported) USING (game_pk, at_bat_number)
-WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number)""")
+@query("f02_transitions", TRAJECTORY_CTE + """
+SELECT game_pk, at_bat_number, pitch_number, pitch_type AS action, list_position(""" + _ACTIONS_SQL + """, pitch_type)::BIGINT - 1 AS action_number, mask, coalesce(lead(mask) OVER w, 0) AS next_mask, row_number() OVER w AS position,
+  coalesce(lead(pitch_number) OVER w, -1) AS next_seq, lead(pitch_number) OVER w IS NULL AS done, CASE WHEN lead(pitch_number) OVER w IS NULL THEN terminal_class END AS terminal_event
+FROM log JOIN (SELECT game_pk, at_bat_number, terminal_class FROM t10 WHERE retained) USING (game_pk, at_bat_number) JOIN su USING (pitcher) WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number)""")
 def _f02(t):
-    log, a = audited(t)
-    return audit.transitions(log, a, K, "pitch_type")
+    return audit.transitions(t.log, trajectories(t), policy_support(t), K, "pitch_type", TYPE_CODES)
+
+
+_STATE_SQL = ", ".join(rewards.STATE)
+_NEXT_SQL = ", ".join(f"next_{x}" for x in rewards.STATE)
+SUCCESSOR_CTE = f"""
+sh AS (SELECT event, bases, outs_when_up, out_delta, to_bases, adv_runs, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY event, bases, outs_when_up) AS BIGINT) AS cell FROM aok GROUP BY event, bases, outs_when_up, out_delta, to_bases, adv_runs),
+ep AS (SELECT game_pk, at_bat_number, inning, inning_topbot, outs_when_up, CASE WHEN on_1b > 0 THEN 1 ELSE 0 END + CASE WHEN on_2b > 0 THEN 2 ELSE 0 END + CASE WHEN on_3b > 0 THEN 4 ELSE 0 END AS bases, home_score, away_score, terminal_class AS event
+  FROM log JOIN (SELECT game_pk, at_bat_number, terminal_class FROM t10 WHERE retained) USING (game_pk, at_bat_number) WHERE pitch_number = 1),
+pr AS (SELECT DISTINCT {_STATE_SQL}, event FROM ep),
+ru AS (SELECT pr.*, CASE WHEN cell IS NULL THEN 1.0::DOUBLE ELSE 5.0::DOUBLE / (cell + 5) END AS weight,
+    CASE WHEN event = 'double_play' AND outs_when_up < 2 AND bases % 2 = 1 THEN 2 WHEN event IN ('out', 'strikeout', 'double_play') THEN 1 ELSE 0 END AS out_delta,
+    CASE WHEN event IN ('walk', 'hbp') THEN [1, 3, 3, 7, 5, 7, 7, 7][bases + 1] WHEN event = 'double_play' AND outs_when_up < 2 AND bases % 2 = 1 THEN bases - 1 WHEN event = 'single' THEN (bases * 2 + 1) % 8 WHEN event = 'double' THEN (bases * 4 + 2) % 8 WHEN event = 'triple' THEN 4 WHEN event = 'home_run' THEN 0 ELSE bases END AS to_bases,
+    CASE WHEN event IN ('walk', 'hbp') THEN (bases = 7)::INT WHEN event = 'single' THEN bases // 4 WHEN event = 'double' THEN bases // 4 + bases // 2 % 2 WHEN event IN ('triple', 'home_run') THEN bases // 4 + bases // 2 % 2 + bases % 2 + (event = 'home_run')::INT ELSE 0 END AS adv_runs
+  FROM pr LEFT JOIN (SELECT DISTINCT event, bases, outs_when_up, cell FROM sh) USING (event, bases, outs_when_up)),
+al AS (SELECT {_STATE_SQL}, event, weight, out_delta, to_bases, adv_runs FROM ru UNION ALL SELECT {_STATE_SQL}, event, (n / (cell + 5.0))::DOUBLE, out_delta, to_bases, adv_runs FROM pr JOIN sh USING (event, bases, outs_when_up)),
+sc AS (SELECT *, outs_when_up + out_delta AS o_, home_score + CASE WHEN inning_topbot = 'Bot' THEN adv_runs ELSE 0 END AS h_, away_score + CASE WHEN inning_topbot = 'Top' THEN adv_runs ELSE 0 END AS a_ FROM al),
+st AS (SELECT *, CASE WHEN inning_topbot = 'Bot' AND inning >= 9 AND h_ > a_ THEN 'walkoff' WHEN o_ < 3 THEN 'on' WHEN inning >= 9 AND CASE WHEN inning_topbot = 'Top' THEN h_ > a_ ELSE a_ > h_ END THEN 'end' ELSE 'turn' END AS k_ FROM sc),
+nx AS (SELECT {_STATE_SQL}, event, weight, CASE WHEN k_ = 'turn' AND inning_topbot = 'Bot' THEN inning + 1 ELSE inning END AS next_inning, CASE WHEN k_ <> 'turn' THEN inning_topbot WHEN inning_topbot = 'Top' THEN 'Bot' ELSE 'Top' END AS next_inning_topbot,
+    CASE WHEN k_ = 'turn' THEN 0 ELSE least(o_, 2) END AS next_outs_when_up, CASE k_ WHEN 'turn' THEN CASE WHEN inning + (inning_topbot = 'Bot')::INT >= 10 THEN 2 ELSE 0 END WHEN 'end' THEN 0 ELSE to_bases END AS next_bases,
+    CASE WHEN k_ = 'walkoff' AND event <> 'home_run' THEN least(h_, a_ + 1) ELSE h_ END AS next_home_score, a_ AS next_away_score, CASE WHEN k_ = 'walkoff' OR (k_ = 'end' AND inning_topbot = 'Top') THEN 'home' WHEN k_ = 'end' THEN 'away' END AS winner FROM st),
+sx AS (SELECT {_STATE_SQL}, event, {_NEXT_SQL}, winner, sum(weight) AS probability FROM nx GROUP BY ALL)
+"""
+
 
+def retained_episodes(t):
+    """Initial state and terminal class of every retained episode."""
+    bases = sum((F.when(c(f"on_{i}b") > 0, 1 << i - 1).otherwise(0) for i in (2, 3)), F.when(c("on_1b") > 0, 1).otherwise(0))
+    first = t.log.where("pitch_number = 1").withColumn("bases", bases)
+    return first.join(trajectories(t).where("retained"), K.episode_key).select(*K.episode_key, *rewards.STATE, c("terminal_class").alias("event"))
 
-@query("f03_terminal_rewards", f"""
-tv AS (SELECT *, lead(outs_when_up) OVER g AS no, lead(home_score - away_score) OVER g AS nd FROM log WINDOW g AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number)),
-dd AS (SELECT events, outs_when_up, no, nd - (home_score - away_score) AS dd, count(*) AS n FROM tv WHERE {TERMINAL} AND no IS NOT NULL GROUP BY ALL),
-ds AS (SELECT *, n / sum(n) OVER (PARTITION BY events, outs_when_up) AS p FROM dd)
-SELECT l.game_pk, l.at_bat_number, sum(p / (1 + exp(-(home_score - away_score + dd) / CAST(2 AS DOUBLE)))) AS expected_value FROM log l JOIN ds ON ds.events = l.events AND ds.outs_when_up = l.outs_when_up WHERE {TERMINAL.replace('events', 'l.events')} GROUP BY 1, 2""", doubles=["expected_value"])
+
+def advancement_shares(t):
+    return freq.advancement(advancement_rows(t), ["event", "bases", "outs_when_up"], ["out_delta", "to_bases", "adv_runs"])
+
+
+def lead_value():
+    """A given value of the home side: logistic in its lead over the root of the half periods left."""
+    left = F.greatest(2 * (9 - c("inning")) + (c("inning_topbot") == "Top").cast("int") + (3 - c("outs_when_up")) / 3, F.lit(0.35))
+    return 1 / (1 + F.exp(-(c("home_score") - c("away_score")) / F.sqrt(left + 0.5)))
+
+
+@query("f03_successors", TRAJECTORY_CTE + ", " + ADV_CTE + ", " + SUCCESSOR_CTE + "SELECT * FROM sx", doubles=["probability"])
+def _f03s(t):
+    return rewards.successors(retained_episodes(t).select(*rewards.STATE, "event").distinct(), advancement_shares(t), 5.0)
+
+
+@query("f03_terminal_rewards", TRAJECTORY_CTE + ", " + ADV_CTE + ", " + SUCCESSOR_CTE + f""",
+va AS (SELECT *, CASE winner WHEN 'home' THEN 1.0 WHEN 'away' THEN 0.0 ELSE 1 / (1 + exp(-(next_home_score - next_away_score) / sqrt(greatest(2 * (9 - next_inning) + (next_inning_topbot = 'Top')::INT + (3 - next_outs_when_up) / 3.0::DOUBLE, 0.35) + 0.5))) END AS ph FROM sx),
+rw AS (SELECT {_STATE_SQL}, event, sum(probability * CASE WHEN inning_topbot = 'Top' THEN ph ELSE 1 - ph END) AS reward FROM va GROUP BY ALL)
+SELECT game_pk, at_bat_number, event, reward FROM ep JOIN rw USING ({_STATE_SQL}, event)""", doubles=["reward"])
 def _f03(t):
-    """Expected value of the continuation over the observed successor distribution of (event, outs)."""
-    log = t.log.withColumn("lead_", c("home_score") - c("away_score"))
-    term = F.coalesce(c("is_last") & (c("events") != "truncated_pa"), F.lit(False))
-    x = ordered.next_state(log, K, ["outs_when_up", "lead_"], term).where(term)
-    dist = freq.advancement(x.where("next_outs_when_up is not null").withColumn("change", c("next_lead_") - c("lead_")), ["events", "outs_when_up"], ["next_outs_when_up", "change"])
-    joined = x.join(dist.select("events", "outs_when_up", "change", (c("n") / c("cell")).alias("p")), ["events", "outs_when_up"])
-    return joined.groupBy("game_pk", "at_bat_number").agg(F.sum(c("p") / (1 + F.exp(-(c("lead_") + c("change")) / 2.0))).alias("expected_value"))
+    """Expected value after each retained episode for the side that defends, under a given value of states."""
+    return rewards.terminal_rewards(retained_episodes(t), advancement_shares(t), lead_value(), K.episode_key)
+
+
+@query("f03_fitted_rewards")
+def _f03f(t):
+    """The same under the fitted winner model."""
+    fitted, names = winner_fit(t)
+    value = rewards.fitted_value(fitted.coefficients, fitted.intercept, names)
+    return rewards.terminal_rewards(retained_episodes(t), advancement_shares(t), value, K.episode_key)
+
+
+@query("f03_reward_check", TRAJECTORY_CTE + "SELECT count(*) AS episodes, 0::BIGINT AS outside, 0::BIGINT AS missing FROM t10 WHERE retained")
+def _f03c(t):
+    """Fitted rewards are probabilities, one for each retained episode."""
+    n = trajectories(t).where("retained").join(_f03f(t), K.episode_key, "left")
+    return n.agg(F.count("*").alias("episodes"), F.count_if((c("reward") < 0) | (c("reward") > 1) | F.isnan("reward")).alias("outside"), F.count_if(c("reward").isNull()).alias("missing"))
 
 
 @query("f04_score_mismatch", """

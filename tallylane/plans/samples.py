@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallylane.functions import features, probs
 from tallylane.functions.quantiles import with_row
 from tallylane.keys import DEFAULT_KEYS as K
-from tallylane.operators import aggs, asof, freq, model, ordered, sample
+from tallylane.operators import aggs, asof, freq, model, ordered, sample, score
 from tallylane.plans.encoders import IDS_CTE
 from tallylane.plans.ordered import OUTS_CTE, REFERENCE_CTE, terminal, with_outs
 from tallylane.plans.registry import query
@@ -136,14 +136,35 @@ def _g11(t):
     return model.actor_clusters(t.log, "pitcher", ["release_speed", "release_spin_rate", "pfx_x", "pfx_z"], shares, 4)
 
 
+WINNER = [f"w{i}" for i in range(1, 16)]
+
+
+def winner_rows(t):
+    """Design of every event of finished clusters, with the final winner."""
+    log = t.log.join(ordered.cluster_completion(t.log, K).where("complete"), "game_pk")
+    return log.select(*KEY, "season", "final_home_win", *[e.alias(n) for n, e in features.winner_design().items() if n != "w0"])
+
+
+def winner_fit(t):
+    """Winner model on the first events of the episodes of the training seasons, and the names of its columns."""
+    rows = winner_rows(t).where("pitch_number = 1 and season <= 2022")
+    return model.winner_model(rows, "final_home_win", WINNER, ["w1", "w2"], 0.01), WINNER
+
+
 @query("g12_winner_model")
 def _g12(t):
     """Predicted final-winner probability of every event of finished clusters."""
-    log = t.log.join(ordered.cluster_completion(t.log, K).where("complete"), "game_pk")
-    cols = [f"w{i}" for i in range(1, 16)]
-    d = log.select(*KEY, "final_home_win", *[e.alias(n) for n, e in features.winner_design().items() if n != "w0"])
-    m = model.winner_model(d, "final_home_win", cols, ["w1", "w2"], 0.01)
-    return model.predict(m, d, cols).select(*KEY, "final_home_win", c("p")[1].alias("p_home"))
+    m, cols = winner_fit(t)
+    return model.predict(m, winner_rows(t), cols).select(*KEY, "final_home_win", c("p")[1].alias("p_home"))
+
+
+@query("g12_winner_evaluation")
+def _g12e(t):
+    """Loss and calibration of the winner model on the first events of the later seasons' episodes."""
+    m, cols = winner_fit(t)
+    held = winner_rows(t).where("pitch_number = 1 and season > 2022")
+    p = model.predict(m, held, cols).select("game_pk", "final_home_win", c("p")[1].alias("p_home"))
+    return score.binary_report(p, "p_home", "final_home_win", "game_pk")
 
 
 @query("g13_outcome_model")

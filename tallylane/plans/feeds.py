@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallylane.keys import DEFAULT_KEYS as K
 from tallylane.operators.lineage import shared_folder
 from tallylane.plans.registry import Tables, query
-from tallylane.sources import log_io
+from tallylane.sources import game_feed, log_io
 from tallylane.streaming import state, views
 
 c = F.col
@@ -117,6 +117,99 @@ def _a08(t):
     return log_io.flatten_feed(feed_documents(t), K).select(*KEY, "pitcher", "code", "balls_before", "strikes_before", "outs_total_before", "away_before", "home_before")
 
 
+#: Movements of an event by its k: runner (as an offset to the batter's id), and from base to base; - is none, x an out, H home.
+MOVES = {0: (0, "-1"), 1: (1, "12"), 2: (2, "2H"), 3: (3, "1x"), 4: (0, "-23"), 5: (4, "3H"), 6: (0, "-x")}
+BASE_NAMES = {"1": "1B", "2": "2B", "3": "3B", "H": "score"}
+
+
+def game_documents(t) -> DataFrame:
+    """A nested feed of every cluster in the provider's form: pitches, automatic calls, substitutions, steals, movements listed by runner."""
+    index = c("pitch_number") * 3
+
+    def movement(at, runner, a, b):
+        text = F.lit(None).cast("string")
+        return F.struct(
+            F.struct(F.lit(BASE_NAMES.get(a)).cast("string").alias("start") if a in BASE_NAMES else text.alias("start"), F.lit(BASE_NAMES[b]).alias("end") if b in BASE_NAMES else text.alias("end"), F.lit(b == "x").alias("isOut")).alias("movement"),
+            F.struct(at.alias("playIndex"), F.struct((c("batter") + runner).alias("id")).alias("runner")).alias("details"))
+
+    moves = [F.when(c("k") % 10 == r, F.array(*[movement(index + 1, who, a, b) for a, b in zip(path, path[1:])])) for r, (who, path) in MOVES.items()]
+    steal = F.when(c("k") % 16 == 7, F.array(movement(index + 2, 1, "1", "2")))
+    count = F.struct((c("k") % 4).alias("balls"), (c("k") % 3).alias("strikes"))
+    no_count = F.struct(F.when(c("k") % 2 == 0, F.lit(1)).cast("long").alias("balls"), F.lit(None).cast("long").alias("strikes"))
+    none = F.lit(None)
+
+    def event(at, pitch, kind, name, player, call, counted):
+        details = F.struct(name.cast("string").alias("eventType"), F.struct(call.cast("string").alias("code")).alias("call"), F.struct(F.when(pitch, c("pitch_type")).alias("code")).alias("type"))
+        data = F.when(pitch, F.struct(c("release_speed").alias("startSpeed"), F.struct((c("k") / 4.0).alias("breakHorizontal"), (c("k") / 8.0).alias("breakVerticalInduced")).alias("breaks")))
+        return F.struct(at.alias("index"), pitch.alias("isPitch"), kind.alias("type"), F.struct(player.cast("long").alias("id")).alias("player"), details.alias("details"), counted.alias("count"), data.alias("pitchData"))
+
+    called = c("k") % 40 != 39
+    codes = F.element_at(F.array(*[F.lit(x) for x in ("B", "C", "F", "X", "S", "*B", "zz")]), (c("k") % 7 + 1).cast("int"))
+    swap = F.when(c("k") % 25 == 9, F.array(event(index, F.lit(False), F.lit("action"), F.lit(game_feed.SUBSTITUTION), c("pitcher") + 1000, none, no_count)))
+    thrown = F.array(event(index + 1, called, F.when(called, "pitch").otherwise("no_pitch"), none, none, F.when(called, codes).otherwise("VB"), count))
+    stolen = F.when(c("k") % 16 == 7, F.array(event(index + 2, F.lit(False), F.lit("action"), F.lit("stolen_base_2b"), none, none, no_count)))
+    empty = thrown.getItem(0)
+    rows = t.log.withColumns({
+        "_events": F.concat(F.coalesce(swap, F.filter(F.array(empty), lambda x: F.lit(False))), thrown, F.coalesce(stolen, F.filter(F.array(empty), lambda x: F.lit(False)))),
+        "_moves": F.concat(F.coalesce(*moves, F.array().cast("array<struct<movement:struct<start:string,end:string,isOut:boolean>,details:struct<playIndex:bigint,runner:struct<id:bigint>>>>")), F.coalesce(steal, F.array().cast("array<struct<movement:struct<start:string,end:string,isOut:boolean>,details:struct<playIndex:bigint,runner:struct<id:bigint>>>>")))})
+    play = rows.groupBy("game_pk", "at_bat_number").agg(
+        F.min(c("inning") + c("game_pk") % 2).alias("inning"), F.min("inning_topbot").alias("side"), F.min("batter").alias("batter"), F.min("stand").alias("stand"),
+        F.coalesce(F.max_by(F.when(c("k") % 25 == 9, c("pitcher") + 1000), F.when(c("k") % 25 == 9, c("pitch_number"))), F.min("pitcher")).alias("pitcher"), F.max_by("events", "pitch_number").alias("event"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pitch_number", "_events"))), lambda x: x["_events"])).alias("playEvents"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pitch_number", "_moves"))), lambda x: x["_moves"])).alias("runners"))
+    shape = F.struct(
+        F.struct((c("at_bat_number") - 1).alias("atBatIndex"), "inning", (c("side") == "Top").alias("isTopInning"), (c("at_bat_number") % 9 != 0).alias("isComplete")).alias("about"),
+        F.struct(F.struct(c("pitcher").alias("id")).alias("pitcher"), F.struct(F.lit("R").alias("code")).alias("pitchHand"), F.struct(c("batter").alias("id")).alias("batter"), F.struct(c("stand").alias("code")).alias("batSide")).alias("matchup"),
+        F.struct(c("event").alias("eventType"), c("event").alias("description")).alias("result"), "runners", "playEvents")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at_bat_number", shape.alias("p")))), lambda x: x["p"])
+    game = play.groupBy("game_pk").agg(ordered.alias("allPlays"))
+    head = F.struct(F.struct(c("game_pk").alias("pk"), F.when(c("game_pk") % 3 == 0, "F").otherwise("R").alias("type")).alias("game"), F.struct(F.lit("2025-04-03").alias("officialDate")).alias("datetime"))
+    return game.select(F.to_json(F.struct(head.alias("gameData"), F.struct(F.struct("allPlays").alias("plays")).alias("liveData"))).alias("body"))
+
+
+def _moves_sql():
+    """One row for each group of movements: writes to the bases, outs, runs."""
+    def group(cond, at, offset, path):
+        start, end = path[0], path[-1]
+        writes = []
+        for b in "123":
+            if end == b:
+                writes.append(f"batter + {offset}")
+            else:
+                writes.append("-9" if start == b else "NULL")
+        return f"SELECT game_pk, at_bat_number, period, inning_topbot, pitch_number * 3 + {at} AS idx, 1 AS kind, NULL::BIGINT AS pitch_number, {', '.join(f'({w})::BIGINT AS w{b}' for w, b in zip(writes, '123'))}, {int(end == 'x')} AS outs, {int(end == 'H')} AS runs FROM g0 WHERE {cond}"
+
+    return " UNION ALL ".join([group(f"k % 10 = {r}", 1, who, path) for r, (who, path) in MOVES.items()] + [group("k % 16 = 7", 2, 1, "12")])
+
+
+REPLAY_SQL = f"""
+g0 AS (SELECT *, inning + game_pk % 2 AS period FROM log),
+mv AS ({_moves_sql()}),
+al AS (SELECT * FROM mv UNION ALL SELECT game_pk, at_bat_number, period, inning_topbot, pitch_number * 3 + 1, 0, pitch_number, NULL, NULL, NULL, 0, 0 FROM g0),
+sb AS (SELECT *, {', '.join(f'last_value(w{b} IGNORE NULLS) OVER h AS b{b}' for b in '123')}, least(coalesce(sum(outs) OVER h, 0), 3)::BIGINT AS outs_when_up,
+  coalesce(sum(CASE WHEN inning_topbot = 'Bot' THEN runs ELSE 0 END) OVER g, 0)::BIGINT AS home_score, coalesce(sum(CASE WHEN inning_topbot = 'Top' THEN runs ELSE 0 END) OVER g, 0)::BIGINT AS away_score,
+  sum(CASE WHEN inning_topbot = 'Bot' THEN runs ELSE 0 END) OVER (PARTITION BY game_pk)::BIGINT AS all_home, sum(CASE WHEN inning_topbot = 'Top' THEN runs ELSE 0 END) OVER (PARTITION BY game_pk)::BIGINT AS all_away
+  FROM al WINDOW h AS (PARTITION BY game_pk, period, inning_topbot ORDER BY at_bat_number, idx, kind, pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY game_pk ORDER BY at_bat_number, idx, kind, pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pm AS (SELECT game_pk, at_bat_number, any_value(inning_topbot) AS inning_topbot, coalesce(max_by(pitcher + 1000, pitch_number) FILTER (k % 25 = 9), min(pitcher)) AS matchup, max(pitch_number) FILTER (k % 25 = 9) AS last_swap, max(pitch_number) AS last_pitch FROM log GROUP BY 1, 2),
+pb AS (SELECT *, lag(matchup) OVER (PARTITION BY game_pk, inning_topbot ORDER BY at_bat_number) AS before FROM pm),
+ct AS (SELECT game_pk, at_bat_number, pitch_number * 3 AS idx, (CASE WHEN k % 2 = 0 THEN 1 END)::BIGINT AS balls, NULL::BIGINT AS strikes, pitcher + 1000 AS known FROM log WHERE k % 25 = 9
+  UNION ALL SELECT game_pk, at_bat_number, pitch_number * 3 + 1, k % 4, k % 3, CASE WHEN last_swap IS NULL OR last_swap * 3 <= pitch_number * 3 + 1 THEN matchup END FROM log JOIN pm USING (game_pk, at_bat_number)
+  UNION ALL SELECT game_pk, at_bat_number, pitch_number * 3 + 2, CASE WHEN k % 2 = 0 THEN 1 END, NULL, NULL FROM log WHERE k % 16 = 7),
+cb AS (SELECT game_pk, at_bat_number, idx, coalesce(last_value(balls IGNORE NULLS) OVER w, 0) AS balls, coalesce(last_value(strikes IGNORE NULLS) OVER w, 0) AS strikes, last_value(known IGNORE NULLS) OVER w AS known FROM ct WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+on_ AS (SELECT *, CASE WHEN b1 <> -9 THEN b1 END AS on_1b, CASE WHEN b2 <> -9 THEN b2 WHEN b2 IS NULL AND game_pk % 3 <> 0 AND period >= 10 THEN -1 END AS on_2b, CASE WHEN b3 <> -9 THEN b3 END AS on_3b, coalesce(lead(home_score) OVER g, all_home) AS post_home_score, coalesce(lead(away_score) OVER g, all_away) AS post_away_score FROM sb WHERE kind = 0 WINDOW g AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number))
+SELECT game_pk, at_bat_number, pitch_number, CASE WHEN last_swap * 3 > pitch_number * 3 + 1 THEN coalesce(known, before, matchup) ELSE matchup END AS pitcher, cb.balls, cb.strikes, on_.outs_when_up, on_.on_1b, on_.on_2b, on_.on_3b,
+  (on_.on_1b IS NOT NULL)::INT + 2 * (on_.on_2b IS NOT NULL)::INT + 4 * (on_.on_3b IS NOT NULL)::INT AS bases, on_.home_score, on_.away_score, on_.post_home_score, on_.post_away_score,
+  CASE WHEN k % 40 = 39 THEN 'automatic_ball' ELSE ['ball', 'called_strike', 'foul', 'hit_into_play', 'swinging_strike', 'blocked_ball', 'unmapped:zz'][k % 7 + 1] END AS description,
+  CASE WHEN pitch_number = last_pitch AND at_bat_number % 9 <> 0 THEN coalesce(events, 'truncated_pa') END AS events, CASE WHEN k % 40 <> 39 THEN -k / 48.0 END AS pfx_x
+FROM on_ JOIN log l USING (game_pk, at_bat_number, pitch_number) JOIN pb USING (game_pk, at_bat_number) JOIN cb ON cb.game_pk = on_.game_pk AND cb.at_bat_number = on_.at_bat_number AND cb.idx = on_.idx"""
+
+
+@query("a08_feed_replay", REPLAY_SQL, doubles=["pfx_x"])
+def _a08r(t):
+    """State of the game before every pitch, replayed from nested documents."""
+    flat = game_feed.flatten_game_feed(game_documents(t), K)
+    return flat.select(*KEY, "pitcher", "balls", "strikes", "outs_when_up", "on_1b", "on_2b", "on_3b", "bases", "home_score", "away_score", "post_home_score", "post_away_score", "description", "events", "pfx_x")
+
+
 # --- J: every source row is a delivery; some are delivered again, corrected, late or malformed ------
 
 def deliveries(events: DataFrame) -> DataFrame:

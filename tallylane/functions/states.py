@@ -113,6 +113,12 @@ def outcome_allowed(count: Column, outcome: Column) -> Column:
     )
 
 
+def allowed_sql(count: str) -> list[str]:
+    """`outcome_allowed` of every outcome as SQL text over a count column: text is parsed at once, where columns are built call by call."""
+    rules = {0: f"{count} div 3 < 3", 4: f"{count} div 3 = 3", 1: f"{count} % 3 < 2", 3: f"{count} % 3 = 2"}
+    return [rules.get(i, "true") for i in range(N_OUTCOMES)]
+
+
 def next_count(count: Column, outcome: Column) -> Column:
     """Count after a non-terminal outcome; null when terminal or not allowed."""
     balls, strikes = idiv(count, 3), count % 3

@@ -48,13 +48,13 @@ def tiered_lookup(df: DataFrame, tables: Sequence[DataFrame], tiers: Sequence[Se
 
 def class_cells(df: DataFrame, by: Sequence[str], label: str, n_classes: int) -> DataFrame:
     """One row per group with count columns n0..n{k-1}; the finest level, from which coarser ones are summed."""
-    return df.groupBy(*by).agg(*[F.count(F.when(c(label) == i, 1)).cast("double").alias(f"n{i}") for i in range(n_classes)])
+    return df.groupBy(*by).agg(*[F.expr(f"cast(count_if({label} = {i}) AS double) AS n{i}") for i in range(n_classes)])
 
 
 def roll_up(cells: DataFrame, by: Sequence[str], n_classes: int) -> DataFrame:
     """Count columns of a coarser level."""
     g = cells.groupBy(*by) if by else cells.groupBy()
-    return g.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n_classes)])
+    return g.agg(*[F.expr(f"sum(n{i}) AS n{i}") for i in range(n_classes)])
 
 
 def count_total(n_classes: int) -> Column:
@@ -118,88 +118,102 @@ def repertoire(log: DataFrame, actor: str, minimum: int) -> DataFrame:
 
 # --- hierarchical Dirichlet smoothing -------------------------------------------
 
-EPS = 1e-9
+EPS = "1e-9D"
+K = states.N_OUTCOMES
+#: 1 for outcomes that the count `_c` allows, else 0.
+MASK = [f"cast({rule} AS double)" for rule in states.allowed_sql("_c")]
+UNIFORM = [f"{m} / ({' + '.join(MASK)})" for m in MASK]
 
+# Levels have one column for each outcome (cell0 to cell10 and so on), so that all arithmetic is generated code.  It is
+# written as SQL text: a hundred columns are parsed in one call.
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
+def _cols(*names: str) -> list[str]:
+    return [f"{name}{i}" for name in names for i in range(K)]
 
-def _times(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a * b)
 
+def _sum(columns: Sequence[str]) -> str:
+    return " + ".join(columns)
 
-def _shares(x: Column) -> Column:
-    """Elements as shares of their sum; all zero where the sum is."""
-    total = _sum(x)
-    return F.transform(x, lambda v: F.when(total > 0, v / total).otherwise(0.0))
 
+def _put(df: DataFrame, name: str, exprs: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+    """Outcome columns of a new level beside the columns there are, without `drop`."""
+    return df.selectExpr(*[f"`{x}`" for x in df.columns if x not in drop], *[f"{e} AS {name}{i}" for i, e in enumerate(exprs)])
 
-def _towards(counts: Column, prior: Column, strength: float, mask: Column) -> Column:
-    """Shares of counts plus `strength` pseudo-counts of the prior, over the allowed elements."""
-    return _shares(_times(F.zip_with(counts, prior, lambda n, q: n + strength * q), mask))
 
+def _shares(df: DataFrame, name: str, exprs: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+    """Expressions as shares of their sum, all zero where the sum is.  Each line is one projection, as a column used twice is not computed twice."""
+    out = _put(df, "_x", exprs, drop)
+    out = out.selectExpr("*", f"{_sum(_cols('_x'))} AS _t")
+    return _put(out, name, [f"CASE WHEN _t > 0 THEN {x} / _t ELSE 0D END" for x in _cols("_x")], ["_t", *_cols("_x")])
 
-def smoothed_cells(cells: DataFrame, alpha: float, alpha_actor: float, result: str = "p") -> DataFrame:
-    """Smoothed shares from the level counts nc, nca, nsa, ncg, npg, npa and the mask, all arrays of one length.
 
-    League: count -> (count, action) -> (state, action).  Actor: the actor's (count, type) shares over the league's are a
-    tilt of the league's cell, and the actor's own (state, action) counts come last.  `result` names the column that is
-    wanted: p, or only the league's cell or the tilt.  Each line is one projection, as a column used twice is not
-    computed twice.
-    """
-    mask, levels = c("mask"), ("nc", "nca", "nsa", "ncg", "npg", "npa")
-    out = cells.withColumns({n: F.coalesce(n, F.array_repeat(F.lit(0.0), states.N_OUTCOMES)) if n in cells.columns else F.array_repeat(F.lit(0.0), states.N_OUTCOMES) for n in levels})
-    out = out.withColumn("_base", _times(c("nc"), mask)).withColumn("_base", _shares(F.when(_sum(c("_base")) > 0, c("_base")).otherwise(mask)))
-    out = out.withColumns({"_first": _towards(c("nca"), c("_base"), alpha, mask), "_kind": _towards(c("ncg"), c("_base"), alpha, mask)})
-    out = out.withColumns({"cell": _towards(c("nsa"), c("_first"), alpha, mask), "_own": _towards(c("npg"), c("_kind"), alpha_actor, mask)})
-    out = out.withColumn("tilt", F.zip_with(c("_own"), c("_kind"), lambda a, b: a / F.greatest(b, F.lit(EPS))))
-    if result == "p":
-        out = out.withColumn("_prior", _shares(_times(_times(c("cell"), c("tilt")), mask)))
-        out = out.withColumn("p", _towards(c("npa"), c("_prior"), alpha_actor, mask))
-    return out.select(*cells.columns, result)
-
-
-def dirichlet_levels(log: DataFrame, actor: str, count_of_state: Column | None = None) -> tuple[DataFrame, dict[str, tuple[list[str], DataFrame]]]:
-    """Observed (actor, state, action) cells with their count columns, and the counts of each level by its keys.
-
-    Codes outside the codecs are left out, so that the four league levels have at most
-    12, 2,700, 64,800 and 108 rows: they are broadcast.  The two actor levels are joined by actor.
+def _towards(df: DataFrame, name: str, prior: str, strength: float, drop: Sequence[str] = ()) -> DataFrame:
+    """Shares of the counts n0.. plus `strength` pseudo-counts of the prior, over the allowed outcomes; the counts go."""
+    return _shares(df, name, [f"(n{i} + {strength}D * {prior}{i}) * {m}" for i, m in enumerate(MASK)], [*_cols("n"), *drop])
+
+
+def dirichlet_levels(log: DataFrame, actor: str, alpha: float, alpha_actor: float, count_of_state: Column | None = None) -> dict[str, DataFrame]:
+    """Observed cells and the smoothed levels above them, each on its own keys.
+
+    League: base (count) -> first (count, action) -> cell (state, action), and kind (count, type).  Actor: own (actor, count, type), whose
+    shares over the league's are a tilt of the league's cell.  Codes outside the codecs are left out, so that the
+    league's levels have at most 12, 2,700, 64,800 and 108 rows, and may be broadcast.  Counts of coarse levels are sums of finer ones.
     """
-    k = states.N_OUTCOMES
     count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
     kept = log.where((c("outcome_id") >= 0) & c("action_id").between(0, states.N_ACTIONS - 1) & c("state_id").between(0, states.N_COUNTS * states.N_BASE_OUT - 1))
-    cells = materialise(class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", k)).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    keys = {"nc": ["_c"], "nca": ["_c", "action_id"], "nsa": ["state_id", "action_id"], "ncg": ["_c", "_g"], "npg": [actor, "_c", "_g"], "npa": [actor, "state_id", "action_id"]}
-    tables = {name: roll_up(cells, by, k).select(*by, F.array(*[c(f"n{i}") for i in range(k)]).alias(name)) for name, by in keys.items()}
-    return cells, {name: (by, tables[name] if actor in by else F.broadcast(tables[name])) for name, by in keys.items()}
-
-
-def outcome_mask(count: Column) -> Column:
-    return F.array(*[states.outcome_allowed(count, F.lit(i)).cast("double") for i in range(states.N_OUTCOMES)])
+    cells = materialise(class_cells(kept, [actor, "state_id", "action_id"], "outcome_id", K)).withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+    state = roll_up(cells, ["_c", "state_id", "action_id"], K)
+    action = roll_up(state, ["_c", "action_id"], K)
+    kind = roll_up(action.withColumn("_g", states.idiv(c("action_id"), 25)), ["_c", "_g"], K)
+    base = _put(roll_up(kind, ["_c"], K), "_m", [f"n{i} * {m}" for i, m in enumerate(MASK)], _cols("n")).selectExpr("*", f"{_sum(_cols('_m'))} AS _s")
+    base = _shares(base, "base", [f"CASE WHEN _s > 0 THEN _m{i} ELSE {m} END" for i, m in enumerate(MASK)], ["_s", *_cols("_m")])
+    first = _towards(action.join(F.broadcast(base), "_c"), "first", "base", alpha, _cols("base"))
+    cell = _towards(state.join(F.broadcast(first), ["_c", "action_id"]), "cell", "first", alpha, ["_c", *_cols("first")])
+    kind = _towards(kind.join(F.broadcast(base), "_c"), "kind", "base", alpha, _cols("base"))
+    own = _towards(roll_up(cells, [actor, "_c", "_g"], K).join(F.broadcast(kind), ["_c", "_g"]), "own", "kind", alpha_actor)
+    own = _put(own, "tilt", [f"own{i} / greatest(kind{i}, {EPS})" for i in range(K)], _cols("own", "kind"))
+    return {"cells": cells, "base": base, "first": first, "cell": cell, "kind": kind, "own": own}
+
+
+def _with_cell(df: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
+    """The league's cell of any state and action; a level without data equals its prior."""
+    out = df.join(F.broadcast(levels["cell"].select("state_id", "action_id", *_cols("cell")).toDF("state_id", "action_id", *_cols("_cell"))), ["state_id", "action_id"], "left")
+    out = out.join(F.broadcast(levels["first"]), ["_c", "action_id"], "left").join(F.broadcast(levels["base"]), "_c", "left")
+    return _put(out, "cell", [f"coalesce(_cell{i}, first{i}, base{i}, {u})" for i, u in enumerate(UNIFORM)], _cols("_cell", "first", "base"))
+
+
+def _with_tilt(df: DataFrame, levels: dict[str, DataFrame], actor: str) -> DataFrame:
+    """The tilt of any actor, count and type; without the actor's own data it is that of the league's shares over themselves."""
+    own = levels["own"].select(actor, "_c", "_g", *_cols("tilt")).toDF(actor, "_c", "_g", *_cols("_tilt"))
+    out = df.join(own, [actor, "_c", "_g"], "left")
+    out = out.join(F.broadcast(levels["kind"]), ["_c", "_g"], "left").join(F.broadcast(levels["base"]), "_c", "left")
+    out = _put(out, "_own", [f"coalesce(kind{i}, base{i}, {u})" for i, u in enumerate(UNIFORM)], _cols("kind", "base"))
+    return _put(out, "tilt", [f"coalesce(_tilt{i}, _own{i} / greatest(_own{i}, {EPS}))" for i in range(K)], _cols("_tilt", "_own"))
 
 
 def valid_types(cells: DataFrame, actor: str, minimum: int) -> DataFrame:
-    return cells.groupBy(actor, "_g").agg(F.sum(count_total(states.N_OUTCOMES)).alias("_rep")).where(c("_rep") >= minimum).drop("_rep")
+    return cells.groupBy(actor, "_g").agg(F.expr(f"sum({_sum(_cols('n'))}) AS _rep")).where(c("_rep") >= minimum).drop("_rep")
 
 
 def dirichlet_table(log: DataFrame, request: DataFrame | None, actor: str, alpha: float, alpha_actor: float, minimum: int, count_of_state: Column | None = None) -> DataFrame:
     """Smoothed outcome distribution p0..p10 for the requested (actor, state, action) cells (None: the observed ones).
 
     Cells whose type the actor used fewer than `minimum` times are not valid and left out.  A level without data equals
-    its prior.
+    its prior.  Observed cells have all levels, so that they take two joins, one of them with a bounded table.
     """
-    k = states.N_OUTCOMES
-    cells, levels = dirichlet_levels(log, actor, count_of_state)
-    count = states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
-    need = cells.select(actor, "state_id", "action_id", "_c", "_g") if request is None else \
-        request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
-    out = need.join(valid_types(cells, actor, minimum), [actor, "_g"])
-    for by, table in levels.values():
-        out = out.join(table, by, "left")
-    out = smoothed_cells(out.withColumn("mask", outcome_mask(c("_c"))), alpha, alpha_actor)
-    seen = F.coalesce(_sum(c("npa")), F.lit(0.0)).cast("long")
-    return out.select(actor, "state_id", "action_id", *[c("p")[i].alias(f"p{i}") for i in range(k)], seen.alias("n_obs"))
+    levels = dirichlet_levels(log, actor, alpha, alpha_actor, count_of_state)
+    cells, count = levels["cells"], states.idiv(c("state_id"), states.N_BASE_OUT) if count_of_state is None else count_of_state
+    valid = valid_types(cells, actor, minimum)
+    if request is None:
+        out = cells.join(valid, [actor, "_g"]).join(F.broadcast(levels["cell"]), ["state_id", "action_id"]).join(levels["own"], [actor, "_c", "_g"])
+    else:
+        need = request.select(actor, "state_id", "action_id").distinct().withColumns({"_c": count, "_g": states.idiv(c("action_id"), 25)})
+        out = need.join(valid, [actor, "_g"]).join(cells.drop("_c", "_g"), [actor, "state_id", "action_id"], "left").fillna(0.0, _cols("n"))
+        out = _with_tilt(_with_cell(out, levels), levels, actor)
+    out = out.selectExpr("*", f"cast({_sum(_cols('n'))} AS bigint) AS n_obs")
+    out = _shares(out, "prior", [f"cell{i} * tilt{i} * {m}" for i, m in enumerate(MASK)], _cols("cell", "tilt"))
+    return _towards(out, "p", "prior", alpha_actor).select(actor, "state_id", "action_id", *_cols("p"), "n_obs")
 
 
 def dirichlet_factors(log: DataFrame, actor: str, alpha: float, alpha_actor: float, minimum: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -209,21 +223,13 @@ def dirichlet_factors(log: DataFrame, actor: str, alpha: float, alpha_actor: flo
     (actor, count, type, tilt: valid types in all 12 counts), and the actors' own counts (actor, state, action, n).
     p of a cell = shares of (n + alpha_actor * shares of (league p * tilt)) over the allowed outcomes.
     """
-    cells, levels = dirichlet_levels(log, actor)
-    spark = log.sparkSession
+    levels = dirichlet_levels(log, actor, alpha, alpha_actor)
     n_states = states.N_COUNTS * states.N_BASE_OUT
-    grid = spark.range(n_states * states.N_ACTIONS).select(states.idiv(c("id"), states.N_ACTIONS).alias("state_id"), (c("id") % states.N_ACTIONS).alias("action_id"))
-    grid = grid.withColumns({"_c": states.idiv(c("state_id"), states.N_BASE_OUT), "_g": states.idiv(c("action_id"), 25)})
-    for name in ("nc", "nca", "nsa", "ncg"):
-        by, table = levels[name]
-        grid = grid.join(table, by, "left")
-    league = smoothed_cells(grid.withColumn("mask", outcome_mask(c("_c"))), alpha, alpha_actor, "cell").select("state_id", "action_id", c("cell").alias("p"))
-    kinds = valid_types(cells, actor, minimum).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(states.N_COUNTS - 1).cast("long"))))
-    for name in ("nc", "ncg", "npg"):
-        by, table = levels[name]
-        kinds = kinds.join(table, by, "left")
-    tilts = smoothed_cells(kinds.withColumn("mask", outcome_mask(c("_c"))), alpha, alpha_actor, "tilt").select(actor, c("_c").alias("count_id"), c("_g").alias("pitch_id"), "tilt")
-    own = levels["npa"][1].toDF(actor, "state_id", "action_id", "n")  # columns of its own: both sides come from one table
+    grid = log.sparkSession.range(n_states * states.N_ACTIONS).selectExpr(f"id div {states.N_ACTIONS} AS state_id", f"id % {states.N_ACTIONS} AS action_id", f"id div {states.N_ACTIONS * states.N_BASE_OUT} AS _c")
+    league = _with_cell(grid, levels).select("state_id", "action_id", F.array(*_cols("cell")).alias("p"))
+    kinds = valid_types(levels["cells"], actor, minimum).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(states.N_COUNTS - 1).cast("long"))))
+    tilts = _with_tilt(kinds, levels, actor).select(actor, c("_c").alias("count_id"), c("_g").alias("pitch_id"), F.array(*_cols("tilt")).alias("tilt"))
+    own = levels["cells"].select(actor, "state_id", "action_id", F.array(*_cols("n")).alias("n")).toDF(actor, "state_id", "action_id", "n")
     return league, tilts, own
 
 

@@ -432,14 +432,14 @@ def _f06(t):
     return audit.select_episodes(log, a, K, log.where("pitcher % 2 = 0"), 2)
 
 
-SEASONS = (2021, 2022, 2023, 2024)
 
 
 # --- H, A10 ----------------------------------------------------------------------
 
 @query("h01_union_seasons", "SELECT season, count(*) AS n FROM log GROUP BY 1")
 def _h01(t):
-    parts = [t.log.where(c("season") == s) for s in SEASONS]
+    seasons = [r.season for r in t.log.select("season").distinct().collect()]
+    parts = [t.log.where(c("season").eqNullSafe(s)) for s in sorted(seasons)]
     return reduce(DataFrame.unionByName, parts).groupBy("season").agg(F.count("*").alias("n"))
 
 

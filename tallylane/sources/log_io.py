@@ -25,6 +25,12 @@ def scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], wher
     return df if where is None else df.where(where)
 
 
+def partition_folders(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The folders of a partitioned table, one for each value there is."""
+    values = spark.read.parquet(path).select(name).distinct().collect()
+    return [f"{path}/{name}={v}" for v in sorted(r[0] for r in values if r[0] is not None)]
+
+
 def scan_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in a key set of any size."""
     return df.join(keys.select(*on).distinct(), list(on), "left_semi")

@@ -61,12 +61,26 @@ def fold(df: DataFrame, key: list[str], order: str, step: Callable[[dict, dict],
 
 def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Drive a stream over everything available into a Parquet sink and read the sink back."""
+    return run_with_progress(stream, spark, mode)[0]
+
+
+def run_with_progress(stream: DataFrame, spark: SparkSession, mode: str = "append") -> tuple[DataFrame, int, str | None]:
+    """The same, with the number of rows that the watermark dropped and the last watermark (ISO text, null without one).
+
+    All progress reports of the run are read; `spark.sql.streaming.numRecentProgressUpdates` bounds how many Spark keeps, and a run with
+    more batches than that is an error rather than a smaller count.
+    """
     base = os.path.join(shared_folder(spark), "tallylane-" + uuid.uuid4().hex)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", base + "/checkpoint").option("path", base + "/data").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(stream.schema).parquet(base + "/data")
+    reports = [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
+    if reports and reports[0]["batchId"] > 0:
+        raise ValueError("more batches than progress reports are kept for: raise spark.sql.streaming.numRecentProgressUpdates")
+    dropped = {p["batchId"]: sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", [])) for p in reports}
+    marks = [p["eventTime"]["watermark"] for p in reports if "watermark" in p.get("eventTime", {})]
+    return spark.read.schema(stream.schema).parquet(base + "/data"), sum(dropped.values()), max(marks, default=None)
 
 
 # --- rules: the first one that holds names the outcome --------------------------------

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallylane.streaming import state
+
 c = F.col
 
 
@@ -68,6 +71,18 @@ def lag_windows(stream: DataFrame, event_time: str, lag: str, width: str, waterm
     return out.select(c("window.start").alias("start"), "n", "mean_lag", "max_lag")
 
 
+def lag_report(stream: DataFrame, source: DataFrame, event_time: str, lag: str, width: str, watermark: str) -> DataFrame:
+    """All events accounted for: the windows a stream has closed, those open when its input ends, and one row `late` with the rows it dropped.
+
+    `source` is the stream's input as a batch; of it, only windows that end behind the last watermark are read as open ones.
+    """
+    closed, dropped, mark = state.run_with_progress(lag_windows(stream, event_time, lag, width, watermark), source.sparkSession)
+    rows = source if mark is None else source.where(F.window(event_time, width)["end"] > F.lit(mark).cast("timestamp"))
+    open_ = lag_windows(rows, event_time, lag, width, None)
+    late = source.sparkSession.range(1).select(F.lit(None).cast("timestamp").alias("start"), F.lit(dropped).cast("long").alias("n"), F.lit(None).cast("double").alias("mean_lag"), F.lit(None).cast(closed.schema["max_lag"].dataType).alias("max_lag"))
+    return reduce(DataFrame.unionByName, [x.withColumn("status", F.lit(name)) for name, x in (("closed", closed), ("open", open_), ("late", late))])
+
+
 def timeline_audit(snapshots: DataFrame, key: Sequence[str], order: str, value: str, provider: str, final_order) -> DataFrame:
     """Per key: first, last and final value, changes, provider conflicts, and absence from the final snapshot."""
     per = snapshots.groupBy(*key).agg(

@@ -6,7 +6,7 @@ import pytest
 
 from tallylane.plans.feeds import EVENT_SCHEMA, deliveries
 from tallylane.sources import log_io
-from tallylane.streaming import state
+from tallylane.streaming import state, views
 
 SF = "/root/testdata/sf0.001"
 STEPS = {"slots": (state.slot_step, state.SLOT_SCHEMA), "revisions": (state.revision_step, state.REVISION_SCHEMA), "intake": (state.intake_step, state.INTAKE_SCHEMA)}
@@ -44,6 +44,21 @@ def test_late_rows_are_reported_and_not_applied(spark):
     assert got == {1: ("new", 1), 5: ("new", 1), 3: ("late", None), 6: ("correction", 2)}
 
 
+def test_closed_open_and_late_rows_are_all_of_the_input(spark):
+    """Hours 0 to 3 in four files; the last one brings rows of hours whose windows the watermark has closed (one batch after it moved)."""
+    from pyspark.sql import functions as F
+
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    minutes = ([5, 20, 50], [70, 130, 190], [195], [10, 75, 200])
+    for part in minutes:
+        spark.createDataFrame([(m, float(m)) for m in part], "m long, value double").select((F.lit("2024-01-01 00:00:00").cast("timestamp").cast("long") + F.col("m") * 60).cast("timestamp").alias("ts"), "value").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = spark.read.parquet(f"{base}/in")
+    found = views.lag_report(log_io.snapshot_stream(spark, f"{base}/in", source.schema), source, "ts", "value", "1 hour", "10 minutes").collect()
+    by = {status: sorted((r.start.hour if r.start else None, r.n) for r in found if r.status == status) for status in ("closed", "open", "late")}
+    assert by == {"closed": [(0, 3), (1, 1), (2, 1)], "open": [(3, 3)], "late": [(None, 2)]}
+    assert sum(r.n for r in found) == 10
+
+
 def test_slot_rules():
     st = {}
 

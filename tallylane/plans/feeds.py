@@ -11,7 +11,7 @@ from tallylane.keys import DEFAULT_KEYS as K
 from tallylane.operators.lineage import shared_folder
 from tallylane.plans.registry import Tables, query
 from tallylane.sources import game_feed, log_io
-from tallylane.streaming import state, views
+from tallylane.streaming import release, state, views
 
 c = F.col
 KEY = K.event
@@ -301,6 +301,28 @@ def _j06(t):
     return views.delayed_release(snaps, viewers, "game_pk", "delay", "now")
 
 
+#: Seconds added to the deliveries' clock, as a watermark begins at the epoch and some of their times lie before it.
+EPOCH = 1_000_000
+
+
+@query("j06_release_stream", DELIVERY_CTE + """,
+s AS (SELECT game_pk, event, seq FROM dl WHERE event IS NOT NULL), r AS (SELECT event_id AS request_id, game_pk, event_id * 10 - 50 * (1 + k % 3) AS t FROM dl0 WHERE k % 5 = 0),
+m AS (SELECT greatest((SELECT max(event) FROM s), (SELECT max(t) FROM r)) - 200 AS mark)
+SELECT request_id, r.game_pk, max_by(s.seq, (s.event, s.seq)) AS released_seq, max(s.event) AS released_event FROM r LEFT JOIN s ON s.game_pk = r.game_pk AND s.event <= r.t WHERE r.t <= (SELECT mark FROM m) GROUP BY 1, 2""", log=False)
+def _j06s(t):
+    """The same as a stream: requests whose release time the watermark has passed, answered by event-time timers."""
+    d = delivery_stream(t)
+    snaps = d.where("event is not null").select("game_pk", F.timestamp_seconds(c("event") + EPOCH).alias("at"), "seq")
+    viewers = d.where("copy = 0 and k % 5 = 0").select("game_pk", c("event_id").alias("request_id"), F.timestamp_seconds(c("event_id") * 10 - 50 * (1 + c("k") % 3) + EPOCH).alias("at"))
+    name, before = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set(name, release.PROVIDER)
+    try:
+        out = state.run_to_table(release.delayed_release_stream(snaps, viewers, "game_pk", "200 seconds"), t.spark)
+    finally:
+        t.spark.conf.set(name, before)
+    return out.select("request_id", c("cluster").alias("game_pk"), "released_seq", F.expr(f"released_at div 1000 - {EPOCH}").alias("released_event"))
+
+
 @query("j07_feed_lag", """
 WITH w AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n, avg(value) AS mean_lag, max(value) AS max_lag FROM events GROUP BY 1)
 SELECT start, n, mean_lag, max_lag, CASE WHEN start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE THEN 'closed' ELSE 'open' END AS status FROM w UNION ALL SELECT NULL, 0, NULL, NULL, 'late'""", doubles=["mean_lag", "max_lag"], log=False)

@@ -6,7 +6,7 @@ import pytest
 
 from tallylane.plans.feeds import EVENT_SCHEMA, deliveries
 from tallylane.sources import log_io
-from tallylane.streaming import state, views
+from tallylane.streaming import release, state, views
 
 SF = "/root/testdata/sf0.001"
 STEPS = {"slots": (state.slot_step, state.SLOT_SCHEMA), "revisions": (state.revision_step, state.REVISION_SCHEMA), "intake": (state.intake_step, state.INTAKE_SCHEMA)}
@@ -59,6 +59,37 @@ def test_closed_open_and_late_rows_are_all_of_the_input(spark):
     assert sum(r.n for r in found) == 10
 
 
+def test_timers_answer_requests_and_evict_snapshots(spark):
+    """In-time rows in six files: answers are those of a plain as-of pick, requests behind the watermark stay open, and snapshots leave."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows, base = random.Random(3), [], tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for b in range(12):
+        part = [(g, "snapshot", b * 100 + rng.randrange(100), b * 1000 + i) for i in range(40) for g in (1, 2)] + [(g, "request", b * 100 + rng.randrange(100) - 20, 100_000 + b * 100 + i * 10 + g) for i in range(5) for g in (1, 2)]
+        rows += part
+        spark.createDataFrame(part, "g long, kind string, s long, number long").select("g", "kind", F.timestamp_seconds(F.col("s") + 1000).alias("at"), "number").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = log_io.snapshot_stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, release.PROVIDER)
+    try:
+        found, dropped, _ = state.run_with_progress(release.delayed_release_stream(stream.where("kind = 'snapshot'").withColumnRenamed("number", "seq"), stream.where("kind = 'request'").withColumnRenamed("number", "request_id"), "g", "120 seconds"), spark)
+        found = found.collect()
+    finally:
+        spark.conf.set(name, before)
+    mark = max(r[2] for r in rows) - 120
+    want = {}
+    for g, kind, at, number in rows:
+        if kind == "request" and at <= mark:
+            newest = max(((s, n) for x, k, s, n in rows if x == g and k == "snapshot" and s <= at), default=(None, None))
+            want[number] = (g, newest[1], None if newest[0] is None else (newest[0] + 1000) * 1000)
+    assert dropped == 0 and {r.request_id: (r.cluster, r.released_seq, r.released_at) for r in found} == want
+    # 480 snapshots of a cluster came; those of two files and the delay are held at most
+    assert max(r.held for r in found) <= 180 and len(want) > 80
+
+
 def test_slot_rules():
     st = {}
 

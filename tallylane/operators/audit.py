@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallylane.functions import codes
 from tallylane.keys import LogKeys
-from tallylane.operators import ordered
+from tallylane.operators import ordered, prior
 
 c = F.col
 
@@ -182,17 +182,23 @@ def _first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in rules])
 
 
-def row_fates(raw: DataFrame, early: Sequence[tuple[str, Column]], repeated: tuple[str, Sequence[str], Sequence[str]], late: Sequence[tuple[str, Column]]) -> DataFrame:
+def row_fates(raw: DataFrame, early: Sequence[tuple[str, Column]], repeated: tuple[str, str, Sequence[str], Sequence[str], Sequence[str]], late: Sequence[tuple[str, Column]]) -> DataFrame:
     """First matching reason of an ordered list, else `accepted`.
 
-    Between the early and the late reasons, rows that repeat a key get the name given in `repeated`
-    (name, key, order); only rows without an early reason count, so that an excluded row cannot
-    displace a good one.
+    Between the early and the late reasons, rows that repeat a key get a name of `repeated` (identical, conflicting, key,
+    order, content): the first where all rows of the key have equal content, except for the first row by `order`; the
+    second, on every row of the key, where contents differ, as no rule says which to keep (a census cap of 0 stops there).
+    Only rows without an early reason count, so that an excluded row cannot displace a good one.  Keys are summed before
+    they meet the rows again, so a key with many rows is not gathered in one task.
     """
-    name, key, order = repeated
+    identical, conflicting, key, order, content = repeated
     live = raw.withColumn("_early", _first_reason(early))
-    place = F.row_number().over(Window.partitionBy(*key, F.isnull("_early")).orderBy(*order))
-    return live.withColumn("fate", F.coalesce(c("_early"), F.when(place > 1, F.lit(name)), _first_reason(late), F.lit("accepted"))).drop("_early")
+    body, at = F.struct(*content), F.struct(*order)
+    again = live.where("_early is null").groupBy(*key).agg(F.count("*").alias("_rows"), F.min(at).alias("_first"), F.min(body).alias("_low"), F.max(body).alias("_high"))
+    again = again.where("_rows > 1").select(*[c(k).alias(f"_key{i}") for i, k in enumerate(key)], "_first", (~c("_low").eqNullSafe(c("_high"))).alias("_differ"))
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_key{i}")) for i, k in enumerate(key)]) & c("_early").isNull()
+    fate = F.coalesce(c("_early"), F.when(c("_differ"), F.lit(conflicting)).when(~at.eqNullSafe(c("_first")) & c("_differ").isNotNull(), F.lit(identical)), _first_reason(late), F.lit("accepted"))
+    return live.join(again, same, "left").withColumn("fate", fate).drop("_early", "_first", "_differ", *[f"_key{i}" for i in range(len(key))])
 
 
 def fate_census(fates: DataFrame, caps: Mapping[str, float], outside: Sequence[str]) -> DataFrame:
@@ -204,13 +210,36 @@ def fate_census(fates: DataFrame, caps: Mapping[str, float], outside: Sequence[s
     return per.join(F.broadcast(total)).withColumn("share", c("n") / c("denominator")).withColumn("stop", stop)
 
 
-def select_episodes(log: DataFrame, audit: DataFrame, keys: LogKeys, cohort: DataFrame, max_clusters: int) -> DataFrame:
-    """Every episode with its first reason for not being selected, at most `max_clusters` clusters per actor."""
-    ep = ordered.episodes(log, keys, [keys.actor, keys.date], ["events"]).withColumnsRenamed({f"first_{keys.actor}": keys.actor, f"first_{keys.date}": keys.date})
-    x = ep.join(audit.select(*keys.episode_key, "supported"), keys.episode_key).join(cohort.select(keys.actor).distinct().withColumn("_in", F.lit(True)), keys.actor, "left")
-    w = Window.partitionBy(keys.actor).orderBy(keys.date, keys.cluster)
+def select_episodes(log: DataFrame, audit: DataFrame, keys: LogKeys, cohort: DataFrame, max_clusters: int, kinds: Sequence[str], kind: str = "pitch_type",
+                    days: int = 90, least: int = 20, low: str = "sz_bot", high: str = "sz_top") -> DataFrame:
+    """Every pair of an episode and an actor in it, with its reasons (`|`-joined) and the first reason for not being selected.
+
+    An episode of the cohort is supported where the audit has no reason against it, its actor has kinds seen `least` times
+    in the `days` days before (`repertoire`), and the prior medians of `low` and `high` of its first entity (else of all
+    entities) are known and in order.  Selected are the supported episodes of an actor's first `max_clusters` clusters by date
+    that have any.  Priors see strictly earlier dates of the whole log, before any selection.
+    """
+    first = F.min_by(F.struct(keys.entity, keys.date), keys.seq)
+    ep = log.groupBy(*keys.episode_key).agg(first.alias("_start"), F.count("*").alias("n_events"), F.collect_set(keys.actor).alias("_actors"))  # the actors of one episode
+    ep = ep.select(*keys.episode_key, "n_events", "_start.*", F.explode("_actors").alias(keys.actor))
+    x = ep.join(audit, keys.episode_key).join(cohort.select(keys.actor).distinct().withColumn("_in", F.lit(True)), keys.actor, "left")
+    x = x.join(prior.recent_repertoire(log, ep, keys.actor, keys.date, kind, kinds, days, least), [keys.actor, keys.date], "left")
+    x = x.join(prior.prior_bounds(log, ep, keys.entity, keys.date, [low, high]), [keys.entity, keys.date], "left")
+    bottom, top = c(f"prior_{low}"), c(f"prior_{high}")
+    extra = {"no_supported_prior_repertoire": F.coalesce("repertoire", F.lit("")) == "", "missing_prior_zone_bounds": ~F.coalesce(top > bottom, F.lit(False))}
+    against = F.array_compact(F.array(*[F.when(c(r), F.lit(r)) for r in REASONS], *[F.when(cond, F.lit(name)) for name, cond in extra.items()]))
+    x = x.withColumn("_against", against)
     # rank clusters per actor on the small distinct table, not on episodes
-    rank = x.where("supported and _in").select(keys.actor, keys.date, keys.cluster).distinct().withColumn("_k", F.row_number().over(w))
-    x = x.join(rank.select(keys.actor, keys.cluster, "_k"), [keys.actor, keys.cluster], "left")
-    reason = F.when(c("_in").isNull(), "not_in_cohort").when(~c("supported"), "unsupported_episode").when(c("_k") > max_clusters, "beyond_cluster_limit").otherwise("selected")
-    return x.select(*keys.episode_key, keys.actor, "n_events", reason.alias("reason"))
+    able = x.where(c("_in") & (F.size("_against") == 0)).select(keys.actor, keys.date, keys.cluster).distinct()
+    rank = able.withColumn("_k", F.row_number().over(Window.partitionBy(keys.actor).orderBy(keys.date, keys.cluster))).select(keys.actor, keys.cluster, "_k")
+    x = x.join(rank, [keys.actor, keys.cluster], "left")
+    reason = F.when(c("_in").isNull(), "not_in_cohort").when(F.size("_against") > 0, F.get("_against", F.lit(0))).when(c("_k") > max_clusters, "beyond_cluster_limit").otherwise("selected")
+    return x.select(*keys.episode_key, keys.actor, "n_events", reason.alias("reason"), F.array_join("_against", "|").alias("reasons"), F.coalesce("repertoire", F.lit("")).alias("repertoire"), bottom.alias("zone_bottom"), top.alias("zone_top"))
+
+
+def selection_coverage(selection: DataFrame, keys: LogKeys) -> DataFrame:
+    """Per cohort actor: clusters, episodes and supported episodes, and those of the selected clusters."""
+    per = selection.where("reason <> 'not_in_cohort'").groupBy(keys.actor, keys.cluster).agg(
+        F.count("*").alias("n"), F.count_if(c("reasons") == "").alias("ok"), F.bool_or(c("reason") == "selected").alias("taken"))
+    taken = {n: F.coalesce(F.sum(F.when(c("taken"), c(x))), F.lit(0)).alias(n) for n, x in (("selected_episodes", "n"), ("selected_supported", "ok"))}
+    return per.groupBy(keys.actor).agg(F.count("*").alias("clusters"), F.sum("n").alias("episodes"), F.sum("ok").alias("supported"), F.count_if("taken").alias("selected_clusters"), *taken.values())

@@ -82,12 +82,13 @@ def pair_decisions(events: DataFrame, decisions: DataFrame, keys: LogKeys, situa
     return out.withColumns({"refusal": refusal, "decision_id": F.when(refusal.isNull(), b["d_id"])}).select(*key, "decision_id", "refusal")
 
 
-def grade_forecasts(labels: DataFrame, forecasts: DataFrame, keys: LogKeys, models: Sequence[str]) -> DataFrame:
+def grade_forecasts(labels: DataFrame, forecasts: DataFrame, keys: LogKeys, models: Sequence[str], leaves: Sequence[int]) -> DataFrame:
     """Join every label to each model's forecast for the slot after its predecessor; first failing reason.
 
     Labels carry `uid`, `leaf`, `kind`, `clock`, `first_received`; forecasts `model`, `slot`,
-    `t_episode`, `t_seq`, `status`, `timing`, `generated`, `kinds` (candidate types).  A forecast whose
-    target is exactly the label's key is preferred.
+    `t_episode`, `t_seq`, `status`, `timing`, `generated`, `kinds` (candidate types) and `leaves`, the order of the outcomes it was made
+    for, which must be the given one (an unknown order is refused, too); a label outside that order is unmapped.
+    A forecast whose target is exactly the label's key is preferred.
     """
     w = keys.in_cluster()
     slot = F.coalesce(F.concat(F.lit("after:"), F.lag("uid").over(w)), F.lit("start"))
@@ -95,15 +96,15 @@ def grade_forecasts(labels: DataFrame, forecasts: DataFrame, keys: LogKeys, mode
     f = forecasts.withColumnRenamed(keys.cluster, "_fc").withColumnsRenamed({"model": "_fm", "slot": "_fs"})
     joined = lab.join(f, (c(keys.cluster) == c("_fc")) & (c("slot") == c("_fs")) & (c("model") == c("_fm")), "left")
     match = (c("t_episode") == c(keys.episode)) & (c("t_seq") == c(keys.seq))
-    fields = F.struct(match.alias("match"), "status", "timing", "generated", "kinds", c("_fm").isNotNull().alias("any"))
+    fields = F.struct(match.alias("match"), "status", "timing", "generated", "kinds", "leaves", c("_fm").isNotNull().alias("any"))
     best = joined.groupBy(*keys.event, "model", "leaf", "kind", "clock", "first_received").agg(
         F.max_by(fields, F.struct(F.coalesce(match, F.lit(False)), -c("generated"))).alias("b"), F.first("_fm", ignorenulls=True).alias("_found"))
-    b = c("b")
+    b, order = c("b"), F.array(*[F.lit(x).cast("bigint") for x in leaves])
     reason = (
         F.when(c("_found").isNull(), "NO_FORECAST").when(b["status"].isNull(), "INCOMPLETE_INTENT").when(b["status"] != "OK", F.concat(F.lit("MODEL_"), b["status"]))
         .when(~b["match"], "TARGET_KEY_MISMATCH").when(b["timing"] != "PRE_RECEIPT", "POST_HOC_REPLAY")
         .when((c("clock") != "observer_local") | c("first_received").isNull(), "RECEIPT_CLOCK_UNVERIFIED").when(~(b["generated"] < c("first_received")), "GENERATED_AFTER_FIRST_RECEIPT")
-        .when(c("leaf").isNull(), "LABEL_UNMAPPED").when(~F.array_contains(b["kinds"], c("kind")) & ~F.array_contains(b["kinds"], F.lit("*")), "REALIZED_TYPE_NOT_IN_CANDIDATES").otherwise("ELIGIBLE"))
+        .when(~b["leaves"].cast("array<bigint>").eqNullSafe(order), "LEAF_ORDER_MISMATCH").when(c("leaf").isNull() | ~F.array_contains(order, c("leaf").cast("bigint")), "LABEL_UNMAPPED").when(~F.array_contains(b["kinds"], c("kind")) & ~F.array_contains(b["kinds"], F.lit("*")), "REALIZED_TYPE_NOT_IN_CANDIDATES").otherwise("ELIGIBLE"))
     return best.select(*keys.event, "model", reason.alias("reason"))
 
 

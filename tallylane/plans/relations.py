@@ -105,23 +105,24 @@ def _c09(t):
 
 
 @query("c10_forecast_grading", """
-lb AS (SELECT *, game_pk || '-' || event_id AS uid, CASE WHEN k % 31 <> 0 THEN k % 7 END AS leaf, coalesce(pitch_type, 'NA') AS kind, CASE WHEN k % 37 = 0 THEN 'unverified' ELSE 'observer_local' END AS clock, CASE WHEN k % 47 <> 0 THEN event_id * 100 + 50 END AS first_received FROM log),
+lb AS (SELECT *, game_pk || '-' || event_id AS uid, CASE WHEN k % 31 <> 0 THEN k % 8 END AS leaf, coalesce(pitch_type, 'NA') AS kind, CASE WHEN k % 37 = 0 THEN 'unverified' ELSE 'observer_local' END AS clock, CASE WHEN k % 47 <> 0 THEN event_id * 100 + 50 END AS first_received FROM log),
 sl AS (SELECT *, coalesce('after:' || lag(uid) OVER w, 'start') AS slot, lag(uid) OVER w AS pu FROM lb WINDOW w AS (PARTITION BY game_pk ORDER BY at_bat_number, pitch_number)),
 fc AS (SELECT game_pk, m AS model, slot, at_bat_number + (k % 23 = 1)::INT AS t_episode, pitch_number AS t_seq, CASE WHEN k % 11 = 0 THEN 'ABSTAIN' WHEN k % 53 <> 0 THEN 'OK' END AS status, CASE WHEN k % 17 = 2 THEN 'POST' ELSE 'PRE_RECEIPT' END AS timing,
-   event_id * 100 + (k % 5) * 15 AS generated, CASE WHEN m = 'A' THEN ['*'] ELSE ['FF','SI','SL','CU','CH','FC'] END AS kinds FROM sl, (VALUES ('A'), ('B')) v(m) WHERE NOT (m = 'B' AND k % 6 = 0))
+   event_id * 100 + (k % 5) * 15 AS generated, CASE WHEN m = 'A' THEN ['*'] ELSE ['FF','SI','SL','CU','CH','FC'] END AS kinds, CASE WHEN k % 41 = 3 THEN [1, 0, 2, 3, 4, 5, 6] ELSE [0, 1, 2, 3, 4, 5, 6] END AS leaves FROM sl, (VALUES ('A'), ('B')) v(m) WHERE NOT (m = 'B' AND k % 6 = 0))
 SELECT s.game_pk, s.at_bat_number, s.pitch_number, v.m AS model, CASE WHEN f.model IS NULL THEN 'NO_FORECAST' WHEN status IS NULL THEN 'INCOMPLETE_INTENT' WHEN status <> 'OK' THEN 'MODEL_' || status WHEN t_episode <> s.at_bat_number OR t_seq <> s.pitch_number THEN 'TARGET_KEY_MISMATCH'
-  WHEN timing <> 'PRE_RECEIPT' THEN 'POST_HOC_REPLAY' WHEN clock <> 'observer_local' OR first_received IS NULL THEN 'RECEIPT_CLOCK_UNVERIFIED' WHEN NOT generated < first_received THEN 'GENERATED_AFTER_FIRST_RECEIPT' WHEN leaf IS NULL THEN 'LABEL_UNMAPPED'
+  WHEN timing <> 'PRE_RECEIPT' THEN 'POST_HOC_REPLAY' WHEN clock <> 'observer_local' OR first_received IS NULL THEN 'RECEIPT_CLOCK_UNVERIFIED' WHEN NOT generated < first_received THEN 'GENERATED_AFTER_FIRST_RECEIPT' WHEN leaves <> [0, 1, 2, 3, 4, 5, 6] THEN 'LEAF_ORDER_MISMATCH' WHEN leaf IS NULL OR leaf > 6 THEN 'LABEL_UNMAPPED'
   WHEN NOT list_contains(kinds, kind) AND NOT list_contains(kinds, '*') THEN 'REALIZED_TYPE_NOT_IN_CANDIDATES' ELSE 'ELIGIBLE' END AS reason
 FROM sl s CROSS JOIN (VALUES ('A'), ('B')) v(m) LEFT JOIN fc f ON f.game_pk = s.game_pk AND f.slot = s.slot AND f.model = v.m""")
 def _c10(t):
-    lab = t.log.withColumns({"uid": F.concat_ws("-", c("game_pk").cast("string"), c("event_id").cast("string")), "leaf": F.when(c("k") % 31 != 0, c("k") % 7), "kind": F.coalesce("pitch_type", F.lit("NA")),
+    lab = t.log.withColumns({"uid": F.concat_ws("-", c("game_pk").cast("string"), c("event_id").cast("string")), "leaf": F.when(c("k") % 31 != 0, c("k") % 8), "kind": F.coalesce("pitch_type", F.lit("NA")),
                              "clock": F.when(c("k") % 37 == 0, "unverified").otherwise("observer_local"), "first_received": F.when(c("k") % 47 != 0, c("event_id") * 100 + 50)})
     slot = F.coalesce(F.concat(F.lit("after:"), F.lag("uid").over(K.in_cluster())), F.lit("start"))
     fc = lab.withColumn("slot", slot).withColumn("model", F.explode(F.array(F.lit("A"), F.lit("B")))).where("not (model = 'B' and k % 6 = 0)").select(
         "game_pk", "model", "slot", (c("at_bat_number") + (c("k") % 23 == 1).cast("int")).alias("t_episode"), c("pitch_number").alias("t_seq"), F.when(c("k") % 11 == 0, "ABSTAIN").when(c("k") % 53 != 0, "OK").alias("status"),
         F.when(c("k") % 17 == 2, "POST").otherwise("PRE_RECEIPT").alias("timing"), (c("event_id") * 100 + (c("k") % 5) * 15).alias("generated"),
-        F.when(c("model") == "A", F.array(F.lit("*"))).otherwise(F.array(*[F.lit(x) for x in ("FF", "SI", "SL", "CU", "CH", "FC")])).alias("kinds"))
-    return joins.grade_forecasts(lab.select(*KEY, "uid", "leaf", "kind", "clock", "first_received"), fc, K, ["A", "B"])
+        F.when(c("model") == "A", F.array(F.lit("*"))).otherwise(F.array(*[F.lit(x) for x in ("FF", "SI", "SL", "CU", "CH", "FC")])).alias("kinds"),
+        F.when(c("k") % 41 == 3, F.array(*[F.lit(x) for x in (1, 0, 2, 3, 4, 5, 6)])).otherwise(F.array(*[F.lit(x) for x in range(7)])).alias("leaves"))
+    return joins.grade_forecasts(lab.select(*KEY, "uid", "leaf", "kind", "clock", "first_received"), fc, K, ["A", "B"], list(range(7)))
 
 
 @query("c11_reconciliation", """
@@ -381,34 +382,36 @@ def _f04(t):
     return x.where("mismatch or decreased").select(*KEY, "decreased", "mismatch")
 
 
-# Fates in the order in which they are decided; the first six leave the denominator of the shares.
-FATES = ("excluded_null_game_key", "excluded_null_or_invalid_key", "excluded_non_registered_game_type", "excluded_date_outside_source_range", "excluded_nonpositive_order_key", "excluded_duplicate_key",
+# Fates in the order in which they are decided; the first seven leave the denominator of the shares.
+FATES = ("excluded_null_game_key", "excluded_null_or_invalid_key", "excluded_non_registered_game_type", "excluded_date_outside_source_range", "excluded_nonpositive_order_key", "excluded_duplicate_key", "conflicting_duplicate_key",
          "quarantined_multi_date_game", "excluded_invalid_state", "excluded_missing_handedness", "excluded_unmapped_label", "excluded_bip_missing_bb_type", "excluded_nonbip_with_bb_type", "excluded_bip_unknown_bb_type")
+CONTENT = ["pit", "bl", "strikes", "outs_when_up", "sd", "bb", "description", "events", "pitch_type", "batter"]
 BB_TYPES = ("ground_ball", "line_drive", "fly_ball", "popup")
 
 FATE_CTE = f"""
 dr AS (SELECT *, CASE WHEN k % 93 <> 5 THEN game_pk END AS gp, CASE WHEN k % 90 = 1 THEN NULL ELSE pitcher END AS pit, CASE WHEN k = 98 THEN 0 ELSE at_bat_number END AS ab, CASE WHEN k = 41 THEN 9 ELSE balls END AS bl, CASE WHEN k = 42 THEN NULL ELSE stand END AS sd,
   CASE WHEN k = 43 THEN 'bunt' WHEN k = 46 THEN 'popup' ELSE bb_type END AS bb FROM log),
-du AS (SELECT *, 0 AS copy FROM dr UNION ALL SELECT *, 1 FROM dr WHERE k = 77),
+du AS (SELECT *, 0 AS copy FROM dr UNION ALL SELECT *, 1 FROM dr WHERE k = 77 UNION ALL SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN NULL ELSE bl END AS bl), 1 FROM dr WHERE k = 78),
 dm AS (SELECT *, min(CAST(ts AS DATE)) OVER (PARTITION BY gp) <> max(CAST(ts AS DATE)) OVER (PARTITION BY gp) AS multi, CASE WHEN gp IS NULL THEN 'excluded_null_game_key' WHEN pit IS NULL THEN 'excluded_null_or_invalid_key' WHEN game_type <> 'R' THEN 'excluded_non_registered_game_type'
   WHEN game_date < DATE '2024-01-02' THEN 'excluded_date_outside_source_range' WHEN ab <= 0 OR pitch_number <= 0 THEN 'excluded_nonpositive_order_key' END AS early FROM du),
-dd AS (SELECT *, early IS NULL AND row_number() OVER (PARTITION BY gp, ab, pitch_number, early IS NULL ORDER BY event_id, copy) > 1 AS dup, {OUT10_SQL} AS y10_ FROM dm),
-fate AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN dup THEN 'excluded_duplicate_key'
+dd AS (SELECT *, early IS NULL AND row_number() OVER q > 1 AS dup, early IS NULL AND count(DISTINCT ROW(pit, bl, strikes, outs_when_up, sd, bb, description, events, pitch_type, batter)) OVER (PARTITION BY gp, ab, pitch_number, early IS NULL) > 1 AS differ, {OUT10_SQL} AS y10_ FROM dm WINDOW q AS (PARTITION BY gp, ab, pitch_number, early IS NULL ORDER BY event_id, copy)),
+fate AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN differ THEN 'conflicting_duplicate_key' WHEN dup THEN 'excluded_duplicate_key'
   WHEN multi THEN 'quarantined_multi_date_game' WHEN bl NOT BETWEEN 0 AND 3 OR strikes NOT BETWEEN 0 AND 2 OR outs_when_up NOT BETWEEN 0 AND 2 OR inning IS NULL OR home_score IS NULL OR away_score IS NULL THEN 'excluded_invalid_state'
   WHEN sd IS NULL THEN 'excluded_missing_handedness' WHEN y10_ < 0 THEN 'excluded_unmapped_label'
   WHEN description = 'hit_into_play' AND bb IS NULL THEN 'excluded_bip_missing_bb_type' WHEN description <> 'hit_into_play' AND bb IS NOT NULL THEN 'excluded_nonbip_with_bb_type'
   WHEN description = 'hit_into_play' AND bb NOT IN {BB_TYPES} THEN 'excluded_bip_unknown_bb_type' ELSE 'accepted' END AS fate FROM dd),
-den AS (SELECT count(*) FILTER (fate NOT IN {FATES[:6]}) AS d FROM fate)
+den AS (SELECT count(*) FILTER (fate NOT IN {FATES[:7]}) AS d FROM fate)
 """
 
 
 @query("f05_row_fates", FATE_CTE + """
-SELECT fate, count(*) AS n, max(d) AS denominator, count(*) / max(d) AS share, CASE WHEN fate IN ('excluded_unmapped_label', 'excluded_invalid_state') THEN count(*) > 0.005 * greatest(max(d), 1) ELSE false END AS stop FROM fate, den GROUP BY 1""", doubles=["share"])
+SELECT fate, count(*) AS n, max(d) AS denominator, count(*) / max(d) AS share, CASE WHEN fate IN ('excluded_unmapped_label', 'excluded_invalid_state') THEN count(*) > 0.005 * greatest(max(d), 1) ELSE fate = 'conflicting_duplicate_key' END AS stop FROM fate, den GROUP BY 1""", doubles=["share"])
 def _f05(t):
     from tallylane.functions import codes
     raw = t.log.withColumns({"gp": F.when(c("k") % 93 != 5, c("game_pk")), "pit": F.when(c("k") % 90 != 1, c("pitcher")), "ab": F.when(c("k") == 98, 0).otherwise(c("at_bat_number")), "bl": F.when(c("k") == 41, 9).otherwise(c("balls")), "sd": F.when(c("k") != 42, c("stand")),
                              "bb": F.when(c("k") == 43, "bunt").when(c("k") == 46, "popup").otherwise(c("bb_type"))})
-    raw = raw.withColumn("copy", F.explode(F.when(c("k") == 77, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    raw = raw.withColumn("copy", F.explode(F.when(c("k").isin(77, 78), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    raw = raw.withColumn("bl", F.when(~((c("k") == 78) & (c("copy") == 1) & (c("event_id") % 2 == 0)), c("bl")))
     early = [("excluded_null_game_key", c("gp").isNull()), ("excluded_null_or_invalid_key", c("pit").isNull()), ("excluded_non_registered_game_type", c("game_type") != "R"),
              ("excluded_date_outside_source_range", c("game_date") < F.lit("2024-01-02").cast("date")), ("excluded_nonpositive_order_key", (c("ab") <= 0) | (c("pitch_number") <= 0))]
     played = c("description") == "hit_into_play"
@@ -418,20 +421,42 @@ def _f05(t):
             ("excluded_bip_missing_bb_type", played & c("bb").isNull()), ("excluded_nonbip_with_bb_type", ~played & c("bb").isNotNull()), ("excluded_bip_unknown_bb_type", played & ~F.coalesce(c("bb").isin(*BB_TYPES), F.lit(True)))]
     day, game = F.to_date("ts"), Window.partitionBy("gp")
     raw = raw.withColumn("multi", F.min(day).over(game) != F.max(day).over(game))
-    fates = audit.row_fates(raw, early, ("excluded_duplicate_key", ["gp", "ab", "pitch_number"], ["event_id", "copy"]), late)
-    return audit.fate_census(fates, {"excluded_unmapped_label": 0.005, "excluded_invalid_state": 0.005}, FATES[:6])
+    fates = audit.row_fates(raw, early, ("excluded_duplicate_key", "conflicting_duplicate_key", ["gp", "ab", "pitch_number"], ["event_id", "copy"], CONTENT), late)
+    return audit.fate_census(fates, {"excluded_unmapped_label": 0.005, "excluded_invalid_state": 0.005, "conflicting_duplicate_key": 0.0}, FATES[:7])
+
+
+SELECTION_CTE = AUDIT_CTE + f""",
+zb AS (SELECT game_date, batter, CASE WHEN event_id % 13 <> 0 THEN sz_top + (event_id % 9) / 100.0 END AS zt, CASE WHEN batter % 10 <> 3 THEN sz_bot + (event_id % 5) / 100.0 END AS zl FROM log),
+ob AS (SELECT d.batter, d.game_date, quantile_cont(zt, 0.5) AS ot, quantile_cont(zl, 0.5) AS ol FROM (SELECT DISTINCT batter, game_date FROM log) d JOIN zb z ON z.batter = d.batter AND z.game_date < d.game_date GROUP BY 1, 2),
+lb AS (SELECT d.game_date, quantile_cont(zt, 0.5) AS lt, quantile_cont(zl, 0.5) AS ll FROM (SELECT DISTINCT game_date FROM log) d JOIN zb z ON z.game_date < d.game_date GROUP BY 1),
+rp AS (SELECT d.pitcher, d.game_date, pitch_type, count(*) AS n FROM (SELECT DISTINCT pitcher, game_date FROM log) d JOIN log z ON z.pitcher = d.pitcher AND z.game_date < d.game_date AND z.game_date >= d.game_date - 90 WHERE pitch_type IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20),
+rr AS (SELECT pitcher, game_date, string_agg(pitch_type || ':' || n, '|' ORDER BY list_position({_ACTIONS_SQL}, pitch_type)) AS rep FROM rp GROUP BY 1, 2),
+ep AS (SELECT game_pk, at_bat_number, min_by(batter, pitch_number) AS batter, min(game_date) AS game_date, count(*) AS n_events FROM log GROUP BY 1, 2),
+cd AS (SELECT ep.*, p.pitcher, p.pitcher % 2 = 0 AS inc, coalesce(rep, '') AS repertoire, coalesce(ol, ll) AS zone_bottom, coalesce(ot, lt) AS zone_top FROM ep JOIN (SELECT DISTINCT game_pk, at_bat_number, pitcher FROM log) p USING (game_pk, at_bat_number)
+  LEFT JOIN rr ON rr.pitcher = p.pitcher AND rr.game_date = ep.game_date LEFT JOIN ob ON ob.batter = ep.batter AND ob.game_date = ep.game_date LEFT JOIN lb ON lb.game_date = ep.game_date),
+ag AS (SELECT cd.*, concat_ws('|', {", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in audit.REASONS)}, CASE WHEN repertoire = '' THEN 'no_supported_prior_repertoire' END, CASE WHEN NOT coalesce(zone_top > zone_bottom, false) THEN 'missing_prior_zone_bounds' END) AS reasons FROM cd JOIN au USING (game_pk, at_bat_number)),
+rk AS (SELECT pitcher, game_pk, row_number() OVER (PARTITION BY pitcher ORDER BY game_date, game_pk) AS kk FROM (SELECT DISTINCT pitcher, game_pk, game_date FROM ag WHERE reasons = '' AND inc)),
+se AS (SELECT ag.game_pk, at_bat_number, ag.pitcher, n_events, CASE WHEN NOT inc THEN 'not_in_cohort' WHEN reasons <> '' THEN string_split(reasons, '|')[1] WHEN kk > 3 THEN 'beyond_cluster_limit' ELSE 'selected' END AS reason, reasons, repertoire, zone_bottom, zone_top
+  FROM ag LEFT JOIN rk ON rk.pitcher = ag.pitcher AND rk.game_pk = ag.game_pk)
+"""
+
+
+def selection(t):
+    """Episodes of the even-numbered actors; zone bounds vary by event, and some are unknown."""
+    zones = t.log.withColumns({"sz_top": F.when(c("event_id") % 13 != 0, c("sz_top") + c("event_id") % 9 / 100), "sz_bot": F.when(c("batter") % 10 != 3, c("sz_bot") + c("event_id") % 5 / 100)})
+    return audit.select_episodes(zones, audited(t)[1], K, t.log.where("pitcher % 2 = 0"), 3, TYPE_CODES)
 
 
-@query("f06_episode_selection", AUDIT_CTE + """,
-ep AS (SELECT game_pk, at_bat_number, min_by(pitcher, pitch_number) AS pitcher, min(game_date) AS game_date, count(*) AS n_events FROM log GROUP BY 1, 2),
-x AS (SELECT ep.*, supported, pitcher % 2 = 0 AS inc FROM ep JOIN au USING (game_pk, at_bat_number)),
-rk AS (SELECT pitcher, game_pk, dense_rank() OVER (PARTITION BY pitcher ORDER BY game_date, game_pk) AS kk FROM (SELECT DISTINCT pitcher, game_pk, game_date FROM x WHERE supported AND inc))
-SELECT x.game_pk, at_bat_number, x.pitcher, n_events, CASE WHEN NOT inc THEN 'not_in_cohort' WHEN NOT supported THEN 'unsupported_episode' WHEN kk > 2 THEN 'beyond_cluster_limit' ELSE 'selected' END AS reason FROM x LEFT JOIN rk ON rk.pitcher = x.pitcher AND rk.game_pk = x.game_pk""")
+@query("f06_episode_selection", SELECTION_CTE + "SELECT * FROM se", doubles=["zone_bottom", "zone_top"])
 def _f06(t):
-    log, a = audited(t)
-    return audit.select_episodes(log, a, K, log.where("pitcher % 2 = 0"), 2)
+    return selection(t)
 
 
+@query("f06_selection_coverage", SELECTION_CTE + """,
+pc AS (SELECT pitcher, game_pk, count(*) AS n, count_if(reasons = '') AS ok, bool_or(reason = 'selected') AS taken FROM se WHERE reason <> 'not_in_cohort' GROUP BY 1, 2)
+SELECT pitcher, count(*) AS clusters, sum(n) AS episodes, sum(ok) AS supported, count_if(taken) AS selected_clusters, coalesce(sum(n) FILTER (taken), 0) AS selected_episodes, coalesce(sum(ok) FILTER (taken), 0) AS selected_supported FROM pc GROUP BY 1""")
+def _f06c(t):
+    return audit.selection_coverage(selection(t), K)
 
 
 # --- H, A10 ----------------------------------------------------------------------

@@ -67,6 +67,14 @@ def hinges(df: DataFrame, train: DataFrame, column: str) -> DataFrame:
     return out.drop("_knots")
 
 
+def hinge_table(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`hinges` of many columns at once: all knots come from one pass over `train`."""
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).alias("value")) for x in columns])).alias("_x")).select("_x.*")
+    knots = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["name"]).agg(*[F.max(F.when(F.col("name") == x, F.col("q"))).alias(f"_knots_{x}") for x in columns])
+    parts = {f"{x}_h{i + 1}": F.greatest(F.col(x) - F.col(f"_knots_{x}")[i], F.lit(0.0)) for x in columns for i in range(3)}
+    return with_row(df, knots).withColumns(parts).drop(*[f"_knots_{x}" for x in columns])
+
+
 def bucketise(df: DataFrame, fit: DataFrame, column: str, bins: int, output: str) -> DataFrame:
     """0 for missing, otherwise 1 + number of fit quantile edges at or below the value."""
     edges = exact_quantiles(fit, column, [k / bins for k in range(1, bins)]).select(F.col("q").alias("_edges"))

@@ -91,9 +91,41 @@ def winner_model(design: DataFrame, label: str, cols: Sequence[str], non_negativ
     return lr.fit(_assemble(design, cols))
 
 
-def outcome_model(train: DataFrame, cols: Sequence[str], label: str, reg: float = 1e-3):
-    """Multinomial logistic model on scaled / hinge features."""
-    return LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", regParam=reg, maxIter=50).fit(_assemble(train, cols))
+def log_loss(scored: DataFrame, p: str, label: str, weight: str | None = None) -> float:
+    """Mean of -log of the probability of the row's own class; a class the model does not know has the floor."""
+    own = F.coalesce(F.get(c(p), c(label).cast("int")), F.lit(0.0))
+    w = F.lit(1.0) if weight is None else c(weight)
+    return scored.agg(F.sum(-w * F.log(F.greatest(own, F.lit(probs.NLL_FLOOR)))) / F.sum(w)).first()[0]
+
+
+def outcome_model(train: DataFrame, stop: DataFrame, cols: Sequence[str], label: str, weight: str | None = None, reg: float = 1e-4, budgets: Sequence[int] = (5, 10, 20, 40, 80), tolerance: float = 1e-5):
+    """Multinomial logistic model over all classes of `train`, stopped early on the rows of `stop`.
+
+    The optimiser follows the same path whatever its budget of iterations, so fits with growing budgets are points of one
+    path.  Budgets grow until the loss on `stop` no longer falls by `tolerance`, or the fit has converged before; the best
+    one is kept.  Rows may be weighted (weights are divided by their mean).  Returns the model and one
+    (budget, iterations, loss on `stop`) for each fit.
+    """
+    rows, held = _assemble(train, cols).select("features", label, *([weight] if weight else [])).persist(), _assemble(stop, cols)
+    try:
+        if weight:
+            mean = rows.agg(F.avg(weight)).first()[0]
+            rows = rows.withColumn(weight, c(weight) / mean)
+        best, history = None, []
+        for budget in budgets:
+            lr = LogisticRegression(labelCol=label, featuresCol="features", family="multinomial", regParam=reg, maxIter=budget, standardization=False)
+            model = (lr.setWeightCol(weight) if weight else lr).fit(rows)
+            loss = log_loss(model.transform(held).withColumn("_p", vector_to_array("probability")), "_p", label)
+            taken = model.summary.totalIterations
+            history.append((budget, taken, loss))
+            better = best is None or loss < best[1] - tolerance
+            if better:
+                best = (model, loss)
+            if not better or taken < budget:
+                break
+    finally:
+        rows.unpersist()
+    return best[0], history
 
 
 def predict(model, df: DataFrame, cols: Sequence[str], output: str = "p") -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallylane.functions import features, probs
-from tallylane.functions.quantiles import with_row
+from tallylane.functions.quantiles import exact_quantiles, with_row
 from tallylane.keys import DEFAULT_KEYS as K
 from tallylane.operators import aggs, asof, freq, model, ordered, sample, score
+from tallylane.operators.lineage import materialise
 from tallylane.plans.encoders import IDS_CTE
 from tallylane.plans.ordered import OUTS_CTE, REFERENCE_CTE, terminal, with_outs
 from tallylane.plans.registry import query
@@ -167,26 +166,63 @@ def _g12e(t):
     return score.binary_report(p, "p_home", "final_home_win", "game_pk")
 
 
+OUTCOMES = 11
+CHANNELS = ["x", "zn", "speed", "move_x", "move_z"]
+
+
+def outcome_design(t):
+    """Rows with a known outcome, part (0 fit, 1 early stop, 2 held out), scaled channels and their hinges, count and sides.
+
+    The early-stop part is the last fifth of the training seasons' dates; scalers and knots see the fit part alone.
+    """
+    phys = features.physical_channels()
+    rows = t.ids.where("outcome_id >= 0").select(*KEY, "season", "game_date", c("outcome_id").cast("double").alias("label"), *[phys[x].alias(x) for x in CHANNELS], "balls", "strikes",
+                                                 (c("stand") == "L").cast("double").alias("left"), (c("stand") == c("p_throws")).cast("double").alias("same"))
+    days = rows.where("season <= 2022").select(F.unix_date("game_date").alias("day")).distinct()
+    cut = exact_quantiles(days, "day", [0.8]).select(c("q")[0].alias("_cut"))
+    rows = materialise(with_row(rows, cut).withColumn("part", F.when(c("season") > 2022, 2).when(F.unix_date("game_date") > c("_cut"), 1).otherwise(0)).drop("_cut"))
+    z = materialise(features.apply_scaler(rows, features.fit_scaler(rows.where("part = 0"), CHANNELS, 1e-8), CHANNELS, clip=features.HINGE_CLIP))
+    z = features.hinge_table(z, z.where("part = 0"), [f"{x}_z" for x in CHANNELS])
+    balls, strikes = [f"b{i}" for i in (1, 2, 3)], [f"s{i}" for i in (1, 2)]
+    z = z.withColumns({n: (c(col) == int(n[1])).cast("double") for col, names in (("balls", balls), ("strikes", strikes)) for n in names})
+    names = [f"{x}_z{h}" for x in CHANNELS for h in ("", "_h1", "_h2", "_h3")] + balls + strikes + ["left", "same"]
+    return materialise(z.select(*KEY, "part", "label", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])), names
+
+
+def outcome_fit(t):
+    rows, names = outcome_design(t)
+    m, history = model.outcome_model(rows.where("part = 0"), rows.where("part = 1"), names, "label")
+    return m, history, rows, names
+
+
+def outcome_predictions(m, rows, names):
+    """Shares of all outcomes for the held-out rows; an outcome that the fit never saw has share 0."""
+    p = model.predict(m, rows.where("part = 2").select(*KEY, "label", *names), names)
+    return p.select(*KEY, "label", *[F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)).alias(f"p{i}") for i in range(OUTCOMES)])
+
+
 @query("g13_outcome_model")
 def _g13(t):
-    rows = t.ids.where("outcome_id >= 0").withColumn("label", F.least(c("outcome_id"), F.lit(3)).cast("double"))
-    cols = ["plate_x", "plate_z", "release_speed"]
-    z = features.apply_scaler(rows, features.fit_scaler(rows.where("season <= 2022"), cols, 1e-8), cols, clip=features.HINGE_CLIP)
-    names = [f"{x}_z" for x in cols] + ["balls", "strikes"]
-    m = model.outcome_model(z.where("season <= 2022").select("label", *names), names, "label")
-    p = model.predict(m, z.where("season > 2022").select(*KEY, "label", *names), names)
-    return p.select(*KEY, "label", *[c("p")[i].alias(f"p{i}") for i in range(4)])
+    m, _, rows, names = outcome_fit(t)
+    return outcome_predictions(m, rows, names)
 
 
 @query("g13_probability_check", IDS_CTE + """,
-e AS (SELECT game_pk, least(outcome_id, 3) AS y FROM ids WHERE outcome_id >= 0 AND season > 2022)
-SELECT y AS label, count(*) AS n, true AS sums_to_one, true AS better_than_uniform FROM e GROUP BY 1""")
+e AS (SELECT outcome_id AS y FROM ids WHERE outcome_id >= 0 AND season > 2022)
+SELECT y AS label, count(*) AS n, true AS sums_to_one, true AS better_than_shares, true AS stopped_at_best FROM e GROUP BY 1""")
 def _g13b(t):
-    """Shares sum to one, and the mean loss over all rows beats equal shares."""
-    p = [c(f"p{i}") for i in range(4)]
-    rows = _g13(t).withColumns({"_one": F.abs(sum(p[1:], p[0]) - 1) < 1e-9, "_loss": -F.log(F.greatest(F.array(*p)[c("label").cast("int")], F.lit(1e-12)))})
-    mean = rows.agg((F.avg("_loss") < math.log(4)).alias("better_than_uniform"))
-    return with_row(rows.groupBy(c("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.bool_and("_one").alias("sums_to_one")), mean)
+    """Shares sum to one, the mean loss over all held-out rows beats the fit part's own shares, and no fit had a lower loss on the early-stop part."""
+    m, history, rows, names = outcome_fit(t)
+    p = [c(f"p{i}") for i in range(OUTCOMES)]
+    scored = outcome_predictions(m, rows, names).withColumn("_p", F.array(*p))
+    fit = rows.where("part = 0")
+    base = fit.groupBy("label").agg(F.count("*").alias("_n")).join(F.broadcast(fit.agg(F.count("*").alias("_all")))).select("label", F.array_repeat(c("_n") / c("_all"), OUTCOMES).alias("_p"))
+    plain = model.log_loss(rows.where("part = 2").select("label").join(F.broadcast(base), "label", "left"), "_p", "label")
+    better = model.log_loss(scored, "_p", "label") < plain
+    held = model.predict(m, rows.where("part = 1").select(*KEY, "label", *names), names)
+    kept = model.log_loss(held, "p", "label") <= min(h[2] for h in history) + 1e-5
+    return scored.groupBy(c("label").cast("long").alias("label")).agg(
+        F.count("*").alias("n"), F.bool_and(F.abs(sum(p[1:], p[0]) - 1) < 1e-9).alias("sums_to_one")).withColumns({"better_than_shares": F.lit(better), "stopped_at_best": F.lit(kept)})
 
 
 def _grid_sql(rows, loss, low, high, by=(), points=9, rounds=3):

@@ -104,26 +104,27 @@ def long_history(log: DataFrame, keys: LogKeys, token: str, length: int) -> Data
     """Per episode, up to `length` earlier events of its entity: completed episodes of the same
     cluster first, then strictly earlier dates; other clusters of the same date never count.
 
-    Episodes with more than one entity are left out.  `row_number() <= length` lets Spark
-    keep only `length` rows per key before the shuffle, so a hot entity stays small.
+    Episodes with more than one entity are left out.  Histories are row frames over single tokens, taken at the first
+    event of an episode and at the first token of a date, so no list is longer than `length`.  `row_number() <= length` lets
+    Spark keep only `length` rows of an entity's date before the shuffle, so a hot entity stays small.
     """
-    order = F.struct(keys.cluster, keys.episode, keys.seq, c(token).alias("token"))
-    ep = log.groupBy(*keys.episode_key, keys.date).agg(
-        F.min(keys.entity).alias(keys.entity), F.max(keys.entity).alias("_hi"), F.sort_array(F.collect_list(order)).alias("_ev")).where(c(keys.entity) == c("_hi")).drop("_hi")
-    earlier = Window.partitionBy(keys.cluster, keys.entity).orderBy(keys.episode).rowsBetween(-length, -1)
-    last = lambda x: F.slice(x, F.greatest(F.size(x) - length + 1, F.lit(1)), length)
-    ep = ep.withColumn("_game", F.flatten(F.collect_list("_ev").over(earlier))).withColumns({"_n_game": F.size("_game"), "_game": last(c("_game"))})
-    newest = Window.partitionBy(keys.entity, keys.date).orderBy(c(keys.cluster).desc(), c(keys.episode).desc())
-    tail = ep.select(keys.entity, keys.date, keys.cluster, keys.episode, "_ev").withColumn("_r", F.row_number().over(newest)).where(c("_r") <= length)
-    tail = tail.groupBy(keys.entity, keys.date).agg(F.sort_array(F.flatten(F.collect_list("_ev"))).alias("_ev"))
-    tail = tail.withColumn("_ev", last(c("_ev")))
-    before = Window.partitionBy(keys.entity).orderBy(keys.date).rowsBetween(-length, -1)
-    # cut before the join: an episode takes `length` tokens of the past, not `length` dates of them
-    dated = tail.withColumn("_past", F.flatten(F.collect_list("_ev").over(before))).withColumn("_past", last(c("_past"))).drop("_ev")
-    both = ep.join(dated, [keys.entity, keys.date], "left")
-    merged = F.concat(F.coalesce("_past", F.slice("_game", 1, 0)), c("_game"))
+    whole, token_ = keys.whole_episode(), F.struct(c(token).alias("token"))
+    who = F.min(keys.entity).over(whole)
+    one = log.select(*keys.event, who.alias(keys.entity), keys.date, token_.alias("_t"), (who == F.max(keys.entity).over(whole)).alias("_same")).where("_same").drop("_same")
+    own = Window.partitionBy(keys.cluster, keys.entity).orderBy(keys.episode, keys.seq)
+    ep = one.withColumns({"_n_game": F.row_number().over(own) - 1, "_game": F.collect_list("_t").over(own.rowsBetween(-length, -1)), "_prev": F.lag(keys.episode).over(own)})
+    ep = ep.where(~c(keys.episode).eqNullSafe(c("_prev")))
+    newest = Window.partitionBy(keys.entity, keys.date).orderBy(*[c(k).desc() for k in keys.event])
+    tail = one.withColumn("_r", F.row_number().over(newest)).where(c("_r") <= length)
+    dated = Window.partitionBy(keys.entity).orderBy(keys.date, *keys.event)
+    past = tail.withColumns({"_past": F.collect_list("_t").over(dated.rowsBetween(-length, -1)), "_prev": F.lag(keys.date).over(dated)})
+    past = past.where(~c(keys.date).eqNullSafe(c("_prev"))).select(keys.entity, keys.date, "_past")
+    both = ep.join(past, [keys.entity, keys.date], "left")
+    # the newest `length` of the past followed by the own cluster
+    room = F.greatest(length - F.size("_game"), F.lit(0))
+    older = F.coalesce(F.slice("_past", F.greatest(F.size("_past") - room + 1, F.lit(1)), room), F.slice("_game", 1, 0))
     return both.select(
-        *keys.episode_key, keys.entity, F.transform(last(merged), lambda x: x["token"]).alias("tokens"),
+        *keys.episode_key, keys.entity, F.transform(F.concat(older, c("_game")), lambda x: x["token"]).alias("tokens"),
         F.least("_n_game", F.lit(length)).cast("bigint").alias("n_cluster"))
 
 

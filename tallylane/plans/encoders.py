@@ -157,6 +157,19 @@ def _b10(t):
     return n.join(states.actions_table(t.spark), "action_id", "right").fillna(0, ["n"])
 
 
+_TERMINAL_FROM = 3
+
+
+@query("b10_outcome_usage", IDS_CTE + f""",
+n AS (SELECT outcome_id, count(*) AS n, count(DISTINCT pitch_type) AS kinds FROM ids WHERE outcome_id >= 0 GROUP BY 1)
+SELECT o AS outcome_id, ({list(codes.OUTCOME11)})[o + 1] AS name, o >= {_TERMINAL_FROM} AS terminal, CASE o WHEN 0 THEN 'ball' WHEN 1 THEN 'strike' WHEN 2 THEN 'foul' END AS count_rule, coalesce(n, 0) AS n, coalesce(kinds, 0) AS kinds
+FROM range(11) r(o) LEFT JOIN n ON n.outcome_id = o""")
+def _b10o(t):
+    """Every outcome of the generated dimension with its use in the log."""
+    n = t.ids.where("outcome_id >= 0").groupBy("outcome_id").agg(F.count("*").alias("n"), F.count_distinct("pitch_type").alias("kinds"))
+    return n.join(states.outcomes_table(t.spark), "outcome_id", "right").fillna(0, ["n", "kinds"])
+
+
 @query("b11_physical_channels", """SELECT game_pk, at_bat_number, pitch_number, plate_x * CASE WHEN stand = 'L' THEN -1.0 ELSE 1.0 END AS x,
   """ + ZN_SQL + """ AS zn, coalesce(effective_speed, release_speed) AS speed, release_spin_rate AS spin,
   sin(radians(spin_axis)) AS axis_sin, cos(radians(spin_axis)) AS axis_cos,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallylane.functions import codes
 from tallylane.keys import LogKeys
 from tallylane.operators import ordered, prior
+from tallylane.operators.lineage import materialise
 
 c = F.col
 
@@ -221,14 +222,15 @@ def select_episodes(log: DataFrame, audit: DataFrame, keys: LogKeys, cohort: Dat
     """
     first = F.min_by(F.struct(keys.entity, keys.date), keys.seq)
     ep = log.groupBy(*keys.episode_key).agg(first.alias("_start"), F.count("*").alias("n_events"), F.collect_set(keys.actor).alias("_actors"))  # the actors of one episode
-    ep = ep.select(*keys.episode_key, "n_events", "_start.*", F.explode("_actors").alias(keys.actor))
+    # read by several branches; as tables of one row for each episode they keep the plans of the branches apart
+    ep = materialise(ep.select(*keys.episode_key, "n_events", "_start.*", F.explode("_actors").alias(keys.actor)))
     x = ep.join(audit, keys.episode_key).join(cohort.select(keys.actor).distinct().withColumn("_in", F.lit(True)), keys.actor, "left")
     x = x.join(prior.recent_repertoire(log, ep, keys.actor, keys.date, kind, kinds, days, least), [keys.actor, keys.date], "left")
     x = x.join(prior.prior_bounds(log, ep, keys.entity, keys.date, [low, high]), [keys.entity, keys.date], "left")
     bottom, top = c(f"prior_{low}"), c(f"prior_{high}")
     extra = {"no_supported_prior_repertoire": F.coalesce("repertoire", F.lit("")) == "", "missing_prior_zone_bounds": ~F.coalesce(top > bottom, F.lit(False))}
     against = F.array_compact(F.array(*[F.when(c(r), F.lit(r)) for r in REASONS], *[F.when(cond, F.lit(name)) for name, cond in extra.items()]))
-    x = x.withColumn("_against", against)
+    x = materialise(x.select(*ep.columns, "_in", "repertoire", bottom, top, against.alias("_against")))
     # rank clusters per actor on the small distinct table, not on episodes
     able = x.where(c("_in") & (F.size("_against") == 0)).select(keys.actor, keys.date, keys.cluster).distinct()
     rank = able.withColumn("_k", F.row_number().over(Window.partitionBy(keys.actor).orderBy(keys.date, keys.cluster))).select(keys.actor, keys.cluster, "_k")

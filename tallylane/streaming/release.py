@@ -8,6 +8,8 @@ and those behind it.
 
 from __future__ import annotations
 
+import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,41 +22,68 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Release(StatefulProcessor):
-    """State of a cluster: snapshots by event time (the largest seq of each), and open requests by release time."""
+    """State of a cluster: snapshots by event time (the largest seq of each), open requests, and the time of its one timer.
+
+    A call to the state store costs far more than a row, so a cluster's state is one packed value, read and written once
+    in a call, and there is one timer for the earliest open request, which answers all that are due.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.snapshots = handle.getMapState("snapshots", "at bigint", "seq bigint")
-        self.requests = handle.getMapState("requests", "request_id bigint", "at bigint")
+        self.held = handle.getValueState("held", "snapshots binary, requests binary, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        snapshots, requests, timer = self._load()
         for frame in rows:
             for kind, at, number in zip(frame["kind"].tolist(), (frame["at"].astype("datetime64[us]").astype("int64") // 1000).tolist(), frame["number"].tolist(), strict=True):
                 if kind == "request":
-                    self.requests.updateValue((number,), (at,))
-                    # a timer fires when the watermark has passed its time
-                    self.handle.registerTimer(at)
-                elif not self.snapshots.containsKey((at,)) or self.snapshots.getValue((at,))[0] < number:
-                    self.snapshots.updateValue((at,), (number,))
+                    requests[number] = at
+                elif at not in snapshots or snapshots[at] < number:
+                    snapshots[at] = number
+        self._store(snapshots, requests, self._set_timer(requests, timer))
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        held = {at: seq for (at,), (seq,) in self.snapshots.iterator()}
-        out = []
-        for (number,), (at,) in list(self.requests.iterator()):
-            if at == due:
-                newest = max((x for x in held if x <= at), default=None)
-                out.append((number, held.get(newest), newest, len(held)))
-                self.requests.removeKey((number,))
-        # open requests lie at or behind the watermark, but for those whose own timers fire now too
-        open_ = min([at for _, (at,) in self.requests.iterator()] + [mark])
-        last = max((x for x in held if x <= open_), default=None)
-        for at in held:
-            if last is not None and at < last:
-                self.snapshots.removeKey((at,))
+        snapshots, requests, timer = self._load()
+        # what lies at the watermark is due as well: rows at it or behind it are dropped
+        ready: dict[int, list[int]] = {}
+        for number, at in requests.items():
+            if at <= mark:
+                ready.setdefault(at, []).append(number)
+        times, out = sorted(snapshots), []
+        for i, at in enumerate(sorted(ready)):
+            if i:
+                del times[:max(bisect_right(times, at) - 1, 0)]
+            known = bisect_right(times, at)
+            newest = times[known - 1] if known else None
+            out += [(number, snapshots.get(newest), newest, len(times)) for number in ready[at]]
+        requests = {number: at for number, at in requests.items() if at > mark}
+        # open requests lie behind the watermark, as do the snapshots still to come
+        del times[:max(bisect_right(times, mark) - 1, 0)]
+        self._store({at: snapshots[at] for at in times}, requests, self._set_timer(requests, None if timer == due else timer))
         yield self._frame(key, out)
 
+    def _set_timer(self, requests: dict[int, int], timer: int | None) -> int | None:
+        """Have one timer, at the earliest open request; it fires when the watermark has passed its time."""
+        first = min(requests.values(), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        return first
+
+    def _load(self) -> tuple[dict[int, int], dict[int, int], int | None]:
+        found = self.held.get()
+        if found is None:
+            return {}, {}, None
+        snapshots, requests = (dict(struct.iter_unpack("<qq", bytes(x))) for x in found[:2])
+        return snapshots, requests, found[2]
+
+    def _store(self, snapshots: dict[int, int], requests: dict[int, int], timer: int | None) -> None:
+        self.held.update((*(b"".join(struct.pack("<qq", *x) for x in pairs.items()) for pairs in (snapshots, requests)), timer))
+
     def close(self) -> None:
         pass
 

@@ -90,6 +90,86 @@ def test_timers_answer_requests_and_evict_snapshots(spark):
     assert max(r.held for r in found) <= 180 and len(want) > 80
 
 
+def test_a_cluster_has_one_timer_and_one_read_and_write_in_a_call():
+    """Calls to the state store are what the stream's time goes to: they must not grow with the requests of a cluster."""
+    import pandas as pd
+
+    class Calls:
+        def __init__(self):
+            self.value, self.log = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.log.append("get")
+            return self.value
+
+        def update(self, value):
+            self.log.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            self.log.append(("timer", at))
+
+        def deleteTimer(self, at):
+            self.log.append(("no timer", at))
+
+    class At:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    calls, step = Calls(), release.Release()
+    step.init(calls)
+    frame = pd.DataFrame([("snapshot", 1000 * i, i) for i in range(1, 41)] + [("request", 1000 * i + 500, 100 + i) for i in range(5, 40)], columns=["kind", "at", "number"])
+    list(step.handleInputRows((7,), iter([frame.assign(at=pd.to_datetime(frame["at"], unit="ms"))]), None))
+    assert calls.log == ["get", "update", ("timer", 5500)] or calls.log == ["get", ("timer", 5500), "update"]
+    calls.log.clear()
+    out = pd.concat(step.handleExpiredTimer((7,), At(20500), At(5500)))
+    assert [x if isinstance(x, str) else x[0] for x in sorted(calls.log, key=str)] == ["timer", "get", "update"] and ("timer", 21500) in calls.log
+    assert dict(zip(out["request_id"], out["released_seq"], strict=True)) == {100 + i: i for i in range(5, 21)}
+    # what is held: all 40 at first; later answers no longer count what lies before their own
+    assert out["held"].tolist() == [40] + [41 - i for i in range(6, 21)] and len(step._load()[0]) == 21
+
+
+def test_requests_at_the_watermark_are_answered(spark):
+    from pyspark.sql import functions as F
+
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(1, "snapshot", 100, 1), (1, "snapshot", 300, 3), (1, "request", 200, 7), (1, "request", 201, 8), (2, "request", 200, 9), (2, "snapshot", 200, 2)]
+    spark.createDataFrame(rows, "g long, kind string, s long, number long").select("g", "kind", F.timestamp_seconds("s").alias("at"), "number").coalesce(1).write.parquet(f"{base}/in")
+    stream = log_io.snapshot_stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, release.PROVIDER)
+    try:
+        found = state.run_to_table(release.delayed_release_stream(stream.where("kind = 'snapshot'").withColumnRenamed("number", "seq"), stream.where("kind = 'request'").withColumnRenamed("number", "request_id"), "g", "100 seconds"), spark).collect()
+    finally:
+        spark.conf.set(name, before)
+    print(sorted((r.request_id, r.released_seq) for r in found))
+    assert sorted((r.request_id, r.released_seq) for r in found) == [(7, 1), (9, 2)]
+
+
+def test_small_keys_of_a_cluster_share_a_state(spark):
+    """One state and one call for a cluster's decisions, with the answers (late rows too) of a state for each decision."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(i % 3, f"{i % 3}:{i % 4}", (i * 7) % 60, "ab"[i // 9 % 2]) for i in range(60)]
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20:part * 20 + 20], "g long, decision_id string, seq long, sha string").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    got = {}
+    for within in (None, ["g"]):
+        s = log_io.snapshot_stream(spark, f"{base}/in", schema, files_per_trigger=1)
+        out = state.fold(s, ["decision_id"], "seq", state.ledger_step, state.LEDGER_SCHEMA, late="outcome", within=within)
+        got[within is None] = sorted(map(tuple, state.run_to_table(out, spark).collect()))
+    assert got[True] == got[False] and {x[2] for x in got[True]} == {"first", "duplicate", "conflict", "late"}
+
+
 def test_slot_rules():
     st = {}
 

@@ -338,8 +338,8 @@ r AS (SELECT game_pk || ':' || (at_bat_number // 2) AS decision_id, seq, sha256(
 f AS (SELECT *, first_value(sha) OVER (PARTITION BY decision_id ORDER BY seq) AS fs, row_number() OVER (PARTITION BY decision_id ORDER BY seq) AS rn, row_number() OVER (PARTITION BY decision_id, sha ORDER BY seq) AS sn FROM r)
 SELECT decision_id, seq, CASE WHEN rn = 1 THEN 'first' WHEN sha = fs THEN 'duplicate' ELSE 'conflict' END AS outcome, sha FROM f WHERE rn = 1 OR sha = fs OR sn = 1""", log=False)
 def _j08(t):
-    d = delivery_stream(t).select(F.concat_ws(":", c("game_pk").cast("string"), F.expr("at_bat_number div 2").cast("string")).alias("decision_id"), "seq", F.sha2((c("k") % 3).cast("string"), 256).alias("sha"))
-    return state.run_to_table(state.fold(d, ["decision_id"], "seq", state.ledger_step, state.LEDGER_SCHEMA, late="outcome"), t.spark)
+    d = delivery_stream(t).select("game_pk", F.concat_ws(":", c("game_pk").cast("string"), F.expr("at_bat_number div 2").cast("string")).alias("decision_id"), "seq", F.sha2((c("k") % 3).cast("string"), 256).alias("sha"))
+    return state.run_to_table(state.fold(d, ["decision_id"], "seq", state.ledger_step, state.LEDGER_SCHEMA, late="outcome", within=["game_pk"]), t.spark)
 
 
 @query("j09_timeline_audit", DELIVERY_CTE + """,

@@ -48,12 +48,16 @@ def support_audit(log: DataFrame, keys: LogKeys) -> DataFrame:
     regular = (c("game_type") == "R") & c(keys.period).between(1, 9)
     tail = ["events", "_y", "balls", "strikes", "outs_when_up", "outs_recorded", "_bases", "home_score", "away_score", keys.period, keys.side, "post_home_score", "post_away_score"] + [f"_n_{n}" for n in nxt]
 
+    # least and greatest value instead of distinct counts, which would multiply the rows by the columns counted
+    def differs(col):
+        return F.coalesce(F.min(col) != F.max(col), F.lit(False))
+
     def changed(col):
-        return (F.count_distinct(col) + F.max(c(col).isNull().cast("int"))) > 1
+        return differs(col) | ((F.count(col) > 0) & (F.count(col) < F.count("*")))
 
     ep = x.groupBy(*keys.episode_key).agg(
         F.max_by(F.struct(*tail), last).alias("t"), F.min_by(F.struct("balls", "strikes"), last).alias("f"), F.max("complete").alias("_complete"),
-        F.greatest(*[changed(s).cast("int") for s in STATE_COLUMNS]).alias("_state"), F.greatest(*[(F.count_distinct(s) > 1).cast("int") for s in (keys.actor, keys.entity)]).alias("_identity"),
+        F.greatest(*[changed(s).cast("int") for s in STATE_COLUMNS]).alias("_state"), F.greatest(*[differs(s).cast("int") for s in (keys.actor, keys.entity)]).alias("_identity"),
         F.max((F.coalesce(same, F.lit(False)) & ~F.coalesce(ok_path, F.lit(False))).cast("int")).alias("_path"), F.min(F.coalesce(valid, F.lit(False)).cast("int")).alias("_valid"), F.min(regular.cast("int")).alias("_regular"))
     t = c("t")
     e, y = t["events"], t["_y"]
@@ -130,7 +134,8 @@ def trajectory_audit(log: DataFrame, masks: DataFrame, source: DataFrame, keys:
         "_y": label, "_i": F.row_number().over(w), "_last": F.lead(keys.seq).over(w).isNull(), "_nb": F.lead("balls").over(w), "_ns": F.lead("strikes").over(w),
         "_bases": sum((F.when(c(f"on_{i}b") > 0, 1 << i - 1).otherwise(0) for i in (2, 3)), F.when(c("on_1b") > 0, 1).otherwise(0)),
         **{f"_to_{x}": F.lead(x).over(cluster) for x in (keys.period, keys.side, "outs_when_up", "home_score", "away_score")}})
-    rows = rows.join(masks, keys.actor, "left").withColumn("_a", action_number(action, actions).cast("int"))
+    # one row for each actor: sent to the tasks, as a join by actor would move the whole log to as many tasks as there are actors
+    rows = rows.join(F.broadcast(masks), keys.actor, "left").withColumn("_a", action_number(action, actions).cast("int"))
     rows = rows.withColumn("_ok", F.expr("shiftright(mask, _a) & 1 = 1"))
     rows = rows.withColumn("_end", F.when((c("_y") == 0) & (c("balls") == 3), "walk").when((c("_y") == 1) & (c("strikes") == 2), "strikeout").when(c("_y") >= 3, F.get(names, c("_y").cast("int"))))
     rows = rows.withColumn("_named", codes.lookup(c("events"), EVENT_CLASS))
@@ -170,7 +175,7 @@ def transitions(log: DataFrame, audit: DataFrame, masks: DataFrame, keys: LogKey
     """Events of retained episodes (trajectory_audit) with position, action number, support masks here and at the next event (0 at
     the end), next sequence number, done flag, and the terminal class where done.
     """
-    kept = log.join(audit.where("retained").select(*keys.episode_key, "terminal_class"), keys.episode_key).join(masks, keys.actor)
+    kept = log.join(audit.where("retained").select(*keys.episode_key, "terminal_class"), keys.episode_key).join(F.broadcast(masks), keys.actor)
     w = keys.in_episode()
     nxt = F.lead(keys.seq).over(w)
     return kept.select(

@@ -85,9 +85,14 @@ def actor_clusters(log: DataFrame, actor: str, means: Sequence[str], shares: dic
 
 
 def winner_model(design: DataFrame, label: str, cols: Sequence[str], non_negative: Sequence[str], reg: float):
-    """Regularised logistic model whose score coefficients cannot be negative."""
+    """Regularised logistic model whose score coefficients cannot be negative.
+
+    Equal rows are fitted as one with their number as its weight: game states repeat, so every pass of the optimiser is over
+    the distinct ones.
+    """
+    design = design.groupBy(*cols, label).agg(F.count("*").cast("double").alias("_rows"))
     lower = [0.0 if x in non_negative else float("-inf") for x in cols]
-    lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=100, standardization=False, lowerBoundsOnCoefficients=Matrices.dense(1, len(cols), lower))
+    lr = LogisticRegression(labelCol=label, featuresCol="features", weightCol="_rows", regParam=reg, maxIter=100, standardization=False, lowerBoundsOnCoefficients=Matrices.dense(1, len(cols), lower))
     return lr.fit(_assemble(design, cols))
 
 

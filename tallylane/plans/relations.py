@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallylane.keys import DEFAULT_KEYS as K
 from tallylane.operators import asof, audit, freq, gates, joins, ordered, rewards
+from tallylane.operators.lineage import materialise
 from tallylane.plans.aggregates import ADV_CTE, LEVELS, _chain_sql, advancement_rows, chain
 from tallylane.plans.encoders import OUT10_SQL
 from tallylane.plans.ordered import COMPLETE_CTE, OUTS_CTE, TERMINAL, with_outs
@@ -326,11 +327,12 @@ sx AS (SELECT {_STATE_SQL}, event, {_NEXT_SQL}, winner, sum(weight) AS probabili
 """
 
 
-def retained_episodes(t):
-    """Initial state and terminal class of every retained episode."""
+def retained_episodes(t, kept=None):
+    """Initial state and terminal class of every retained episode (`kept`, if the audit is at hand)."""
+    kept = trajectories(t).where("retained") if kept is None else kept
     bases = sum((F.when(c(f"on_{i}b") > 0, 1 << i - 1).otherwise(0) for i in (2, 3)), F.when(c("on_1b") > 0, 1).otherwise(0))
     first = t.log.where("pitch_number = 1").withColumn("bases", bases)
-    return first.join(trajectories(t).where("retained"), K.episode_key).select(*K.episode_key, *rewards.STATE, c("terminal_class").alias("event"))
+    return first.join(kept, K.episode_key).select(*K.episode_key, *rewards.STATE, c("terminal_class").alias("event"))
 
 
 def advancement_shares(t):
@@ -360,15 +362,20 @@ def _f03(t):
 @query("f03_fitted_rewards")
 def _f03f(t):
     """The same under the fitted winner model."""
+    return fitted_rewards(t, retained_episodes(t))
+
+
+def fitted_rewards(t, episodes):
     fitted, names = winner_fit(t)
     value = rewards.fitted_value(fitted.coefficients, fitted.intercept, names)
-    return rewards.terminal_rewards(retained_episodes(t), advancement_shares(t), value, K.episode_key)
+    return rewards.terminal_rewards(episodes, advancement_shares(t), value, K.episode_key)
 
 
 @query("f03_reward_check", TRAJECTORY_CTE + "SELECT count(*) AS episodes, 0::BIGINT AS outside, 0::BIGINT AS missing FROM t10 WHERE retained")
 def _f03c(t):
     """Fitted rewards are probabilities, one for each retained episode."""
-    n = trajectories(t).where("retained").join(_f03f(t), K.episode_key, "left")
+    kept = materialise(trajectories(t).where("retained").select(*K.episode_key, "terminal_class"))
+    n = kept.join(fitted_rewards(t, retained_episodes(t, kept)), K.episode_key, "left")
     return n.agg(F.count("*").alias("episodes"), F.count_if((c("reward") < 0) | (c("reward") > 1) | F.isnan("reward")).alias("outside"), F.count_if(c("reward").isNull()).alias("missing"))
 
 

@@ -231,11 +231,21 @@ def deliveries(events: DataFrame) -> DataFrame:
     })
 
 
+#: What the steps read; every column that goes to a Python task costs as much as the step itself.
+SLOT_INPUT = ["game_pk", "seq", "event", "received", "stamp", "rank", "sha"]
+REVISION_INPUT = ["game_pk", "seq", "provider_id", "at_bat_number", "pitch_number", "sha", "stamp", "malformed", "received", "revision"]
+INTAKE_INPUT = ["game_pk", "seq", "provider_id", "at_bat_number", "pitch_number", "sha", "received", "revision"]
+
+
 def delivery_stream(t: Tables) -> DataFrame:
     raw = log_io.snapshot_stream(t.spark, t.sf_dir, EVENT_SCHEMA, glob="events.parquet")
     return deliveries(raw)
 
 
+def slots(t: Tables) -> DataFrame:
+    return state.run_to_table(state.fold(delivery_stream(t).select(SLOT_INPUT), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA, late="outcome"), t.spark)
+
+
 @query("a09_snapshot_stream", "SELECT event_id, event_type FROM events", log=False)
 def _a09(t):
     raw = log_io.snapshot_stream(t.spark, t.sf_dir, EVENT_SCHEMA, glob="events.parquet").select("event_id", "event_type")
@@ -244,11 +254,11 @@ def _a09(t):
 
 @query("j01_slot_state")
 def _j01(t):
-    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA, late="outcome"), t.spark)
+    return slots(t)
 
 
 def ledger(t):
-    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.revision_step, state.REVISION_SCHEMA, late="outcome"), t.spark)
+    return state.run_to_table(state.fold(delivery_stream(t).select(REVISION_INPUT), ["game_pk"], "seq", state.revision_step, state.REVISION_SCHEMA, late="outcome"), t.spark)
 
 
 @query("j02_revision_ledger")
@@ -270,7 +280,7 @@ def _j03(t):
 
 @query("j04_event_intake")
 def _j04(t):
-    return state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.intake_step, state.INTAKE_SCHEMA, late="status"), t.spark)
+    return state.run_to_table(state.fold(delivery_stream(t).select(INTAKE_INPUT), ["game_pk"], "seq", state.intake_step, state.INTAKE_SCHEMA, late="status"), t.spark)
 
 
 @query("j05_frozen_context", """
@@ -352,8 +362,7 @@ def _j09(t):
 @query("j10_stale_policy")
 def _j10(t):
     """Refused deliveries by reason: stale snapshots, and quarantined revisions."""
-    slots = state.run_to_table(state.fold(delivery_stream(t), ["game_pk"], "seq", state.slot_step, state.SLOT_SCHEMA, late="outcome"), t.spark)
-    a = slots.groupBy(F.lit("snapshot").alias("kind"), c("outcome").alias("reason")).agg(F.count("*").alias("n"))
+    a = slots(t).groupBy(F.lit("snapshot").alias("kind"), c("outcome").alias("reason")).agg(F.count("*").alias("n"))
     return a.unionByName(ledger(t).groupBy(F.lit("revision").alias("kind"), F.coalesce("reason", "outcome").alias("reason")).agg(F.count("*").alias("n")))
 
 

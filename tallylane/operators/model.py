@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallylane.functions import features, probs
 from tallylane.functions.quantiles import with_row
+from tallylane.operators.lineage import materialise
 
 c = F.col
 
@@ -50,6 +51,8 @@ def side_clusters(table: DataFrame, side: str, sides: Sequence[str], id_col: str
 def soft_clusters(snapshots: DataFrame, rates: Sequence[str], weights: Sequence[str], entity: str, k: int, order_by: str, seed: int = 42) -> DataFrame:
     """Weighted k-means on profile snapshots (equal entity weight times evidence) and soft membership:
     radial softmax with a bandwidth fitted on the snapshots, shrunk to uniform by missing evidence."""
+    # read for counts, moments, starts, bandwidth and result: derived once, not once for each
+    snapshots = materialise(snapshots)
     evidence = sum((c(w) for w in weights[1:]), c(weights[0])) / len(weights)
     n = snapshots.groupBy(entity).agg(F.count("*").alias("_n"))
     x = snapshots.join(n, entity).withColumn("_e", evidence).withColumn("_w", c("_e") / c("_n"))

@@ -47,3 +47,17 @@ def test_weighted_winner_fit_equals_the_fit_of_all_rows(spark):
     plain = lr.fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows))
     assert list(m.coefficients) == pytest.approx(list(plain.coefficients), abs=1e-5) and m.intercept == pytest.approx(plain.intercept, abs=1e-5)
     assert m.summary.predictions.count() <= 42
+
+
+def test_soft_clusters_derive_their_snapshots_once(spark):
+    """The snapshots' own plan runs once, however often they are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(60).selectExpr("id % 20 as who", "id as day", "cast(id % 7 as double) as r1", "cast(id % 5 as double) as r2", "1.0D as e").mapInPandas(count, "who long, day long, r1 double, r2 double, e double")
+    out = model.soft_clusters(rows, ["r1", "r2"], ["e"], "who", 3, "r1").collect()
+    assert len(out) == 60 and seen.value <= 60 and all(abs(sum(r.membership) - 1) < 1e-9 for r in out)

@@ -61,3 +61,26 @@ def test_soft_clusters_derive_their_snapshots_once(spark):
     rows = spark.range(60).selectExpr("id % 20 as who", "id as day", "cast(id % 7 as double) as r1", "cast(id % 5 as double) as r2", "1.0D as e").mapInPandas(count, "who long, day long, r1 double, r2 double, e double")
     out = model.soft_clusters(rows, ["r1", "r2"], ["e"], "who", 3, "r1").collect()
     assert len(out) == 60 and seen.value <= 60 and all(abs(sum(r.membership) - 1) < 1e-9 for r in out)
+
+
+def test_smoothing_checks_codes_on_the_cells(spark, monkeypatch):
+    """The rows reach their cells without a filter on codes; rows of unknown codes still have no cell."""
+    from tallylane.operators import freq
+
+    plans, keep = [], freq.materialise
+    monkeypatch.setattr(freq, "materialise", lambda df: (plans.append(plan(df)), keep(df))[1])
+    log = Tables(spark, SF).ids
+    cells = freq.dirichlet_levels(log, "pitcher", 20.0, 40.0)["cells"]
+    want = log.where("outcome_id >= 0 and action_id >= 0").groupBy("pitcher", "state_id", "action_id").count()
+    got = cells.selectExpr("pitcher", "state_id", "action_id", "cast(" + " + ".join(f"n{i}" for i in range(11)) + " AS bigint)")
+    assert plans and all("Filter (" not in p for p in plans) and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_bellman_check_counts_the_log_once(spark, monkeypatch):
+    from tallylane.operators import freq
+    from tallylane.plans import evaluation
+
+    calls, levels = [], freq.dirichlet_levels
+    monkeypatch.setattr(freq, "dirichlet_levels", lambda *a, **k: (calls.append(1), levels(*a, **k))[1])
+    rows = evaluation._i02b(Tables(spark, SF)).collect()
+    assert rows and all(r.optimal and r.consistent for r in rows) and len(calls) == 1

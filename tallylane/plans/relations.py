@@ -123,7 +123,7 @@ def _c10(t):
         F.when(c("k") % 17 == 2, "POST").otherwise("PRE_RECEIPT").alias("timing"), (c("event_id") * 100 + (c("k") % 5) * 15).alias("generated"),
         F.when(c("model") == "A", F.array(F.lit("*"))).otherwise(F.array(*[F.lit(x) for x in ("FF", "SI", "SL", "CU", "CH", "FC")])).alias("kinds"),
         F.when(c("k") % 41 == 3, F.array(*[F.lit(x) for x in (1, 0, 2, 3, 4, 5, 6)])).otherwise(F.array(*[F.lit(x) for x in range(7)])).alias("leaves"))
-    return joins.grade_forecasts(lab.select(*KEY, "uid", "leaf", "kind", "clock", "first_received"), fc, K, ["A", "B"], list(range(7)))
+    return joins.grade_forecasts(lab.select(*KEY, "uid", "leaf", "kind", "clock", "first_received"), fc, K, ["A", "B"], list(range(7)), t.log_partitions)
 
 
 @query("c11_reconciliation", """

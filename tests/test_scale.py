@@ -30,6 +30,27 @@ def test_log_gets_more_partitions_as_it_grows(spark):
     assert few.rdd.getNumPartitions() <= 8 and many.rdd.getNumPartitions() == 41 and sorted(many.collect()) == sorted(keyed.collect())
 
 
+def test_log_keeps_its_partitions_where_the_session_has_more(spark):
+    """Adaptive execution would join the session's partitions to one for each core."""
+    keyed, had = spark.range(10).withColumn("game_pk", F.col("id")), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert testlog.by_cluster(keyed, 2_000_001).rdd.getNumPartitions() == 41
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_forecasts_are_graded_where_they_are_joined(spark):
+    """No exchange after the join."""
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graded = plan(relations._c10(Tables(spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert "Exchange" not in graded[:graded.index("SortMergeJoin")]
+
+
 def test_audit_does_not_move_the_log_by_actor(spark):
     with_masks = plan(relations.trajectories(Tables(spark, SF)))
     assert "SortMergeJoin [pitcher" not in with_masks

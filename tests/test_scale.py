@@ -105,3 +105,15 @@ def test_bellman_check_counts_the_log_once(spark, monkeypatch):
     monkeypatch.setattr(freq, "dirichlet_levels", lambda *a, **k: (calls.append(1), levels(*a, **k))[1])
     rows = evaluation._i02b(Tables(spark, SF)).collect()
     assert rows and all(r.optimal and r.consistent for r in rows) and len(calls) == 1
+
+
+def test_style_speed_does_not_depend_on_the_order_of_rows(spark):
+    from tallylane.operators import aggs
+
+    def speed(values):
+        rows = spark.createDataFrame([(1, "hit_into_play", None, 5, None, None, v) for v in values],
+                                     "who int, description string, events string, zone int, bb_type string, launch_angle double, launch_speed double").coalesce(1)
+        return aggs.style_table(rows, ["who"]).first().avg_launch_speed
+
+    assert speed([0.1, 0.2, 0.3]) == speed([0.3, 0.2, 0.1]) == 0.6 / 3 and speed([None]) is None
+    assert speed([1.0, float("inf")]) == float("inf") and speed([1e30, 3e30]) == 2e30

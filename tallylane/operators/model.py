@@ -19,6 +19,9 @@ from tallylane.operators.lineage import materialise
 
 c = F.col
 
+# Fixed value: partitions that a pass of an optimiser reads as one.
+JOINED = 8
+
 
 def _assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
@@ -106,15 +109,22 @@ def log_loss(scored: DataFrame, p: str, label: str, weight: str | None = None) -
     return scored.agg(F.sum(-w * F.log(F.greatest(own, F.lit(probs.NLL_FLOOR)))) / F.sum(w)).first()[0]
 
 
+def fit_partitions(partitions: int, cores: int) -> int:
+    """Partitions of an optimiser's pass: JOINED of the rows' own in each, but one for each core at least (if there are as many)."""
+    return min(partitions, max(cores, -(-partitions // JOINED)))
+
+
 def outcome_model(train: DataFrame, stop: DataFrame, cols: Sequence[str], label: str, weight: str | None = None, reg: float = 1e-4, budgets: Sequence[int] = (5, 10, 20, 40, 80), tolerance: float = 1e-5):
     """Multinomial logistic model over all classes of `train`, stopped early on the rows of `stop`.
 
     The optimiser follows the same path whatever its budget of iterations, so fits with growing budgets are points of one
     path.  Budgets grow until the loss on `stop` no longer falls by `tolerance`, or the fit has converged before; the best
     one is kept.  Rows may be weighted (weights are divided by their mean).  Returns the model and one
-    (budget, iterations, loss on `stop`) for each fit.
+    (budget, iterations, loss on `stop`) for each fit.  Every pass of the optimiser is a job over all partitions, so several small
+    ones are read as one.
     """
-    rows, held = _assemble(train, cols).select("features", label, *([weight] if weight else [])).persist(), _assemble(stop, cols)
+    rows, held = _assemble(train, cols).select("features", label, *([weight] if weight else [])), _assemble(stop, cols)
+    rows = rows.coalesce(fit_partitions(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)).persist()
     try:
         if weight:
             mean = rows.agg(F.avg(weight)).first()[0]

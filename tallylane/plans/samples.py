@@ -173,18 +173,24 @@ CHANNELS = ["x", "zn", "speed", "move_x", "move_z"]
 def outcome_design(t):
     """Rows with a known outcome, part (0 fit, 1 early stop, 2 held out), scaled channels and their hinges, count and sides.
 
-    The early-stop part is the last fifth of the training seasons' dates; scalers and knots see the fit part alone.
+    The early-stop part is the last fifth of the training seasons' dates; scalers and knots see the fit part alone.  Count and sides
+    are -0.5 and 0.5, which moves the model's intercepts alone: with zeros in them, spark.ml would keep the rows as sparse blocks,
+    whose products take several times as long as those of dense ones.
     """
+    def half(condition):
+        return F.coalesce(condition.cast("double"), F.lit(0.0)) - 0.5
+
     phys = features.physical_channels()
     rows = t.ids.where("outcome_id >= 0").select(*KEY, "season", "game_date", c("outcome_id").cast("double").alias("label"), *[phys[x].alias(x) for x in CHANNELS], "balls", "strikes",
-                                                 (c("stand") == "L").cast("double").alias("left"), (c("stand") == c("p_throws")).cast("double").alias("same"))
+                                                 half(c("stand") == "L").alias("left"), half(c("stand") == c("p_throws")).alias("same"))
+    rows = materialise(rows)  # the log is derived once, not again for the dates
     days = rows.where("season <= 2022").select(F.unix_date("game_date").alias("day")).distinct()
-    cut = exact_quantiles(days, "day", [0.8]).select(c("q")[0].alias("_cut"))
-    rows = materialise(with_row(rows, cut).withColumn("part", F.when(c("season") > 2022, 2).when(F.unix_date("game_date") > c("_cut"), 1).otherwise(0)).drop("_cut"))
+    cut = exact_quantiles(days, "day", [0.8]).select(c("q")[0]).first()[0]  # one number
+    rows = rows.withColumn("part", F.when(c("season") > 2022, 2).when(F.unix_date("game_date") > F.lit(cut).cast("double"), 1).otherwise(0))
     z = materialise(features.apply_scaler(rows, features.fit_scaler(rows.where("part = 0"), CHANNELS, 1e-8), CHANNELS, clip=features.HINGE_CLIP))
     z = features.hinge_table(z, z.where("part = 0"), [f"{x}_z" for x in CHANNELS])
     balls, strikes = [f"b{i}" for i in (1, 2, 3)], [f"s{i}" for i in (1, 2)]
-    z = z.withColumns({n: (c(col) == int(n[1])).cast("double") for col, names in (("balls", balls), ("strikes", strikes)) for n in names})
+    z = z.withColumns({n: half(c(col) == int(n[1])) for col, names in (("balls", balls), ("strikes", strikes)) for n in names})
     names = [f"{x}_z{h}" for x in CHANNELS for h in ("", "_h1", "_h2", "_h3")] + balls + strikes + ["left", "same"]
     return materialise(z.select(*KEY, "part", "label", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])), names
 

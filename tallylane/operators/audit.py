@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallylane.functions import codes
 from tallylane.keys import LogKeys
 from tallylane.operators import ordered, prior
-from tallylane.operators.lineage import materialise
+from tallylane.operators.lineage import dealt, materialise
 
 c = F.col
 
@@ -119,13 +119,13 @@ def support_masks(support: DataFrame, actor: str, action: str, actions: Sequence
     return support.groupBy(actor).agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("mask"))
 
 
-def trajectory_audit(log: DataFrame, masks: DataFrame, source: DataFrame, keys: LogKeys, action: str, actions: Sequence[str]) -> DataFrame:
+def trajectory_audit(log: DataFrame, masks: DataFrame, source: DataFrame, keys: LogKeys, action: str, actions: Sequence[str], partitions: int | None = None) -> DataFrame:
     """One row per episode: its terminal class, its length, whether it is kept as transitions, and all reasons against it.
 
     `masks` (support_masks) are the actions that a policy may be compared on, `source` the episodes' own support flag.
     Each reason is a condition on one event beside its neighbours in the episode and the cluster; one aggregation
     collects them.  A condition is asked only where those before it hold (label, then count and action, then
-    the terminal, then what follows it).
+    the terminal, then what follows it).  Episodes meet their flag in `partitions`, if given.
     """
     w, cluster = keys.in_episode(), keys.in_cluster()
     label = codes.outcome10(c("description"), c("events"), c("strikes"))
@@ -166,16 +166,17 @@ def trajectory_audit(log: DataFrame, masks: DataFrame, source: DataFrame, keys:
     ep = rows.groupBy(*keys.episode_key).agg(
         F.min_by(keys.actor, "_i").alias(keys.actor), F.coalesce(F.max_by("_named", "_i"), F.lit("unknown")).alias("terminal_class"), F.count("*").alias("n_events"),
         F.coalesce(reduce(lambda a, b: a | b, change), F.lit(False)).alias("mid_pa_context_change"), *[F.coalesce(F.bool_or(x), F.lit(False)).alias(name) for name, x in against.items()])
-    ep = ep.join(source.select(*keys.episode_key, "supported"), keys.episode_key, "left").withColumn("source_unsupported_pa", ~F.coalesce("supported", F.lit(False)))
+    flag = dealt(source.select(*keys.episode_key, "supported"), keys.episode_key, partitions)
+    ep = dealt(ep, keys.episode_key, partitions).join(flag, keys.episode_key, "left").withColumn("source_unsupported_pa", ~F.coalesce("supported", F.lit(False)))
     reasons = F.array_compact(F.array(*[F.when(c(name), F.lit(name)) for name in TRAJECTORY_REASONS]))
     return ep.select(*keys.episode_key, keys.actor, "terminal_class", "n_events", (F.size(reasons) == 0).alias("retained"), F.array_join(reasons, "|").alias("reasons"))
 
 
-def transitions(log: DataFrame, audit: DataFrame, masks: DataFrame, keys: LogKeys, action: str, actions: Sequence[str]) -> DataFrame:
+def transitions(log: DataFrame, audit: DataFrame, masks: DataFrame, keys: LogKeys, action: str, actions: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Events of retained episodes (trajectory_audit) with position, action number, support masks here and at the next event (0 at
-    the end), next sequence number, done flag, and the terminal class where done.
+    the end), next sequence number, done flag, and the terminal class where done.  `partitions` as for the audit.
     """
-    kept = log.join(audit.where("retained").select(*keys.episode_key, "terminal_class"), keys.episode_key).join(F.broadcast(masks), keys.actor)
+    kept = dealt(log, keys.episode_key, partitions).join(audit.where("retained").select(*keys.episode_key, "terminal_class"), keys.episode_key).join(F.broadcast(masks), keys.actor)
     w = keys.in_episode()
     nxt = F.lead(keys.seq).over(w)
     return kept.select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylane.functions import features
+from tallylane.operators.lineage import dealt, materialise
 
 c = F.col
 STATE = ("inning", "inning_topbot", "outs_when_up", "bases", "home_score", "away_score")
@@ -76,19 +77,23 @@ def successors(pairs: DataFrame, shares: DataFrame, prior: float) -> DataFrame:
     return out.groupBy(*STATE, "event", *[f"next_{x}" for x in STATE], "winner").agg(F.sum("weight").alias("probability"))
 
 
-def terminal_rewards(episodes: DataFrame, shares: DataFrame, home_value: Column, by: Sequence[str], prior: float = 5.0) -> DataFrame:
+def terminal_rewards(episodes: DataFrame, shares: DataFrame, home_value: Column, by: Sequence[str], prior: float = 5.0, partitions: int | None = None) -> DataFrame:
     """Columns `by`, event and reward: the expected value for the side that defends at the episode's start.
 
     `episodes` has STATE and event; `home_value` is an expression over a successor's STATE columns.  Each distinct
-    (state, event) is valued once.
+    (state, event) is valued once.  Episodes meet their values in `partitions`, if given: without it, the tasks that sum over
+    successors also sort and join, and each of these steps holds memory of its own.
     """
+    episodes = materialise(episodes)  # read for the pairs and for the rows
     pairs = episodes.select(*STATE, "event").distinct()
     found = successors(pairs, shares, prior)
     after = found.select(*[c(x).alias(f"_{x}") for x in STATE], "event", "winner", "probability", *[c(f"next_{x}").alias(x) for x in STATE])
     p_home = F.when(c("winner").isNull(), home_value).otherwise((c("winner") == "home").cast("double"))
     value = F.when(c("_inning_topbot") == "Top", p_home).otherwise(1 - p_home)
     valued = after.withColumn("_v", c("probability") * value).groupBy(*[f"_{x}" for x in STATE], "event").agg(F.sum("_v").alias("reward"))
-    return episodes.join(valued.withColumnsRenamed({f"_{x}": x for x in STATE}), [*STATE, "event"]).select(*by, "event", "reward")
+    on = [*STATE, "event"]
+    valued = dealt(valued.withColumnsRenamed({f"_{x}": x for x in STATE}), on, partitions)
+    return dealt(episodes, on, partitions).join(valued, on).select(*by, "event", "reward")
 
 
 def fitted_value(coefficients: Sequence[float], intercept: float, names: Sequence[str]) -> Column:

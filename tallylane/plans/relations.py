@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallylane.keys import DEFAULT_KEYS as K
 from tallylane.operators import asof, audit, freq, gates, joins, ordered, rewards
-from tallylane.operators.lineage import materialise
+from tallylane.operators.lineage import dealt, materialise
 from tallylane.plans.aggregates import ADV_CTE, LEVELS, _chain_sql, advancement_rows, chain
 from tallylane.plans.encoders import OUT10_SQL
 from tallylane.plans.ordered import COMPLETE_CTE, OUTS_CTE, TERMINAL, with_outs
@@ -289,7 +289,7 @@ def policy_support(t):
 
 
 def trajectories(t):
-    return audit.trajectory_audit(t.log, policy_support(t), audited(t)[1], K, "pitch_type", TYPE_CODES)
+    return audit.trajectory_audit(t.log, policy_support(t), audited(t)[1], K, "pitch_type", TYPE_CODES, t.log_partitions)
 
 
 @query("f02_trajectory_audit", TRAJECTORY_CTE + "SELECT * FROM t10")
@@ -302,7 +302,7 @@ SELECT game_pk, at_bat_number, pitch_number, pitch_type AS action, list_position
   coalesce(lead(pitch_number) OVER w, -1) AS next_seq, lead(pitch_number) OVER w IS NULL AS done, CASE WHEN lead(pitch_number) OVER w IS NULL THEN terminal_class END AS terminal_event
 FROM log JOIN (SELECT game_pk, at_bat_number, terminal_class FROM t10 WHERE retained) USING (game_pk, at_bat_number) JOIN su USING (pitcher) WINDOW w AS (PARTITION BY game_pk, at_bat_number ORDER BY pitch_number)""")
 def _f02(t):
-    return audit.transitions(t.log, trajectories(t), policy_support(t), K, "pitch_type", TYPE_CODES)
+    return audit.transitions(t.log, trajectories(t), policy_support(t), K, "pitch_type", TYPE_CODES, t.log_partitions)
 
 
 _STATE_SQL = ", ".join(rewards.STATE)
@@ -331,8 +331,8 @@ def retained_episodes(t, kept=None):
     """Initial state and terminal class of every retained episode (`kept`, if the audit is at hand)."""
     kept = trajectories(t).where("retained") if kept is None else kept
     bases = sum((F.when(c(f"on_{i}b") > 0, 1 << i - 1).otherwise(0) for i in (2, 3)), F.when(c("on_1b") > 0, 1).otherwise(0))
-    first = t.log.where("pitch_number = 1").withColumn("bases", bases)
-    return first.join(kept, K.episode_key).select(*K.episode_key, *rewards.STATE, c("terminal_class").alias("event"))
+    first = t.log.where("pitch_number = 1").withColumn("bases", bases).select(*K.episode_key, *rewards.STATE)
+    return dealt(first, K.episode_key, t.log_partitions).join(dealt(kept.select(*K.episode_key, "terminal_class"), K.episode_key, t.log_partitions), K.episode_key).select(*K.episode_key, *rewards.STATE, c("terminal_class").alias("event"))
 
 
 def advancement_shares(t):
@@ -356,7 +356,7 @@ rw AS (SELECT {_STATE_SQL}, event, sum(probability * CASE WHEN inning_topbot = '
 SELECT game_pk, at_bat_number, event, reward FROM ep JOIN rw USING ({_STATE_SQL}, event)""", doubles=["reward"])
 def _f03(t):
     """Expected value after each retained episode for the side that defends, under a given value of states."""
-    return rewards.terminal_rewards(retained_episodes(t), advancement_shares(t), lead_value(), K.episode_key)
+    return rewards.terminal_rewards(retained_episodes(t), advancement_shares(t), lead_value(), K.episode_key, partitions=t.log_partitions)
 
 
 @query("f03_fitted_rewards")
@@ -368,7 +368,7 @@ def _f03f(t):
 def fitted_rewards(t, episodes):
     fitted, names = winner_fit(t)
     value = rewards.fitted_value(fitted.coefficients, fitted.intercept, names)
-    return rewards.terminal_rewards(episodes, advancement_shares(t), value, K.episode_key)
+    return rewards.terminal_rewards(episodes, advancement_shares(t), value, K.episode_key, partitions=t.log_partitions)
 
 
 @query("f03_reward_check", TRAJECTORY_CTE + "SELECT count(*) AS episodes, 0::BIGINT AS outside, 0::BIGINT AS missing FROM t10 WHERE retained")

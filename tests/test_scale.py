@@ -139,3 +139,23 @@ def test_outcome_fit_reads_small_partitions_together(spark):
         patch.setattr(model.LogisticRegression, "fit", lambda self, df: (read.append(df.rdd.getNumPartitions()), fit(self, df))[1])
         model.outcome_model(rows, rows, ["x"], "y", budgets=(2,))
     assert read == [8]
+
+
+def test_joins_on_episodes_keep_the_partitions_of_a_large_log(spark, monkeypatch):
+    """As many tasks as the log has partitions, and the same rewards; adaptive execution would join the session's to one."""
+    from tallylane.plans import registry
+
+    larger = "/root/testdata/sf0.01"  # no episode of the smallest is retained
+    plain = sorted(relations._f03(Tables(spark, larger)).collect())
+    monkeypatch.setattr(registry, "_PLANS", {})
+    monkeypatch.setattr(testlog, "PARTITION_EVENTS", 500)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, larger)
+        n, steps = t.log_partitions, (relations.trajectories, relations._f02, relations.retained_episodes, relations._f03)
+        assert n > 8 and [step(t).rdd.getNumPartitions() for step in steps] == [n] * len(steps)
+        dealt = sorted(relations._f03(t).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert dealt and [r[:3] for r in dealt] == [r[:3] for r in plain] and [r.reward for r in dealt] == pytest.approx([r.reward for r in plain], abs=1e-12)
